@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, langid, minhash, pieces, urls
+from docloom.llm import decontaminate, langid, minhash, pieces, substrings, urls
 from docloom.llm.common import table
 
 
@@ -82,9 +82,27 @@ FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+r AS (SELECT win FROM p GROUP BY win HAVING count(*) > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM p WHERE win IN (SELECT win FROM r)),
+g AS (SELECT doc_id, list(j) AS js FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(js, i)), lambda i: ws[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op9_minhash": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -151,3 +151,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+#: Words of the bitmap that sieve() broadcasts: two longs each, whatever the data.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame, keep: str = "left_semi") -> DataFrame:
+    """The rows of `df` whose key may be among `keys` (one column), by a broadcast bitmap
+    of 64 * SIEVE_WORDS bits: no row of a present key is lost, few others pass while
+    there are fewer keys than bits. "left_anti" gives the other rows."""
+    one = F.xxhash64(F.col(keys.columns[0]))
+    bits = keys.select(F.pmod(one, F.lit(SIEVE_WORDS)).alias("_word"), F.shiftrightunsigned(one, 58).cast("int").alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    own = F.xxhash64(key)
+    held = F.broadcast(bits)
+    return df.join(held, (F.pmod(own, F.lit(SIEVE_WORDS)) == held["_word"]) & (F.bit_get(held["_bits"], F.shiftrightunsigned(own, 58).cast("int")) == 1), keep)
