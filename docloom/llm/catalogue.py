@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import caps, decontaminate, langid, minhash, pieces, quality, substrings, urls
+from docloom.llm import caps, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
 from docloom.llm.common import table
 
 
@@ -85,6 +85,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source and a language make up the directory."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(docs.withColumn("_path", path), id_col="doc_id", path_col="_path", text_col="text")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
