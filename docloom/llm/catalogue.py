@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import caps, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
+from docloom.llm import caps, chat, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
 from docloom.llm.common import table
 
 
@@ -92,6 +92,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.withColumn("_path", path), id_col="doc_id", path_col="_path", text_col="text")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.turns(table(spark, sf_dir, "conversations"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
