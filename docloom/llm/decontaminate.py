@@ -61,7 +61,8 @@ def _positions(docs: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """The id column, n_words, n_hit, items (ids of items with occurring windows, as sorted
-    strings), spans (start and length of each occurrence) for each row of `docs`.
+    strings), spans (start and length of each occurrence), text_hash (xxhash64 of the
+    text) for each row of `docs`.
 
     A null or wordless text has no words and no hit; a null or wordless item no window.
     Rows that repeat an id and text are judged once and returned as often as they are
@@ -113,4 +114,4 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     )
     out = found.withColumn("n_hit", covered)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "items", "spans")
+    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "items", "spans", F.col("hash").alias("text_hash"))

@@ -274,25 +274,26 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, k: int = GRAM) -> DataF
     return spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = GRAM) -> DataFrame:
-    """The id column, n_words, n_removed, kept (the other words, one space between) for each
-    row of `docs`. Words are what ASCII white space parts, unchanged.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, k: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id column, n_words, n_removed, kept (the other words, one space between) and the
+    columns of `carry` for each row of `docs`. Words are what ASCII white space parts, unchanged.
 
     Every occurrence of a repeated passage is removed, the first too, and within one
     document as across documents. A null or blank text has no words. Repeated rows are
     occurrences like others and are returned each. Null ids are values like others.
     Other columns are not read.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    more = base.columns[2:]
     kind = base.schema["id"].dataType.simpleString()
     single = kind in ("bigint", "string", "int") and base.groupBy("id").count().where("id is null or count > 1").isEmpty()
     keyed = base.withColumn("uid", F.col("id") if single else F.xxhash64("id", "text"))
     found = Stored(repeated_spans(keyed.select("uid", "text"), size=size, k=k)).df
-    may = sieve(keyed, F.col("uid"), found.select("uid")).join(found, "uid", "left").select("id", "text", "spans")
-    other = sieve(keyed, F.col("uid"), found.select("uid"), "left_anti").select("id", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
+    may = sieve(keyed, F.col("uid"), found.select("uid")).join(found, "uid", "left").select("id", "text", "spans", *more)
+    other = sieve(keyed, F.col("uid"), found.select("uid"), "left_anti").select("id", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"), *more)
 
     def make():
-        def work(ids, texts, spans):
+        def work(ids, texts, spans, *rest):
             n, gone, kept = [], [], []
             for text, own in zip(texts, spans, strict=True):
                 words = _words(text)
@@ -305,8 +306,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     words = [words[i] for i in np.flatnonzero(stay)]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            return [ids, n, gone, kept]
+            return [ids, n, gone, kept, *rest]
 
         return work
 
-    return map_slices(may.unionByName(other), make, f"id {kind}, n_words long, n_removed long, kept string", rows=128).withColumnRenamed("id", id_col)
+    fields = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in more)
+    out = map_slices(may.unionByName(other), make, f"id {kind}, n_words long, n_removed long, kept string{fields}", rows=128)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(a).alias(c) for a, c in zip(more, carry, strict=True)))
