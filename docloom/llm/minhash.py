@@ -1,31 +1,65 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Rows with equal shingle sets form a class, represented by its least id. Bands of the
-classes' signatures are candidate buckets. Each bucket's leaders are compared with the
-members that aren't yet in the leader's component: signatures in batches, a pair dropped
-once the posterior probability that it reaches the similarity is under the chosen miss
-probability; what is left is verified on the full shingle sets. Rounds take 1, 2, 4, ...
-further leaders of a bucket until the rest of each bucket lies in one component, which
-is exact for components without ever listing all pairs of a bucket.
+classes' signatures are candidate buckets. Signatures are compared in batches, a pair
+dropped once the posterior probability that it reaches the similarity is under the chosen
+miss probability; what is left is verified on the full shingle sets. First each bucket's
+leader, its least id, is compared with its members. Buckets whose other members then lie
+in several components are compared within, in blocks of bounded size, across components
+only and each pair in the first band that it shares; found links merge components on
+the way. So components are exact, and no pairs but links leave a block.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Stored, components, map_slices, mix64
 from docloom.llm.shingles import ShingleSets
 
-BANDS, ROWS = 28, 5
+BANDS, ROWS = 28, 5  # of the signature; candidates use as many bands as bands_for() says
 #: Hashes compared at once.
 BATCH = 14
 #: Chance, at most, that the posterior gives to a dropped pair's being similar enough.
 MISS = 1e-6
+#: Chance, at most, that a pair at the similarity shares no band.
+UNSHARED = 2e-5
+#: Members of a bucket that are compared at once; more are split into blocks of pairs of parts.
+PART = 512
+#: Shingles that a task remembers.
+REMEMBERED = 2_000_000
+
+
+def bands_for(percent: int) -> int:
+    return min(BANDS, ceil(log(UNSHARED) / log(1 - (percent / 100) ** ROWS)))
+
+
+class Sets:
+    """Shingle sets by key, remembered up to REMEMBERED shingles, the last used longest."""
+
+    def __init__(self, k: int):
+        self.make, self.kept, self.size = ShingleSets(k), OrderedDict(), 0
+
+    def __call__(self, key, text: str) -> np.ndarray:
+        if (own := self.kept.get(key)) is not None:
+            self.kept.move_to_end(key)
+            return own
+        self.kept[key] = own = self.make(text)
+        self.size += len(own)
+        while self.size > REMEMBERED and len(self.kept) > 1:
+            self.size -= len(self.kept.popitem(last=False)[1])
+        return own
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -99,24 +133,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFr
     met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def make():
-        sets, kept = ShingleSets(k), OrderedDict()
-
-        def of(key, text):
-            if (own := kept.get(key)) is None:
-                kept[key] = own = sets(text)
-                if len(kept) > 64:
-                    kept.popitem(last=False)
-            else:
-                kept.move_to_end(key)
-            return own
+        sets, plain = Sets(k), ShingleSets(k)
 
         def work(a, b, text_a, text_b):
-            true = []
-            for i in range(len(a)):
-                x, y = of(a[i], text_a[i]), sets(text_b[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    true.append(i)
+            true = [i for i in range(len(a)) if reaches(sets(a[i], text_a[i]), plain(text_b[i]), percent)]
             return [[a[i] for i in true], [b[i] for i in true]]
 
         return work
@@ -124,53 +144,100 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFr
     return map_slices(met.select("a", "b", "text_a", "text_b"), make, f"a {kind}, b {kind}", rows=64)
 
 
+def _within(units: DataFrame, kind: str, percent: int, k: int) -> DataFrame:
+    """The links (a, b) between members of different components of each block."""
+    arrow_kind = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}.get(kind, pa.string())
+    least = needed(percent, BANDS * ROWS)
+
+    def block(rows: list, band: int, cross: bool, sets: Sets, out: list) -> None:
+        names: dict = {}
+        comp = np.array([names.setdefault(r[2], len(names)) for r in rows])
+        if len(names) < 2:
+            return
+        part = np.array([r[0] for r in rows])
+        sig = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1)
+        for a in range(len(rows) - 1):
+            at = a + 1 + np.flatnonzero((comp[a + 1 :] != comp[a]) & ((part[a + 1 :] != part[a]) if cross else True))
+            hits = np.zeros(len(at), int)
+            for i, m in enumerate(least):
+                if not len(at):
+                    break
+                hits = hits + (sig[at, i * BATCH : (i + 1) * BATCH] == sig[a, i * BATCH : (i + 1) * BATCH]).sum(1)
+                at, hits = at[hits >= m], hits[hits >= m]
+            if band and len(at):
+                before = (sig[at, : band * ROWS] == sig[a, : band * ROWS]).reshape(len(at), band, ROWS).all(2).any(1)
+                at = at[~before]
+            for b in at.tolist():
+                if comp[a] != comp[b] and reaches(sets(rows[a][1], rows[a][4]), sets(rows[b][1], rows[b][4]), percent):
+                    out.append((rows[a][1], rows[b][1]))
+                    comp[comp == comp[b]] = comp[a]
+
+    def run(batches):
+        key, held, out, sets = None, [], [], Sets(k)
+
+        def batch():
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, arrow_kind) for c in cols], ["a", "b"])
+
+        def close():
+            if len(held) > 1:
+                block(held, key[1], key[2] != key[3], sets, out)
+
+        for got in batches:
+            for start in range(0, got.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in got.slice(start, 256).columns), strict=True):
+                    if row[:4] != key:
+                        close()
+                        key, held = row[:4], []
+                    held.append(row[4:])
+                if len(out) > 4096:
+                    yield batch()
+        close()
+        yield batch()
+
+    keys = ["bucket", "band", "i", "j"]
+    return units.select(*keys, "part", "rep", "component", "sig", "text").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The id column, n_shingles, component (least id reachable over links), kept for each
     row of `docs`. Linked are rows whose sets of k-word shingles have a Jaccard similarity
     of at least percent / 100.
 
     A null, empty or blank text has an empty set and is linked with nothing. Rows that
-    share an id are one node, linked by any of its texts. A null id is linked with nothing: its component is null
-    and it is kept. Other columns are not read.
+    share an id are one node, linked by any of its texts. A null id is linked with
+    nothing: its component is null and it is kept. Other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = base.schema["id"].dataType.simpleString()
     own = Stored(signatures(base, "id", "text", k)).df
     full = own.where("n > 0 and id is not null")
     sigs = Stored(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))).df
 
     width = 4 * ROWS
-    bands = sigs.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select(F.expr(f"xxhash64(band, substring(sig, band * {width} + 1, {width}))").alias("bucket"), "rep")
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1 and lead is not null")
-    members = Stored(bands.join(shared, "bucket").select("bucket", "rep", "lead", "size")).df
-    texts = base.join(members.select(F.col("rep").alias("id")).distinct(), "id")
+    bands = sigs.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands_for(percent) - 1)))).select(F.expr(f"xxhash64(band, substring(sig, band * {width} + 1, {width}))").alias("bucket"), "band", "rep")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
+    members = Stored(bands.join(shared, "bucket").where("rep <> lead")).df  # a bucket's leader stands with each member
+    both = members.select(F.col("rep").alias("id")).unionByName(members.select(F.col("lead").alias("id"))).distinct()
+    texts = base.join(both, "id")
     if not base.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         texts = texts.distinct()
     texts = Stored(texts).df
 
-    pairs = Stored(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()).df
-    tested, links = pairs, None
-    done = 1  # leaders of each bucket so far
-    while True:
-        found = Stored(verified(unpruned(pairs, sigs, percent), texts, percent, k)).df
-        links = found if links is None else links.unionByName(found)
-        group = Stored(components(links)).df
-        if done == 1:
-            members = members.where("size > 2")
-        placed = members.select("bucket", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
-        open_ = ranked.where(F.col("rank") > done).groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        left = Stored(ranked.where(F.col("rank") > done).join(open_, "bucket")).df
-        if left.isEmpty():
-            break
-        leads = left.where(F.col("rank") <= 2 * done + 1).select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        pairs = left.join(leads, "bucket").where("rank > ra and component <> ca").select("a", F.col("rep").alias("b")).distinct()
-        pairs = Stored(pairs.join(tested, ["a", "b"], "left_anti")).df
-        tested = tested.unionByName(pairs)
-        members = left.select("bucket", "rep").unionByName(ranked.where(F.col("rank") <= done).join(open_, "bucket", "left_semi").select("bucket", "rep"))
-        members = Stored(members).df
-        done = 2 * done + 1
-
-    reps = sigs.select("k1", "k2", "n", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
+    pairs = members.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    links = Stored(verified(unpruned(pairs, sigs, percent), texts, percent, k)).df
+    group = Stored(components(links)).df.withColumnRenamed("node", "rep")
+    placed = members.select("bucket", "band", "rep").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = F.ceil(F.count("*") / PART).cast("int")
+    unclear = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"), parts.alias("parts")).where("open").select("bucket", "parts")
+    met = placed.join(unclear, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    units = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    rows = met.select("rep").distinct().join(sigs.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    more = _within(units.join(Stored(rows).df, "rep"), kind, percent, k)
+    group = Stored(components(links.unionByName(more))).df.withColumnRenamed("node", "rep")
+
+    reps = sigs.select("k1", "k2", "n", "rep").join(group, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = own.select("id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
