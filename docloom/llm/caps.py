@@ -103,7 +103,7 @@ def _compared(units: DataFrame, kind: str, cosine: float) -> DataFrame:
             return
         f, i, j = rows[0][1], rows[0][2], rows[0][3]
         x = _doubles([r[6] for r in rows])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
         if i != j:
