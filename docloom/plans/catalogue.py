@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fx
-from docloom.operators import blocks, contract, diagrams, domains, dual, grids, outline, rules
+from docloom.operators import blocks, contract, diagrams, domains, dual, editor, fixes, grids, outline, reports, rules
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
 from docloom.plans import corpus
 from docloom.plans.corpus import read
 from docloom.sources.ranges import RangeSpec
+from docloom.streaming import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,3 +414,129 @@ def style_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contract_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
     return contract.merged(own.where("k % 2 = 0"), own.where("k % 3 = 0").withColumn("v", F.concat(F.lit("new "), "v")), "k")
+
+
+@query(f"WITH RECURSIVE {GEO}, o AS (SELECT count(*) AS w FROM {GEO_DOCS} WHERE uri NOT IN (SELECT uri FROM reach)), n AS (SELECT count(*) AS n FROM {GEO_DOCS}) SELECT '{{\"status\":\"passing\",\"errors\":0,\"warnings\":' || w || ',\"score\":' || CAST(round(greatest(0.0, least(100.0, 100.0 * (n * 2 - 3 * w) / (n * 2)))) AS INT) || '}}' AS json FROM o, n")
+def compliance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.minimal_json(rules.bridge().result(_geography(spark, sf_dir)))
+
+
+@query(f"WITH {ADR} SELECT uri, 'warning[ADR002]: Invalid status value ''Maybe''. Expected one of: Draft, Proposed, Accepted, Rejected, Deprecated, Superseded' || chr(10) || '  --> ' || uri || ':3:10' AS text FROM u WHERE NOT note AND status = 'Maybe'")
+def diagnostic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.diagnostic_text(domains.adr_rules(_decisions(spark, sf_dir)).where("code = 'ADR002'"))
+
+
+@query(f"""WITH d AS ({GEO_DEFS}), r AS ({GEO_REFS}), b AS (SELECT uri, count(*) AS n FROM r WHERE id NOT IN (SELECT id FROM d) GROUP BY uri) SELECT uri, n FROM b""")
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.by_document(rules.broken_links(_geography(spark, sf_dir))).select("uri", "n")
+
+
+@query(f"""WITH {ADR}, c AS (SELECT DISTINCT b.k, b.status FROM u JOIN u b ON b.k = u.k - 1 WHERE u.k % 5 = 0 AND NOT u.note AND NOT b.note AND b.status IN ('Accepted', 'Maybe'))
+SELECT 'file:///work/adr/adr-' || k || '.adoc' AS uri, 2 AS ln, 9 AS col, CAST(9 + length(status) AS INT) AS end_col, 'Deprecated' AS new_text FROM c""")
+def status_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = _decisions(spark, sf_dir)
+    return fixes.status_edits(rules.superseded_status(ws), ws).select("uri", "ln", "col", "end_col", "new_text")
+
+
+@query(f"WITH RECURSIVE {GEO} SELECT 'file:///work/index.adoc' AS uri, '* <<' || substr(uri, length('file:///work/') + 1) || '#,' || regexp_replace(regexp_extract(uri, '[^/]*$'), '\\.[^.]*$', '') || '>>' || chr(10) AS new_text FROM {GEO_DOCS} WHERE uri NOT IN (SELECT uri FROM reach)")
+def orphan_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = _geography(spark, sf_dir)
+    return fixes.orphan_edits(rules.orphaned(ws), ws).select("uri", "new_text")
+
+
+@query("SELECT 'file:///work/supplier/supplier-30.adoc' AS uri, '[[vendor-30]]' AS new_line FROM supplier WHERE s_suppkey = 30 UNION ALL SELECT 'file:///work/supplier/supplier-2.adoc', 'Then <<supplier-29>> and <<vendor-30,the other>>.' FROM supplier WHERE s_suppkey = 2 AND s_acctbal >= 0")
+def rename_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixes.rename_edits(_geography(spark, sf_dir), "supplier-30", "vendor-30").select("uri", "new_line")
+
+
+@query("SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc' AS uri, 4 AS first_ln, 4 AS last_ln, CASE WHEN s_acctbal >= 0 THEN 'Then <<supplier-' || (2 * s_suppkey + 25) || '>> and <<supplier-' || (2 * s_suppkey + 26) || ',the other>>.' ELSE 'The end.' END AS text FROM supplier UNION ALL SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc', 0, 2, '[[supplier-' || s_suppkey || ']] ==== ' || s_name || ' :nation: ' || s_nationkey FROM supplier")
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.paragraphs(_geography(spark, sf_dir).lines).where(F.col("uri").contains("/supplier/"))
+
+
+@query(f"""SELECT {PART_URI} AS uri, count(*) AS n FROM (SELECT p_partkey, unnest(range(0, 3)) FROM part) GROUP BY p_partkey""")
+def delimiter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = outline.folds(ln.lines(corpus.sheets(spark, sf_dir)))
+    fences = outline.closing_delimiters(ln.lines(corpus.sheets(spark, sf_dir)))
+    return own.join(fences.withColumnRenamed("ln", "start_ln"), ["uri", "start_ln", "end_ln"]).groupBy("uri").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {PART_URI} AS uri, 'source,sql' AS attribute, 1 AS n FROM part UNION ALL SELECT {PART_URI}, 'mermaid', 1 FROM part UNION ALL SELECT {PART_URI}, 'plantuml', 1 FROM part")
+def pending_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.pending_attributes(ln.lines(corpus.sheets(spark, sf_dir))).groupBy("uri", "attribute").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc' AS uri, 'supplier-' || s_suppkey AS id, s_name AS title, 4 AS level FROM supplier UNION ALL SELECT 'file:///work/nation/nation-' || n_nationkey || '.adoc', 'nation-' || n_nationkey, n_name, 3 FROM nation UNION ALL SELECT 'file:///work/geo/region-' || r_regionkey || '.adoc', 'region-' || r_regionkey, r_name, 2 FROM region")
+def anchor_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.anchor_sections(_geography(spark, sf_dir).lines).select("uri", "id", "title", "level")
+
+
+@query(f"""WITH {ADR}, scored AS (SELECT *, (CASE WHEN status IS NULL THEN 0 WHEN status = 'Maybe' THEN 2 ELSE 3 END + CASE WHEN k % 7 = 0 THEN 2 ELSE 3 END) > 2 AS bridge FROM u WHERE NOT note),
+t AS (SELECT k, 'anchor' AS element, 'variable' AS type FROM u UNION ALL SELECT k, 'header', 'class' FROM u
+ UNION ALL SELECT k, 'header', 'class' FROM u WHERE NOT note UNION ALL SELECT k, 'header', 'class' FROM u WHERE NOT note UNION ALL SELECT k, 'header', 'class' FROM u WHERE NOT note AND k % 7 <> 0
+ UNION ALL SELECT k, 'attribute_name', CASE WHEN bridge THEN 'enum' ELSE 'property' END FROM scored WHERE status IS NOT NULL UNION ALL SELECT k, 'attribute_value', CASE WHEN bridge AND status <> 'Maybe' THEN 'enumMember' ELSE 'string' END FROM scored WHERE status IS NOT NULL
+ UNION ALL SELECT k, 'attribute_name', 'property' FROM scored WHERE k % 5 = 0 UNION ALL SELECT k, 'attribute_value', 'string' FROM scored WHERE k % 5 = 0)
+SELECT element, type, count(*) AS n FROM t GROUP BY ALL""")
+def semantic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.decisions(spark, sf_dir)
+    return editor.tokens(ln.lines(docs), domains.choose(docs)).groupBy("element", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN l = 0 THEN user_id ELSE user_id - l END AS d_line FROM (SELECT event_id, user_id, lag(user_id, 1, 0) OVER (ORDER BY user_id, event_id) AS l FROM events WHERE event_id < 500)")
+def token_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").where("event_id < 500").select(F.lit("u").alias("uri"), F.col("user_id").alias("ln"), F.col("event_id").alias("col"))
+    return outline.token_deltas(rows).select(F.col("col").alias("event_id"), "d_line")
+
+
+@query("SELECT p_partkey, 'status' AS kind, 'Deprecated' AS label FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'attribute', unnest(['author', 'area']) FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'block', unnest(['source', 'sidebar']) FROM part WHERE p_partkey % 3 = 2")
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("uri"), F.when(k == 0, ":status: dep").when(k == 1, ":a").otherwise("[s").alias("prefix"), F.when(k == 1, "rfc").otherwise("bridge").alias("domain"))
+    return editor.completions(rows).withColumnRenamed("uri", "p_partkey")
+
+
+@query("SELECT p_partkey, string_split(p_name, ' ')[1] AS word, 0 AS start FROM part")
+def word_at_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    lns = part.select(F.col("p_partkey").alias("uri"), F.lit(0).alias("ln"), F.col("p_name").alias("line"))
+    return editor.word_at(lns, lns.select("uri", "ln", F.lit(1).alias("col"))).select(F.col("uri").alias("p_partkey"), "word", "start")
+
+
+@query("WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type <> 'view') SELECT CAST(user_id AS VARCHAR) AS uri, event_id AS seq, event_type AS text FROM e WHERE k = 1 AND event_type <> 'click'")
+def doc_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "click", "delete").when(F.col("event_type") == "view", "close").otherwise("change")
+    events = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("uri"), op.alias("op"), F.col("event_type").alias("text"), F.col("event_id").alias("seq"))
+    return workspace.latest(events).select("uri", "seq", "text")
+
+
+@query("SELECT 'file:///work/part/part-' || p_partkey || '.adoc' AS uri, CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE 2 END AS parent_gap FROM part")
+def symbol_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = ln.headers(ln.lines(corpus.sheets(spark, sf_dir))).select("uri", F.col("ln").alias("idx"), "level")
+    tree = outline.heading_tree(heads).join(heads.select("uri", F.col("idx").alias("parent_idx"), F.col("level").alias("parent_level")), ["uri", "parent_idx"])
+    return tree.groupBy("uri").agg(F.sum(F.col("level") - F.col("parent_level")).cast("int").alias("parent_gap"))
+
+
+@query("SELECT s_suppkey AS k, g AS ancestor, d AS depth FROM (WITH RECURSIVE c(k, a, d) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT c.k, c.a // 2, c.d + 1 FROM c WHERE c.a > 0 AND c.a // 2 <> c.a) SELECT k AS s_suppkey, a AS g, d FROM c)")
+def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 2).alias("p"))
+    return g.resolve_chain(rows, "k", "p")
+
+
+@query("SELECT s_suppkey AS element, min(s_nationkey) AS n FROM supplier GROUP BY 1")
+def style_auto_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = read(spark, sf_dir, "supplier")
+    styles = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("style_id"))
+    candidates = supplier.select(F.col("s_suppkey").alias("element"), F.explode(F.array(F.struct(F.lit("none").alias("name"), F.lit(0).alias("prio")), F.struct(F.col("s_nationkey").cast("string").alias("name"), F.lit(1).alias("prio")), F.struct(F.lit("0").alias("name"), F.lit(2).alias("prio")))).alias("c")).select("element", "c.*")
+    return contract.auto_map(styles, candidates).select("element", F.col("style_id").cast("int").alias("n"))
+
+
+@query("""WITH a AS (SELECT s_suppkey, s_nationkey % 12 AS lvl, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE 'r' END AS role FROM supplier)
+SELECT severity, message, count(*) AS n FROM (SELECT 'error' AS severity, 'Heading level ' || lvl || ' is out of range 1-9' AS message FROM a WHERE lvl NOT BETWEEN 1 AND 9 UNION ALL SELECT 'error', 'Empty role' FROM a WHERE role = ''
+ UNION ALL SELECT 'warning', 'Missing original bookmark' FROM a WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'error', 'External link without URL' FROM a WHERE s_suppkey % 5 = 0) GROUP BY ALL""")
+def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    own = read(spark, sf_dir, "supplier")
+    anchors = own.select(k.cast("string").alias("bookmark"), F.concat(F.lit("id-"), k).alias("semantic_id"), F.when(k % 4 != 0, F.concat(F.lit("_Toc"), k)).alias("original_bookmark"))
+    styles = own.select(k.cast("string").alias("style_id"), F.when(k % 10 == 0, "").otherwise("r").alias("role"), (F.col("s_nationkey") % 12).alias("heading_level"))
+    links = own.select(k.cast("string").alias("link_id"), F.lit(True).alias("is_external"), F.when(k % 5 != 0, "http://x").alias("url"), F.lit(None).cast("string").alias("anchor_target"))
+    return contract.validate(anchors, styles, links).groupBy("severity", "message").agg(F.count("*").alias("n"))
