@@ -3,8 +3,8 @@
 Where no piece of a BPE model crosses a whitespace marker, a text's segmentation is
 the concatenation of its marked words' segmentations. Each task keeps a table of the
 distinct marked words it has met, segments each once, and joins ids and surfaces back
-by position. The table is bounded (`most`) and starts anew when full, which changes
-no result. Models that normalise text or whose pieces cross markers are encoded
+by position. The table is bounded: when `most` words are in it, those met since it was
+last full stay and others go, which changes no result. Models that normalise text or whose pieces cross markers are encoded
 whole.
 
 Why the table is kept in the task: exploded words of 1 GB of documents are some
@@ -44,12 +44,15 @@ def separable(model: bytes) -> bool:
 class Codec:
     """Encodes texts and decodes their ids as the model's library does."""
 
-    def __init__(self, model: bytes, end: bool = True, most: int = 150_000):
+    def __init__(self, model: bytes, end: bool = True, most: int = 250_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.by_word, self.end, self.most = separable(model), [self.sp.eos_id()] if end else [], most
-        self.table: dict[str, tuple[str, int, str]] = {}
+        self.ids: dict[str, str] = {}  # the table of distinct marked words
+        self.before: dict[str, str] = {}  # the table when it was last full
+        self.surfaces: dict[str, str] = {}  # of words that aren't decoded to themselves for sure
+        self.special = {i for i in range(self.sp.get_piece_size()) if self.sp.is_unknown(i) or self.sp.is_control(i) or self.sp.is_unused(i)}
         self.runs = re.compile(" +[^ ]*")
 
     def chunks(self, text: str) -> list[str]:
@@ -63,28 +66,45 @@ class Codec:
         return text.split(" ")
 
     def learn(self, new: list[str]) -> None:
-        ids = self.sp.encode(new, num_threads=1)
-        for i, word in enumerate(new):
+        """Segments words. Ordinary pieces and bytes are decoded to what they were cut from; the library
+        decodes the rest."""
+        odd = []
+        for word, own in zip(new, self.sp.encode(new, num_threads=1), strict=True):
             if not word:
-                ids[i] = [self.sp.piece_to_id(MARK)]
-        for word, own, surface in zip(new, ids, self.sp.decode(ids, num_threads=1), strict=True):
-            self.table[word] = " ".join(map(str, own)), len(own), " " + surface
+                own = [self.sp.piece_to_id(MARK)]
+            self.ids[word] = " ".join(map(str, own))
+            if not self.special.isdisjoint(own):
+                odd.append((word, own))
+        for (word, _), surface in zip(odd, self.sp.decode([own for _, own in odd], num_threads=1) if odd else [], strict=True):
+            self.surfaces[word] = surface
+
+    def look_up(self, words: set[str]) -> None:
+        """Sees to it that the table has all these words."""
+        if len(self.ids) > self.most:
+            self.before, self.ids = self.ids, {}
+            self.surfaces = {w: s for w, s in self.surfaces.items() if w in self.before}
+        new = words.difference(self.ids)
+        if new and self.before:
+            again = {w: self.before[w] for w in new if w in self.before}
+            self.ids |= again
+            new.difference_update(again)
+        if new:
+            self.learn(list(new))
 
     def __call__(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """For each text: its ids as decimal text, their number, the decoded text."""
-        end, n_end = " ".join(map(str, self.end)), len(self.end)
         if not self.by_word:
             ids = [x + self.end for x in self.sp.encode(texts, num_threads=1)]
             return [(" ".join(map(str, x)), len(x), d) for x, d in zip(ids, self.sp.decode(ids, num_threads=1), strict=True)]
-        out = []
+        end, out = [" ".join(map(str, self.end))] if self.end else [], []
         for text in texts:
             words = self.chunks(text)
-            if len(self.table) > self.most:
-                self.table.clear()
-            if new := [w for w in set(words) if w not in self.table]:
-                self.learn(new)
-            rows = [self.table[w] for w in words]
-            out.append((" ".join([r[0] for r in rows] + [end] * n_end), sum([r[1] for r in rows]) + n_end, "".join([r[2] for r in rows])[1:]))
+            distinct = set(words)
+            self.look_up(distinct)
+            ids = " ".join([*map(self.ids.__getitem__, words), *end])
+            if any(map(self.surfaces.__contains__, distinct)):
+                words = [self.surfaces.get(w, w) for w in words]
+            out.append((ids, ids.count(" ") + 1 if ids else 0, " ".join(words)))
         return out
 
 
