@@ -60,6 +60,15 @@ class Matcher:
             n[w] = n.get(w, 0) + 1
         return {w: k * self.idf.get(w, self.other) for w, k in n.items()}
 
+    def may(self, words: list[str], least: float) -> bool:
+        """False where the words can't reach a cosine of `least`: terms of no template add to
+        their length alone, and the others' squares bound what any template can meet."""
+        known = [w for w in words if w in self.postings]
+        if not known:
+            return False
+        own = sum(x * x for x in self.weights(known).values())
+        return own >= least * least * (own + (len(words) - len(known)) * self.other**2)
+
     def best(self, words: list[str]) -> tuple[float, str | None]:
         """The highest cosine and its license, the first by name among equals."""
         w = self.weights(words)
@@ -71,19 +80,15 @@ class Matcher:
         score, name = max(((round(d / norm, 9), self.names[i][0]) for i, d in enumerate(dots)), key=lambda p: (p[0], [-ord(c) for c in p[1]]))
         return score, name
 
-    def scan(self, text: str, vocabulary: set[str]) -> tuple[float, str | None, float, str | None]:
-        """Best score and license of a line or the head; and of the whole text."""
-        lines = text.split("\n")
-        split = [terms(line) for line in lines]
+    def scan(self, text: str, least: float) -> tuple[float, str | None, float, str | None]:
+        """Best score and license of a line, the head or the whole; and of the whole text: 0
+        and none where they can't reach `least`."""
+        split = [terms(line) for line in text.split("\n")]
         head = next((i for i, own in enumerate(split) if not own), len(split))
-        blocks = [own for own in split if not vocabulary.isdisjoint(own)]
-        if not blocks:
-            return 0.0, None, 0.0, None
-        if head > 1:
-            blocks.append([w for own in split[:head] for w in own])
-        part = max((self.best(own) for own in blocks), key=lambda p: p[0])
-        whole = self.best([w for own in split for w in own])
-        part = max(part, whole, key=lambda p: p[0])
+        every = [w for own in split for w in own]
+        blocks = split + [[w for own in split[:head] for w in own]] * (1 < head < len(split))
+        whole = self.best(every) if self.may(every, least) else (0.0, None)
+        part = max([whole, *(self.best(own) for own in blocks if self.may(own, least))], key=lambda p: p[0])
         return *part, *whole
 
 
@@ -92,7 +97,7 @@ def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templat
 
     origin is `notice` (a line, the head or the whole text reaches `notice`), `inherited`
     (from_dir is the nearest ancestor directory with a licence file) or null without a
-    license. A licence file bears the name of one, or its whole text reaches `whole`; of
+    license; score is 0 where neither bound can be reached. A licence file bears the name of one, or its whole text reaches `whole`; of
     several in a directory the highest score counts, then the least path. The weights of
     template terms are counted over all texts. A null text has no notice; a null path is
     the root's. Repeated rows are judged each. Other columns are not read.
@@ -118,10 +123,10 @@ def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templat
     total = df.pop("", 0)
 
     def make():
-        matcher, known = Matcher(templates, df, total), set(vocabulary)
+        matcher = Matcher(templates, df, total)
 
         def work(ids, paths, texts):
-            done = [matcher.scan(t or "", known) for t in texts]
+            done = [matcher.scan(t or "", min(notice, whole)) for t in texts]
             return [ids, paths, *([d[k] for d in done] for k in range(4))]
 
         return work
