@@ -27,7 +27,8 @@ ROUNDS, CONFIDENT = 3, 0.95
 #: Values of a metadata column that are told apart.
 VALUES = 64
 HEADS = ("bad", "toxic")
-SHAPES = 11
+#: Numbers of a text's shape; beyond so many deviations from the sample's mean they all count alike.
+SHAPES, CLIP = 11, 3.0
 
 WORD, TWICE = re.compile(r"\w+"), re.compile(r"([^\w\s])\1")
 
@@ -151,8 +152,7 @@ class Metadata:
         self.known, self.numeric = list(known), numeric
         self.width = len(self.at) + 2 * len(numeric)
 
-    def __call__(self, columns: dict[str, list]) -> np.ndarray:
-        n = len(next(iter(columns.values()), []))
+    def __call__(self, columns: dict[str, list], n: int) -> np.ndarray:
         x = np.zeros((n, self.width))
         for c in self.known:
             for i, v in enumerate(columns[c]):
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
             texts = [t or "" for t in texts]
             found = [tokens(t) for t in texts]
             seen = [[sorted(k for k in map(h.vocabulary.get, f) if k is not None) for f in found] for h in plain]
-            return [[shape(t) for t in texts], *seen, meta(dict(zip(meta_cols + number_cols, rest, strict=False))).tolist(), *rest[-3:]]
+            return [[shape(t) for t in texts], *seen, meta(dict(zip(meta_cols + number_cols, rest, strict=False)), len(texts)).tolist(), *rest[-3:]]
 
         return work
 
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
         x = np.zeros((len(rows), len(head.vocabulary) + SHAPES))
         for i, own in enumerate(rows[f"t{j}"]):
             x[i, list(own)] = 1
-        x[:, len(head.vocabulary) :] = np.clip((shapes - head.mean) / head.scale, -8, 8)
+        x[:, len(head.vocabulary) :] = np.clip((shapes - head.mean) / head.scale, -CLIP, CLIP)
         label = rows[name].to_numpy(float)
         there, free = ~np.isnan(label), (rows["bad"].isna() & rows["toxic"].isna()).to_numpy()
         heads[name] = co_train(head, x[there], metas[there], label[there], rows["held"].to_numpy(bool)[there], x[free], metas[free])
@@ -264,11 +264,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         def work(*columns):
             texts = [t or "" for t in columns[at]]
             rest = dict(zip(meta_cols + number_cols, columns[len(kept) :], strict=True))
-            found, shapes, metas = [tokens(t) for t in texts], np.array([shape(t) for t in texts], float).reshape(len(texts), SHAPES), meta(rest) if rest else np.zeros((len(texts), 0))
+            found, shapes, metas = [tokens(t) for t in texts], np.array([shape(t) for t in texts], float).reshape(len(texts), SHAPES), meta(rest, len(texts))
             p = {}
             for name, head in heads.items():
                 x = head.text_view(found, shapes)
-                x[:, len(head.vocabulary) :] = np.clip(x[:, len(head.vocabulary) :], -8, 8)
+                x[:, len(head.vocabulary) :] = np.clip(x[:, len(head.vocabulary) :], -CLIP, CLIP)
                 p[name] = head.chance(x, metas)
             ok = (p["bad"] < most_bad) & (p["toxic"] < most_toxic)
             return [*columns[: len(kept)], 1 - p["bad"], p["toxic"], ok]
