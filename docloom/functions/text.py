@@ -111,7 +111,7 @@ def speaker_notes(kind: Column, text: Column, items: Column) -> Column:
 
 def id_list(value: Column) -> Column:
     """Comma-separated ids, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def content_hash(text: Column, prefix: str = "") -> Column:
