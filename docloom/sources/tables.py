@@ -49,8 +49,10 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions())
     names = [f"c{i}" for i in range((widest or 0) + 1)]
     parse = {"sep": options.delimiter, "quote": options.quote, "ignoreLeadingWhiteSpace": str(options.trim).lower(), "ignoreTrailingWhiteSpace": str(options.trim).lower(), "nullValue": "\x00", "emptyValue": ""}
     row = F.from_csv("value", ", ".join(f"{n} string" for n in names), parse)
-    cells = F.array(*(row[n] for n in names))
-    known = lines.withColumn("cells", F.filter(cells, lambda x: x.isNotNull()))
+    q, d = (f"\\{c}" if not c.isalnum() else c for c in (options.quote, options.delimiter))
+    bare = F.regexp_replace("value", f"{q}[^{q}]*{q}", "")
+    width = F.length(bare) - F.length(F.regexp_replace(bare, d, "")) + 1
+    known = lines.withColumn("cells", F.slice(F.array(*(F.coalesce(row[n], F.lit("")) for n in names)), F.lit(1), width))
     r = F.row_number().over(Window.partitionBy("table_id").orderBy("_block", "_n")) - 1
     out = known.select("table_id", r.alias("r"), "cells")
     if not options.flexible:
