@@ -42,9 +42,10 @@ def assembled(cells: DataFrame) -> DataFrame:
 
 
 def row_slice(rows: DataFrame, order: str, start: int, end: int) -> DataFrame:
-    """Rows start to end, both counted in, from 0 in order; none from beyond the last."""
+    """Rows start to end, both counted in, from 0 in order; none from beyond the last. Each
+    task hands on its first end + 1 rows at most, and only those are numbered."""
     n = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("r", n).where(F.col("r").between(start, end))
+    return rows.orderBy(order).limit(end + 1).withColumn("r", n).where(F.col("r").between(start, end))
 
 
 def projected(rows: DataFrame, indices: list[int], cells: str = "cells") -> DataFrame:

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fx
-from docloom.operators import blocks, contract, diagrams, domains, dual, editor, fixes, grids, outline, reports, rules
+from docloom.operators import blocks, contract, diagrams, domains, dual, editor, fixes, grids, outline, reports, rules, slides
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
 from docloom.plans import corpus
 from docloom.plans.corpus import read
+from docloom.sources import ooxml, tables
 from docloom.sources.ranges import RangeSpec
 from docloom.streaming import workspace
 
@@ -540,3 +541,64 @@ def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     styles = own.select(k.cast("string").alias("style_id"), F.when(k % 10 == 0, "").otherwise("r").alias("role"), (F.col("s_nationkey") % 12).alias("heading_level"))
     links = own.select(k.cast("string").alias("link_id"), F.lit(True).alias("is_external"), F.when(k % 5 != 0, "http://x").alias("url"), F.lit(None).cast("string").alias("anchor_target"))
     return contract.validate(anchors, styles, links).groupBy("severity", "message").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {PART_URI} AS uri, 1 AS number, 'title' AS layout_hint, 'Part ' || p_partkey AS title, 0 AS n FROM part UNION ALL SELECT {PART_URI}, 2, 'section', 'List', len(string_split(p_name, ' ')) + CASE WHEN p_partkey % 4 = 0 THEN 4 ELSE 0 END FROM part UNION ALL SELECT {PART_URI}, 3, 'content', 'Next', 4 FROM part WHERE p_partkey % 4 <> 0")
+def deck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.sheets(spark, sf_dir)
+    made = slides.slides(blocks.blocks(docs, strict=False), blocks.document_headers(docs))
+    return made.select("uri", "number", "layout_hint", "title", F.size("content").cast("long").alias("n"))
+
+
+def _dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dual document for each order: a title (but every 10th), a bullet limit by key, a
+    section for slides or documents only, and as many bullets as the key's last digit."""
+    k = F.col("o_orderkey")
+    bullets = F.array_join(F.transform(F.sequence(F.lit(1), k % 10 + 1), lambda i: F.concat(F.lit("* item "), i, F.lit(" (aside)"))), "\n")
+    text = F.concat(
+        F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("= Order "), k, F.lit("\n"))), F.lit(":slide-bullets: "), k % 4 + 2, F.lit("\n\n"),
+        F.when(k % 3 == 0, "[.slide-only]\n== Short\n\n").when(k % 3 == 1, "[.document-only]\n== Long\n\n").otherwise("== Both\n\n"), bullets, F.lit("\n\n[.document]\nSee <<annex>> and <<file.adoc>>.\n"),
+    )
+    return read(spark, sf_dir, "orders").select(F.concat(F.lit("d"), k).alias("uri"), text.alias("text"))
+
+
+@query("""WITH o AS (SELECT 'd' || o_orderkey AS uri, o_orderkey AS k FROM orders)
+SELECT code, count(*) AS n FROM (SELECT 'DUAL001' AS code FROM o WHERE k % 3 = 0 UNION ALL SELECT 'DUAL002' FROM o WHERE k % 3 = 1 UNION ALL SELECT 'DUAL005' FROM o UNION ALL SELECT 'DUAL006' FROM o WHERE k % 10 + 1 > k % 4 + 2
+ UNION ALL SELECT 'DUAL007' FROM o WHERE k % 10 = 0 UNION ALL SELECT 'DUAL008' FROM o WHERE k % 3 = 0) GROUP BY ALL""")
+def dual_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual.lint(_dual(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'd' || o_orderkey AS uri, array_to_string(list_transform(range(1, least(o_orderkey % 10 + 1, o_orderkey % 4 + 2) + 1), lambda i: 'item ' || i), ',') AS shown FROM orders")
+def dual_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _dual(spark, sf_dir)
+    own = dual.for_format(dual.blocks(docs), dual.metadata(docs), "slide")
+    return own.where("kind = 'bullets'").select("uri", F.array_join("items", ",").alias("shown"))
+
+
+@query("SELECT selector, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'slide-only' WHEN o_orderkey % 3 = 1 THEN 'document-only' ELSE 'both' END AS selector FROM orders) GROUP BY ALL")
+def selector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual.blocks(_dual(spark, sf_dir)).where("kind = 'section'").groupBy("selector").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_name AS bookmark, CASE s_suppkey % 5 WHEN 0 THEN 'toc' WHEN 1 THEN 'reference' WHEN 2 THEN 'highlight' WHEN 3 THEN 'internal' ELSE 'user' END AS kind FROM supplier")
+def bookmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey") % 5
+    name = F.concat(F.when(k == 0, "_Toc").when(k == 1, "_Ref").when(k == 2, "_Hlk").when(k == 3, "_x").otherwise("x"), "s_name")
+    return read(spark, sf_dir, "supplier").select(F.col("s_name").alias("bookmark"), fx.bookmark_class(name).alias("kind"))
+
+
+@query("SELECT p_partkey, p_type || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'csv' ELSE 'adoc' END AS path, CASE WHEN p_partkey % 2 = 0 THEN 'A1:B' || p_size END AS range, p_partkey % 2 = 0 AS is_data, p_partkey % 3 = 0 AS header FROM part")
+def include_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    attrs = F.concat_ws(",", F.when(k % 2 == 0, F.concat(F.lit("Range=A1:B"), "p_size")), F.when(k % 3 == 0, "header"))
+    line = F.concat(F.lit("include::"), "p_type", F.when(k % 2 == 0, ".csv").otherwise(".adoc"), F.lit("["), attrs, F.lit("]"))
+    rows = read(spark, sf_dir, "part").select(k.alias("uri"), F.lit(1).alias("ln"), line.alias("line"))
+    return tables.includes(rows).select(F.col("uri").alias("p_partkey"), "path", "range", "is_data", "header")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'section' WHEN n_nationkey % 3 = 1 THEN 'image' ELSE 'custom' END AS layout FROM nation")
+def layout_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey") % 3
+    name = F.when(k == 0, "Sezione 1").when(k == 1, "Picture x").otherwise("Other")
+    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), ooxml.layout_type(name).alias("layout"))

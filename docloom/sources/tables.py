@@ -53,8 +53,10 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions())
     bare = F.regexp_replace("value", f"{q}[^{q}]*{q}", "")
     width = F.length(bare) - F.length(F.regexp_replace(bare, d, "")) + 1
     known = lines.withColumn("cells", F.slice(F.array(*(F.coalesce(row[n], F.lit("")) for n in names)), F.lit(1), width))
-    r = F.row_number().over(Window.partitionBy("table_id").orderBy("_block", "_n")) - 1
-    out = known.select("table_id", r.alias("r"), "cells")
+    blocks = known.groupBy("table_id", "_block").agg(F.count("*").alias("_rows"))  # a row for each block of a file
+    ahead = F.coalesce(F.sum("_rows").over(Window.partitionBy("table_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = F.row_number().over(Window.partitionBy("table_id", "_block").orderBy("_n")) - 1 + F.col("_ahead")
+    out = known.join(blocks.withColumn("_ahead", ahead).drop("_rows"), ["table_id", "_block"]).select("table_id", r.alias("r"), "cells")
     if not options.flexible:
         uneven = out.groupBy("table_id").agg(F.min(F.size("cells")).alias("lo"), F.max(F.size("cells")).alias("hi")).where("lo <> hi").head()
         if uneven:
@@ -208,8 +210,9 @@ def resolve_includes(spark: SparkSession, found: DataFrame, base_dir: str) -> Da
 
 
 def read_workspace(spark: SparkSession, directory: str) -> DataFrame:
-    """uri, load_ord, text of the *.adoc files below a folder, then of the *.asciidoc files."""
+    """uri, load_ord, text of the *.adoc files below a folder, then of the *.asciidoc files;
+    load_ord grows in this order, with gaps."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{adoc,asciidoc}").load(directory)
-    order = F.row_number().over(Window.orderBy(F.col("path").endswith(".asciidoc"), "path")) - 1
-    return files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), order.cast("long").alias("load_ord"), F.decode("content", "UTF-8").alias("text"))
+    ordered = files.select("path", "content").orderBy(F.col("path").endswith(".asciidoc"), "path")
+    return ordered.select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), F.monotonically_increasing_id().alias("load_ord"), F.decode("content", "UTF-8").alias("text"))
 
