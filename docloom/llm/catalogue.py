@@ -82,7 +82,38 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
+
+
+def _op6_sql() -> str:
+    """The rules, then each order's smoothed probabilities from those of the order below."""
+    low = f"(1 / {urls.ALPHABET})"
+    fits = lambda h, path: f"((host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{path}'))"
+    ranked = sorted(urls.RULES, key=lambda r: -len(r[1]))
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(*r[1].split('/', 1)[:1], '/' + r[1].split('/', 1)[1])} THEN '{pick(r)}'" for r in ranked) + " END"
+    orders = ""
+    for k in range(urls.ORDER + 1):
+        below = f"{low} AS gl, {low} AS bl" if k == 0 else "p.gp AS gl, p.bp AS bl"
+        join = "" if k == 0 else f" JOIN p{k - 1} p ON p.g = substr(o{k}.g, 2)"
+        orders += f"""
+o{k} AS (SELECT right(w, {k + 1}) AS g, sum(good) AS good, sum(bad) AS bad FROM w GROUP BY 1),
+s{k} AS (SELECT o{k}.g, good, bad, {below}, sum(good) OVER c AS ga, sum(bad) OVER c AS ba, count(CASE WHEN good > 0 THEN 1 END) OVER c AS gk, count(CASE WHEN bad > 0 THEN 1 END) OVER c AS bk FROM o{k}{join} WINDOW c AS (PARTITION BY left(o{k}.g, {k}))),
+p{k} AS (SELECT g, CASE WHEN ga > 0 THEN (good + gk * gl) / (ga + gk) ELSE gl END AS gp, CASE WHEN ba > 0 THEN (bad + bk * bl) / (ba + bk) ELSE bl END AS bp FROM s{k}),"""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r AS (SELECT *, {case(lambda r: r[1])} AS rule, {case(lambda r: r[0])} AS action FROM b),
+u AS (SELECT url, action, count(*) AS n, CAST('0x' || substr(md5(url), 1, 4) AS INT) % 5 <> 0 AS learns FROM r GROUP BY ALL),
+f AS (SELECT url, CASE WHEN learns AND action = 'allow' THEN n ELSE 0 END AS good, CASE WHEN learns AND action = 'block' THEN n ELSE 0 END AS bad FROM u),
+e AS (SELECT url, good, bad, substr(repeat(chr(2), {urls.ORDER}) || url || chr(3), CAST(unnest(range(1, length(url) + 2)) AS INT), {urls.ORDER + 1}) AS w FROM f),
+w AS (SELECT w, sum(good) AS good, sum(bad) AS bad FROM e GROUP BY w),{orders}
+sc AS (SELECT e.url, avg(ln(gp) - ln(bp)) AS score FROM e JOIN p{urls.ORDER} p ON p.g = e.w GROUP BY e.url),
+h AS (SELECT CAST(floor(greatest(-{urls.LIMIT}, least({urls.LIMIT}, score)) / CAST({urls.BIN} AS DOUBLE)) AS BIGINT) AS k, sum(CASE WHEN action = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN action = 'block' THEN n ELSE 0 END) AS bad FROM sc JOIN u USING (url) WHERE NOT learns AND action IS NOT NULL GROUP BY 1),
+t AS (SELECT k, sum(good) OVER () AS g, sum(bad) OVER () AS b, coalesce(sum(good) OVER z, 0) AS gb, coalesce(sum(bad) OVER z, 0) AS bb FROM h WINDOW z AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT k * CAST({urls.BIN} AS DOUBLE) AS c FROM t WHERE g > 0 AND b > 0 ORDER BY CAST(g - gb AS DOUBLE) / CAST(g AS DOUBLE) + CAST(bb AS DOUBLE) / CAST(b AS DOUBLE) DESC, abs(k * CAST({urls.BIN} AS DOUBLE)), k DESC LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN score >= coalesce((SELECT c FROM cut), 0) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM r JOIN sc USING (url)
+"""
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +172,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op9_minhash": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op9_minhash": OP9_SQL, "op10_substring_dedup": OP10_SQL}
