@@ -51,6 +51,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learned).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, lang, xor(list_reduce(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda s, b: list_reduce(range(8), lambda t, i: xor(t >> 1, (t & 1) * 3988292384), xor(s, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 4 = 2 AS held_out,
+    trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', chr(1), 'g'), chr(1)) AS bare, text IS NOT NULL AS there FROM documents),
+c AS (SELECT doc_id, lang, held_out, list_transform(string_split(chr(1) || bare || chr(1), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS cs FROM d WHERE bare <> '' AND there),
+p AS (SELECT doc_id, lang, held_out, cs, CAST(unnest(range(1, len(cs) + 1)) AS INT) AS i FROM c),
+g AS (
+  SELECT doc_id, lang, held_out, cs[i] AS code FROM p WHERE cs[i] <> 1
+  UNION ALL SELECT doc_id, lang, held_out, cs[i] * 2097152 + cs[i + 1] FROM p WHERE i < len(cs)
+  UNION ALL SELECT doc_id, lang, held_out, (cs[i] * 2097152 + cs[i + 1]) * 2097152 + cs[i + 2] FROM p WHERE i < len(cs) - 1),
+n AS (SELECT doc_id, code, any_value(lang) AS lang, any_value(held_out) AS held_out, count(*) AS n FROM g GROUP BY doc_id, code),
+l AS (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS r FROM (SELECT lang, code, sum(n) AS n FROM n WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code) QUALIFY r < {langid.TOP}),
+k AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS r FROM n QUALIFY r < {langid.TOP}),
+m AS (SELECT doc_id, count(*) AS own FROM k GROUP BY doc_id),
+s AS (SELECT k.doc_id, l.lang, sum(abs(k.r - l.r) - {langid.TOP}) AS less FROM k JOIN l USING (code) GROUP BY k.doc_id, l.lang),
+a AS (SELECT m.doc_id, x.lang, m.own * {langid.TOP} + coalesce(s.less, 0) AS away, m.own FROM m CROSS JOIN (SELECT DISTINCT lang FROM l) x LEFT JOIN s ON s.doc_id = m.doc_id AND s.lang = x.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) AS k FROM a)
+SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - CAST(b.away AS DOUBLE) / (b.own * {langid.TOP}), 0.0) AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id AND b.k = 1
+"""
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = caps.near_duplicates(table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
@@ -172,4 +194,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op9_minhash": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_language_id": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op9_minhash": OP9_SQL, "op10_substring_dedup": OP10_SQL}
