@@ -16,7 +16,7 @@ decided by exact counts of its windows instead, so that no task holds an unbound
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Stored, WordHashes, map_slices, mix64, sieve
@@ -26,6 +26,8 @@ from docloom.llm.shingles import PLACES
 SIZE, GRAM = 35, 8
 #: Most differing contexts of a minimizer that make up one shard.
 SHARD = 256
+#: Parts into which the occurrences of a context are dealt by document.
+SALTS = 64
 #: Most windows of a document whose minimizers are found at once.
 CHUNK = 1 << 19
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -258,19 +260,20 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, k: int = GRAM) -> DataF
     spans (s, e: words s to e - 1) may touch or overlap."""
     kind = docs.schema["uid"].dataType.simpleString()
     all_runs = Stored(_runs_of(docs, kind, size, k)).df
-    shared = Stored(all_runs.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("h", "mixed")).df
-    cand = Stored(sieve(all_runs, F.col("h"), shared.select("h")).join(shared, "h")).df
-    mixed = cand.where("mixed").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "b")).alias("o"))
-    mixed = Stored(mixed.select("h", "c", "n", "o.*")).df
-    crowded = mixed.groupBy("h").agg(F.count("*").alias("g")).where(F.col("g") > SHARD).select("h", F.lit(True).alias("hot"))
-    wanted = mixed.join(crowded, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    contexts = Stored(_contexts(docs, wanted, kind, size)).df
-
-    whole = cand.where("not mixed").select("uid", F.col("a").alias("s"), (F.col("b") + size).alias("e"))
-    again = cand.where("mixed").join(mixed.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("b") + size).alias("e"))
-    windows = contexts.where("hot").groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g")
-    counted = contexts.where("hot and n = 1").join(windows, ["h", "g"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("a") + size).alias("e"))
-    spans = whole.unionByName(again).unionByName(counted).unionByName(_matched(contexts, kind, size))
+    shared = all_runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a context that occurs twice within a part is repeated, so a common one needs no join
+    here = F.count("*").over(Window.partitionBy("h", "c", F.pmod(F.xxhash64("uid"), F.lit(SALTS))))
+    cand = Stored(sieve(all_runs, F.col("h"), shared).withColumn("here", here)).df  # and a few others, which total leaves out
+    contexts = Stored(cand.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "b")).alias("o")).select("h", "c", "n", "o.*")).df
+    groups = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("g")).where("total > 1").select("h", "g", (F.col("g") > SHARD).alias("hot"))
+    known = Stored(contexts.join(groups, "h")).df
+    parts = Stored(_contexts(docs, known.where("g > 1"), kind, size)).df
+
+    alone = cand.where("here = 1").join(known.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    whole = cand.where("here > 1").select("uid", "a", "b").unionByName(alone.select("uid", "a", "b")).select("uid", F.col("a").alias("s"), (F.col("b") + size).alias("e"))
+    windows = parts.where("hot").groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g")
+    counted = parts.where("hot and n = 1").join(windows, ["h", "g"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("a") + size).alias("e"))
+    spans = whole.unionByName(counted).unionByName(_matched(parts, kind, size))
     return spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
