@@ -92,7 +92,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words (bytes), remembered up to `most` words; then it starts anew."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.seen: dict[bytes, int] = {}
         self.most = most
 
