@@ -20,6 +20,9 @@ from docloom.operators import lines as ln
 #: The ends of URIs at which reading starts.
 ENTRY_POINTS = ("index.adoc", "readme.adoc", "index.asciidoc", "readme.asciidoc", "readme.md", "index.md")
 
+#: Links that one task may hold (two URIs each) when it follows them all.
+SMALL = 200_000
+
 
 def _shared(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one for a local master alone."""
@@ -114,13 +117,43 @@ def edges(ws: Workspace) -> DataFrame:
     return by_id.unionByName(resolved_files(ws)).where("uri <> to_uri").distinct()
 
 
+def _reachable_at_once(starts: DataFrame, links: DataFrame) -> DataFrame:
+    import pyarrow as pa
+
+    def run(batches):
+        to: dict[str, list[str]] = {}
+        depth: dict[str, int] = {}
+        for batch in batches:
+            for uri, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if target is None:
+                    depth[uri] = 0
+                else:
+                    to.setdefault(uri, []).append(target)
+        last = list(depth)
+        while last:
+            then = []
+            for uri in last:
+                for target in to.get(uri, ()):
+                    if target not in depth:
+                        depth[target] = depth[uri] + 1
+                        then.append(target)
+            last = then
+        yield pa.RecordBatch.from_arrays([pa.array(list(depth), pa.string()), pa.array(list(depth.values()), pa.int32())], ["uri", "depth"])
+
+    rows = links.where("uri is not null and to_uri is not null").unionByName(starts.select("uri", F.lit(None).cast("string").alias("to_uri")).distinct())
+    return rows.repartition(1).mapInArrow(run, "uri string, depth int")
+
+
 def reachable(starts: DataFrame, links: DataFrame) -> DataFrame:
     """uri, depth of all that can be reached from `starts` (uri) over `links` (uri, to_uri).
 
     Each step joins the last documents found with the links and leaves out those already
-    seen; cycles end it. Steps are written to the shared folder, so plans don't grow.
+    seen; cycles end it. Steps are written to the shared folder, so plans don't grow. Of
+    at most SMALL links one task takes all steps.
     """
     links = stored(links)
+    if links.count() <= SMALL:
+        return _reachable_at_once(starts, links)
     seen = last = stored(starts.select("uri").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while not last.isEmpty():

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import codecs
 from docloom.functions import text as fx
-from docloom.operators import blocks, contract, diagrams, domains, dual, fixes, outline, rules
+from docloom.operators import blocks, contract, diagrams, domains, dual, fixes, outline, plugins, rules, typst
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
 from docloom.sources import ranges
@@ -47,7 +48,9 @@ def test_lines_and_places(spark):
     assert [(r.path, r.col) for r in w.file_references.collect()] == [("x/y.adoc", 22)]
 
 
-def test_reachability_with_a_cycle_and_relative_paths(spark):
+@pytest.mark.parametrize("small", [g.SMALL, 0])
+def test_reachability_with_a_cycle_and_relative_paths(spark, monkeypatch, small):
+    monkeypatch.setattr(g, "SMALL", small)
     w = ws(spark, index="<<sub/../b.adoc#,x>>", b="[[b]]\n<<c>>", c="[[c]]\n<<b>>", d="[[d]]", e="[[e]]\n<<d>>")
     assert sorted(r.uri[-6] for r in g.reachable_documents(w).collect()) == ["b", "c", "x"]
     assert sorted(r.uri[-6] for r in rules.orphaned(w).collect()) == ["d", "e"]
@@ -224,3 +227,32 @@ def test_lists_and_paragraph_islands(spark):
     w = ws(spark, a="one\ntwo\n\n* a\n* b\n. c\n\n* d")
     assert sorted((r.ln, r.list_type, r.list) for r in ln.list_items(w.lines).collect()) == [(3, "unordered", 1), (4, "unordered", 1), (5, "ordered", 2), (7, "unordered", 3)]
     assert sorted((r.first_ln, r.text) for r in ln.paragraphs(w.lines).collect())[0] == (0, "one two")
+
+
+def test_user_rules(spark):
+    def broken(doc):
+        raise KeyError("x")
+
+    def counts(doc):
+        yield f"{len(doc['blocks'])} blocks of {doc['title']}"
+        yield {"message": "m", "severity": "odd", "code": 7}
+
+    docs = spark.createDataFrame([("u", "= T\n\nIt was done.\n\nFine.")], "uri string, text string")
+    got = plugins.run(docs, {"passive": plugins.no_passive_voice, "broken": broken, "counts": counts}).collect()
+    assert [(r.rule, r.code, r.severity, r.message) for r in got] == [("passive", "STYLE001", "warning", "Passive voice detected"), ("broken", "PLUGIN", "error", "Rule failed: KeyError: 'x'"), ("counts", None, "warning", "2 blocks of T"), ("counts", "7", "warning", "m")]
+    assert got[0].context == "It was done."
+    assert plugins.run(docs, {"counts": counts}, most=1).where("code = 'PLUGIN'").count() == 1
+
+
+def test_codecs(spark):
+    row = spark.createDataFrame([("graph TD; A-->B", "a/b.PNG")], "s string, p string")
+    got = row.select(codecs.decode_source(codecs.encode_source(F.col("s"))).alias("back"), codecs.diagram_url("http://k/", F.lit("mermaid"), F.lit("svg"), F.col("s")).alias("url"), codecs.file_media_type(F.col("p")).alias("m"), codecs.media_type(F.lit("x")).alias("n"), codecs.file_name(F.col("p")).alias("f")).first()
+    assert got.back == "graph TD; A-->B" and got.url.startswith("http://k/mermaid/svg/") and "=" not in got.url
+    assert (got.m, got.n, got.f) == ("image/png", "application/octet-stream", "b.PNG")
+
+
+def test_typst(spark):
+    docs = spark.createDataFrame([("u", '= A "T"\n:author: Me\n\n== H\n\ntext\n\n* a\n. b\n\n[source,sql]\n----\nx\n----\n\n|===\n|c |d\n|===\n')], "uri string, text string")
+    found, heads = blocks.blocks(docs), blocks.document_headers(docs)
+    assert typst.transpile(found, heads).first()["text"] == '#set document(title: "A \\"T\\"")\n== H\n\ntext\n\n- a\n\n+ b\n\n```sql\nx\n```\n\n#table(columns: 2, [c], [d])\n'
+    assert typst.transpile(found, heads, "t.typ").first()["text"].startswith('#import "t.typ": template\n#show: template.with(title: "A \\"T\\"", author: "Me")')
