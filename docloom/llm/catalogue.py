@@ -95,7 +95,7 @@ FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.x = e.vec_id
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "p_good", "p_toxic", "accepted")
+    return out.select("doc_id", "p_good", "p_toxic", F.col("accepted").alias("kept"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
