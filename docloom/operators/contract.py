@@ -83,7 +83,7 @@ def round_trip(anchors: DataFrame) -> DataFrame:
 
 def heading_level(style_id: Column, outline: Column) -> Column:
     """The outline level plus one, else the number that a HeadingN style bears."""
-    return F.coalesce(outline + 1, F.expr("try_cast(nullif(regexp_extract({0}, '^[Hh]eading(\\\\d+)$', 1), '') as int)".format("style_id")))
+    return F.coalesce(outline + 1, F.nullif(F.regexp_extract(style_id, r"^[Hh]eading(\d+)$", 1), F.lit("")).try_cast("int"))
 
 
 def auto_map(styles: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -41,6 +41,19 @@ def tokens(lns: DataFrame, chosen: DataFrame) -> DataFrame:
     return each.select("uri", "ln", "col", F.length("value").alias("len"), "element", kind.alias("type"))
 
 
+def completion_context(before: Column) -> Column:
+    """What a line's beginning asks for: struct of kind (xref, value, attribute, block or
+    null), name (of the attribute) and prefix; the first of these that fits."""
+    bare = F.ltrim(before)
+    patterns = (("xref", before, r"(?U)()<<([\w-]*)$"), ("value", bare, r"(?U)^:([\w-]+):\s*(\S*)$"), ("attribute", bare, r"(?U)^():([\w-]*)$"), ("block", bare, r"(?U)^()\[([\w-]*)$"))
+    none = F.lit(None).cast("string")
+    out = F.struct(none.alias("kind"), none.alias("name"), none.alias("prefix"))
+    for kind, text, p in reversed(patterns):
+        found = F.struct(F.lit(kind).alias("kind"), F.nullif(F.regexp_extract(text, p, 1), F.lit("")).alias("name"), F.regexp_extract(text, p, 2).alias("prefix"))
+        out = F.when(text.rlike(p), found).otherwise(out)
+    return out
+
+
 def completions(prefixes: DataFrame) -> DataFrame:
     """uri, kind, label of what may follow a line's beginning (uri, prefix, domain): values of a
     status or category, else attribute names, else block kinds, else nothing."""

@@ -2,7 +2,9 @@
 
 import json
 
-from docloom.operators import editor, outline, reports, rules
+from pyspark.sql import functions as F
+
+from docloom.operators import contract, editor, outline, reports, rules
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
 from docloom.streaming import workspace
@@ -60,3 +62,14 @@ def test_closing_delimiters_and_classes(spark):
     assert sorted((r.ln, r.end_ln) for r in outline.closing_delimiters(ws.lines).collect()) == [(0, 2)]
     got = [r["c"] for r in ws.lines.orderBy("ln").select(ln.line_class(ws.lines["line"]).alias("c")).collect()]
     assert got == ["delimiter", "other", "delimiter", "delimiter", "delimiter", "header6", "header1", "attribute", "delimiter"]
+
+
+def test_completion_contexts(spark):
+    texts = ["see <<ab", ":status: Dep", " :au", "[so", "plain", ":x:"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", editor.completion_context(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [tuple(r.c) for r in got] == [("xref", None, "ab"), ("value", "status", "Dep"), ("attribute", None, "au"), ("block", None, "so"), (None, None, None), ("value", "x", "")]
+
+
+def test_heading_levels(spark):
+    rows = spark.createDataFrame([("Heading3", None), ("heading2", None), ("X", 0), ("X", None), ("Heading1", 4)], "s string, o int")
+    assert [r[0] for r in rows.select(contract.heading_level(F.col("s"), F.col("o"))).collect()] == [3, 2, 1, None, 5]
