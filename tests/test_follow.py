@@ -73,3 +73,22 @@ def test_completion_contexts(spark):
 def test_heading_levels(spark):
     rows = spark.createDataFrame([("Heading3", None), ("heading2", None), ("X", 0), ("X", None), ("Heading1", 4)], "s string, o int")
     assert [r[0] for r in rows.select(contract.heading_level(F.col("s"), F.col("o"))).collect()] == [3, 2, 1, None, 5]
+
+
+def test_views(spark):
+    from docloom.operators import domains, dual, views
+
+    docs = spark.createDataFrame([("u", "= T\n:slide-layout: L\n\n== A\n:slide-layout: M\n\n[.document]\ntext\n\n* x")], "uri string, text string")
+    found, meta = dual.blocks(docs), dual.metadata(docs)
+    shown = json.loads(views.dual_json(found, "slide").first()["json"])
+    assert [b["kind"] for b in shown["blocks"]] == ["section", "bullets"] and shown["format"] == "slide"
+    assert {r.idx: r.layout for r in views.slide_layout(found, meta).collect()} == {0: "M", 1: "L", 2: "L"}
+    sheet = spark.createDataFrame([("u", "H2", "paragraph", 1, False), ("u", "H1", "paragraph", 0, False), ("u", "N", "paragraph", None, True), ("u", "G", "table", None, False)], "uri string, style_id string, type string, outline_level int, is_default boolean")
+    assert views.style_config(sheet).first()["text"] == '[styles]\nheading1 = "H1"\nheading2 = "H2"\nparagraph = "N"\ntable = "G"\n'
+    ws = workspace_of(spark, a="= ADR 1\n:status: Odd\n\n== Decision\n== Context\n== Consequences")
+    bad = domains.adr_rules(ws)
+    assert views.status_actions(bad).count() == 6
+    assert tuple(views.issue_counts(bad).first())[1:] == (0, 1, 0, 1, True)
+    assert [(r.name, r.editor_kind) for r in views.workspace_symbols(ws.symbols, "adr").collect()] == [("ADR 1", "file")]
+    row = spark.createDataFrame([(95250, 9524, "media/A.PNG")], "w long, h long, p string").select(views.image_facts(F.col("w"), F.col("h"), F.col("p")).alias("i")).first()["i"]
+    assert tuple(row) == (10, 0, "A.PNG", "png")
