@@ -44,9 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Workspace:
-    """The relations of a set of documents (uri, load_ord, text)."""
+    """The relations of a set of documents (uri, load_ord, text). Each is found by a scan of
+    the texts; `indexed()` scans them once for all and keeps what it found."""
 
     docs: DataFrame
+    facts: DataFrame | None = None
+
+    def indexed(self) -> Workspace:
+        return self if self.facts is not None else Workspace(self.docs, stored(ln.facts(self.lines)))
+
+    def _kind(self, kind: str) -> DataFrame:
+        return self.facts.where(F.col("kind") == kind)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -54,7 +62,7 @@ class Workspace:
 
     @cached_property
     def all_definitions(self) -> DataFrame:
-        return ln.anchors(self.lines)
+        return ln.anchors(self.lines) if self.facts is None else self._kind("anchor").select(F.col("name").alias("id"), "uri", "load_ord", "ln", "col")
 
     @cached_property
     def definitions(self) -> DataFrame:
@@ -64,19 +72,23 @@ class Workspace:
 
     @cached_property
     def references(self) -> DataFrame:
-        return ln.references(self.lines).drop("load_ord")
+        return ln.references(self.lines).drop("load_ord") if self.facts is None else self._kind("reference").select(F.col("name").alias("id"), "uri", "ln", "col")
 
     @cached_property
     def file_references(self) -> DataFrame:
-        return ln.file_references(self.lines).drop("load_ord")
+        return ln.file_references(self.lines).drop("load_ord") if self.facts is None else self._kind("file").select(F.col("name").alias("path"), "uri", "ln", "col")
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return ln.headers(self.lines) if self.facts is None else self._kind("header").select("uri", "load_ord", "ln", "name", "level")
 
     @cached_property
     def attributes(self) -> DataFrame:
-        return ln.attributes(self.lines)
+        return ln.attributes(self.lines) if self.facts is None else ln.last_attributes(self._kind("attribute"))
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return ln.symbols(self.lines)
+        return ln.symbols_of(self.all_definitions, self.headers)
 
     def attribute(self, name: str) -> DataFrame:
         return self.attributes.where(F.col("name") == name).select("uri", F.col("value").alias(name))
@@ -178,6 +190,7 @@ def orphans(ws: Workspace) -> DataFrame:
 
 def statistics(ws: Workspace) -> DataFrame:
     """One row: documents, definitions (distinct ids), refs, symbols."""
+    ws = ws.indexed()
     n = lambda df, agg, name: df.agg(agg.alias(name))
     out = n(ws.docs, F.count("*"), "documents")
     for df, agg, name in ((ws.all_definitions, F.countDistinct("id"), "definitions"), (ws.references, F.count("*"), "refs"), (ws.symbols.where("name <> ''"), F.count("*"), "symbols")):

@@ -26,13 +26,41 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("uri", "load_ord", F.posexplode(split_lines(F.col("text"))).alias("ln", "line"))
 
 
+def _places(pattern: str, shift: int) -> Column:
+    """Array of (name, col) of a pattern's matches in `line`: each is looked for behind the one
+    before it."""
+    at = F.expr("aggregate(_whole, named_struct('from', 1, 'cols', cast(array() as array<int>)), (a, m) -> named_struct('from', locate(m, line, a.from) + length(m), 'cols', array_append(a.cols, locate(m, line, a.from) - 1)), a -> a.cols)".replace("_whole", f"regexp_extract_all(line, {_quoted(pattern)}, 0)"))
+    return F.transform(F.arrays_zip(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)).alias("name"), at.alias("col")), lambda x: F.struct(x["name"].alias("name"), (x["col"] + shift).alias("col")))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _matches(lns: DataFrame, pattern: str, name: str, shift: int) -> DataFrame:
-    """Each match of a pattern with its column: the line is cut at matches, so that a match's
-    place is the length of what stands before it."""
-    hits = lns.where(F.col("line").rlike(pattern)).withColumn("_whole", F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).withColumn("_ids", F.regexp_extract_all("line", F.lit(pattern), F.lit(1)))
-    at = F.expr("aggregate(_whole, named_struct('from', 1, 'cols', cast(array() as array<int>)), (a, m) -> named_struct('from', locate(m, line, a.from) + length(m), 'cols', array_append(a.cols, locate(m, line, a.from) - 1)), a -> a.cols)")
-    each = hits.withColumn("_cols", at).select("uri", "load_ord", "ln", F.explode(F.arrays_zip("_ids", "_cols")).alias("_m"))
-    return each.select(F.col("_m._ids").alias(name), "uri", "load_ord", "ln", (F.col("_m._cols") + shift).alias("col"))
+    each = lns.where(F.col("line").rlike(pattern)).select("uri", "load_ord", "ln", F.explode(_places(pattern, shift)).alias("_m"))
+    return each.select(F.col("_m.name").alias(name), "uri", "load_ord", "ln", F.col("_m.col").alias("col"))
+
+
+FACT = "array<struct<kind:string,name:string,value:string,col:int,level:int>>"
+
+
+def facts(lns: DataFrame) -> DataFrame:
+    """uri, load_ord, ln, kind, name, value, col, level of all that lines yield, in one pass:
+    anchors, references, file references, headers and attributes."""
+    none = F.array().cast(FACT)
+    fact = lambda kind, name, value, col, level: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("string").alias("value"), col.cast("int").alias("col"), level.cast("int").alias("level"))
+    null = F.lit(None)
+
+    def matched(kind: str, pattern: str) -> Column:
+        return F.when(F.col("line").rlike(pattern), F.transform(_places(pattern, 2), lambda x: fact(kind, x["name"], null, x["col"], null)).cast(FACT)).otherwise(none)
+
+    line = F.col("line")
+    head = F.when(line.rlike(HEADER), F.array(fact("header", F.regexp_extract(line, HEADER, 2), null, F.lit(0), F.length(F.regexp_extract(line, HEADER, 1)))).cast(FACT)).otherwise(none)
+    attr = F.when(line.rlike(ATTRIBUTE), F.array(fact("attribute", F.regexp_extract(line, ATTRIBUTE, 1), F.trim(F.regexp_extract(line, ATTRIBUTE, 2)), F.lit(0), null)).cast(FACT)).otherwise(none)
+    found = F.concat(matched("anchor", ANCHOR), matched("reference", XREF), matched("file", FILE_XREF), head, attr)
+    may = line.contains("[[") | line.contains("<<") | line.startswith("=") | line.startswith(":")
+    return lns.where(may).select("uri", "load_ord", "ln", F.explode(found).alias("_f")).select("uri", "load_ord", "ln", "_f.*")
 
 
 def anchors(lns: DataFrame) -> DataFrame:
@@ -58,10 +86,17 @@ def headers(lns: DataFrame) -> DataFrame:
 
 def attributes(lns: DataFrame) -> DataFrame:
     """uri, name, value: attribute lines anywhere in a document; the last of a name counts."""
-    hit = lns.where(F.col("line").rlike(ATTRIBUTE)).select("uri", "ln", F.regexp_extract("line", ATTRIBUTE, 1).alias("name"), F.trim(F.regexp_extract("line", ATTRIBUTE, 2)).alias("value"))
+    return last_attributes(_attribute_lines(lns))
+
+
+def last_attributes(hit: DataFrame) -> DataFrame:
     return hit.groupBy("uri", "name").agg(F.max_by("value", "ln").alias("value"))
 
 
+def _attribute_lines(lns: DataFrame) -> DataFrame:
+    return lns.where(F.col("line").rlike(ATTRIBUTE)).select("uri", "ln", F.regexp_extract("line", ATTRIBUTE, 1).alias("name"), F.trim(F.regexp_extract("line", ATTRIBUTE, 2)).alias("value"))
+
+
 def attribute_map(attrs: DataFrame) -> DataFrame:
     return attrs.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes"))
 
@@ -69,10 +104,13 @@ def attribute_map(attrs: DataFrame) -> DataFrame:
 def symbols(lns: DataFrame) -> DataFrame:
     """uri, name, ln, level (0 for anchors), kind: anchors and headers, in order of lines with
     anchors first."""
+    return symbols_of(anchors(lns), headers(lns))
+
+
+def symbols_of(found: DataFrame, heads: DataFrame) -> DataFrame:
     kind = F.when(F.col("level") == 1, "title").when(F.col("level") == 2, "header1").when(F.col("level") == 3, "header2").otherwise("header3plus")
-    own = anchors(lns).select("uri", F.col("id").alias("name"), "ln", F.lit(0).alias("level"), F.lit("anchor").alias("kind"), "col")
-    more = headers(lns).select("uri", "name", "ln", "level", kind.alias("kind"), F.lit(-1).alias("col"))
-    return own.unionByName(more)
+    own = found.select("uri", F.col("id").alias("name"), "ln", F.lit(0).alias("level"), F.lit("anchor").alias("kind"), "col")
+    return own.unionByName(heads.select("uri", "name", "ln", "level", kind.alias("kind"), F.lit(-1).alias("col")))
 
 
 def line_class(line: Column) -> Column:

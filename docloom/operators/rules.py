@@ -73,7 +73,10 @@ class Registry:
         return self
 
     def run(self, ws: g.Workspace) -> DataFrame:
-        """The diagnostics of all rules that are on, repeated ones kept."""
+        """The diagnostics of all rules that are on, repeated ones kept. The texts are scanned
+        once for what several rules need."""
+        if len([s for s in self.severities.values() if s]) > 1:
+            ws = ws.indexed()
         on = [rule(ws, severity=self.severities[name]) for name, rule in self.rules.items() if self.severities[name]]
         return union_all(on) if on else ws.docs.sparkSession.createDataFrame([], "uri string, code string, severity string, message string, ln int, col int, end_col int")
 

@@ -256,3 +256,10 @@ def test_typst(spark):
     found, heads = blocks.blocks(docs), blocks.document_headers(docs)
     assert typst.transpile(found, heads).first()["text"] == '#set document(title: "A \\"T\\"")\n== H\n\ntext\n\n- a\n\n+ b\n\n```sql\nx\n```\n\n#table(columns: 2, [c], [d])\n'
     assert typst.transpile(found, heads, "t.typ").first()["text"].startswith('#import "t.typ": template\n#show: template.with(title: "A \\"T\\"", author: "Me")')
+
+
+def test_an_index_holds_the_same_relations(spark):
+    w = ws(spark, a="[[a]] [[b-1]]\n= T\n:k: v\n:k: w\nx <<a,l>> <<c>> <<d/e.adoc#,l>>\n== S [[é]]", b=":flag:\n[[a]]\n", c="plain")
+    one = w.indexed()
+    for name in ("all_definitions", "definitions", "references", "file_references", "attributes", "symbols", "headers"):
+        assert sorted(map(str, getattr(w, name).collect())) == sorted(map(str, getattr(one, name).collect())), name
