@@ -146,11 +146,12 @@ def grid_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.padded(rows).select("k", "own", F.size("cells").cast("long").alias("width"), F.array_join("cells", "|").alias("row"))
 
 
-@query("""WITH c AS (SELECT CAST(l_orderkey AS INT) AS r, l_linenumber AS c, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem WHERE l_orderkey < 50 GROUP BY 1, 2),
-g AS (SELECT r, c FROM range(0, 40) a(r), range(1, 5) b(c)) SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, coalesce(CAST(c.v AS VARCHAR), '') AS v FROM g LEFT JOIN c ON c.r = g.r AND c.c = g.c""")
+@query("""WITH c AS (SELECT CAST(l_orderkey AS INT) AS r, l_linenumber AS c, CAST(sum(l_quantity) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2),
+g AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT unnest(range(0, (SELECT max(r) + 1 FROM c))) AS r), range(1, 5) b(c)) SELECT g.r, g.c, coalesce(CAST(c.v AS VARCHAR), '') AS v FROM g LEFT JOIN c ON c.r = g.r AND c.c = g.c""")
 def dense_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = read(spark, sf_dir, "lineitem").where("l_orderkey < 50").groupBy(F.col("l_orderkey").cast("int").alias("r"), F.col("l_linenumber").alias("c")).agg(F.sum("l_quantity").cast("long").cast("string").alias("v"))
-    return grids.dense(cells.withColumn("table_id", F.lit("t")), RangeSpec("cells", 0, 39, 1, 4)).select("r", "c", "v")
+    """Columns B to E of all rows, gaps filled."""
+    cells = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("int").alias("r"), F.col("l_linenumber").alias("c")).agg(F.sum("l_quantity").cast("long").cast("string").alias("v"))
+    return grids.dense(cells.withColumn("table_id", F.lit("t")), RangeSpec("columns", c0=1, c1=4)).select("r", "c", "v")
 
 
 @query("""SELECT o_orderkey, CASE WHEN k >= 702 THEN chr(CAST(65 + (k - 702) // 676 AS INT)) || chr(CAST(65 + (k - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (k - 702) % 26 AS INT))
@@ -232,9 +233,9 @@ def xrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _geography(spark, sf_dir).references.groupBy("uri", "id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc' AS uri, 4 AS ln, 7 AS col, 'supplier-' || (2 * s_suppkey + 25) AS id FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc', 4, CAST(16 + length('supplier-' || (2 * s_suppkey + 25)) AS INT), 'supplier-' || (2 * s_suppkey + 26) FROM supplier WHERE s_acctbal >= 0")
+@query("SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc' AS uri, 4 AS ln, 7 AS col, 'supplier-' || (2 * s_suppkey + 25) AS id FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc', 4, CAST(16 + length('supplier-' || (2 * s_suppkey + 25)) AS INT), 'supplier-' || (2 * s_suppkey + 26) FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'file:///work/nation/nation-' || n_nationkey || '.adoc', 4, 6, 'supplier-' || n_nationkey FROM nation")
 def xref_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _geography(spark, sf_dir).references.where(F.col("uri").contains("/supplier/")).select("uri", "ln", "col", "id")
+    return _geography(spark, sf_dir).references.select("uri", "ln", "col", "id")
 
 
 @query(GEO_FILES)
@@ -450,9 +451,12 @@ def rename_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes.rename_edits(_geography(spark, sf_dir), "supplier-30", "vendor-30").select("uri", "new_line")
 
 
-@query("SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc' AS uri, 4 AS first_ln, 4 AS last_ln, CASE WHEN s_acctbal >= 0 THEN 'Then <<supplier-' || (2 * s_suppkey + 25) || '>> and <<supplier-' || (2 * s_suppkey + 26) || ',the other>>.' ELSE 'The end.' END AS text FROM supplier UNION ALL SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc', 0, 2, '[[supplier-' || s_suppkey || ']] ==== ' || s_name || ' :nation: ' || s_nationkey FROM supplier")
+@query("SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc' AS uri, 4 AS first_ln, 4 AS last_ln, CASE WHEN s_acctbal >= 0 THEN 'Then <<supplier-' || (2 * s_suppkey + 25) || '>> and <<supplier-' || (2 * s_suppkey + 26) || ',the other>>.' ELSE 'The end.' END AS text FROM supplier UNION ALL SELECT 'file:///work/supplier/supplier-' || s_suppkey || '.adoc', 0, 2, '[[supplier-' || s_suppkey || ']] ==== ' || s_name || ' :nation: ' || s_nationkey FROM supplier"
+    " UNION ALL SELECT 'file:///work/nation/nation-' || n_nationkey || '.adoc', 0, 2, '[[nation-' || n_nationkey || ']] === ' || n_name || ' :region: ' || n_regionkey FROM nation UNION ALL SELECT 'file:///work/nation/nation-' || n_nationkey || '.adoc', 4, 4, 'See <<supplier-' || n_nationkey || ',its supplier>>.' FROM nation"
+    " UNION ALL SELECT 'file:///work/geo/region-' || r_regionkey || '.adoc', 0, 1, '[[region-' || r_regionkey || ']] == ' || r_name FROM region UNION ALL SELECT 'file:///work/geo/region-' || n_regionkey || '.adoc', 3, CAST(2 + count(*) AS INT), string_agg(l, ' ' ORDER BY l) FROM (SELECT n_regionkey, '<<../nation/nation-' || n_nationkey || '.adoc#,' || n_name || '>>' AS l FROM nation) GROUP BY n_regionkey"
+    " UNION ALL SELECT 'file:///work/index.adoc', 0, 1, '= Index :author: docs' UNION ALL SELECT 'file:///work/index.adoc', 3, CAST(2 + count(*) AS INT), string_agg(l, ' ' ORDER BY l) FROM (SELECT '<<geo/region-' || r_regionkey || '.adoc#,' || r_name || '>>' AS l FROM region)")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ln.paragraphs(_geography(spark, sf_dir).lines).where(F.col("uri").contains("/supplier/"))
+    return ln.paragraphs(_geography(spark, sf_dir).lines)
 
 
 @query(f"""SELECT {PART_URI} AS uri, count(*) AS n FROM (SELECT p_partkey, unnest(range(0, 3)) FROM part) GROUP BY p_partkey""")
@@ -483,9 +487,9 @@ def semantic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editor.tokens(ln.lines(docs), domains.choose(docs)).groupBy("element", "type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN l = 0 THEN user_id ELSE user_id - l END AS d_line FROM (SELECT event_id, user_id, lag(user_id, 1, 0) OVER (ORDER BY user_id, event_id) AS l FROM events WHERE event_id < 500)")
+@query("SELECT event_id, user_id - lag(user_id, 1, 0) OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS d_line FROM events")
 def token_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where("event_id < 500").select(F.lit("u").alias("uri"), F.col("user_id").alias("ln"), F.col("event_id").alias("col"))
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("uri"), F.col("user_id").alias("ln"), F.col("event_id").alias("col"))
     return outline.token_deltas(rows).select(F.col("col").alias("event_id"), "d_line")
 
 
