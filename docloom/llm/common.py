@@ -3,9 +3,12 @@ word hashing and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="docloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
@@ -30,12 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     if set_dir:
         return set_dir.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        global _local_dir
-        try:
-            return _local_dir
-        except NameError:
-            _local_dir = tempfile.mkdtemp(prefix="docloom-")
-            return _local_dir
+        return _local_dir()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docloom"
 
 
