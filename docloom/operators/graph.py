@@ -6,10 +6,12 @@ workspace. Reachability takes one join a step over the documents reached last.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +26,20 @@ ENTRY_POINTS = ("index.adoc", "readme.adoc", "index.asciidoc", "readme.asciidoc"
 SMALL = 200_000
 
 
+@cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="docloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def _shared(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one for a local master alone."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return tempfile.gettempdir() + "/docloom-graph"
+        return _local_dir()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docloom"
 
 
