@@ -24,6 +24,8 @@ from docloom.llm.common import Stored, map_slices
 #: Bounds of the sample, and of the words and word starts that a classifier looks at.
 LABELLED, POOL, TOKENS = 12_000, 6_000, 256
 ROUNDS, CONFIDENT = 3, 0.95
+#: Share of documents that must stay whose chance may lie above the cut; the least cut.
+SPARED, LEAST_CUT = 0.001, 0.1
 #: Values of a metadata column that are told apart.
 VALUES = 64
 HEADS = ("bad", "toxic")
@@ -91,6 +93,7 @@ class Head:
     meta: np.ndarray | None = None
     mix: np.ndarray | None = None
     prior: float = 0.0
+    cut: float = 0.5
 
     def text_view(self, found: list[set[str]], shapes: np.ndarray) -> np.ndarray:
         x = np.zeros((len(found), len(self.vocabulary) + shapes.shape[1]))
@@ -141,9 +144,23 @@ def co_train(head: Head, text: np.ndarray, meta: np.ndarray, y: np.ndarray, held
                 given[other].append((best, (p[best] > 0.5).astype(float)))
     head.text, head.meta = fitted["text"], fitted["meta"]
     head.mix = fit_logistic(_views(head.text, text[held], head.meta, meta[held]), y[held])
+    head.cut = _cut(head.chance(text[held], meta[held]), y[held])
     return head
 
 
+def _cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The chance from which a document is rejected: two thirds of the way, in log odds, from
+    the highest chance of a held document that must stay (but a thousandth of them) to the
+    next of one that must go; between LEAST_CUT and one half."""
+    stay, go = np.sort(p[y == 0])[::-1], np.sort(p[y == 1])
+    top = stay[int(len(stay) * SPARED)]
+    above = go[go > top]
+    if not len(above):
+        return 0.5
+    odds = lambda x: np.log(np.clip(x, 1e-9, 1 - 1e-9) / (1 - np.clip(x, 1e-9, 1 - 1e-9)))
+    return float(np.clip(_sigmoid((odds(top) + 2 * odds(above[0])) / 3), LEAST_CUT, 0.5))
+
+
 class Metadata:
     """Numbers of a row's metadata: its known values one-hot, its numeric columns by size."""
 
@@ -245,8 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
     return heads, meta
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols=("source", "lang"), number_cols=("n_chars",), most_bad: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
-    """All columns of `docs` and p_good, p_toxic, accepted for each row.
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols=("source", "lang"), number_cols=("n_chars",), most_bad: float | None = None, most_toxic: float | None = None) -> DataFrame:
+    """All columns of `docs` and p_good, p_toxic, accepted for each row. A row is accepted if
+    its chances of being bad or toxic are under `most_bad` and `most_toxic`, or where these
+    aren't given under cuts calibrated on held labelled documents.
 
     A null text is judged as an empty one; metadata columns that are missing are left
     out, and null metadata count as such. Where the labels have one class only, or none,
@@ -259,6 +278,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     kept = docs.columns
     views = [F.col(c).cast("string").alias(f"_m{i}") for i, c in enumerate(meta_cols)] + [F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(number_cols)]
     at = kept.index(text_col)
+    cuts = {name: heads[name].cut if given is None else given for name, given in zip(HEADS, (most_bad, most_toxic), strict=True)}
 
     def make():
         def work(*columns):
@@ -270,7 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 x = head.text_view(found, shapes)
                 x[:, len(head.vocabulary) :] = np.clip(x[:, len(head.vocabulary) :], -CLIP, CLIP)
                 p[name] = head.chance(x, metas)
-            ok = (p["bad"] < most_bad) & (p["toxic"] < most_toxic)
+            ok = (p["bad"] < cuts["bad"]) & (p["toxic"] < cuts["toxic"])
             return [*columns[: len(kept)], 1 - p["bad"], p["toxic"], ok]
 
         return work
