@@ -30,13 +30,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least id, of each group of near-duplicates; of rows that repeat
-    an id, one. Documents without an id stay."""
-    found = minhash.near_duplicates(docs, percent=80)
-    gone = stored(found.where("not kept").select(F.col("doc_id").alias("key")).distinct())
-    left = _without(docs, F.col("doc_id"), gone)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    id and text, one. Documents without an id stay; several texts of an id are judged each."""
+    found = stored(minhash.near_duplicates(docs, percent=80).select("doc_id", "text_hash", "kept"))
+    gone = stored(found.where("not kept").select(F.xxhash64("doc_id", "text_hash").alias("key")).distinct())
+    left = _without(docs, F.xxhash64("doc_id", F.xxhash64("text")), gone)
+    if found.where("doc_id is not null and kept").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

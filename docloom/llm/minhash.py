@@ -63,7 +63,8 @@ def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n (shingles), k1 and k2 (fingerprint of the set), sig (BANDS * ROWS minima, 4 bytes each)."""
+    """id, hash (xxhash64 of the text), n (shingles), k1 and k2 (fingerprint of the set), sig
+    (BANDS * ROWS minima, 4 bytes each)."""
     kind = docs.schema[id_col].dataType.simpleString()
     size = BANDS * ROWS
 
@@ -72,7 +73,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
         factor = mix64(np.arange(101, 101 + size, dtype=np.uint64)) | np.uint64(1)
         shift = mix64(np.arange(901, 901 + size, dtype=np.uint64))
 
-        def work(ids, texts):
+        def work(ids, texts, hashes):
             n, k1, k2, sigs = [], [], [], []
             for text in texts:
                 own = sets(text)
@@ -83,11 +84,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 k1.append(int(mix64(own).sum(dtype=np.uint64).astype(np.int64)))
                 k2.append(int(mix64(own ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)))
                 sigs.append((low >> np.uint64(32)).astype("<u4").tobytes())
-            return [ids, n, k1, k2, sigs]
+            return [ids, hashes, n, k1, k2, sigs]
 
         return work
 
-    return map_slices(docs.select(id_col, text_col), make, f"id {kind}, n long, k1 long, k2 long, sig binary")
+    return map_slices(docs.select(id_col, text_col, F.xxhash64(text_col)), make, f"id {kind}, hash long, n long, k1 long, k2 long, sig binary")
 
 
 def needed(percent: int, size: int, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -201,27 +202,32 @@ def _within(units: DataFrame, kind: str, percent: int, k: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The id column, n_shingles, component (least id reachable over links), kept for each
-    row of `docs`. Linked are rows whose sets of k-word shingles have a Jaccard similarity
-    of at least percent / 100.
+    """The id column, n_shingles, component (least id reachable over links), kept, text_hash
+    (xxhash64 of the text) for each row of `docs`. Linked are rows whose sets of k-word
+    shingles have a Jaccard similarity of at least percent / 100.
 
-    A null, empty or blank text has an empty set and is linked with nothing. Rows that
-    share an id are one node, linked by any of its texts. A null id is linked with
-    nothing: its component is null and it is kept. Other columns are not read.
+    A null, empty or blank text has an empty set and is linked with nothing. Rows of one id
+    are judged each by its own text. A null id is linked with nothing: its component is
+    null and it is kept. Other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     own = Stored(signatures(base, "id", "text", k)).df
     full = own.where("n > 0 and id is not null")
-    sigs = Stored(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))).df
+    classes = Stored(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "hash")).alias("o"), F.first("sig").alias("sig")).select("k1", "k2", "n", "o.*", "sig")).df
+    # a class goes by its least id, or where one id leads several classes by their sets' hash
+    single = classes.groupBy("id").count().where("count > 1").isEmpty()
+    sigs = classes.withColumn("rep", F.col("id") if single else F.xxhash64("k1", "k2", "n"))
+    kind = kind if single else "bigint"
 
     width = 4 * ROWS
     bands = sigs.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands_for(percent) - 1)))).select(F.expr(f"xxhash64(band, substring(sig, band * {width} + 1, {width}))").alias("bucket"), "band", "rep")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
     members = Stored(bands.join(shared, "bucket").where("rep <> lead")).df  # a bucket's leader stands with each member
-    both = members.select(F.col("rep").alias("id")).unionByName(members.select(F.col("lead").alias("id"))).distinct()
-    texts = base.join(both, "id")
-    if not base.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+    both = members.select("rep").unionByName(members.select(F.col("lead").alias("rep"))).distinct()
+    wanted = both.join(sigs.select("rep", "id", "hash"), "rep")
+    texts = base.withColumn("hash", F.xxhash64("text")).join(wanted, ["id", "hash"]).select(F.col("rep").alias("id"), "text")
+    if not own.where("id is not null").groupBy("id", "hash").count().where("count > 1").isEmpty():
         texts = texts.distinct()
     texts = Stored(texts).df
 
@@ -236,8 +242,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = met.select("rep").distinct().join(sigs.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
     more = _within(units.join(Stored(rows).df, "rep"), kind, percent, k)
     group = Stored(components(links.unionByName(more))).df.withColumnRenamed("node", "rep")
+    if not single:  # components go by their classes' least id again
+        least = group.join(sigs.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least"))
+        group = group.join(least, "component").select("rep", F.col("least").alias("component"))
 
-    reps = sigs.select("k1", "k2", "n", "rep").join(group, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = own.select("id", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
+    reps = sigs.select("k1", "k2", "n", "rep", F.col("id").alias("least")).join(group, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "least").alias("component"))
+    out = own.select("id", "hash", "n", "k1", "k2").join(reps, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.col("hash").alias("text_hash"))

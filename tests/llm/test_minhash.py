@@ -74,3 +74,12 @@ def test_string_ids_and_no_rows(spark):
     docs = spark.createDataFrame([("b", "a b c d e f"), ("a", "a b c d e f"), ("c", "z")], "doc_id string, text string")
     assert sorted((r.doc_id, r.component) for r in minhash.near_duplicates(docs).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_several_texts_of_an_id(spark):
+    a, z = [f"w{i}" for i in range(60)], [f"z{i}" for i in range(60)]
+    b, y = [*a[:59], "edit"], [*z[:59], "edit"]
+    rows = [(1, a), (2, b), (2, z), (3, y), (2, a), (4, ["alone"]), (2, b), (None, a)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (2, 1, False), (4, 4, True), (2, 1, False), (None, None, True)], key=str)
