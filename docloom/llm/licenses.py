@@ -5,6 +5,7 @@ nearest ancestor directory that holds a licence file."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ from docloom.llm.common import Stored, map_slices
 
 #: Least cosine of a notice in a file, and of a whole text that is a licence file.
 NOTICE, WHOLE = 0.6, 0.6
-#: Directories with their license are broadcast up to so many rows (two short strings each).
+#: Directories with their license, and words with their weight, are broadcast up to so many rows (two short values each).
 BROADCAST_ROWS = 100_000
 #: Names of licence files; their text need only reach NOTICE in part.
 NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -39,100 +40,129 @@ def terms(text: str) -> list[str]:
 
 
 class Matcher:
-    """Finds the template that is closest to any line, to the head (the lines before the
-    first blank one) or to the whole of a text."""
+    """Finds the blocks of a text (a line, the head, which is the lines before the first blank
+    one, or the whole) that may come closest to a template.
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], df: dict[str, int], total: int):
-        self.names = [(name, i) for name, texts in templates.items() for i in range(len(texts))]
-        self.idf = {t: np.log((total + 1) / (n + 1)) + 1 for t, n in df.items()}
-        self.other = np.log(total + 1) + 1  # a term of no template
+    Only the weights of the templates' terms are known here; those of other words lie
+    between `least_other` and `most`.
+    """
+
+    def __init__(self, templates: dict[str, tuple[str, ...]], idf: dict[str, float], least_other: float, most: float):
+        self.names = [name for name, texts in templates.items() for _ in texts]
+        self.idf, self.least_other, self.most = idf, least_other, most
         self.postings: dict[str, list[tuple[int, float]]] = {}
-        norms = []
-        for at, (name, i) in enumerate(self.names):
-            w = self.weights(terms(templates[name][i]))
-            norms.append(sum(x * x for x in w.values()) ** 0.5)
+        for at, own in enumerate(text for texts in templates.values() for text in texts):
+            w = {t: k * idf[t] for t, k in Counter(terms(own)).items()}
+            norm = sum(x * x for x in w.values()) ** 0.5
             for t, x in w.items():
-                self.postings.setdefault(t, []).append((at, x / norms[-1]))
-
-    def weights(self, words: list[str]) -> dict[str, float]:
-        n: dict[str, int] = {}
-        for w in words:
-            n[w] = n.get(w, 0) + 1
-        return {w: k * self.idf.get(w, self.other) for w, k in n.items()}
-
-    def may(self, words: list[str], least: float) -> bool:
-        """False where the words can't reach a cosine of `least`: terms of no template add to
-        their length alone, and the others' squares bound what any template can meet."""
-        known = [w for w in words if w in self.postings]
-        if not known:
-            return False
-        own = sum(x * x for x in self.weights(known).values())
-        return own >= least * least * (own + (len(words) - len(known)) * self.other**2)
-
-    def best(self, words: list[str]) -> tuple[float, str | None]:
-        """The highest cosine and its license, the first by name among equals."""
-        w = self.weights(words)
+                self.postings.setdefault(t, []).append((at, x / norm))
+
+    def block(self, words: list[str], least: float) -> tuple | None:
+        """None where the words can't reach a cosine of `least`; else the bounds of their
+        cosine, the product with the closest template (the first license by name among
+        equals), their own square over its terms, the license, and the other words."""
+        if self.postings.keys().isdisjoint(words):
+            return None
+        n = Counter(words)
+        known = {w: k * self.idf[w] for w, k in n.items() if w in self.postings}
+        own = sum(x * x for x in known.values())
+        squares = sum(k * k for w, k in n.items() if w not in known)
+        longest = own + squares * self.least_other**2
+        if own < least * least * longest * (1 - 1e-9):  # no template meets more than all of `own`
+            return None
         dots = [0.0] * len(self.names)
-        for t, x in w.items():
-            for at, y in self.postings.get(t, ()):
+        for t, x in known.items():
+            for at, y in self.postings[t]:
                 dots[at] += x * y
-        norm = sum(x * x for x in w.values()) ** 0.5
-        score, name = max(((round(d / norm, 9), self.names[i][0]) for i, d in enumerate(dots)), key=lambda p: (p[0], [-ord(c) for c in p[1]]))
-        return score, name
-
-    def scan(self, text: str, least: float) -> tuple[float, str | None, float, str | None]:
-        """Best score and license of a line, the head or the whole; and of the whole text: 0
-        and none where they can't reach `least`."""
+        dot, name = max(((round(d, 9), self.names[i]) for i, d in enumerate(dots)), key=lambda p: (p[0], [-ord(c) for c in p[1]]))
+        high = round(dot / longest**0.5, 8)
+        if high < least:
+            return None
+        return high, round(dot / (own + squares * self.most**2) ** 0.5, 8), dot, own, name, {w: k for w, k in n.items() if w not in known}
+
+    def scan(self, text: str, least: float) -> list[tuple]:
+        """The whole text (0) if it may reach `least`, and of the lines (from 1) and the head
+        those that may come closest: at, dot, own, license, other words and their counts."""
         split = [terms(line) for line in text.split("\n")]
         head = next((i for i, own in enumerate(split) if not own), len(split))
-        every = [w for own in split for w in own]
-        blocks = split + [[w for own in split[:head] for w in own]] * (1 < head < len(split))
-        whole = self.best(every) if self.may(every, least) else (0.0, None)
-        part = max([whole, *(self.best(own) for own in blocks if self.may(own, least))], key=lambda p: p[0])
-        return *part, *whole
+        blocks = [[w for own in split for w in own], *split] + [[w for own in split[:head] for w in own]] * (1 < head < len(split))
+        first: dict[tuple, int] = {}
+        for at, words in enumerate(blocks):
+            first.setdefault(tuple(words), at)
+        found = [(at, b) for words, at in first.items() if (b := self.block(list(words), least))]
+        low = max((b[1] for _, b in found), default=0.0)
+        return [(at, dot, own, name, list(rest), list(rest.values())) for at, (high, _, dot, own, name, rest) in found if at == 0 or high >= low]
 
 
-def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templates=TEMPLATES, notice: float = NOTICE, whole: float = WHOLE) -> DataFrame:
-    """The id column, path, license, score, origin, from_dir for each row of `files`.
+def _weights(texts: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, dict[str, float], float, float]:
+    """term, idf of the words of all texts; the weights of the vocabulary; the least of
+    other words and the most of any.
 
-    origin is `notice` (a line, the head or the whole text reaches `notice`), `inherited`
-    (from_dir is the nearest ancestor directory with a licence file) or null without a
-    license; score is 0 where neither bound can be reached. A licence file bears the name of one, or its whole text reaches `whole`; of
-    several in a directory the highest score counts, then the least path. The weights of
-    template terms are counted over all texts. A null text has no notice; a null path is
-    the root's. Repeated rows are judged each. Other columns are not read.
+    A weight is the logarithm of the share of texts that hold the word, and one, so it stays
+    when the texts are repeated. A term of no text weighs as much as the rarest word.
     """
-    vocabulary = sorted({t for texts in templates.values() for text in texts for t in terms(text)})
-    kind = files.schema[id_col].dataType.simpleString()
-    base = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
 
     def count():
-        known = set(vocabulary)
-
         def work(texts):
-            n: dict[str, int] = {}
+            n: Counter = Counter()
             for text in texts:
-                for t in known.intersection(terms(text or "")):
-                    n[t] = n.get(t, 0) + 1
+                n.update(set(terms(text or "")))
             return [["", *n], [len(texts), *n.values()]]  # "" counts the texts
 
         return work
 
-    got = map_slices(base.select("text"), count, "term string, n long", rows=1024).groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each template term
-    df = {t: 0 for t in vocabulary} | {r["term"]: r["n"] for r in got}
+    counts = Stored(map_slices(texts, count, "term string, n long", rows=1024).groupBy("term").agg(F.sum("n").alias("n"))).df
+    known = F.col("term").isin(vocabulary)
+    df = {r["term"]: r["n"] for r in counts.where(known | (F.col("term") == "")).collect()}  # a row for each template term
     total = df.pop("", 0)
+    rarest, commonest = counts.where("term <> ''").agg(F.min("n"), F.max(F.when(~known, F.col("n")))).first()
+    weigh = lambda n: float(np.log(total / n) + 1) if n else 1.0
+    idf = counts.where((F.col("term") != "") & ~known).select("term", (F.log(F.lit(float(total)) / F.col("n")) + 1).alias("idf"))
+    return idf, {t: weigh(df.get(t, rarest)) for t in vocabulary}, weigh(commonest), weigh(rarest)
+
+
+def _best(seen: DataFrame, idf: DataFrame) -> DataFrame:
+    """row, part and whole (score and license of the closest block, and of the whole text) by
+    the weights of all words."""
+    blocks = seen.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
+    held = Stored(idf.join(blocks.select(F.explode("words").alias("term")).distinct(), "term")).df
+    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    each = blocks.select("row", "at", "dot", "own", "license", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("*", F.col("w.words").alias("term"), F.col("w.counts").alias("k"))
+    more = each.join(held, "term").groupBy("row", "at", "dot", "own", "license").agg(F.sum(F.pow(F.col("k") * F.col("idf"), 2)).alias("more"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("own") + F.col("more")), 9)
+    scored = blocks.where(F.size("words") == 0).select("row", "at", "dot", "own", "license", F.lit(0.0).alias("more")).unionByName(more).select("row", "at", "license", score.alias("score"))
+    whole = F.max(F.when(F.col("at") == 0, F.struct("score", "license")))
+    return scored.groupBy("row").agg(F.max(F.struct("score", -F.col("at"), "license")).alias("part"), whole.alias("whole"))
+
+
+def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templates=TEMPLATES, notice: float = NOTICE, whole: float = WHOLE) -> DataFrame:
+    """The id column, path, license, score, origin, from_dir for each row of `files`.
+
+    origin is `notice` (a line, the head or the whole text reaches `notice`), `inherited`
+    (from_dir is the nearest ancestor directory with a licence file) or null without a
+    license; score is 0 where neither bound can be reached. A licence file bears the name of one, or its whole text reaches `whole`; of
+    several in a directory the highest score counts, then the least path. The weights of
+    words are counted over all texts. A null text has no notice; a null path is
+    the root's. Repeated rows are judged each. Other columns are not read.
+    """
+    vocabulary = sorted({t for texts in templates.values() for text in texts for t in terms(text)})
+    kind = files.schema[id_col].dataType.simpleString()
+    base = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
+    idf, *weights = _weights(base.select("text"), vocabulary)
 
     def make():
-        matcher = Matcher(templates, df, total)
+        matcher = Matcher(templates, *weights)
 
-        def work(ids, paths, texts):
-            done = [matcher.scan(t or "", min(notice, whole)) for t in texts]
-            return [ids, paths, *([d[k] for d in done] for k in range(4))]
+        def work(rows, ids, paths, texts):
+            return [rows, ids, paths, [matcher.scan(t or "", min(notice, whole)) for t in texts]]
 
         return work
 
-    seen = Stored(map_slices(base, make, f"id {kind}, path string, score double, license string, whole_score double, whole_license string")).df
-    own = seen.withColumn("dir", F.expr("CASE WHEN instr(path, '/') > 0 THEN substring_index(path, '/', -1 + size(split(path, '/'))) ELSE '' END")).withColumn("name", F.substring_index("path", "/", -1))
+    seen = Stored(map_slices(base, make, f"row long, id {kind}, path string, blocks array<struct<at: int, dot: double, own: double, license: string, words: array<string>, counts: array<int>>>")).df
+    part = lambda c, name: F.col(f"{c}.{name}")
+    score = F.coalesce(part("part", "score"), F.lit(0.0)).alias("score")
+    judged = seen.join(_best(seen, idf), "row", "left").select("id", "path", score, part("part", "license").alias("license"), part("whole", "score").alias("whole_score"), part("whole", "license").alias("whole_license"))
+    own = Stored(judged).df.withColumn("dir", F.expr("CASE WHEN instr(path, '/') > 0 THEN substring_index(path, '/', -1 + size(split(path, '/'))) ELSE '' END")).withColumn("name", F.substring_index("path", "/", -1))
     named = F.col("name").rlike(NAMES)
     file_score = F.when(F.col("whole_score") >= whole, F.col("whole_score")).when(named & (F.col("score") >= notice), F.col("score"))
     file_license = F.when(F.col("whole_score") >= whole, F.col("whole_license")).otherwise(F.col("license"))

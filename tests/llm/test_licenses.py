@@ -69,6 +69,37 @@ def test_scores_are_the_cosines(spark):
             assert r.score < licenses.NOTICE
 
 
+def test_common_words_weigh_little_and_repeats_change_nothing(spark):
+    line = "Licensed you under may the not Apache use License, you Version may 2.0"
+    prose = [f"you may not use word{i} or\nthat other word{i} of it" for i in range(60)]
+    texts = [*prose, f"{line}\n\n{prose[0]}", "Licensed under the Apache License of things", "This file and it is licensed under the MIT License"]
+
+    def verdicts(times):
+        files = spark.createDataFrame([(i, f"d{i}/{k}", t) for k in range(times) for i, t in enumerate(texts)], "id long, path string, text string")
+        return {(r.id, r.license, r.score) for r in licenses.scan(files, id_col="id", path_col="path", text_col="text").collect()}
+
+    once = verdicts(1)
+    assert once == verdicts(10)
+    by = {i: (name, score) for i, name, score in once}
+    n = len(texts)
+    df = lambda w: sum(w in licenses.terms(t) for t in texts)
+    idf = lambda w: log(n / (df(w) or 1)) + 1
+    vector = lambda words: {w: words.count(w) * idf(w) for w in words}
+    a, b = vector(licenses.terms(line)), vector(licenses.terms(licenses.TEMPLATES["Apache-2.0"][0]))
+    want = sum(x * b.get(w, 0) for w, x in a.items()) / sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    assert by[60][0] == "Apache-2.0" and abs(by[60][1] - want) < 1e-6
+    assert by[0][0] is None
+
+
+@pytest.mark.parametrize("limit", [licenses.BROADCAST_ROWS, 0])
+def test_words_beyond_the_broadcast_are_joined(spark, monkeypatch, limit):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", limit)
+    texts = ["Released under by the wordsmiths MIT License", "plain words by us", None]
+    files = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    got = {r.id: r for r in licenses.scan(files, id_col="id", path_col="path", text_col="text").collect()}
+    assert got[0].license == "MIT" and 0.6 < got[0].score < 1 and got[1].license is None and len(got) == 3
+
+
 def test_no_rows(spark):
     files = spark.createDataFrame([], "id long, path string, text string")
     assert licenses.scan(files, id_col="id", path_col="path", text_col="text").count() == 0
