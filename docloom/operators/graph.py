@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import cache, cached_property
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ ENTRY_POINTS = ("index.adoc", "readme.adoc", "index.asciidoc", "readme.asciidoc"
 
 #: Links that one task may hold (two URIs each) when it follows them all.
 SMALL = 200_000
+#: Steps of a chain whose results are held apart before they are stored together.
+FOLD = 32
 
 
 @cache
@@ -213,14 +216,18 @@ def search_symbols(syms: DataFrame, query: str) -> DataFrame:
     return syms.where((F.col("name") != "") & F.lower("name").contains(query.lower()))
 
 
-def resolve_chain(parents: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
-    """key, ancestor, depth over a parent column; a cycle ends at its first repeat."""
+def resolve_chain(parents: DataFrame, key: str, parent: str) -> DataFrame:
+    """key, ancestor, depth over a parent column, to each chain's end; a cycle ends at its
+    first repeat. What is found is stored together every FOLD steps, so plans don't grow."""
     base = stored(parents.select(F.col(key).alias("k"), F.col(parent).alias("p")))
-    out = last = base.select("k", F.col("k").alias("ancestor"), F.lit(0).alias("depth"), F.array("k").alias("path"))
-    for depth in range(1, most + 1):
+    last = base.select("k", F.col("k").alias("ancestor"), F.lit(0).alias("depth"), F.array("k").alias("path"))
+    out = last.drop("path")
+    for depth in count(1):
         up = base.select(F.col("k").alias("ancestor"), "p")
         last = stored(last.join(up, "ancestor").where(F.col("p").isNotNull() & ~F.array_contains("path", F.col("p"))).join(base.select(F.col("k").alias("p")).distinct(), "p", "left_semi").select("k", F.col("p").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("p")).alias("path")))
         if last.isEmpty():
             break
-        out = out.unionByName(last)
+        out = out.unionByName(last.drop("path"))
+        if depth % FOLD == 0:
+            out = stored(out)
     return out.select(F.col("k").alias(key), "ancestor", "depth")

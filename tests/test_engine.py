@@ -263,3 +263,11 @@ def test_an_index_holds_the_same_relations(spark):
     one = w.indexed()
     for name in ("all_definitions", "definitions", "references", "file_references", "attributes", "symbols", "headers"):
         assert sorted(map(str, getattr(w, name).collect())) == sorted(map(str, getattr(one, name).collect())), name
+
+
+def test_chains_are_followed_to_their_end(spark):
+    rows = [(k, k - 1 if k else None) for k in range(70)] + [(100, 101), (101, 100)]
+    got = g.resolve_chain(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()
+    assert sorted((r.ancestor, r.depth) for r in got if r.k == 69) == [(a, 69 - a) for a in range(70)]
+    assert sorted((r.k, r.ancestor, r.depth) for r in got if r.k >= 100) == [(100, 100, 0), (100, 101, 1), (101, 100, 1), (101, 101, 0)]
+    assert len(got) == 70 * 71 // 2 + 4
