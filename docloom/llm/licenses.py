@@ -15,6 +15,8 @@ from docloom.llm.common import Stored, map_slices
 
 #: Least cosine of a notice in a file, and of a whole text that is a licence file.
 NOTICE, WHOLE = 0.6, 0.6
+#: Words of a text whose windows are looked at at once; bounds memory, not results.
+WINDOWED = 16_384
 #: Directories with their license, and words with their weight, are broadcast up to so many rows (two short values each).
 BROADCAST_ROWS = 100_000
 #: Names of licence files; their text need only reach NOTICE in part.
@@ -41,7 +43,8 @@ def terms(text: str) -> list[str]:
 
 class Matcher:
     """Finds the blocks of a text (a line, the head, which is the lines before the first blank
-    one, or the whole) that may come closest to a template.
+    one, the whole, or as many words as a template has, within lines or across them) that may
+    come closest to a template.
 
     Only the weights of the templates' terms are known here; those of other words lie
     between `least_other` and `most`.
@@ -56,6 +59,32 @@ class Matcher:
             norm = sum(x * x for x in w.values()) ** 0.5
             for t, x in w.items():
                 self.postings.setdefault(t, []).append((at, x / norm))
+        # for windows: each term's number, its products with the templates and its square; last, any other word
+        self.code = {t: i for i, t in enumerate(self.postings)}
+        self.products = np.zeros((len(self.code) + 1, len(self.names)))
+        for t, own in self.postings.items():
+            for at, y in own:
+                self.products[self.code[t], at] = idf[t] * y
+        self.squares = np.array([idf[t] ** 2 for t in self.code] + [least_other**2])
+        self.columns: dict[int, list[int]] = {}  # the templates of each length
+        for at, own in enumerate(text for texts in templates.values() for text in texts):
+            self.columns.setdefault(len(terms(own)), []).append(at)
+
+    def windows(self, words: list[str], least: float) -> list[tuple[str, ...]]:
+        """As many words as a template has, wherever they may reach a cosine of `least` with
+        it: sums over the words bound it, as a repeated word adds more to the length."""
+        out, n = [], max(self.columns)
+        for start in range(0, len(words), WINDOWED):
+            part = words[start : start + WINDOWED + n - 1]
+            codes = np.array([self.code.get(w, len(self.code)) for w in part])
+            dots = np.concatenate([np.zeros((1, len(self.names))), self.products[codes].cumsum(0)])
+            squares = np.concatenate([[0.0], self.squares[codes].cumsum()])
+            for size, own in self.columns.items():
+                if size < len(words) and size <= len(part):
+                    met = (dots[size:, own] - dots[:-size, own]).max(1)
+                    at = np.flatnonzero(met + 1e-6 >= least * np.sqrt(squares[size:] - squares[:-size]))
+                    out += [tuple(part[i : i + size]) for i in at]
+        return out
 
     def block(self, words: list[str], least: float) -> tuple | None:
         """None where the words can't reach a cosine of `least`; else the bounds of their
@@ -81,14 +110,16 @@ class Matcher:
         return high, round(dot / (own + squares * self.most**2) ** 0.5, 8), dot, own, name, {w: k for w, k in n.items() if w not in known}
 
     def scan(self, text: str, least: float) -> list[tuple]:
-        """The whole text (0) if it may reach `least`, and of the lines (from 1) and the head
-        those that may come closest: at, dot, own, license, other words and their counts."""
+        """The whole text (0) if it may reach `least`, and of the lines (from 1), the head and
+        the windows those that may come closest: at, dot, own, license, other words and their counts."""
         split = [terms(line) for line in text.split("\n")]
         head = next((i for i, own in enumerate(split) if not own), len(split))
         blocks = [[w for own in split for w in own], *split] + [[w for own in split[:head] for w in own]] * (1 < head < len(split))
         first: dict[tuple, int] = {}
         for at, words in enumerate(blocks):
             first.setdefault(tuple(words), at)
+        for words in self.windows(blocks[0], least):
+            first.setdefault(words, len(first) + len(blocks))
         found = [(at, b) for words, at in first.items() if (b := self.block(list(words), least))]
         low = max((b[1] for _, b in found), default=0.0)
         return [(at, dot, own, name, list(rest), list(rest.values())) for at, (high, _, dot, own, name, rest) in found if at == 0 or high >= low]
@@ -138,7 +169,8 @@ def _best(seen: DataFrame, idf: DataFrame) -> DataFrame:
 def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templates=TEMPLATES, notice: float = NOTICE, whole: float = WHOLE) -> DataFrame:
     """The id column, path, license, score, origin, from_dir for each row of `files`.
 
-    origin is `notice` (a line, the head or the whole text reaches `notice`), `inherited`
+    origin is `notice` (a line, the head, the whole text or a window of as many words as a
+    template has reaches `notice`), `inherited`
     (from_dir is the nearest ancestor directory with a licence file) or null without a
     license; score is 0 where neither bound can be reached. A licence file bears the name of one, or its whole text reaches `whole`; of
     several in a directory the highest score counts, then the least path. The weights of

@@ -100,6 +100,29 @@ def test_words_beyond_the_broadcast_are_joined(spark, monkeypatch, limit):
     assert got[0].license == "MIT" and 0.6 < got[0].score < 1 and got[1].license is None and len(got) == 3
 
 
+@pytest.mark.parametrize("at_once", [licenses.WINDOWED, 7])
+def test_notices_within_a_line_and_across_breaks(spark, at_once):
+    body = " ".join(f"word{i}" for i in range(90))
+    texts = [
+        f"{body} This work is licensed under the GNU General Public License, version 3. {body}",
+        f"{body}\n\n{body} Released\nunder the\nMIT License. {body}",
+        f"{body} some license of the {body}",
+        "Released under the\n\nMIT License",
+    ]
+    vocabulary = {t for own in licenses.TEMPLATES.values() for text in own for t in licenses.terms(text)}
+    idf = {t: 3.0 for t in vocabulary}
+    was, licenses.WINDOWED = licenses.WINDOWED, at_once
+    try:
+        matcher = licenses.Matcher(licenses.TEMPLATES, idf, 1.0, 5.0)
+        got = [max((round(dot / own**0.5, 6), name) for _, dot, own, name, rest, _ in found if not rest) if (found := matcher.scan(t, licenses.NOTICE)) else None for t in texts]
+    finally:
+        licenses.WINDOWED = was
+    assert got == [(1.0, "GPL-3.0"), (1.0, "MIT"), None, (1.0, "MIT")]
+    files = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    by = {r.id: r.license for r in licenses.scan(files, id_col="id", path_col="path", text_col="text").collect()}
+    assert by == {0: "GPL-3.0", 1: "MIT", 2: None, 3: "MIT"}
+
+
 def test_no_rows(spark):
     files = spark.createDataFrame([], "id long, path string, text string")
     assert licenses.scan(files, id_col="id", path_col="path", text_col="text").count() == 0
