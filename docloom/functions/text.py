@@ -20,19 +20,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """Words between white space, counted without being cut out."""
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+
+
 def syllables(text: Column) -> Column:
-    """Vowel groups of each word, one at least."""
-    return F.aggregate(words(F.lower(text)), F.lit(0), lambda n, w: n + F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+"))))
+    """Vowel groups of each word, one at least: all vowel groups of the text, and the words
+    that have none; white space parts vowel groups as it parts words."""
+    return F.regexp_count(F.lower(text), F.lit("[aeiouy]+")) + F.regexp_count(F.lower(text), F.lit(r"(?U)(?<!\S)[^\saeiouy]+(?!\S)"))
 
 
 def readability(text: Column) -> Column:
     """Flesch reading ease between 0 and 100; 100 for a text without words."""
-    n = F.size(words(text)).cast("double")
-    sentences = F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]")))
-    score = F.lit(206.835) - 1.015 * n / sentences - 84.6 * syllables(text) / n
+    return reading_ease(word_count(text), F.regexp_count(text, F.lit("[.!?]")), syllables(text))
+
+
+def reading_ease(n_words: Column, stops: Column, n_syllables: Column) -> Column:
+    """The score from what is counted once: words, ends of sentences, syllables."""
+    n = n_words.cast("double")
+    score = F.lit(206.835) - 1.015 * n / F.greatest(F.lit(1), stops) - 84.6 * n_syllables / n
     return F.when(n <= 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
+def prose_counts(text: Column) -> Column:
+    """words, stops and syllables of a text as a struct, so that plans count each once."""
+    return F.struct(word_count(text).alias("words"), F.regexp_count(text, F.lit("[.!?]")).alias("stops"), syllables(text).alias("syllables"))
+
+
 def grade(score: Column) -> Column:
     out = F.lit("College graduate")
     for least, name in reversed(GRADES):
@@ -41,16 +56,22 @@ def grade(score: Column) -> Column:
 
 
 def passive_hits(line: Column) -> Column:
-    """Array of passive verbs: an auxiliary (also inside a word) and a token over three
-    letters long in -ed that white space, a full stop or a comma ends."""
-    found = [F.regexp_extract_all(F.lower(line), F.lit(aux + r"(?=([^\s.,]*ed)[\s.,])"), F.lit(1)) for aux in AUXILIARIES]
-    return F.filter(F.concat(*found), lambda t: F.length(t) > 3)
+    """Array of passive verbs, in order: an auxiliary (also inside a word) and a token over three
+    letters long in -ed that white space other than a line break, a full stop or a comma ends.
+    No auxiliary begins within another, so one pattern finds those of all."""
+    any_of = "|".join(AUXILIARIES)
+    return F.filter(F.regexp_extract_all(F.lower(line), F.lit(rf"(?:{any_of})(?=([^\s.,]*ed)(?!\r?\n)[\s.,])"), F.lit(1)), lambda t: F.length(t) > 3)
+
 
+def weasel_hits(line: Column, words: tuple[str, ...] = WEASEL_WORDS) -> Column:
+    """Array of the whole words of a list that a line holds, in order and lower-cased, whatever
+    the case. One pattern for all words, the longest first."""
+    any_of = "|".join(_literal(w.lower()) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?<![\p{{L}}\p{{N}}])({any_of})(?![\p{{L}}\p{{N}}])"), F.lit(1))
 
-def weasel_count(line: Column, word: Column) -> Column:
-    """Whole-word occurrences of a word, whatever the case."""
-    around = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-    return F.regexp_count(F.lower(line), F.concat(F.lit(around[0]), F.lower(word), F.lit(around[1])))
+
+def _literal(text: str) -> str:
+    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in text)
 
 
 def heading_slug(text: Column) -> Column:
@@ -82,11 +103,18 @@ def bookmark_class(name: Column) -> Column:
 
 
 def without_parentheses(text: Column) -> Column:
-    """Text without parenthesised parts (nested up to six deep; one left open runs to the
-    end), stray closing ones, and with single blanks."""
-    for _ in range(6):
+    """Text without parenthesised parts (nested to any depth; one left open runs to the end),
+    stray closing ones, and with single blanks. Two passes take what nests up to two deep;
+    the rest is folded over its brackets and what stands between them."""
+    for _ in range(2):
         text = F.regexp_replace(text, r"\([^()]*\)", "")
-    text = F.regexp_replace(text, r"(?s)\(.*$|\)", "")
+    step = lambda a, t: (
+        F.when(t == "(", F.struct((a["open"] + 1).alias("open"), a["out"].alias("out")))
+        .when(t == ")", F.struct(F.greatest(F.lit(0), a["open"] - 1).alias("open"), a["out"].alias("out")))
+        .otherwise(F.struct(a["open"].alias("open"), F.when(a["open"] == 0, F.concat(a["out"], t)).otherwise(a["out"]).alias("out")))
+    )
+    folded = F.aggregate(F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), F.lit(0)), F.struct(F.lit(0).alias("open"), F.lit("").alias("out")), step, lambda a: a["out"])
+    text = F.when(text.contains("(") | text.contains(")"), folded).otherwise(text)
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
@@ -208,3 +236,15 @@ def offset_line(text: Column, offset: Column) -> Column:
 
 def offset_column(text: Column, offset: Column) -> Column:
     return F.length(F.element_at(F.split(F.substring(text, F.lit(1), offset), "\n"), -1))
+
+
+def days_to_date(days: Column) -> Column:
+    """The date so many days after 1970-01-01."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+
+
+def utc_stamp(seconds: Column) -> Column:
+    """Seconds since 1970 as ISO 8601 text in UTC, whatever the session's time zone."""
+    day, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400)).cast("int")
+    clock = F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600).cast("int"), F.pmod(F.floor(rest / 60).cast("int"), F.lit(60)), F.pmod(rest, F.lit(60)))
+    return F.concat(F.date_format(days_to_date(day), "yyyy-MM-dd"), clock)

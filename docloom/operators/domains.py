@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import graph as g
 from docloom.operators.lines import union_all
-from docloom.operators.rules import diagnostics
+from docloom.operators.rules import SCHEMA, diagnostics
 
 #: States of a decision record, categories of a request for comments, sections.
 STATUSES = ("Draft", "Proposed", "Accepted", "Rejected", "Deprecated", "Superseded")
 CATEGORIES = ("standards-track", "informational", "experimental", "best-current-practice", "historic")
 ADR_SECTIONS = ("Context", "Decision", "Consequences")
 RFC_SECTIONS = ("Abstract",)
+ADR_PURPOSES = {
+    "Context": "Describes the forces at play, including technological, political, social, and project-specific factors.",
+    "Decision": "Describes our response to these forces, the decision we've made.",
+    "Consequences": "Describes the resulting context, after applying the decision.",
+}
 ADR_TITLE, RFC_TITLE = r"(?i)^=\s*ADR[\s\-]?\d+", r"(?i)^=\s*RFC\s*\d+"
 
 
@@ -64,27 +72,22 @@ def scores(text: Column) -> dict[str, Column]:
 
 
 def choose(docs: DataFrame) -> DataFrame:
-    """uri, domain, score: the highest score above 0.2, the first domain among equals, else
-    generic."""
-    own = scores(F.coalesce(F.col("text"), F.lit("")))
-    best = F.greatest(*(F.struct(F.when(c > 0.2, c).otherwise(0.0).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, c) in enumerate(own.items())))
-    out = docs.select("uri", best.alias("best"), own["generic"].alias("plain"))
-    hit = F.col("best.score") > 0
-    return out.select("uri", F.when(hit, F.col("best.name")).otherwise("generic").alias("domain"), F.when(hit, F.col("best.score")).otherwise(F.col("plain")).alias("score"))
+    """uri, domain, score among the standard domains."""
+    return standard().choose(docs)
 
 
 def _missing(docs: DataFrame, sections: tuple[str, ...], code: str, what: str) -> DataFrame:
     absent = F.filter(F.array(*(F.when(~has_section(F.col("text"), s), s) for s in sections)), lambda x: x.isNotNull())
     last = F.greatest(F.lit(0), F.size(F.split("text", "\n")) - 1)
     each = docs.select("uri", last.alias("last"), F.explode(absent).alias("section"))
-    return diagnostics(each, code, "warning", F.format_string(f"Missing required {what} section: '%s'", "section"), F.col("last"))
+    return diagnostics(each, code, "warning", F.format_string(f"Missing required {what} section: '%s'", "section"), F.col("last"), subject="section")
 
 
 def _invalid(lns: DataFrame, name: str, known: tuple[str, ...], code: str, what: str) -> DataFrame:
     value = F.regexp_extract(F.trim("line"), rf"^:{name}:\s*(\S+)", 1)
     own = lns.select("uri", "ln", "line", value.alias("value")).where((F.col("value") != "") & ~F.lower("value").isin([k.lower() for k in known]))
     at = F.instr("line", F.col("value")) - 1
-    return diagnostics(own, code, "warning", F.format_string(f"Invalid {what} '%s'. Expected one of: {', '.join(known)}", "value"), F.col("ln"), at, at + F.length("value"))
+    return diagnostics(own, code, "warning", F.format_string(f"Invalid {what} '%s'. Expected one of: {', '.join(known)}", "value"), F.col("ln"), at, at + F.length("value"), "value")
 
 
 def adr_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
@@ -97,21 +100,90 @@ def rfc_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
     return _missing(ws.docs.where(is_rfc(F.col("text"))), RFC_SECTIONS, "RFC001", "RFC").unionByName(_invalid(ws.lines, "category", CATEGORIES, "RFC002", "category"))
 
 
+def described(section: Column) -> Column:
+    """What a section of a decision record is for."""
+    out = F.lit("Description here.")
+    for name, text in ADR_PURPOSES.items():
+        out = F.when(F.lower(section) == name.lower(), text).otherwise(out)
+    return out
+
+
+def old_missing(ws: g.Workspace) -> DataFrame:
+    """uri, section, rank, ln: sections that a decision record lacks by the older rules: a header
+    of any level counts, whose whole title is the section's name in any case. ln is the line
+    behind the last one that is not blank."""
+    docs = ws.docs.where(is_adr_by_old_rule(F.col("text")))
+    asked = docs.select("uri", F.posexplode(F.array(*map(F.lit, ADR_SECTIONS))).alias("rank", "section"))
+    heads = ws.lines.select("uri", F.lower(F.regexp_extract(F.trim("line"), r"^=+\s+(.+)$", 1)).alias("_title")).where("_title <> ''").distinct()
+    behind = ws.lines.where(F.trim("line") != "").groupBy("uri").agg((F.max("ln") + 1).alias("ln"))
+    lacking = asked.join(heads, (asked["uri"] == heads["uri"]) & (F.lower("section") == heads["_title"]), "left_anti")
+    return lacking.join(behind, "uri", "left").select("uri", "section", "rank", F.coalesce("ln", F.lit(0)).alias("ln"))
+
+
 def old_adr_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
-    """ADR001 by whole titles, as the older validator has it: a section counts as a header of
-    level two or deeper whose title is the section's name."""
-    docs = ws.docs.where(is_adr_by_old_rule(F.col("text"))).select("uri", F.explode(F.array(*map(F.lit, ADR_SECTIONS))).alias("section"))
-    heads = ws.lines.select("uri", F.regexp_extract("line", r"^={2,}\s+(.*?)\s*$", 1).alias("section")).where("section <> ''").distinct()
-    return diagnostics(docs.join(heads, ["uri", "section"], "left_anti"), "ADR001", "warning", F.format_string("Missing required ADR section: '%s'", "section"))
+    """ADR001 by whole titles, as the older validator has it."""
+    return diagnostics(old_missing(ws), "ADR001", severity, F.format_string("Missing required ADR section: '%s'. %s", "section", described(F.col("section"))), F.col("ln"), subject="section")
+
+
+def old_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
+    """What the older validator reports: ADR001 of decision records, and DOM001 for a status
+    out of the list in any document."""
+    return old_adr_rules(ws, severity).unionByName(_invalid(ws.lines, "status", STATUSES, "DOM001", "status value"))
+
+
+@dataclass(frozen=True)
+class Domain:
+    """A kind of document: its score of a text, its rules over a workspace, its attributes."""
+
+    name: str
+    score: Callable[[Column], Column]
+    rules: Callable[..., DataFrame] | None = None
+    attributes: tuple[str, ...] = ()
+
+
+class Domains:
+    """Kinds of documents in the order in which ties are settled, and the one that is left."""
+
+    def __init__(self, own: list[Domain], fallback: Domain):
+        self.own, self.fallback = list(own), fallback
+
+    def register(self, domain: Domain) -> Domains:
+        self.own.append(domain)
+        return self
+
+    def get(self, name: str) -> Domain | None:
+        """A registered domain, else the fallback by its name, else none."""
+        return next((d for d in [*self.own, self.fallback] if d.name == name), None)
+
+    def choose(self, docs: DataFrame) -> DataFrame:
+        """uri, domain, score: the highest score above 0.2, the first domain among equals, else
+        the fallback with its own."""
+        text = F.coalesce(F.col("text"), F.lit(""))
+        ranked = [F.struct(F.when(c > 0.2, c).otherwise(0.0).alias("score"), F.lit(-i).alias("order"), F.lit(d.name).alias("name")) for i, d in enumerate(self.own) for c in [d.score(text)]]
+        none = F.struct(F.lit(0.0).alias("score"), F.lit(1).alias("order"), F.lit("").alias("name"))
+        out = docs.select("uri", F.greatest(none, none, *ranked).alias("best"), self.fallback.score(text).alias("plain"))
+        hit = F.col("best.score") > 0
+        return out.select("uri", F.when(hit, F.col("best.name")).otherwise(self.fallback.name).alias("domain"), F.when(hit, F.col("best.score")).otherwise(F.col("plain")).alias("score"))
+
+    def validate(self, ws: g.Workspace, least: float = 0.5) -> DataFrame:
+        """The diagnostics of each document's domain where its score is above `least`."""
+        chosen = self.choose(ws.docs).where(F.col("score") > least)
+        found = [d.rules(ws).join(chosen.where(F.col("domain") == d.name).select("uri"), "uri", "left_semi") for d in [*self.own, self.fallback] if d.rules]
+        return union_all(found) if found else ws.docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def standard() -> Domains:
+    """Decision records, requests for comments, and what is neither."""
+    own = lambda name: lambda text: scores(text)[name]
+    return Domains([Domain("bridge", own("bridge"), adr_rules), Domain("rfc", own("rfc"), rfc_rules)], Domain("generic", own("generic")))
 
 
 def routed(ws: g.Workspace) -> DataFrame:
     """Diagnostics of the chosen domain where its score is above one half; documents that get
     none from it fall back to the older rules."""
-    chosen = choose(ws.docs).where("score > 0.5")
-    by = union_all([rules.join(chosen.where(F.col("domain") == name).select("uri"), "uri", "left_semi") for name, rules in (("bridge", adr_rules(ws)), ("rfc", rfc_rules(ws)))])
-    rest = old_adr_rules(ws).join(by.select("uri").distinct(), "uri", "left_anti")
-    return by.unionByName(rest.select(*by.columns))
+    by = standard().validate(ws)
+    rest = old_rules(ws).join(by.select("uri").distinct(), "uri", "left_anti")
+    return by.unionByName(rest)
 
 
 def token_type(element: Column, value: Column, domain: Column) -> Column:

@@ -14,7 +14,7 @@ from docloom.operators.lines import union_all
 from docloom.operators.perdoc import per_document
 from docloom.operators.rules import diagnostics
 
-BLOCKS = "uri string, idx int, selector string, kind string, level int, text string, items array<string>, language string, path string, alt string, width string, slide_layout string, slide_bullets int, slide_style string, document_style string, source_line int"
+BLOCKS = "uri string, idx int, selector string, kind string, level int, text string, items array<string>, language string, path string, alt string, width string, slide_path string, slide_layout string, slide_bullets int, slide_style string, document_style string, source_line int"
 META = "uri string, title string, author string, date string, template string, slide_master string, slide_layout string, slide_bullets int, document_template string, document_style string, other map<string,string>"
 #: Attributes with a place of their own, in META's order.
 ROUTES = ("author", "date", "template", "slide-master", "slide-layout", "slide-bullets", "document-template", "document-style")
@@ -163,13 +163,17 @@ def for_format(found: DataFrame, meta: DataFrame, fmt: str) -> DataFrame:
         return own
     own = own.join(meta.select("uri", F.col("slide_bullets").alias("_default")), "uri", "left")
     items = F.transform(bullet_limit(F.col("items"), F.col("slide_bullets"), F.col("_default")), lambda x: fx.slide_text(x))
-    return own.withColumn("items", F.when(F.col("kind") == "bullets", items).otherwise(F.col("items"))).withColumn("text", F.when(F.col("kind") == "paragraph", fx.slide_text(F.col("text"))).otherwise(F.col("text"))).withColumn("width", F.when(F.col("kind") == "image", F.coalesce("width", F.lit("80%"))).otherwise(F.col("width"))).drop("_default")
+    return own.withColumn("items", F.when(F.col("kind") == "bullets", items).otherwise(F.col("items"))).withColumn("text", F.when(F.col("kind") == "paragraph", fx.slide_text(F.col("text"))).otherwise(F.col("text"))).withColumn("width", F.when(F.col("kind") == "image", F.coalesce("width", F.lit("80%"))).otherwise(F.col("width"))).withColumn("path", F.coalesce("slide_path", "path")).drop("_default")
 
 
 def lint(docs: DataFrame) -> DataFrame:
-    """DUAL001, 002, 004 to 008 of each document (003 needs a slide path, which no source
-    line can give)."""
-    found, meta = blocks(docs), metadata(docs)
+    """DUAL001 to DUAL008 of each document. Source lines give no slide path, so 003 needs
+    blocks that got one since."""
+    return lint_blocks(blocks(docs), metadata(docs))
+
+
+def lint_blocks(found: DataFrame, meta: DataFrame) -> DataFrame:
+    """DUAL001 to DUAL008 of blocks and the metadata of their documents."""
     section = lambda s: F.count_if((F.col("kind") == "section") & (F.col("selector") == s))
     per = meta.join(found.groupBy("uri").agg(section("slide-only").alias("slides"), section("document-only").alias("docs"), F.bool_or(F.col("selector").isin("slide", "slide-only")).alias("shown")), "uri", "left").na.fill(0, ["slides", "docs"]).na.fill(False, ["shown"])
     line = F.col("source_line")
@@ -181,6 +185,7 @@ def lint(docs: DataFrame) -> DataFrame:
         [
             diagnostics(per.where("slides > 0 and docs = 0"), "DUAL001", "warning", F.lit("Slide-only sections have no corresponding document sections")),
             diagnostics(per.where("docs > 0 and slides = 0"), "DUAL002", "info", F.lit("Document-only sections exist without slide summaries")),
+            diagnostics(found.where("kind = 'image' and slide_path = path"), "DUAL003", "info", F.format_string("slide_path is same as path for image '%s'", "path"), line),
             diagnostics(images, "DUAL004", "warning", F.format_string("Slide image '%s' has no width specified", "path"), line),
             diagnostics(refs, "DUAL005", "warning", F.format_string("Cross-reference '%s' may not be defined", "id"), line),
             diagnostics(many, "DUAL006", "warning", F.format_string("Bullet list has %d items but slide limit is %d", F.size("items"), "most"), line),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import domains
+from docloom.operators import blocks, diagrams, domains, fixes, outline, rules
+from docloom.operators import graph as g
 from docloom.operators import lines as ln
+from docloom.settings import Settings
 
 #: Token types in the order of the legend.
 LEGEND = ("class", "enum", "enumMember", "keyword", "property", "string", "variable")
@@ -98,3 +100,145 @@ def selections(lns: DataFrame, folds: DataFrame, cursors: DataFrame) -> DataFram
 
     step = F.row_number().over(Window.partitionBy("uri", "ln").orderBy(F.col("end_ln") - F.col("start_ln"), "start_ln")) - 1
     return met.distinct().withColumn("step", step)
+
+
+#: What can be renamed at a cursor, in the order in which it is looked for: a name stands in
+#: the first group, behind so many signs. Definitions stand at a line's beginning only.
+TARGETS = (("section_id", r"(?U)\[\[([\w-]+)\]\]", 2), ("reference", r"(?U)<<([\w-]+)(?:,[^>]*)?\s*>>", 2), ("attribute", r"(?U)^\s*:([\w-]+):", None), ("attribute_usage", r"(?U)\{([\w-]+)\}", 1))
+
+
+def _at_cursor(lns: DataFrame, cursors: DataFrame) -> DataFrame:
+    return cursors.select("uri", "ln", "col").join(lns.select("uri", "ln", "line"), ["uri", "ln"])
+
+
+def _spans(pattern: str, shift: int | None) -> Column:
+    """Array of (name, start, end, from, to) of a pattern's matches in `line`: the name's place
+    and the whole match's."""
+    whole = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
+    places = F.expr(f"aggregate(regexp_extract_all(line, {ln._quoted(pattern)}, 0), named_struct('from', 1, 'cols', cast(array() as array<int>)), (a, m) -> named_struct('from', locate(m, line, a.from) + length(m), 'cols', array_append(a.cols, locate(m, line, a.from) - 1)), a -> a.cols)")
+    name = F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
+
+    def span(x: Column) -> Column:
+        start = x["at"] + (F.lit(shift) if shift is not None else F.instr(x["whole"], ":"))
+        return F.struct(x["name"].alias("name"), start.cast("int").alias("start"), (start + F.length(x["name"])).cast("int").alias("end"), x["at"].cast("int").alias("from"), (x["at"] + F.length(x["whole"])).cast("int").alias("to"))
+
+    return F.transform(F.arrays_zip(name.alias("name"), whole.alias("whole"), places.alias("at")), span)
+
+
+def rename_targets(lns: DataFrame, cursors: DataFrame) -> DataFrame:
+    """uri, ln, col, kind, name, start, end of what a cursor (uri, ln, col) that stands on a
+    name could rename: an id, a reference, an attribute's definition or use."""
+    found = F.lit(None).cast("struct<kind:string,name:string,start:int,end:int>")
+    for kind, pattern, shift in reversed(TARGETS):
+        hit = F.get(F.filter(_spans(pattern, shift), lambda x: (x["start"] <= F.col("col")) & (F.col("col") < x["end"])), F.lit(0))
+        found = F.when(hit.isNotNull(), F.struct(F.lit(kind).alias("kind"), hit["name"].alias("name"), hit["start"].alias("start"), hit["end"].alias("end"))).otherwise(found)
+    return _at_cursor(lns, cursors).select("uri", "ln", "col", found.alias("_f")).where("_f is not null").select("uri", "ln", "col", "_f.*")
+
+
+def inline_at(lns: DataFrame, cursors: DataFrame) -> DataFrame:
+    """uri, ln, col, start, end of the inline element at a cursor: a reference's id if the cursor
+    stands on it, else the whole reference; else the whole use of an attribute."""
+    on = lambda spans, a, b: F.get(F.filter(spans, lambda x: (x[a] <= F.col("col")) & (F.col("col") < x[b])), F.lit(0))
+    refs, uses = _spans(*TARGETS[1][1:]), _spans(*TARGETS[3][1:])
+    place = lambda x, a, b: F.when(x.isNotNull(), F.struct(x[a].alias("start"), x[b].alias("end")))
+    found = F.coalesce(place(on(refs, "start", "end"), "start", "end"), place(on(refs, "from", "to"), "from", "to"), place(on(uses, "from", "to"), "from", "to"))
+    return _at_cursor(lns, cursors).select("uri", "ln", "col", found.alias("_f")).where("_f is not null").select("uri", "ln", "col", "_f.*")
+
+
+def placed(found: DataFrame, ws: g.Workspace) -> DataFrame:
+    """uri, code, severity, message, start_ln, start_col, end_ln, end_col of diagnostics (uri,
+    code, severity, message, and line and column from 1, or start and end as character
+    offsets, or block as the index of a block; what is not known is null). Line and column
+    count before offsets, and these before the block; without any the place is the start.
+
+    A block is a line that begins with `=`, or one that is not blank behind a blank line."""
+    from pyspark.sql import Window
+
+    offset = found.where("(line is null or col is null) and start is not null").join(ws.docs.select("uri", "text"), "uri")
+    from docloom.functions import text as fx
+
+    at = lambda c: [fx.offset_line(F.col("text"), F.least(F.col(c), F.length("text"))), fx.offset_column(F.col("text"), F.least(F.col(c), F.length("text")))]
+    head = ["uri", "code", "severity", "message"]
+    place = lambda a, b, c, d: [x.cast("int").alias(n) for x, n in zip((a, b, c, d), ("start_ln", "start_col", "end_ln", "end_col"), strict=True)]
+    by_line = found.where("line is not null and col is not null").select(*head, *place(F.greatest(F.lit(0), F.col("line") - 1), F.greatest(F.lit(0), F.col("col") - 1), F.greatest(F.lit(0), F.col("line") - 1), F.col("col")))
+    by_offset = offset.select(*head, *place(*at("start"), *at("end")))
+    rest = found.where("(line is null or col is null) and start is null")
+    own = ws.lines.withColumn("_before", F.lag("line").over(Window.partitionBy("uri").orderBy("ln")))
+    bare = F.trim("line")
+    starts = own.where((bare != "") & (bare.startswith("=") | ((F.col("ln") > 0) & (F.trim("_before") == ""))))
+    numbered = starts.select("uri", (F.row_number().over(Window.partitionBy("uri").orderBy("ln")) - 1).alias("block"), F.col("ln").alias("_ln"), F.length("line").alias("_end"))
+    zero = F.lit(0)
+    by_block = rest.join(numbered, ["uri", "block"], "left").select(*head, *place(F.coalesce("_ln", zero), zero, F.coalesce("_ln", zero), F.coalesce("_end", zero)))
+    return ln.union_all([by_line, by_offset, by_block])
+
+
+def diagnostics(ws: g.Workspace, settings: Settings = Settings()) -> DataFrame:
+    """All that an editor shows of a workspace's documents: structure, writing, diagrams. What
+    settings turn off is not planned."""
+    heads = blocks.blocks(ws.docs).where("kind = 'heading'")
+    lined = heads.select("uri", "idx", "level", "ln")
+    structure = outline.hierarchy(lined).withColumn("idx", F.col("ln")).drop("ln").join(lined.select("uri", "idx", "ln"), ["uri", "idx"]).select(*rules.COLUMNS)
+    found = [structure, rules.quality(settings).run(ws)]
+    if settings.plugins.diagrams:
+        found.append(diagrams.lint(ws))
+    return ln.union_all(found)
+
+
+class Session:
+    """The open documents of an editor and what it asks of them: each request is a query over
+    the documents that it names, planned anew, so nothing is kept that could grow stale."""
+
+    def __init__(self, docs: DataFrame, settings: Settings = Settings()):
+        self.docs, self.settings = docs, settings
+
+    def with_settings(self, settings: Settings) -> Session:
+        """The session under other settings; diagnostics() then judges all documents again."""
+        return Session(self.docs, settings)
+
+    def workspace(self, *uris: str) -> g.Workspace:
+        return g.Workspace(self.docs.where(F.col("uri").isin(*uris)) if uris else self.docs)
+
+    def diagnostics(self, *uris: str) -> DataFrame:
+        return diagnostics(self.workspace(*uris), self.settings)
+
+    def folding(self, uri: str) -> DataFrame:
+        return outline.folds(self.workspace(uri).lines)
+
+    def symbols(self, uri: str) -> DataFrame:
+        return self.workspace(uri).symbols
+
+    def find_symbols(self, query: str) -> DataFrame:
+        return g.search_symbols(self.workspace().symbols, query)
+
+    def selection(self, cursors: DataFrame) -> DataFrame:
+        lns = g.Workspace(self.docs.join(cursors.select("uri").distinct(), "uri", "left_semi")).lines
+        return selections(lns, outline.folds(lns), cursors)
+
+    def can_rename(self, cursors: DataFrame) -> DataFrame:
+        return rename_targets(self.workspace().lines, cursors)
+
+    def rename(self, old: str, new: str) -> DataFrame:
+        return fixes.rename_edits(self.workspace(), old, new)
+
+    def complete(self, uri: str, before: str) -> DataFrame:
+        """Labels that may follow a line's beginning: ids for a reference, else by domain."""
+        ws = self.workspace(uri)
+        context = ws.docs.select(completion_context(F.lit(before)).alias("c")).select("c.*")
+        ids = self.workspace().all_definitions.select(F.lit(uri).alias("uri"), F.lit("xref").alias("kind"), F.col("id").alias("label")).distinct()
+        wanted = context.where("kind = 'xref'").select(F.col("prefix").alias("_p"))
+        by_id = ids.join(F.broadcast(wanted), F.col("label").startswith(F.col("_p"))).drop("_p")  # one row at most
+        asked = domains.choose(ws.docs).select("uri", F.lit(before).alias("prefix"), "domain")
+        return by_id.unionByName(completions(asked).select("uri", "kind", "label"))
+
+    def actions(self, uri: str) -> DataFrame:
+        """Edits offered for one document: missing sections and values out of a list."""
+        from docloom.operators import views
+
+        ws = self.workspace(uri)
+        statuses = views.status_actions(domains.old_rules(ws).withColumn("code", F.when(F.col("code") == "DOM001", "ADR002").otherwise("")))
+        own = fixes.section_inserts(ws)
+        return own.unionByName(statuses.select("uri", "ln", "col", "end_col", "new_text", F.format_string("Change status to '%s'", "new_text").alias("title"), (F.col("new_text") == "Draft").alias("preferred")))
+
+    def tokens(self, uri: str) -> DataFrame:
+        ws = self.workspace(uri)
+        return tokens(ws.lines, domains.choose(ws.docs))

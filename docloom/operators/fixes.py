@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators import domains
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
 
@@ -14,7 +15,7 @@ EDITS = ("uri", "ln", "col", "end_col", "new_text", "title")
 def status_edits(found: DataFrame, ws: g.Workspace) -> DataFrame:
     """For each BRIDGE001 the edit that sets the superseded document's first status line to
     Deprecated; other codes have no such edit."""
-    ids = found.where("code = 'BRIDGE001'").select(F.regexp_extract("message", r"^Superseded document '([^']+)'", 1).alias("id")).distinct()
+    ids = found.where("code = 'BRIDGE001'").select(F.col("subject").alias("id")).distinct()
     to = ids.join(ws.definitions.select("id", "uri"), "id")
     pattern = r"^:status:\s*(.*)$"
     lines = ws.lines.where(F.col("line").rlike(pattern)).groupBy("uri").agg(F.min_by(F.struct("ln", "line"), "ln").alias("at")).select("uri", "at.*")
@@ -35,10 +36,22 @@ def orphan_edits(found: DataFrame, ws: g.Workspace) -> DataFrame:
 
 def section_edits(found: DataFrame) -> DataFrame:
     """For each ADR001 the edit that adds the section at the document's end."""
-    name = F.regexp_extract("message", r"section: '([^']+)'", 1)
+    name = F.col("subject")
     return found.where("code = 'ADR001'").select("uri", "ln", F.lit(0).alias("col"), F.lit(0).alias("end_col"), F.concat(F.lit("\n== "), name, F.lit("\n\n")).alias("new_text"), F.format_string("Add section '%s'", name).alias("title"))
 
 
+def section_inserts(ws: g.Workspace) -> DataFrame:
+    """For each section that a decision record lacks, by the older rules, the edit that inserts
+    its template behind the last line that is not blank; where several are missing also one
+    edit for all of them, which is preferred."""
+    lacking = domains.old_missing(ws)
+    text = F.concat(F.lit("\n== "), F.col("section"), F.lit("\n\n// TODO: "), domains.described(F.col("section")), F.lit("\n"))
+    each = lacking.select("uri", "ln", F.lit(0).alias("col"), F.lit(0).alias("end_col"), text.alias("new_text"), F.format_string("Insert '%s' section", "section").alias("title"), F.lit(False).alias("preferred"), "rank")
+    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "new_text"))), lambda x: x["new_text"]), "")
+    every = each.groupBy("uri", "ln").agg(order.alias("new_text"), F.count("*").alias("n")).where("n > 1")
+    return each.drop("rank").unionByName(every.select("uri", "ln", F.lit(0).alias("col"), F.lit(0).alias("end_col"), "new_text", F.lit("Insert all missing ADR sections").alias("title"), F.lit(True).alias("preferred")))
+
+
 def fixes(found: DataFrame, ws: g.Workspace) -> DataFrame:
     """All edits by rule code; BRIDGE002 has none."""
     return ln.union_all([status_edits(found, ws), orphan_edits(found, ws), section_edits(found)])

@@ -25,14 +25,39 @@ def to_cells(rows: DataFrame, key: str = "table_id", order: str = "r", cells: st
     return rows.select(key, order, F.posexplode(cells).alias("c", "v"))
 
 
+#: Rows of a table that one row of its skeleton stands for until they are dealt out.
+STRIDE = 4096
+
+
+def dense_rows(cells: DataFrame) -> DataFrame:
+    """table_id, r, cells of ranges (table_id, r, c, v, and bounds r0, r1, c0, c1 that are the same
+    for a table): every row and column, absent cells empty; a null r1 or c1 reaches to the
+    table's last row or column. A reversed range has no rows.
+
+    Cells meet by row; only row numbers are made up, in strides that are dealt out first."""
+    bounds = cells.groupBy("table_id").agg(*(F.first(c).alias(c) for c in ("r0", "c0")), F.coalesce(F.first("r1"), F.max("r")).alias("r1"), F.coalesce(F.first("c1"), F.max("c")).alias("c1")).where("r1 >= r0 and c1 >= c0")
+    strides = bounds.withColumn("_at", F.explode(F.sequence(F.col("r0"), F.col("r1"), F.lit(STRIDE)))).repartition("table_id", "_at")
+    rows = strides.select("table_id", "c0", "c1", F.explode(F.sequence(F.col("_at"), F.least(F.col("r1"), F.col("_at") + STRIDE - 1))).alias("r"))
+    held = cells.where("c >= c0").groupBy("table_id", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("_held"))
+    met = rows.join(held, ["table_id", "r"], "left")
+    found = F.array_sort(F.map_entries("_held"))  # in order of columns
+    filled = F.transform(F.sequence("c0", "c1"), lambda c: F.coalesce(F.try_element_at("_held", c), F.lit("")))
+    whole = F.when(F.col("_held").isNull(), F.array_repeat(F.lit(""), F.col("c1") - F.col("c0") + 1)).when((F.size("_held") == F.col("c1") - F.col("c0") + 1) & (F.get(found, F.lit(0))["key"] == F.col("c0")) & (F.element_at(found, -1)["key"] == F.col("c1")), F.transform(found, lambda e: e["value"])).otherwise(filled)
+    return met.select("table_id", "r", whole.alias("cells"))
+
+
+def bounded(cells: DataFrame, spec: RangeSpec) -> DataFrame:
+    """The cells of a range with its bounds, as dense_rows takes them."""
+    last = lambda x: F.lit(x).cast("int")
+    own = cells.withColumns({"r0": last(spec.r0), "r1": last(spec.r1), "c0": last(spec.c0), "c1": last(spec.c1)})
+    return own
+
+
 def dense(cells: DataFrame, spec: RangeSpec) -> DataFrame:
     """table_id, r, c, v: every cell of a range, absent ones empty; open ends reach to the
     table's last row or column. A reversed range has no cells."""
-    bounds = cells.groupBy("table_id").agg(F.max("r").alias("_r"), F.max("c").alias("_c"))
-    end = lambda fixed, col: F.lit(fixed) if fixed is not None else F.col(col)
-    grid = bounds.select("table_id", F.explode(F.when(end(spec.r1, "_r") >= spec.r0, F.sequence(F.lit(spec.r0), end(spec.r1, "_r")))).alias("r"), end(spec.c1, "_c").alias("_to"))
-    grid = grid.withColumn("c", F.explode(F.when(F.col("_to") >= spec.c0, F.sequence(F.lit(spec.c0), F.col("_to"))))).drop("_to")
-    return grid.join(cells, ["table_id", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit("")))
+    rows = dense_rows(bounded(cells, spec))
+    return rows.select("table_id", "r", F.posexplode("cells").alias("c", "v")).withColumn("c", (F.col("c") + spec.c0).cast("int"))
 
 
 def assembled(cells: DataFrame) -> DataFrame:

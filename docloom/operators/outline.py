@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import lines as ln
+from docloom.operators.perdoc import in_order
 from docloom.operators.rules import diagnostics
 
 
@@ -23,21 +24,40 @@ def hierarchy(headings: DataFrame) -> DataFrame:
     return diagnostics(jumps, "DOC101", "warning", message, F.col("idx"))
 
 
-def heading_tree(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level", deepest: int = 9) -> DataFrame:
+def _nested(headings: DataFrame, uri: str, order: str, level: str, step, name: str) -> DataFrame:
+    own = headings.select(F.col(uri).alias("uri"), F.col(order).alias("idx"), F.col(level).cast("int").alias("level"))
+    kind = {c: own.schema[c].dataType.simpleString() for c in ("uri", "idx")}
+    return in_order(own, ["uri"], ["idx"], step, f"uri {kind['uri']}, idx {kind['idx']}, level int, {name} {kind['idx']}")
+
+
+def heading_tree(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level") -> DataFrame:
     """uri, idx, level, parent_idx: the parent is the nearest heading before of a smaller
-    level. For each level the last heading of it is carried along in one window."""
-    w = Window.partitionBy(uri).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(w) for k in range(1, deepest)]
-    parent = F.greatest(F.lit(None).cast("int"), *(F.when(F.col(level) > k, last[k - 1]) for k in range(1, deepest)))
-    return headings.select(F.col(uri).alias("uri"), F.col(order).alias("idx"), F.col(level).alias("level"), parent.alias("parent_idx"))
+    level, whatever the levels. What is open is a stack, as deep as headings nest."""
+
+    def step(key, rows):
+        above: list[tuple] = []
+        for idx, deep in rows:
+            while above and above[-1][1] >= deep:
+                above.pop()
+            yield *key, idx, deep, above[-1][0] if above else None
+            above.append((idx, deep))
+
+    return _nested(headings, uri, order, level, step, "parent_idx")
 
 
-def section_ends(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level", deepest: int = 9) -> DataFrame:
+def section_ends(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level") -> DataFrame:
     """uri, idx, level, next_idx: the next heading of the same or a smaller level, or null."""
-    w = Window.partitionBy(uri).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    first = [F.first(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(w) for k in range(1, deepest)]
-    nearest = F.least(F.lit(None).cast("int"), *(F.when(F.col(level) >= k, first[k - 1]) for k in range(1, deepest)))
-    return headings.select(F.col(uri).alias("uri"), F.col(order).alias("idx"), F.col(level).alias("level"), nearest.alias("next_idx"))
+
+    def step(key, rows):
+        above: list[tuple] = []
+        for idx, deep in rows:
+            while above and above[-1][1] >= deep:
+                yield *key, *above.pop(), idx
+            above.append((idx, deep))
+        for own in above:
+            yield *key, *own, None
+
+    return _nested(headings, uri, order, level, step, "next_idx")
 
 
 def folds(lns: DataFrame) -> DataFrame:
@@ -55,11 +75,19 @@ def folds(lns: DataFrame) -> DataFrame:
 
 
 def closing_delimiters(lns: DataFrame) -> DataFrame:
-    """uri, ln, end_ln: for each delimiter the next line of its sign that is at least as long."""
+    """uri, ln, end_ln: for each delimiter the next line of its sign that is at least as long.
+    Delimiters that wait for their end are a stack, the longest below."""
     bare = F.trim("line")
-    own = lns.where(bare.rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,}|_{4,})$")).select("uri", "ln", F.substring(bare, 1, 1).alias("sign"), F.length(bare).alias("size"))
-    later = own.select("uri", "sign", F.col("ln").alias("end_ln"), F.col("size").alias("end_size"))
-    return own.join(later, ["uri", "sign"]).where("end_ln > ln and end_size >= size").groupBy("uri", "ln").agg(F.min("end_ln").alias("end_ln"))
+    own = lns.where(bare.rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,}|_{4,})$")).select("uri", F.substring(bare, 1, 1).alias("sign"), "ln", F.length(bare).alias("size"))
+
+    def step(key, rows):
+        waiting: list[tuple] = []
+        for ln_, size in rows:
+            while waiting and waiting[-1][1] <= size:
+                yield key[0], waiting.pop()[0], ln_
+            waiting.append((ln_, size))
+
+    return in_order(own, ["uri", "sign"], ["ln"], step, f"uri {own.schema['uri'].dataType.simpleString()}, ln int, end_ln int")
 
 
 def last_heading(rows: DataFrame, uri: str, order: str, heading: str) -> DataFrame:

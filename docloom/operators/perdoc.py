@@ -4,6 +4,7 @@ task holds no more than a batch of documents."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,3 +26,30 @@ def per_document(docs: DataFrame, parse: Callable[[str, str], Iterator[tuple]],
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return docs.select("uri", "text").mapInArrow(run, struct)
+
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str, at_once: int = 4096) -> DataFrame:
+    """The rows that `step(key, rows)` yields for each group of equal keys, whose rows stream by
+    in order: no group has to fit into memory, and what `step` holds is its own affair."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = rows.sparkSession.createDataFrame([], schema).schema
+    arrow, n = to_arrow_schema(struct), len(keys)
+
+    def run(batches):
+        each = (row for batch in batches for start in range(0, batch.num_rows, at_once) for row in zip(*(c.to_pylist() for c in batch.slice(start, at_once).columns), strict=True))
+        held: list[tuple] = []
+
+        def batch():
+            cols = list(zip(*held, strict=True)) if held else [()] * len(arrow)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        for key, group in groupby(each, key=lambda row: row[:n]):
+            for out in step(key, (row[n:] for row in group)):
+                held.append(out)
+                if len(held) >= at_once:
+                    yield batch()
+        yield batch()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, struct)

@@ -1,12 +1,16 @@
 """User-written rules: a Python function over one document's blocks, run on the executors,
-with its results coerced to diagnostics. Protocols of the other extension points."""
+with its results coerced to diagnostics. Kinds of documents are registered in domains.Domains,
+tabular sources in sources.connector."""
 
 from __future__ import annotations
 
+import signal
+import sys
+import threading
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from docloom.operators import blocks
 from docloom.operators import graph as g
@@ -26,22 +30,6 @@ class ComplianceRule(Protocol):
     def __call__(self, ws: g.Workspace, severity: str) -> DataFrame: ...
 
 
-class Domain(Protocol):
-    """A kind of document: a score of a text and rules over a workspace."""
-
-    def score(self, text: Column) -> Column: ...
-
-    def validate(self, ws: g.Workspace) -> DataFrame: ...
-
-
-class DataSource(Protocol):
-    """A table of strings: cells of a range, sheets, the first of them."""
-
-    def read_range(self, sheet: str, text: str) -> DataFrame: ...
-
-    def sheets(self) -> list[str]: ...
-
-
 class RuleError(ValueError):
     pass
 
@@ -68,10 +56,49 @@ def coerced(rule: str, item: dict | str) -> tuple:
     return rule, text("code"), severity if severity in SEVERITIES else "warning", text("message"), text("help"), text("suggestion"), text("file"), text("context")
 
 
-def run(docs: DataFrame, rules: dict[str, Rule], most: int = 10_000) -> DataFrame:
+class Limits:
+    """Stops a rule that takes more than so many steps (lines run, its calls counted too) or
+    seconds on one document. Steps are counted by tracing, seconds by an alarm, which also
+    ends what runs within one call; either raises RuleError where the rule stands."""
+
+    def __init__(self, name: str, steps: int, seconds: float):
+        self.name, self.steps, self.seconds = name, steps, seconds
+
+    def _trace(self, frame, event, arg):
+        if event in ("line", "call"):
+            self.left -= 1
+            if self.left < 0:
+                raise RuleError(f"{self.name}: more than {self.steps} steps")
+        return self._trace
+
+    def _alarm(self, *_):
+        raise RuleError(f"{self.name}: more than {self.seconds:g} seconds")
+
+    def results(self, rule: Rule, doc: dict) -> Iterator[dict | str]:
+        """A rule's results; between them nothing is traced."""
+        self.left = self.steps
+        timed = threading.current_thread() is threading.main_thread()
+        before = sys.gettrace()
+        handler = signal.signal(signal.SIGALRM, self._alarm) if timed else None
+        try:
+            if timed:
+                signal.setitimer(signal.ITIMER_REAL, self.seconds)
+            sys.settrace(self._trace)
+            try:
+                found = list(rule(doc))
+            finally:
+                sys.settrace(before)
+        finally:
+            if timed:
+                signal.setitimer(signal.ITIMER_REAL, 0)
+                signal.signal(signal.SIGALRM, handler)
+        return iter(found)
+
+
+def run(docs: DataFrame, rules: dict[str, Rule], steps: int = 100_000, seconds: float = 10.0) -> DataFrame:
     """The diagnostics of each rule on each document. A rule gets title, attributes and blocks;
-    one that fails, or yields more than `most` results, is a diagnostic of its own and the
-    other rules go on."""
+    its results count once it is through. One that fails, or takes more than `steps` or
+    `seconds` on a document, is a diagnostic of its own and the other rules go on."""
 
     def parse(uri: str, text: str) -> Iterator[tuple]:
         own = blocks.read(text)
@@ -79,12 +106,10 @@ def run(docs: DataFrame, rules: dict[str, Rule], most: int = 10_000) -> DataFram
         doc = {"uri": uri, "title": own.title, "attributes": own.attributes, "blocks": [dict(zip(names, b, strict=True)) for b in own.out]}
         for name, rule in rules.items():
             try:
-                for n, item in enumerate(rule(doc)):
-                    if n >= most:
-                        raise RuleError(f"{name}: more than {most} results")
-                    yield (uri, *coerced(name, item))
+                found = [coerced(name, item) for item in Limits(name, steps, seconds).results(rule, doc)]
             except Exception as e:  # a user's rule may do anything
-                yield (uri, *coerced(name, diagnostic(f"Rule failed: {type(e).__name__}: {e}", "error", "PLUGIN")))
+                found = [coerced(name, diagnostic(f"Rule failed: {type(e).__name__}: {e}", "error", "PLUGIN"))]
+            yield from ((uri, *f) for f in found)
 
     return per_document(docs, parse, RESULTS)
 

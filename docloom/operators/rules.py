@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from docloom.functions import text as fx
 from docloom.operators import graph as g
 from docloom.operators.lines import union_all
+from docloom.settings import Settings, severity
 
-COLUMNS = ("uri", "code", "severity", "message", "ln", "col", "end_col")
+COLUMNS = ("uri", "code", "severity", "message", "ln", "col", "end_col", "subject")
+SCHEMA = "uri string, code string, severity string, message string, ln int, col int, end_col int, subject string"
 
 
-def diagnostics(df: DataFrame, code: Column | str, severity: Column | str, message: Column, ln: Column | int = 0, col: Column | int = 0, end_col: Column | int | None = None) -> DataFrame:
-    lit = lambda x: F.lit(x) if isinstance(x, (str, int)) else x
-    return df.select("uri", lit(code).alias("code"), lit(severity).alias("severity"), message.alias("message"), lit(ln).cast("int").alias("ln"), lit(col).cast("int").alias("col"), lit(col if end_col is None else end_col).cast("int").alias("end_col"))
+def diagnostics(df: DataFrame, code: Column | str, severity: Column | str, message: Column, ln: Column | int = 0, col: Column | int = 0, end_col: Column | int | None = None, subject: Column | str | None = None) -> DataFrame:
+    """COLUMNS of each row; the subject is what a diagnostic is about (an id, a section), for
+    those who mend it."""
+    lit = lambda x: F.lit(x) if x is None or isinstance(x, (str, int)) else x
+    about = F.col(subject) if isinstance(subject, str) else lit(subject)
+    return df.select("uri", lit(code).alias("code"), lit(severity).alias("severity"), message.alias("message"), lit(ln).cast("int").alias("ln"), lit(col).cast("int").alias("col"), lit(col if end_col is None else end_col).cast("int").alias("end_col"), about.cast("string").alias("subject"))
 
 
 def superseded_status(ws: g.Workspace, severity: str = "error") -> DataFrame:
@@ -34,7 +39,7 @@ def superseded_status(ws: g.Workspace, severity: str = "error") -> DataFrame:
         .when(F.col("status").isNull(), F.format_string("Superseded document '%s' has no :status: attribute; it must be Deprecated or Superseded", "id"))
         .otherwise(F.format_string("Superseded document '%s' has status '%s' but must be Deprecated or Superseded", "id", "status"))
     )
-    return diagnostics(bad, F.when(missing, "BRIDGE002").otherwise("BRIDGE001"), F.when(missing | F.col("status").isNull(), "warning").otherwise(severity), message)
+    return diagnostics(bad, F.when(missing, "BRIDGE002").otherwise("BRIDGE001"), F.when(missing | F.col("status").isNull(), "warning").otherwise(severity), message, subject="id")
 
 
 def orphaned(ws: g.Workspace, severity: str = "warning") -> DataFrame:
@@ -46,18 +51,17 @@ def orphaned(ws: g.Workspace, severity: str = "warning") -> DataFrame:
 def broken_links(ws: g.Workspace, severity: str = "warning") -> DataFrame:
     """WS001: references to ids that nothing defines, each once."""
     bad = g.broken_links(ws)
-    return diagnostics(bad, "WS001", severity, F.format_string("Broken reference: '%s' is not defined", "id"), F.col("ln"), F.col("col"), F.col("col") + F.length("id"))
+    return diagnostics(bad, "WS001", severity, F.format_string("Broken reference: '%s' is not defined", "id"), F.col("ln"), F.col("col"), F.col("col") + F.length("id"), "id")
 
 
 def passive_voice(ws: g.Workspace, severity: str = "info") -> DataFrame:
     hits = ws.lines.select("uri", "ln", F.explode(fx.passive_hits(F.col("line"))).alias("verb"))
-    return diagnostics(hits, "QUALITY001", severity, F.format_string("Passive voice detected: '%s'. Consider using active voice.", "verb"), F.col("ln"))
+    return diagnostics(hits, "QUALITY001", severity, F.format_string("Passive voice detected: '%s'. Consider using active voice.", "verb"), F.col("ln"), subject="verb")
 
 
 def weasel_words(ws: g.Workspace, severity: str = "info", words: tuple[str, ...] = fx.WEASEL_WORDS) -> DataFrame:
-    each = ws.lines.select("uri", "ln", "line", F.explode(F.array(*map(F.lit, words))).alias("word"))
-    hits = each.withColumn("n", fx.weasel_count(F.col("line"), F.col("word"))).where("n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return diagnostics(hits, "QUALITY002", severity, F.format_string("Weasel word detected: '%s'. Consider removing for stronger writing.", "word"), F.col("ln"))
+    hits = ws.lines.select("uri", "ln", F.explode(fx.weasel_hits(F.col("line"), words)).alias("word"))
+    return diagnostics(hits, "QUALITY002", severity, F.format_string("Weasel word detected: '%s'. Consider removing for stronger writing.", "word"), F.col("ln"), subject="word")
 
 
 @dataclass
@@ -78,14 +82,24 @@ class Registry:
         if len([s for s in self.severities.values() if s]) > 1:
             ws = ws.indexed()
         on = [rule(ws, severity=self.severities[name]) for name, rule in self.rules.items() if self.severities[name]]
-        return union_all(on) if on else ws.docs.sparkSession.createDataFrame([], "uri string, code string, severity string, message string, ln int, col int, end_col int")
+        return union_all(on) if on else ws.docs.sparkSession.createDataFrame([], SCHEMA)
 
     def result(self, ws: g.Workspace) -> DataFrame:
         return score(self.run(ws), ws.docs, len(self.rules))
 
 
-def bridge() -> Registry:
-    return Registry().add("superseded_status", superseded_status, "error").add("orphaned", orphaned, "warning")
+def bridge(settings: Settings = Settings()) -> Registry:
+    """The rules of the compliance audit, by their severities; those that are left out count as
+    rules of the score none the less."""
+    own = settings.bridge
+    return Registry().add("superseded_status", superseded_status, severity(own.superseded_status)).add("orphaned", orphaned, severity(own.orphans))
+
+
+def quality(settings: Settings = Settings()) -> Registry:
+    """The rules of writing, with a settings' own words; none where it turns them off."""
+    on = "info" if settings.plugins.writing_quality else None
+    words = settings.plugins.custom_weasel_words
+    return Registry().add("passive_voice", passive_voice, on).add("weasel_words", lambda ws, severity="info": weasel_words(ws, severity, words), on if words else None)
 
 
 def score(found: DataFrame, docs: DataFrame, n_rules: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fx
-from docloom.operators import blocks, contract, diagrams, domains, dual, editor, fixes, grids, outline, reports, rules, slides
+from docloom.operators import blocks, contract, diagrams, domains, dual, editor, fixes, grids, outline, prose, reports, rules, slides
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
 from docloom.plans import corpus
@@ -57,36 +57,29 @@ LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
 PASSIVE = LINES + ", p AS (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(lower(line), '{a}([^\\s.,]*ed)[\\s.,]', 1)) AS verb FROM l" for a in fx.AUXILIARIES) + "), h AS (SELECT doc_id, verb FROM p WHERE length(verb) > 3)"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "text", fx.readability(F.col("text")).alias("score"))
-
-
 def _as_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), F.col("doc_id").alias("load_ord"), "text")
 
 
 def _passive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lns = ln.lines(_as_docs(spark, sf_dir))
-    return lns.select(F.col("load_ord").alias("doc_id"), F.explode(fx.passive_hits(F.col("line"))).alias("verb"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(fx.passive_hits(F.col("text"))).alias("verb"))
 
 
 @query(READABILITY + "SELECT lang, count(*) AS n_docs, round(avg(score), 4) AS avg_score, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(syl) AS BIGINT) AS n_syllables FROM r GROUP BY lang")
 def quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    own = docs.select("lang", fx.readability(F.col("text")).alias("score"), F.size(fx.words(F.col("text"))).alias("n"), fx.syllables(F.col("text")).alias("syl"))
-    return own.groupBy("lang").agg(F.count("*").alias("n_docs"), F.round(F.avg("score"), 4).alias("avg_score"), F.sum("n").alias("n_words"), F.sum("syl").cast("long").alias("n_syllables"))
+    own = prose.summary(read(spark, sf_dir, "documents"), "lang")
+    return own.groupBy("lang").agg(F.count("*").alias("n_docs"), F.round(F.avg("readability"), 4).alias("avg_score"), F.sum("words").cast("long").alias("n_words"), F.sum("syllables").cast("long").alias("n_syllables"))
 
 
 @query(READABILITY + f", {PASSIVE}, c AS (SELECT doc_id, count(*) AS passive FROM h GROUP BY doc_id) SELECT r.doc_id, coalesce(passive, 0) AS passive, round(score, 3) AS readability, {GRADE} AS grade FROM r LEFT JOIN c USING (doc_id)")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _passive(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("passive"))
-    own = _scored(spark, sf_dir).join(per, "doc_id", "left")
-    return own.select("doc_id", F.coalesce("passive", F.lit(0)).alias("passive"), F.round("score", 3).alias("readability"), fx.grade(F.col("score")).alias("grade"))
+    own = prose.summary(read(spark, sf_dir, "documents"), "doc_id")
+    return own.select("doc_id", F.col("passive").cast("long").alias("passive"), F.round("readability", 3).alias("readability"), "grade")
 
 
 @query(READABILITY + f"SELECT {GRADE} AS grade, count(*) AS n FROM r GROUP BY ALL")
 def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).groupBy(fx.grade(F.col("score")).alias("grade")).agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "documents").groupBy(fx.grade(fx.readability(F.col("text"))).alias("grade")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PASSIVE} SELECT doc_id, verb, count(*) AS n FROM h GROUP BY ALL")
@@ -96,9 +89,8 @@ def passive_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents) SELECT doc_id, word, count(*) AS n FROM t WHERE word IN ('the', 'that', 'was', 'very') GROUP BY ALL")
 def weasel_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array(*map(F.lit, ("the", "that", "was", "very")))
-    each = ln.lines(_as_docs(spark, sf_dir)).select(F.col("load_ord").alias("doc_id"), "line", F.explode(words).alias("word"))
-    return each.groupBy("doc_id", "word").agg(F.sum(fx.weasel_count(F.col("line"), F.col("word"))).alias("n")).where("n > 0")
+    hits = fx.weasel_hits(F.col("text"), ("the", "that", "was", "very"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(trim(regexp_replace(p_name, '^[0-9.]+', ''))), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS heading_slug,
@@ -536,8 +528,8 @@ def style_auto_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT s_suppkey, s_nationkey % 12 AS lvl, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE 'r' END AS role FROM supplier)
-SELECT severity, message, count(*) AS n FROM (SELECT 'error' AS severity, 'Heading level ' || lvl || ' is out of range 1-9' AS message FROM a WHERE lvl NOT BETWEEN 1 AND 9 UNION ALL SELECT 'error', 'Empty role' FROM a WHERE role = ''
- UNION ALL SELECT 'warning', 'Missing original bookmark' FROM a WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'error', 'External link without URL' FROM a WHERE s_suppkey % 5 = 0) GROUP BY ALL""")
+SELECT severity, message, count(*) AS n FROM (SELECT 'error' AS severity, 'Heading level ' || lvl || ' is out of range [1,9]' AS message FROM a WHERE lvl NOT BETWEEN 1 AND 9 UNION ALL SELECT 'error', 'Role must not be empty' FROM a WHERE role = ''
+ UNION ALL SELECT 'warning', 'Missing original_bookmark - round-trip restoration may fail' FROM a WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'error', 'External hyperlink must have a URL' FROM a WHERE s_suppkey % 5 = 0) GROUP BY ALL""")
 def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     own = read(spark, sf_dir, "supplier")

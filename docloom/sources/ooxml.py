@@ -3,6 +3,7 @@ what follows from its parts are DataFrame operations."""
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from io import BytesIO
@@ -155,6 +156,64 @@ def relationships(files: DataFrame, part: str = "word/_rels/document.xml.rels")
     return per_archive(files, parse, "uri string, rid string, target string, type string, external boolean")
 
 
+def added_relationships(rels: DataFrame, new: DataFrame) -> DataFrame:
+    """Relationships (uri, rid, target, type, external) with new ones (uri, pos, target, type) of
+    documents behind them: their ids count on from the highest number, in order of pos.
+    A hyperlink to the web is external."""
+    free = next_relationship_id(rels).select("uri", F.expr("cast(substring(rid, 4) as int)").alias("_free"))
+    met = new.join(free, "uri", "left")
+    number = F.coalesce("_free", F.lit(1)) + F.row_number().over(Window.partitionBy("uri").orderBy("pos")) - 1
+    external = F.col("type").contains("hyperlink") & F.col("target").startswith("http")
+    return rels.unionByName(met.select("uri", F.concat(F.lit("rId"), number.cast("string")).alias("rid"), "target", "type", external.alias("external")))
+
+
+#: Name spaces of relationship parts and of their types.
+PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+TYPES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
+
+
+def relationships_xml(rels: DataFrame) -> DataFrame:
+    """uri, xml: a document's relationships part, in order of the numbers of their ids."""
+    mode = F.when(F.col("external"), ' TargetMode="External"').otherwise("")
+    line = F.concat(F.lit('  <Relationship Id="'), fx.escape_xml(F.col("rid")), F.lit(f'" Type="{TYPES}'), fx.escape_xml(F.col("type")), F.lit('" Target="'), fx.escape_xml(F.col("target")), F.lit('"'), mode, F.lit("/>\n"))
+    order = F.coalesce(F.expr("try_cast(substring(rid, 4) as int)"), F.lit(2**31 - 1))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("n"), "rid", line.alias("line")))), lambda x: x["line"]), "")
+    return rels.groupBy("uri").agg(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Relationships xmlns="{PACKAGE}">\n'), body, F.lit("</Relationships>")).alias("xml"))
+
+
+ELEMENT = "struct<type:string,source:string,hash:string,description:string>"
+MANIFEST = f"struct<version:string,generator:string,generated_at:string,elements:map<string,{ELEMENT}>>"
+
+
+def manifests(elements: DataFrame, generated_at: Column, generator: str = "docloom") -> DataFrame:
+    """uri, json: the manifest of a document's elements (uri, id, type, source, hash,
+    description), without what is null."""
+    entry = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("type", "source", "hash", "description")))))
+    own = elements.groupBy("uri").agg(entry.alias("elements"))
+    return own.select("uri", F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit(generator).alias("generator"), generated_at.alias("generated_at"), "elements"), {"ignoreNullFields": "true"}).alias("json"))
+
+
+def read_manifests(rows: DataFrame) -> DataFrame:
+    """uri, id, type, source, hash, description of the elements of manifests (uri, json); one
+    that is no manifest has none."""
+    own = rows.select("uri", F.from_json("json", MANIFEST).alias("m")).where("m.elements is not null")
+    return own.select("uri", F.explode("m.elements").alias("id", "e")).select("uri", "id", "e.*")
+
+
+def element_of(elements: Column, name: Column) -> Column:
+    """An element of a manifest's map, null without it."""
+    return F.try_element_at(elements, name)
+
+
+def with_element(elements: Column, name: Column, element: Column) -> Column:
+    """The map with an element put in, or in place of the one of that name."""
+    return F.map_concat(without_element(elements, name), F.create_map(name, element))
+
+
+def without_element(elements: Column, name: Column) -> Column:
+    return F.map_filter(elements, lambda k, _: k != name)
+
+
 def next_relationship_id(rels: DataFrame) -> DataFrame:
     """uri, rid that a new relationship gets: one more than the highest number."""
     n = F.expr("try_cast(substring(rid, 4) as int)")
@@ -327,12 +386,15 @@ def layout_type(name: Column) -> Column:
 
 
 def slide_layouts(files: DataFrame) -> DataFrame:
-    """uri, layout_index (from 1, by file name), name, layout, placeholders (idx, type) of a
-    presentation template; a center-title placeholder makes a title layout."""
+    """uri, layout_index (the number that a part's name bears), name, layout, placeholders (idx,
+    type) of a presentation template; a center-title placeholder makes a title layout."""
 
     def parse(uri: str, z: ZipFile) -> Iterator[tuple]:
-        names = sorted(n for n in z.namelist() if n.startswith("ppt/slideLayouts/slideLayout") and n.endswith(".xml"))
-        for index, part in enumerate(names, 1):
+        for part in z.namelist():
+            number = re.fullmatch(r"ppt/slideLayouts/slideLayout(\d+)\.xml", part)
+            index = int(number[1]) if number else 0
+            if not index:
+                continue
             root = _xml(z, part)
             common = root.find(P + "cSld")
             marks = [{"idx": int(ph.get("idx", "0")), "type": ph.get("type", "body")} for ph in root.iter(P + "ph")]
@@ -343,6 +405,42 @@ def slide_layouts(files: DataFrame) -> DataFrame:
     return out.withColumn("layout", F.when(centre, "title").otherwise(layout_type(F.col("name"))))
 
 
+def themes(files: DataFrame) -> DataFrame:
+    """uri, name, major_font, minor_font of a template's first theme; defaults where it is silent."""
+
+    def parse(uri: str, z: ZipFile) -> Iterator[tuple]:
+        root = _xml(z, "ppt/theme/theme1.xml")
+        font = lambda kind: (found.get("typeface") if root is not None and (found := root.find(f".//{A}{kind}/{A}latin")) is not None else None)
+        yield uri, (root.get("name") if root is not None else None) or "Default", font("majorFont") or "Calibri Light", font("minorFont") or "Calibri"
+
+    return per_archive(files, parse, "uri string, name string, major_font string, minor_font string")
+
+
+def layout_code(layout: Column) -> Column:
+    """The file format's name of a layout type, null for custom ones."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in LAYOUT_TYPES.items() for x in pair)), layout)
+
+
+def layout_of_code(code: Column) -> Column:
+    """The layout type that a name of the file format means; custom for unknown ones."""
+    back = {**{v: k for k, v in LAYOUT_TYPES.items()}, "title": "title"}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in back.items() for x in pair)), code), F.lit("custom"))
+
+
+#: Placeholder types of the file format.
+PLACEHOLDERS = {"title": "title", "center_title": "ctrTitle", "subtitle": "subTitle", "body": "body", "object": "obj", "date_time": "dt", "footer": "ftr", "slide_number": "sldNum", "chart": "chart", "table": "tbl", "diagram": "dgm", "media": "media", "picture": "pic"}
+
+
+def placeholder_code(kind: Column) -> Column:
+    """The file format's name of a placeholder; empty for other ones."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in PLACEHOLDERS.items() for x in pair)), kind), F.lit(""))
+
+
+def placeholder_of_code(code: Column) -> Column:
+    back = {v: k for k, v in PLACEHOLDERS.items()}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in back.items() for x in pair)), code), F.lit("other"))
+
+
 def slide_size(files: DataFrame) -> DataFrame:
     """uri, width, height in EMU; 9144000 by 6858000 where a file doesn't say."""
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from io import BytesIO
-from zipfile import ZipFile
+from zipfile import BadZipFile, ZipFile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import grids
+from docloom.operators.perdoc import in_order
 from docloom.sources import ranges
 
 
@@ -38,27 +42,69 @@ class RaggedRows(ValueError):
     pass
 
 
-def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:
-    """table_id (the file), r, cells: all records of the files at `path`, numbered in file order.
+#: Files with records over several lines are told by a broadcast list of at most so many names.
+BROADCAST_FILES = 100_000
 
-    Lines are parsed with from_csv on as many columns as the widest line can have, so that
-    a ragged file shows: it is an error unless `flexible`. Records lie on one line each.
+
+def _escaped(sign: str) -> str:
+    return sign if sign.isalnum() else f"\\{sign}"
+
+
+def _cells_of(options: CsvOptions) -> tuple[Column, Column]:
+    """The cells of `value` read as a whole record, and whether a quoted cell is open at its end."""
+    q, d = _escaped(options.quote), _escaped(options.delimiter)
+    whole = f"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}"
+    raw = F.regexp_extract_all(F.concat(F.lit(options.delimiter), F.col("value")), F.lit(f"{d}({whole}[^{d}]*+|[^{d}]*+)"), F.lit(1))
+    quoted = lambda c: c.startswith(options.quote)
+    closed = lambda c: c.rlike(f"^{whole}")
+    plain = lambda c: F.concat(F.replace(F.regexp_extract(c, f"^{q}([^{q}]*+(?:{q}{q}[^{q}]*+)*+){q}", 1), F.lit(options.quote * 2), F.lit(options.quote)), F.regexp_replace(c, f"^{whole}", ""))
+    trimmed = (lambda c: F.trim(c)) if options.trim else (lambda c: c)
+    cells = F.when(F.col("value").contains(options.quote), F.transform(raw, lambda c: trimmed(F.when(quoted(c), plain(c)).otherwise(c)))).otherwise(F.transform(F.split("value", d, -1), trimmed))
+    return cells, F.col("value").contains(options.quote) & F.exists(raw, lambda c: quoted(c) & ~closed(c))
+
+
+def _records(spark: SparkSession, path: str | list[str], options: CsvOptions) -> DataFrame:
+    """table_id, r, cells of all records, ragged ones too.
+
+    Lines that are whole records are parsed alone, in the JVM, wherever a file is split. Only
+    a file with a quoted cell that goes on over a line break is read as one stream, in order,
+    by one task that holds a record at a time. Such a break counts as one line feed.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("table_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"), "value").where("value <> ''")
-    widest = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(options.delimiter), F.lit("")))).alias("n")).first()["n"]
-    names = [f"c{i}" for i in range((widest or 0) + 1)]
-    parse = {"sep": options.delimiter, "quote": options.quote, "ignoreLeadingWhiteSpace": str(options.trim).lower(), "ignoreTrailingWhiteSpace": str(options.trim).lower(), "nullValue": "\x00", "emptyValue": ""}
-    row = F.from_csv("value", ", ".join(f"{n} string" for n in names), parse)
-    q, d = (f"\\{c}" if not c.isalnum() else c for c in (options.quote, options.delimiter))
-    bare = F.regexp_replace("value", f"{q}[^{q}]*{q}", "")
-    width = F.length(bare) - F.length(F.regexp_replace(bare, d, "")) + 1
-    known = lines.withColumn("cells", F.slice(F.array(*(F.coalesce(row[n], F.lit("")) for n in names)), F.lit(1), width))
-    blocks = known.groupBy("table_id", "_block").agg(F.count("*").alias("_rows"))  # a row for each block of a file
+    cells, open_ = _cells_of(options)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("table_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"), "value")
+    spanning = lines.where(open_).select("table_id").distinct()
+    n_spanning = spanning.limit(BROADCAST_FILES + 1).count()
+    held = F.broadcast(spanning) if n_spanning <= BROADCAST_FILES else spanning
+    alone = (lines.join(held, "table_id", "left_anti") if n_spanning else lines).where("value <> ''").withColumn("cells", cells)
+    blocks = alone.groupBy("table_id", "_block").agg(F.count("*").alias("_rows"))  # a row for each block of a file
     ahead = F.coalesce(F.sum("_rows").over(Window.partitionBy("table_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = F.row_number().over(Window.partitionBy("table_id", "_block").orderBy("_n")) - 1 + F.col("_ahead")
-    out = known.join(blocks.withColumn("_ahead", ahead).drop("_rows"), ["table_id", "_block"]).select("table_id", r.alias("r"), "cells")
+    out = alone.join(blocks.withColumn("_ahead", ahead).drop("_rows"), ["table_id", "_block"]).select("table_id", r.cast("long").alias("r"), "cells")
+    if not n_spanning:
+        return out
+
+    def step(key, rows):
+        csv.field_size_limit(2**31 - 1)
+        parsed = csv.reader((value + "\n" for _, _, value in rows), delimiter=options.delimiter, quotechar=options.quote)
+        for r, own in enumerate(own for own in parsed if own):
+            yield *key, r, [c.strip() for c in own] if options.trim else own
+
+    streamed = in_order(lines.join(held, "table_id", "left_semi"), ["table_id"], ["_block", "_n"], step, "table_id string, r long, cells array<string>")
+    return out.unionByName(streamed)
+
+
+def _uneven(rows: DataFrame) -> DataFrame:
+    """table_id, lo, hi of tables whose rows differ in width."""
+    return rows.groupBy("table_id").agg(F.min(F.size("cells")).alias("lo"), F.max(F.size("cells")).alias("hi")).where("lo <> hi")
+
+
+def read_csv(spark: SparkSession, path: str | list[str], options: CsvOptions = CsvOptions()) -> DataFrame:
+    """table_id (the file), r, cells: all records of the files at `path`, numbered in file order
+    from 0. A quoted cell may hold delimiters, doubled quotes and line breaks; empty lines are
+    no records. A ragged file is an error unless `flexible`."""
+    out = _records(spark, path, options)
     if not options.flexible:
-        uneven = out.groupBy("table_id").agg(F.min(F.size("cells")).alias("lo"), F.max(F.size("cells")).alias("hi")).where("lo <> hi").head()
+        uneven = _uneven(out).head()
         if uneven:
             raise RaggedRows(f"{uneven['table_id']}: rows of {uneven['lo']} to {uneven['hi']} cells")
     return out
@@ -103,25 +149,38 @@ def _cells(content: bytes) -> list[tuple]:
         return out
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str | list[str], lenient: bool = False) -> DataFrame:
     """table_id (file and sheet), uri, sheet, sheet_no, r, c, v, type of each stored cell of the
-    workbooks at `path`; files are parsed one by one on the executors."""
-    import pyarrow as pa
-
+    workbooks at `path`; files are parsed one by one on the executors. A file that is no
+    workbook is an error, or where `lenient` a row of type `problem`."""
     schema = "uri string, sheet_no int, sheet string, r int, c int, v string, type string"
 
+    def cells(uri: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for cell in _cells(content):
+                yield (uri, *cell)
+        except (BadZipFile, KeyError, ET.ParseError) as e:
+            if not lenient:
+                raise
+            yield uri, 0, "", 0, 0, f"{type(e).__name__}: {str(e)[:200]}", "problem"
+
     def run(batches):
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
-            uris, contents = (c.to_pylist() for c in batch.columns)
-            rows = [(uri, *cell) for uri, content in zip(uris, contents, strict=True) for cell in _cells(content)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["uri", "sheet_no", "sheet", "r", "c", "v", "type"])
+            for i in range(batch.num_rows):
+                rows = list(cells(*(c[0].as_py() for c in batch.slice(i, 1).columns)))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["uri", "sheet_no", "sheet", "r", "c", "v", "type"])
 
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), "content")
     return files.mapInArrow(run, schema).withColumn("table_id", F.concat("uri", F.lit("#"), "sheet"))
 
 
+def list_sheets(cells: DataFrame) -> DataFrame:
+    """uri, sheet_no, sheet of the sheets that hold cells, in order of their numbers."""
+    return cells.select("uri", "sheet_no", "sheet").distinct()
+
+
 def formatted(cells: DataFrame, dates: bool = False) -> DataFrame:
     """Cell values as text: whole numbers without a fraction, TRUE and FALSE as words, serials
     as ISO dates where asked for."""
@@ -182,37 +241,98 @@ def includes(lines: DataFrame) -> DataFrame:
     )
 
 
+SPEC = "path string, sheet string, range string, delimiter string, uri string, kind string, r0 int, r1 int, c0 int, c1 int, problem string"
+
+
+def _specs(found: DataFrame, base_dir: str) -> DataFrame:
+    """SPEC of each distinct data include: the file that it means, its bounds, or its problem."""
+
+    def run(batches):
+        arrow = to_arrow(SPEC)
+        for batch in batches:
+            rows = []
+            for path, sheet, text, delimiter in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                uri = path if path.startswith("/") or "://" in path or path.startswith("file:") else f"{base_dir}/{path}"
+                uri = uri if ":/" in uri else f"file:{uri}"
+                book = path.lower().endswith((".xls", ".xlsx"))
+                bounds, problem = (0, None, 0, None), None
+                try:
+                    if book:
+                        spec = ranges.parse(text or "*")
+                        bounds = spec.r0, spec.r1, spec.c0, spec.c1
+                    else:
+                        bounds = *ranges.parse_rows(text or "*"), 0, None
+                except ranges.InvalidRange as e:
+                    problem = f"InvalidRange: {e}"
+                sign = delimiter or ("\t" if path.lower().endswith(".tsv") else ",")
+                rows.append((path, sheet, text, delimiter, uri, "book" if book else sign, *bounds, problem))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    def to_arrow(ddl: str) -> pa.Schema:
+        kinds = {"string": pa.string(), "int": pa.int32()}
+        return pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in ddl.split(", "))])
+
+    return found.where("is_data").select("path", "sheet", "range", "delimiter").distinct().mapInArrow(run, SPEC)
+
+
 def resolve_includes(spark: SparkSession, found: DataFrame, base_dir: str) -> DataFrame:
-    """uri, ln, r, cells, is_header, problem of data includes. Each distinct file, range and
-    option is read once; what can't be read is a row with its problem instead of an abort."""
-    specs = [r.asDict() for r in found.where("is_data").select("path", "sheet", "range", "delimiter").distinct().toLocalIterator()]
-    frames = []
-    for s in specs:
-        options = CsvOptions(delimiter=s["delimiter"] or ("\t" if s["path"].lower().endswith(".tsv") else ","))
-        full = s["path"] if s["path"].startswith(("/", "file:")) else f"{base_dir}/{s['path']}"
-        keys = [F.lit(s[k]).cast("string").alias(k) for k in ("path", "sheet", "range", "delimiter")]
-        try:
-            rows = read_table(spark, full, s["range"] or "*", s["sheet"], options).select(*keys, "r", "cells", F.lit(None).cast("string").alias("problem"))
-            rows.isEmpty()
-        except Exception as e:  # the reader's message becomes the document's warning
-            rows = spark.range(1).select(*keys, F.lit(0).alias("r"), F.array().cast("array<string>").alias("cells"), F.lit(f"{type(e).__name__}: {str(e)[:200]}").alias("problem"))
-        frames.append(rows)
-    if not frames:
-        return spark.createDataFrame([], "uri string, ln int, r int, cells array<string>, is_header boolean, problem string")
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
-    own, got = found.where("is_data").alias("f"), rows.alias("g")
-    same = F.col("f.path") == F.col("g.path")
-    for k in ("sheet", "range", "delimiter"):
+    """uri, ln, r, cells, is_header, problem of data includes. The files of a format (workbooks,
+    or text of one delimiter) are read in one scan, each file once; ranges are cut out of it
+    by joins. What can't be read is a row with its problem instead of an abort.
+
+    Which files there are is told from a listing, without their contents; their names are
+    collected, as a scan needs them."""
+    spec = _specs(found, base_dir)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,tsv,xls,xlsx,CSV,TSV,XLS,XLSX}").load(base_dir).select(F.col("path").alias("file"))
+    spec = spec.withColumn("_key", F.regexp_replace("uri", "^file:/*", "file:/")).join(names.withColumn("_key", F.regexp_replace("file", "^file:/*", "file:/")), "_key", "left").drop("_key")
+    spec = spec.withColumn("problem", F.coalesce("problem", F.when(F.col("file").isNull(), F.concat(F.lit("FileNotFound: "), "path"))))
+    files: dict[str, list[str]] = {}
+    for row in spec.where("problem is null").select("kind", "file").distinct().toLocalIterator():
+        files.setdefault(row["kind"], []).append(row["file"])
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "file:/")
+    keys = ["path", "sheet", "range", "delimiter"]
+    good = spec.where("problem is null").withColumn("_file", plain("file"))
+    out = [spec.where("problem is not null").select(*keys, F.lit(0).cast("long").alias("r"), F.array().cast("array<string>").alias("cells"), "problem")]
+    for kind, own in files.items():
+        mine = good.where(F.col("kind") == kind)
+        if kind == "book":
+            cells = read_workbooks(spark, own, lenient=True)
+            bad = cells.where("type = 'problem'").select(plain("uri").alias("_file"), F.col("v").alias("_why"))
+            first = cells.where("type <> 'problem'").groupBy("uri").agg(F.min("sheet_no").alias("_first"))
+            stored = formatted(cells.where("type <> 'problem'")).join(first, "uri").select(plain("uri").alias("_file"), F.col("sheet").alias("_sheet"), (F.col("sheet_no") == F.col("_first")).alias("_is_first"), "r", "c", "v")
+            met = mine.join(stored, "_file").where("coalesce(sheet = _sheet, _is_first) and r >= r0 and r <= coalesce(r1, r) and c >= c0 and c <= coalesce(c1, c)")
+            table = F.xxhash64(*keys)  # of what an include asks for; ties can't cross as it is joined back by the keys themselves
+            rows = grids.dense_rows(met.select(table.alias("table_id"), "r", "c", "v", "r0", "r1", "c0", "c1"))
+            out.append(mine.withColumn("table_id", table).join(rows, "table_id").select(*keys, F.col("r").cast("long").alias("r"), "cells", F.lit(None).cast("string").alias("problem")))
+        else:
+            rows = _records(spark, own, CsvOptions(delimiter=kind)).withColumn("_file", plain("table_id"))
+            bad = _uneven(rows).select(plain("table_id").alias("_file"), F.concat(F.lit("RaggedRows: rows of "), "lo", F.lit(" to "), "hi", F.lit(" cells")).alias("_why"))
+            met = mine.join(bad, "_file", "left_anti").join(rows, "_file").where("r >= r0 and r <= coalesce(r1, r)")
+            out.append(met.select(*keys, "r", "cells", F.lit(None).cast("string").alias("problem")))
+        out.append(mine.join(bad, "_file").select(*keys, F.lit(0).cast("long").alias("r"), F.array().cast("array<string>").alias("cells"), F.col("_why").alias("problem")))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    asked, got = found.where("is_data").alias("f"), rows.alias("g")
+    same = F.lit(True)
+    for k in keys:
         same = same & F.col(f"f.{k}").eqNullSafe(F.col(f"g.{k}"))
-    return own.join(got, same).select("uri", "ln", "r", "cells", (F.col("header") & (F.col("r") == 0)).alias("is_header"), "problem")
+    met = asked.join(got, same).select("f.uri", "f.ln", "f.header", "g.r", "g.cells", "g.problem")
+    first = met.groupBy("uri", "ln").agg(F.min("r").alias("_from"))
+    return met.join(first, ["uri", "ln"]).select("uri", "ln", (F.col("r") - F.col("_from")).cast("int").alias("r"), "cells", (F.col("header") & (F.col("r") == F.col("_from"))).alias("is_header"), "problem")
+
+
+#: Listings of at most so many files are broadcast to the files they number.
+BROADCAST_PATHS = 500_000
 
 
 def read_workspace(spark: SparkSession, directory: str) -> DataFrame:
     """uri, load_ord, text of the *.adoc files below a folder, then of the *.asciidoc files;
-    load_ord grows in this order, with gaps."""
+    load_ord grows in this order, with gaps. Only names are sorted, contents stay where they
+    are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{adoc,asciidoc}").load(directory)
-    ordered = files.select("path", "content").orderBy(F.col("path").endswith(".asciidoc"), "path")
-    return ordered.select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), F.monotonically_increasing_id().alias("load_ord"), F.decode("content", "UTF-8").alias("text"))
-
+    names = files.select("path")
+    numbered = names.orderBy(F.col("path").endswith(".asciidoc"), "path").select("path", F.monotonically_increasing_id().alias("load_ord"))
+    numbered = F.broadcast(numbered) if names.count() <= BROADCAST_PATHS else numbered
+    return files.select("path", "content").join(numbered, "path").select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), "load_ord", F.decode("content", "UTF-8").alias("text"))

@@ -181,6 +181,10 @@ def test_contract(spark):
     links = spark.createDataFrame([("l1", True, None, None), ("l2", False, None, "a")], "link_id string, is_external boolean, url string, anchor_target string")
     got = sorted((r.severity, r.element) for r in contract.validate(anchors, styles, links).collect())
     assert got == [("error", "H1"), ("error", "H2"), ("error", "H2"), ("error", "_Toc2"), ("error", "_Toc3"), ("error", "l1"), ("warning", "_Toc3"), ("warning", "intro")]
+    one = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    more = contract.validate(anchors, styles.limit(0), links, found_styles=one("style_id", "H9"), found_bookmarks=one("bookmark", "_Hlk1", "_Toc1", "_x"), references=one("semantic_id", "intro", "gone"))
+    got = sorted((r.severity, r.element) for r in more.where("phase = 'completeness'").collect())
+    assert got == [("error", "gone"), ("warning", "H9"), ("warning", "_x"), ("warning", "paragraph_styles"), ("warning", "paragraph_styles")]
     assert [(r.bookmark, r.back) for r in contract.round_trip(anchors).collect()] == [("_Toc2", "_Toc1")]
 
 
@@ -207,7 +211,7 @@ def test_strict_ranges_and_rows():
 
 def test_text_functions(spark):
     assert one(spark, fx.readability(F.col("t")), t="") == 100.0
-    assert [x for x in one(spark, fx.passive_hits(F.col("t")), t="this needed work. It was Opened, is red.")] == ["opened", "needed"]
+    assert [x for x in one(spark, fx.passive_hits(F.col("t")), t="this needed work. It was Opened, is red.")] == ["needed", "opened"]
     assert one(spark, fx.heading_slug(F.col("t")), t="1.2 Purpose and Scope") == "purpose-and-scope"
     assert one(spark, fx.text_slug(F.col("t")), t="!!") is None
     assert one(spark, fx.slide_text(F.col("t")), t="a (b (c) d) e ) f (open") == "a e f"
@@ -241,7 +245,22 @@ def test_user_rules(spark):
     got = plugins.run(docs, {"passive": plugins.no_passive_voice, "broken": broken, "counts": counts}).collect()
     assert [(r.rule, r.code, r.severity, r.message) for r in got] == [("passive", "STYLE001", "warning", "Passive voice detected"), ("broken", "PLUGIN", "error", "Rule failed: KeyError: 'x'"), ("counts", None, "warning", "2 blocks of T"), ("counts", "7", "warning", "m")]
     assert got[0].context == "It was done."
-    assert plugins.run(docs, {"counts": counts}, most=1).where("code = 'PLUGIN'").count() == 1
+
+    def endless(doc):
+        while True:
+            pass
+
+    def slow(doc):
+        import time
+
+        time.sleep(60)
+
+    def many(doc):
+        return [f"m{i}" for i in range(20_000)]
+
+    got = plugins.run(docs, {"endless": endless, "slow": slow, "many": many}, steps=50_000, seconds=1.0).collect()
+    assert [r.message for r in got[:2]] == ["Rule failed: RuleError: endless: more than 50000 steps", "Rule failed: RuleError: slow: more than 1 seconds"]
+    assert len(got) == 20_002
 
 
 def test_codecs(spark):

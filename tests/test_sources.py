@@ -44,16 +44,16 @@ def grid(df):
     return [list(r.cells) for r in sorted(df.collect(), key=lambda r: r.r)]
 
 
-DATA = {"TestData": [["Name", "Age", "Score"], ["Alice", 30, 95.5], ["Bob", 25, 87], [None, True]], "Summary": [["x"]]}
+DATA = {"Stock": [["Item", "Count", "Weight"], ["bolt", 7, 2.25], ["nut", 12, 4], [None, True]], "Summary": [["x"]]}
 
 
 def test_workbook(spark, tmp_path):
     path = str(tmp_path / "a.xlsx")
     workbook(path, DATA)
     cells = tables.formatted(tables.sheet(tables.read_workbooks(spark, path)))
-    assert grid(grids.assembled(tables.read_range(cells, "A1:C4"))) == [["Name", "Age", "Score"], ["Alice", "30", "95.5"], ["Bob", "25", "87"], ["", "TRUE", ""]]
-    assert grid(grids.assembled(tables.read_range(cells, "B:C", strict=False)))[1] == ["30", "95.5"]
-    assert grid(tables.read_table(spark, path, "2:3")) == [["Alice", "30", "95.5"], ["Bob", "25", "87"]]
+    assert grid(grids.assembled(tables.read_range(cells, "A1:C4"))) == [["Item", "Count", "Weight"], ["bolt", "7", "2.25"], ["nut", "12", "4"], ["", "TRUE", ""]]
+    assert grid(grids.assembled(tables.read_range(cells, "B:C", strict=False)))[1] == ["7", "2.25"]
+    assert grid(tables.read_table(spark, path, "2:3")) == [["bolt", "7", "2.25"], ["nut", "12", "4"]]
     assert grid(tables.read_table(spark, path, sheet_name="Summary")) == [["x"]]
     assert tables.read_range(cells, "C1:A1").count() == 0
     with pytest.raises(ranges.InvalidRange):
@@ -68,12 +68,12 @@ def test_serial_dates_of_a_workbook(spark, tmp_path):
 
 
 def test_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('Name,Age\n"Smith, J", 3\nBob,\n')
+    (tmp_path / "a.csv").write_text('Item,Count\n"bolt, long", 3\nnut,\n')
     rows = tables.read_csv(spark, str(tmp_path / "a.csv"))
-    assert grid(rows) == [["Name", "Age"], ["Smith, J", " 3"], ["Bob", ""]]
-    assert grid(tables.read_csv(spark, str(tmp_path / "a.csv"), tables.CsvOptions(trim=True)))[1] == ["Smith, J", "3"]
-    assert grid(tables.csv_range(rows, "2:99")) == [["Smith, J", " 3"], ["Bob", ""]] and grid(tables.csv_range(rows, "1")) == [["Name", "Age"]] and grid(tables.csv_range(rows, "9:10")) == []
-    assert grid(grids.projected(rows, [1, 5]))[0] == ["Age", ""]
+    assert grid(rows) == [["Item", "Count"], ["bolt, long", " 3"], ["nut", ""]]
+    assert grid(tables.read_csv(spark, str(tmp_path / "a.csv"), tables.CsvOptions(trim=True)))[1] == ["bolt, long", "3"]
+    assert grid(tables.csv_range(rows, "2:99")) == [["bolt, long", " 3"], ["nut", ""]] and grid(tables.csv_range(rows, "1")) == [["Item", "Count"]] and grid(tables.csv_range(rows, "9:10")) == []
+    assert grid(grids.projected(rows, [1, 5]))[0] == ["Count", ""]
     assert tuple(tables.counts(rows).first())[1:] == (3, 2)
     (tmp_path / "b.tsv").write_text("a\tb\n1\t2\n")
     assert grid(tables.read_table(spark, str(tmp_path / "b.tsv"))) == [["a", "b"], ["1", "2"]]
@@ -87,12 +87,12 @@ def test_csv(spark, tmp_path):
 def test_includes(spark, tmp_path):
     workbook(str(tmp_path / "data.xlsx"), DATA)
     (tmp_path / "report.csv").write_text("a;b\n1;2\n")
-    text = "include::data.xlsx[sheet=TestData,range=A1:B2,header]\ninclude::report.csv[header,delimiter=;]\ninclude::chapter.adoc[]\ninclude::gone.csv[]\nno include::x[]"
+    text = "include::data.xlsx[sheet=Stock,range=A1:B2,header]\ninclude::report.csv[header,delimiter=;]\ninclude::chapter.adoc[]\ninclude::gone.csv[]\nno include::x[]"
     found = tables.includes(ln.lines(spark.createDataFrame([("u", 0, text)], "uri string, load_ord long, text string")))
     got = sorted(found.collect(), key=lambda r: r.ln)
-    assert [(r.path, r.sheet, r.range, r.header, r.delimiter, r.is_data) for r in got] == [("data.xlsx", "TestData", "A1:B2", True, None, True), ("report.csv", None, None, True, ";", True), ("chapter.adoc", None, None, False, None, False), ("gone.csv", None, None, False, None, True)]
+    assert [(r.path, r.sheet, r.range, r.header, r.delimiter, r.is_data) for r in got] == [("data.xlsx", "Stock", "A1:B2", True, None, True), ("report.csv", None, None, True, ";", True), ("chapter.adoc", None, None, False, None, False), ("gone.csv", None, None, False, None, True)]
     rows = sorted(tables.resolve_includes(spark, found, str(tmp_path)).collect(), key=lambda r: (r.ln, r.r))
-    assert [(r.ln, r.cells, r.is_header) for r in rows if not r.problem] == [(0, ["Name", "Age"], True), (0, ["Alice", "30"], False), (1, ["a", "b"], True), (1, ["1", "2"], False)]
+    assert [(r.ln, r.cells, r.is_header) for r in rows if not r.problem] == [(0, ["Item", "Count"], True), (0, ["bolt", "7"], False), (1, ["a", "b"], True), (1, ["1", "2"], False)]
     assert [r.ln for r in rows if r.problem] == [3]
 
 
