@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The markup's patterns of anchors, references, headers and attributes.
 ANCHOR = r"(?U)\[\[([\w-]+)\]\]"
 XREF = r"(?U)<<([\w-]+)(?:,[^>]*)?>?>"
 FILE_XREF = r"(?U)<<([^#,>\s]+\.adoc)(?:#[^,>]*)?(?:,[^>]*)?\s*>>"

@@ -528,12 +528,12 @@ def style_auto_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT s_suppkey, s_nationkey % 12 AS lvl, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE 'r' END AS role FROM supplier)
-SELECT severity, message, count(*) AS n FROM (SELECT 'error' AS severity, 'Heading level ' || lvl || ' is out of range [1,9]' AS message FROM a WHERE lvl NOT BETWEEN 1 AND 9 UNION ALL SELECT 'error', 'Role must not be empty' FROM a WHERE role = ''
+SELECT severity, message, count(*) AS n FROM (SELECT 'error' AS severity, 'Bookmark name ''' || s_suppkey || ' x'' is not a valid XML NCName' AS message FROM a WHERE s_suppkey % 7 = 0 UNION ALL SELECT 'error', 'Semantic ID ''Id_' || s_suppkey || ''' must match pattern [a-z0-9][a-z0-9-]*' FROM a WHERE s_suppkey % 6 = 0 UNION ALL SELECT 'error' AS severity, 'Heading level ' || lvl || ' is out of range [1,9]' AS message FROM a WHERE lvl NOT BETWEEN 1 AND 9 UNION ALL SELECT 'error', 'Role must not be empty' FROM a WHERE role = ''
  UNION ALL SELECT 'warning', 'Missing original_bookmark - round-trip restoration may fail' FROM a WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'error', 'External hyperlink must have a URL' FROM a WHERE s_suppkey % 5 = 0) GROUP BY ALL""")
 def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     own = read(spark, sf_dir, "supplier")
-    anchors = own.select(k.cast("string").alias("bookmark"), F.concat(F.lit("id-"), k).alias("semantic_id"), F.when(k % 4 != 0, F.concat(F.lit("_Toc"), k)).alias("original_bookmark"))
+    anchors = own.select(F.when(k % 7 == 0, F.concat(k, F.lit(" x"))).otherwise(F.concat(F.lit("_b"), k)).alias("bookmark"), F.concat(F.when(k % 6 == 0, "Id_").otherwise("id-"), k).alias("semantic_id"), F.when(k % 4 != 0, F.concat(F.lit("_Toc"), k)).alias("original_bookmark"))
     styles = own.select(k.cast("string").alias("style_id"), F.when(k % 10 == 0, "").otherwise("r").alias("role"), (F.col("s_nationkey") % 12).alias("heading_level"))
     links = own.select(k.cast("string").alias("link_id"), F.lit(True).alias("is_external"), F.when(k % 5 != 0, "http://x").alias("url"), F.lit(None).cast("string").alias("anchor_target"))
     return contract.validate(anchors, styles, links).groupBy("severity", "message").agg(F.count("*").alias("n"))

@@ -302,7 +302,7 @@ def resolve_includes(spark: SparkSession, found: DataFrame, base_dir: str) -> Da
             first = cells.where("type <> 'problem'").groupBy("uri").agg(F.min("sheet_no").alias("_first"))
             stored = formatted(cells.where("type <> 'problem'")).join(first, "uri").select(plain("uri").alias("_file"), F.col("sheet").alias("_sheet"), (F.col("sheet_no") == F.col("_first")).alias("_is_first"), "r", "c", "v")
             met = mine.join(stored, "_file").where("coalesce(sheet = _sheet, _is_first) and r >= r0 and r <= coalesce(r1, r) and c >= c0 and c <= coalesce(c1, c)")
-            table = F.xxhash64(*keys)  # of what an include asks for; ties can't cross as it is joined back by the keys themselves
+            table = F.to_json(F.struct(*keys))
             rows = grids.dense_rows(met.select(table.alias("table_id"), "r", "c", "v", "r0", "r1", "c0", "c1"))
             out.append(mine.withColumn("table_id", table).join(rows, "table_id").select(*keys, F.col("r").cast("long").alias("r"), "cells", F.lit(None).cast("string").alias("problem")))
         else:
