@@ -146,7 +146,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.turns(table(spark, sf_dir, "conversations"))
+    """All conversations. The roles of a quarter of them, by a hash of their id, are hidden from
+    the model and recovered (held_out), the others are given."""
+    rows = table(spark, sf_dir, "conversations")
+    held = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % 4 == 2
+    out = chat.turns(rows.withColumn("role", F.when(~held, F.col("role"))))
+    return out.select("conv_id", held.alias("held_out"), "turn", "role", "text", "rendered", "source_turn")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
