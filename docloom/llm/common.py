@@ -23,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """The name with as many signs before it as make it differ from those that are taken."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 @cache
 def _local_dir() -> str:
     path = tempfile.mkdtemp(prefix="docloom-")
@@ -171,3 +184,18 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame, keep: str = "left_semi")
     own = F.xxhash64(key)
     held = F.broadcast(bits)
     return df.join(held, (F.pmod(own, F.lit(SIEVE_WORDS)) == held["_word"]) & (F.bit_get(held["_bits"], F.shiftrightunsigned(own, 58).cast("int")) == 1), keep)
+
+
+#: A key is hot if it holds a HOT-th of all rows; so there are at most HOT hot keys.
+HOT = 4096
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
+    """rows.join(table, key) where `table` has one row for each key: the rows of hot keys meet
+    the table's at most HOT rows of those by broadcast and stay where they are, the others by
+    a shuffle. `sizes` (key, n: rows of each key) is counted from the rows unless given."""
+    sizes = sizes if sizes is not None else rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col("n") * HOT >= max(total, HOT)).where(F.col("n") > 1).select(key))  # HOT rows at most
+    with_hot = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
+    return with_hot.unionByName(rows.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key))

@@ -1,20 +1,26 @@
 """License scans: headers and licence files are compared to license templates by the
 cosine of sparse TF-IDF vectors; files without a license of their own take that of the
-nearest ancestor directory that holds a licence file."""
+nearest ancestor directory that holds a licence file.
+
+Templates are of two kinds: notices, which any line, head or window of a file may hold, and
+the licenses' full texts, which whole files are compared to whatever their names are."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cache
+from importlib import resources
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, map_slices
+from docloom.llm.common import Stored, map_slices, split_join
 
-#: Least cosine of a notice in a file, and of a whole text that is a licence file.
-NOTICE, WHOLE = 0.6, 0.6
+#: Least cosine of a notice in a file, of a whole text with a notice that it consists of, and
+#: with a license's full text.
+NOTICE, WHOLE, FULL = 0.6, 0.6, 0.85
 #: Words of a text whose windows are looked at at once; bounds memory, not results.
 WINDOWED = 16_384
 #: Directories with their license, and words with their weight, are broadcast up to so many rows (two short values each).
@@ -37,6 +43,14 @@ TEMPLATES = {
 TERM = re.compile(r"[^\W_]+")
 
 
+@cache
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """The full texts of licenses that come with the library, by license."""
+    folder = resources.files("docloom.llm").joinpath("license_texts")
+    return {f.name.removesuffix(".txt"): (f.read_text("utf-8"),) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+
 def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
@@ -124,10 +138,15 @@ class Matcher:
         low = max((b[1] for _, b in found), default=0.0)
         return [(at, dot, own, name, list(rest), list(rest.values())) for at, (high, _, dot, own, name, rest) in found if at == 0 or high >= low]
 
+    def whole(self, text: str, least: float) -> list[tuple]:
+        """The whole text, as at -1, if it may reach `least` with a template."""
+        found = self.block(terms(text), least)
+        return [(-1, *found[2:5], list(found[5]), list(found[5].values()))] if found else []
+
 
-def _weights(texts: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, dict[str, float], float, float]:
-    """term, idf of the words of all texts; the weights of the vocabulary; the least of
-    other words and the most of any.
+def _weights(texts: DataFrame, *vocabularies: set[str]) -> tuple[DataFrame, dict[str, float], list[float], float]:
+    """term, idf of the words of all texts; the weights of the words of the vocabularies; for
+    each vocabulary the least weight of a word out of it; the most of any.
 
     A weight is the logarithm of the share of texts that hold the word, and one, so it stays
     when the texts are repeated. A term of no text weighs as much as the rarest word.
@@ -143,57 +162,65 @@ def _weights(texts: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, dict[s
         return work
 
     counts = Stored(map_slices(texts, count, "term string, n long", rows=1024).groupBy("term").agg(F.sum("n").alias("n"))).df
-    known = F.col("term").isin(vocabulary)
-    df = {r["term"]: r["n"] for r in counts.where(known | (F.col("term") == "")).collect()}  # a row for each template term
+    every = sorted(set().union(*vocabularies))
+    wanted = counts.sparkSession.createDataFrame([(t,) for t in ["", *every]], "term string")
+    df = {r["term"]: r["n"] for r in counts.join(F.broadcast(wanted), "term").collect()}  # a row for each template term
     total = df.pop("", 0)
-    rarest, commonest = counts.where("term <> ''").agg(F.min("n"), F.max(F.when(~known, F.col("n")))).first()
+    commonest = []
+    for own in vocabularies:  # of the words beside the templates' the commonest one is told first
+        held = counts.sparkSession.createDataFrame([(t,) for t in ["", *sorted(own)]], "term string")
+        commonest.append(counts.join(F.broadcast(held), "term", "left_anti").agg(F.max("n")).first()[0])
+    rarest = counts.where("term <> ''").agg(F.min("n")).first()[0]
     weigh = lambda n: float(np.log(total / n) + 1) if n else 1.0
-    idf = counts.where((F.col("term") != "") & ~known).select("term", (F.log(F.lit(float(total)) / F.col("n")) + 1).alias("idf"))
-    return idf, {t: weigh(df.get(t, rarest)) for t in vocabulary}, weigh(commonest), weigh(rarest)
+    idf = counts.where("term <> ''").select("term", (F.log(F.lit(float(total)) / F.col("n")) + 1).alias("idf"))
+    return idf, {t: weigh(df.get(t, rarest)) for t in every}, [weigh(n) for n in commonest], weigh(rarest)
 
 
-def _best(seen: DataFrame, idf: DataFrame) -> DataFrame:
+def _best(seen: DataFrame, idf: DataFrame, full: float) -> DataFrame:
     """row, part and whole (score and license of the closest block, and of the whole text) by
-    the weights of all words."""
+    the weights of all words. A full text counts from `full` on."""
     blocks = seen.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
     held = Stored(idf.join(blocks.select(F.explode("words").alias("term")).distinct(), "term")).df
     held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     each = blocks.select("row", "at", "dot", "own", "license", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("*", F.col("w.words").alias("term"), F.col("w.counts").alias("k"))
     more = each.join(held, "term").groupBy("row", "at", "dot", "own", "license").agg(F.sum(F.pow(F.col("k") * F.col("idf"), 2)).alias("more"))
     score = F.round(F.col("dot") / F.sqrt(F.col("own") + F.col("more")), 9)
-    scored = blocks.where(F.size("words") == 0).select("row", "at", "dot", "own", "license", F.lit(0.0).alias("more")).unionByName(more).select("row", "at", "license", score.alias("score"))
-    whole = F.max(F.when(F.col("at") == 0, F.struct("score", "license")))
+    scored = blocks.where(F.size("words") == 0).select("row", "at", "dot", "own", "license", F.lit(0.0).alias("more")).unionByName(more).select("row", "at", "license", score.alias("score")).where((F.col("at") >= 0) | (F.col("score") >= full))
+    whole = F.max(F.when(F.col("at") <= 0, F.struct("score", "license")))
     return scored.groupBy("row").agg(F.max(F.struct("score", -F.col("at"), "license")).alias("part"), whole.alias("whole"))
 
 
-def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templates=TEMPLATES, notice: float = NOTICE, whole: float = WHOLE) -> DataFrame:
+def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templates=TEMPLATES, texts=None, notice: float = NOTICE, whole: float = WHOLE, full: float = FULL) -> DataFrame:
     """The id column, path, license, score, origin, from_dir for each row of `files`.
 
     origin is `notice` (a line, the head, the whole text or a window of as many words as a
     template has reaches `notice`), `inherited`
     (from_dir is the nearest ancestor directory with a licence file) or null without a
-    license; score is 0 where neither bound can be reached. A licence file bears the name of one, or its whole text reaches `whole`; of
-    several in a directory the highest score counts, then the least path. The weights of
-    words are counted over all texts. A null text has no notice; a null path is
-    the root's. Repeated rows are judged each. Other columns are not read.
+    license; score is 0 where no bound can be reached. A licence file bears the name of one, or
+    its whole text reaches `whole` with a notice or `full` with a full text (`texts`, by
+    default those that come with the library); of several in a directory the highest score
+    counts, then the least path. The weights of words are counted over all texts. A null text
+    has no notice; a null path is the root's. Repeated rows are judged each. Other columns are
+    not read.
     """
-    vocabulary = sorted({t for texts in templates.values() for text in texts for t in terms(text)})
+    complete = full_texts() if texts is None else texts
+    words = lambda held: {t for own in held.values() for text in own for t in terms(text)}
     kind = files.schema[id_col].dataType.simpleString()
-    base = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    idf, *weights = _weights(base.select("text"), vocabulary)
+    base = files.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
+    idf, weights, least_others, most = _weights(base.select("text"), words(templates), words(complete))
 
     def make():
-        matcher = Matcher(templates, *weights)
+        matcher, long = Matcher(templates, weights, least_others[0], most), Matcher(complete, weights, least_others[1], most)
 
         def work(rows, ids, paths, texts):
-            return [rows, ids, paths, [matcher.scan(t or "", min(notice, whole)) for t in texts]]
+            return [rows, ids, paths, [matcher.scan(t or "", min(notice, whole)) + long.whole(t or "", full) for t in texts]]
 
         return work
 
     seen = Stored(map_slices(base, make, f"row long, id {kind}, path string, blocks array<struct<at: int, dot: double, own: double, license: string, words: array<string>, counts: array<int>>>")).df
     part = lambda c, name: F.col(f"{c}.{name}")
     score = F.coalesce(part("part", "score"), F.lit(0.0)).alias("score")
-    judged = seen.join(_best(seen, idf), "row", "left").select("id", "path", score, part("part", "license").alias("license"), part("whole", "score").alias("whole_score"), part("whole", "license").alias("whole_license"))
+    judged = seen.join(_best(seen, idf, full), "row", "left").select("id", "path", score, part("part", "license").alias("license"), part("whole", "score").alias("whole_score"), part("whole", "license").alias("whole_license"))
     own = Stored(judged).df.withColumn("dir", F.expr("CASE WHEN instr(path, '/') > 0 THEN substring_index(path, '/', -1 + size(split(path, '/'))) ELSE '' END")).withColumn("name", F.substring_index("path", "/", -1))
     named = F.col("name").rlike(NAMES)
     file_score = F.when(F.col("whole_score") >= whole, F.col("whole_score")).when(named & (F.col("score") >= notice), F.col("score"))
@@ -203,8 +230,9 @@ def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templat
     # each directory, once, meets its ancestors
     ancestors = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.expr("transform(sequence(0, size(split(dir, '/'))), k -> array_join(slice(split(dir, '/'), 1, k), '/'))"))
     dirs = own.select("dir").distinct().select("dir", F.explode(ancestors).alias("up"))
-    near = dirs.join(held.withColumnRenamed("dir", "up"), "up").withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc(F.length("up")))))
-    near = Stored(near.where("rank = 1").select("dir", F.col("up").alias("from_dir"), "dir_license")).df
+    near = split_join(dirs, held.withColumnRenamed("dir", "up"), "up")  # the root and the topmost folders are above all
+    near = near.groupBy("dir").agg(F.max_by(F.struct("up", "dir_license"), F.length("up")).alias("n"))
+    near = Stored(near.select("dir", F.col("n.up").alias("from_dir"), "n.dir_license")).df
     near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
     out = own.join(near, "dir", "left")
     has = F.col("score") >= notice

@@ -1,33 +1,40 @@
 """Quality classifier by co-training.
 
 Two views of a document are judged apart: its text (telling words and word starts, and
-the text's shape) and its page metadata (source, language, stated length). Over rounds
-each classifier hands the pseudo-labels it is confident of to the other. Both are
-calibrated on labelled documents that neither learns from, and a stacked model of the
-calibrated views scores every document, for low quality and for toxicity.
-
-Classifiers are fitted on the driver, on a sample of at most LABELLED labelled and POOL
-unlabelled documents (those with the least hash of their id); every document is scored.
+the text's shape) and its page metadata (source and language). Over rounds each classifier
+judges all documents without a label and hands pseudo-labels that it is confident of to the
+other. Both are calibrated on labelled documents that neither learns from, and a stacked
+model of the calibrated views scores every document, for low quality and for toxicity.
+
+Features of all documents are computed once into a narrow table: counts of metadata values,
+the shapes' means and each round's search for confident documents cover all of them.
+Classifiers are fitted on the driver, on about LABELLED labelled documents at most and, for
+each round, class and view, about TAKEN of the documents that the other view is confident
+of, dealt by a hash; every document is scored.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, map_slices
+from docloom.llm.common import SLICE_ROWS, Stored, map_slices, quoted, unused
 
-#: Bounds of the sample, and of the words and word starts that a classifier looks at.
-LABELLED, POOL, TOKENS = 12_000, 6_000, 256
+#: Bounds: labelled documents that are fitted on, pseudo-labels that a view gets in a round for
+#: a class, words and word starts that a classifier looks at.
+LABELLED, TAKEN, TOKENS = 12_000, 1_000, 256
 ROUNDS, CONFIDENT = 3, 0.95
 #: Share of documents that must stay whose chance may lie above the cut; the least cut.
 SPARED, LEAST_CUT = 0.001, 0.1
-#: Values of a metadata column that are told apart.
-VALUES = 64
+#: Values of a metadata column that are told apart, the most frequent ones of all documents;
+#: others are told apart by a hash into so many buckets.
+VALUES, BUCKETS = 64, 64
 HEADS = ("bad", "toxic")
 #: Numbers of a text's shape; beyond so many deviations from the sample's mean they all count alike.
 SHAPES, CLIP = 11, 3.0
@@ -84,30 +91,43 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 @dataclass
 class Head:
-    """One target's classifier: None weights stand for a target with one class only."""
+    """One target's classifier: no weights stand for a target with one class only."""
 
     vocabulary: dict[str, int]
-    mean: np.ndarray
-    scale: np.ndarray
     text: np.ndarray | None = None
     meta: np.ndarray | None = None
     mix: np.ndarray | None = None
+    lines: dict[str, np.ndarray] | None = None
     prior: float = 0.0
     cut: float = 0.5
 
-    def text_view(self, found: list[set[str]], shapes: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(found), len(self.vocabulary) + shapes.shape[1]))
-        get = self.vocabulary.get
-        for i, own in enumerate(found):
-            x[i, [k for k in map(get, own) if k is not None]] = 1
-        x[:, len(self.vocabulary) :] = (shapes - self.mean) / self.scale
-        return x
-
     def chance(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if self.mix is None:
             return np.full(len(text), self.prior)
         return _sigmoid(_views(self.text, text, self.meta, meta) @ self.mix[:-1] + self.mix[-1])
 
+    def sure(self, view: str, x: np.ndarray) -> np.ndarray:
+        """The class that a view is confident of for each row, or -1."""
+        line = self.lines[view]
+        p = _sigmoid(_raw(getattr(self, view), x) * line[0] + line[1])
+        return np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+
+
+@dataclass
+class Scale:
+    """Means and deviations of the shapes of all documents."""
+
+    mean: np.ndarray
+    deviation: np.ndarray
+
+    def text_view(self, size: int, found: list, shapes: np.ndarray) -> np.ndarray:
+        """The text view of rows: which of `size` tokens they hold, and their shapes."""
+        x = np.zeros((len(found), size + SHAPES))
+        for i, own in enumerate(found):
+            x[i, own] = 1
+        x[:, size:] = np.clip((shapes - self.mean) / self.deviation, -CLIP, CLIP)
+        return x
+
 
 def _raw(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -15, 15)
@@ -117,32 +137,29 @@ def _views(wt: np.ndarray, text: np.ndarray, wm: np.ndarray, meta: np.ndarray) -
     return np.column_stack([_raw(wt, text), _raw(wm, meta)])
 
 
-def co_train(head: Head, text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Head:
-    """Fits `head` on the rows of text and meta that aren't held, and calibrates on those that are."""
+def co_train(head: Head, text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, confident) -> Head:
+    """Fits `head` on the rows of text and meta that aren't held, and calibrates on those that
+    are. `confident(view, turn)` gives text, meta and class of documents without a label
+    that a view is confident of (`head.sure`), as it is fitted in that turn."""
     own = ~held
     head.prior = float(y.mean()) if len(y) else 0.0
     if len(set(y[own])) < 2 or len(set(y[held])) < 2:
         return head
-    given = {"text": [], "meta": []}  # pseudo-labels that a view has got: pool rows and labels
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    fitted = {}
+    x = {"text": text, "meta": meta}
+    given: dict[str, list] = {"text": [], "meta": []}  # pseudo-labelled rows that a view has got
     for turn in range(ROUNDS + 1):
-        for name, (x, pool) in views.items():
-            at = np.concatenate([g[0] for g in given[name]]) if given[name] else np.empty(0, int)
-            labels = np.concatenate([g[1] for g in given[name]]) if given[name] else np.empty(0)
-            fitted[name] = fit_logistic(np.concatenate([x[own], pool[at]]), np.concatenate([y[own], labels]))
+        for name in x:
+            rows = np.concatenate([x[name][own], *(g[0] for g in given[name])])
+            weights = fit_logistic(rows, np.concatenate([y[own], *(g[1] for g in given[name])]))
+            setattr(head, name, weights)
+        head.lines = {name: fit_logistic(_raw(getattr(head, name), x[name][held])[:, None], y[held]) for name in x}
         if turn == ROUNDS:
             break
+        found = {name: confident(name, turn) for name in x}
         for name, other in (("text", "meta"), ("meta", "text")):
-            x, pool = views[name]
-            line = fit_logistic(_raw(fitted[name], x[held])[:, None], y[held])
-            p = _sigmoid(_raw(fitted[name], pool) * line[0] + line[1])
-            taken = np.concatenate([g[0] for g in given[other]]) if given[other] else np.empty(0, int)
-            sure = np.setdiff1d(np.flatnonzero((p >= CONFIDENT) | (p <= 1 - CONFIDENT)), taken)
-            best = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: max(1, len(pool) // ROUNDS)]
-            if len(best):
-                given[other].append((best, (p[best] > 0.5).astype(float)))
-    head.text, head.meta = fitted["text"], fitted["meta"]
+            rows, classes = found[name][other], found[name]["y"]
+            if len(rows):
+                given[other].append((rows, classes))
     head.mix = fit_logistic(_views(head.text, text[held], head.meta, meta[held]), y[held])
     head.cut = _cut(head.chance(text[held], meta[held]), y[held])
     return head
@@ -162,23 +179,36 @@ def _cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 class Metadata:
-    """Numbers of a row's metadata: its known values one-hot, its numeric columns by size."""
+    """The places that a row's metadata values have among all, and its numbers by size."""
 
     def __init__(self, known: dict[str, list[str]], numeric: list[str]):
-        self.at = {(c, v): i for i, (c, v) in enumerate((c, v) for c, values in known.items() for v in values)}
-        self.known, self.numeric = list(known), numeric
-        self.width = len(self.at) + 2 * len(numeric)
-
-    def __call__(self, columns: dict[str, list], n: int) -> np.ndarray:
-        x = np.zeros((n, self.width))
-        for c in self.known:
-            for i, v in enumerate(columns[c]):
-                if (k := self.at.get((c, v))) is not None:
-                    x[i, k] = 1
-        for j, c in enumerate(self.numeric):
-            for i, v in enumerate(columns[c]):
-                ok = v is not None and v == v and abs(v) < float("inf")
-                x[i, len(self.at) + 2 * j : len(self.at) + 2 * j + 2] = (np.log1p(abs(v)) / 10, 0) if ok else (0, 1)
+        self.known = {c: {v: j for j, v in enumerate(values)} for c, values in known.items()}
+        self.numeric, self.one = numeric, VALUES + BUCKETS
+        self.width = self.one * len(known) + 2 * len(numeric)
+
+    def places(self, columns: dict[str, list], n: int) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in range(n)]
+        for k, (c, known) in enumerate(self.known.items()):
+            for own, v in zip(out, columns[c], strict=True):
+                if v is not None:
+                    at = known.get(v)
+                    own.append(k * self.one + (VALUES + crc32(v.encode("utf-8", "surrogatepass")) % BUCKETS if at is None else at))
+        return out
+
+    def numbers(self, columns: dict[str, list], n: int) -> list[list[float]]:
+        """Size, and whether there is none, of each number."""
+        out: list[list[float]] = [[] for _ in range(n)]
+        for c in self.numeric:
+            for own, v in zip(out, columns[c], strict=True):
+                own += [float(np.log1p(abs(v)) / 10), 0.0] if v is not None and v == v and abs(v) < float("inf") else [0.0, 1.0]
+        return out
+
+    def view(self, places: list, numbers: list) -> np.ndarray:
+        x = np.zeros((len(places), self.width))
+        for i, own in enumerate(places):
+            x[i, own] = 1
+        if self.numeric and len(places):
+            x[:, self.width - 2 * len(self.numeric) :] = np.array([list(own) for own in numbers])
         return x
 
 
@@ -199,10 +229,9 @@ def _telling(sample: DataFrame) -> dict[str, dict[str, int]]:
 
         return work
 
-    labelled = sample.where("bad is not null or toxic is not null")
-    counts = map_slices(labelled.select("text", "bad", "toxic"), make, "token string, n long, bad long, toxic long", rows=512)
+    counts = map_slices(sample.select("text", "bad", "toxic"), make, "token string, n long, bad long, toxic long", rows=512)
     counts = Stored(counts.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic"))).where("n >= 3")).df
-    total = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     out = {}
     for head in HEADS:
         yes, no = float(total[head]), float(total["n"] - total[head])
@@ -211,89 +240,156 @@ def _telling(sample: DataFrame) -> dict[str, dict[str, int]]:
             continue
         part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
         a, n = F.col(head).cast("double"), F.col("n").cast("double")
-        g = part(a, n * yes / (yes + no)) + part(n - a, n * no / (yes + no))
+        g = F.round(part(a, n * yes / (yes + no)) + part(n - a, n * no / (yes + no)), 9)
         top = counts.where(g > 6).orderBy(F.desc(g), "token").limit(TOKENS).collect()
         out[head] = {r["token"]: i for i, r in enumerate(top)}
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_cols: list[str], number_cols: list[str]) -> tuple[dict[str, Head], Metadata]:
-    """The heads and the metadata view, from a bounded sample of `docs` (see above) and
-    `labels` (the id column, quality, toxic); of several labels of an id the worst counts."""
-    wide = [F.col(c).cast("string").alias(c) for c in meta_cols] + [F.col(c).cast("double").alias(c) for c in number_cols]
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *wide).where("_id is not null")
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((1 - F.min("quality")).alias("bad"), F.max("toxic").alias("toxic"))
-    pick = lambda df, n: df.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(n).drop("_h")
-    some = Stored(pick(known, LABELLED)).df
-    pool = pick(base.select("_id").distinct().join(known.select("_id"), "_id", "left_anti"), POOL)
-    ids = Stored(some.unionByName(pool.withColumns({"bad": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")}))).df
-    sample = Stored(base.join(F.broadcast(ids), "_id").dropDuplicates(["_id"])).df  # at most LABELLED + POOL ids are broadcast
+def _share(key: Column, salt: int) -> Column:
+    """A number of a key, evenly spread from 0 to 1."""
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+
+
+FEATURES = "shape array<double>, t0 array<int>, t1 array<int>, places array<int>, numbers array<double>"
+
+
+def _found(texts: list[str], vocabularies: list[dict[str, int]]) -> list[list[list[int]]]:
+    """For each vocabulary the places of the tokens that each text holds."""
+    seen = [tokens(t) for t in texts]
+    return [[sorted(k for k in map(v.get, own) if k is not None) for own in seen] for v in vocabularies]
+
+
+class Model:
+    """What has been fitted: the heads, the metadata's places, the shapes' scale."""
+
+    def __init__(self, heads: dict[str, Head], meta: Metadata, scale: Scale):
+        self.heads, self.meta, self.scale = heads, meta, scale
+
+    def views(self, name: str, found: list, shapes: list, places: list, numbers: list) -> dict[str, np.ndarray]:
+        own = self.heads[name]
+        return {"text": self.scale.text_view(len(own.vocabulary), found, np.array([list(x) for x in shapes], float).reshape(len(shapes), SHAPES)), "meta": self.meta.view(places, numbers)}
+
+    def chances(self, texts: list[str], columns: dict[str, list]) -> dict[str, np.ndarray]:
+        found = _found(texts, [h.vocabulary for h in self.heads.values()])
+        shapes, places, numbers = [shape(t) for t in texts], self.meta.places(columns, len(texts)), self.meta.numbers(columns, len(texts))
+        out = {}
+        for (name, head), own in zip(self.heads.items(), found, strict=True):
+            x = self.views(name, own, shapes, places, numbers)
+            out[name] = head.chance(x["text"], x["meta"])
+        return out
+
+
+def _confident(model: Model, name: str, free: DataFrame):
+    """Documents without a label that a view is confident of: all are judged and counted, and
+    about TAKEN of each class taken, by a hash."""
+    held = f"t{HEADS.index(name)}"
+
+    def judged(view: str) -> DataFrame:
+        def make():
+            def work(keys, found, *rest):
+                x = model.views(name, found, *rest)[view]
+                classes = model.heads[name].sure(view, x)
+                at = [i for i, y in enumerate(classes) if y >= 0]
+                return [[col[i] for i in at] for col in (keys, found, *rest)] + [[int(classes[i]) for i in at]]
+
+            return work
+
+        columns = free.select("tie", held, "shape", "places", "numbers")
+        return map_slices(columns, make, f"tie long, {held} array<int>, shape array<double>, places array<int>, numbers array<double>, y int", rows=4096)
+
+    def confident(view: str, turn: int) -> dict[str, np.ndarray]:
+        n = {r["y"]: r["n"] for r in judged(view).groupBy("y").agg(F.count("*").alias("n")).collect()}
+        rate = F.lit(0.0)
+        for y, k in n.items():
+            rate = F.when(F.col("y") == y, min(1.0, TAKEN / k)).otherwise(rate)
+        salt = 4 * turn + 2 * HEADS.index(name) + (view == "meta")
+        rows = judged(view).where(_share(F.col("tie"), salt + 7) < rate).collect() if n else []  # about 2 TAKEN
+        rows.sort(key=lambda r: r["tie"])
+        x = model.views(name, *([r[c] for r in rows] for c in (held, "shape", "places", "numbers")))
+        return x | {"y": np.array([r["y"] for r in rows], float)}
+
+    return confident
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_cols: list[str], number_cols: list[str]) -> Model:
+    """The model from all of `docs` and about LABELLED of `labels` (the id column, quality,
+    toxic), dealt by a hash of their id; of several labels of an id the worst counts, and of
+    several rows of an id that with the least hash."""
+    wide = [F.col(quoted(c)).cast("string").alias(f"m{i}") for i, c in enumerate(meta_cols)] + [F.col(quoted(c)).cast("double").alias(f"n{i}") for i, c in enumerate(number_cols)]
+    base = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("text"), *wide)
+    ms, ns = [f"m{i}" for i in range(len(meta_cols))], [f"n{i}" for i in range(len(number_cols))]
+    known = labels.where(F.col(quoted(id_col)).isNotNull()).groupBy(F.col(quoted(id_col)).alias("_id")).agg((1 - F.min("quality")).alias("bad"), F.max("toxic").alias("toxic"))
+    known = Stored(known.where("bad is not null or toxic is not null")).df
+    n_known = known.count()
+    ids = known.where(_share(F.col("_id"), 1) < LABELLED / n_known) if n_known > LABELLED else known
+    sample = base.join(F.broadcast(ids), "_id")  # about LABELLED ids are broadcast
+    one = F.min(F.struct(F.xxhash64("text", *ms, *ns).alias("h"), "text", *ms, *ns, "bad", "toxic"))
+    sample = Stored(sample.groupBy("_id").agg(one.alias("s")).select("_id", "s.*")).df
     vocabulary = _telling(sample)
     values = {}
-    for c in meta_cols:
-        top = sample.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES).collect()
+    for c in ms:
+        top = base.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES).collect()
         values[c] = sorted(r[c] for r in top)
-    meta = Metadata(values, number_cols)
-    plain = [Head(v, np.zeros(SHAPES), np.ones(SHAPES)) for v in vocabulary.values()]
+    meta = Metadata(values, ns)
+
+    def features(rows: DataFrame, keep: list[str]) -> DataFrame:
+        def make():
+            def work(*cols):
+                texts, own = [t or "" for t in cols[len(keep)]], dict(zip(ms + ns, cols[len(keep) + 1 :], strict=True))
+                return [*cols[: len(keep)], [shape(t) for t in texts], *_found(texts, list(vocabulary.values())), meta.places(own, len(texts)), meta.numbers(own, len(texts))]
+
+            return work
+
+        kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+        return map_slices(rows.select(*keep, "text", *ms, *ns), make, f"{kept}, {FEATURES}")
+
+    every = Stored(features(base.withColumn("tie", F.xxhash64("_id", "text", *ms, *ns)), ["_id", "tie"])).df
+    stats = every.select(*(F.element_at("shape", i + 1).alias(f"s{i}") for i in range(SHAPES))).agg(*(f(f"s{i}").alias(f"{n}{i}") for i in range(SHAPES) for n, f in (("a", F.avg), ("d", F.stddev_pop)))).first()
+    number = lambda key, rest: np.array([rest if stats[f"{key}{i}"] is None else stats[f"{key}{i}"] for i in range(SHAPES)], float)
+    scale = Scale(number("a", 0.0), number("d", 1.0) + 1e-6)
+    free = Stored(every.join(known.select("_id"), "_id", "left_anti")).df
+    rows = features(sample.withColumn("held", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(4)) == 0), ["_id", "bad", "toxic", "held"]).collect()  # about LABELLED
+    rows.sort(key=lambda r: str(r["_id"]))
+    model = Model({name: Head(vocabulary[name]) for name in HEADS}, meta, scale)
+    for j, name in enumerate(HEADS):
+        there = [r for r in rows if r[name] is not None]
+        x = model.views(name, *([r[c] for r in there] for c in (f"t{j}", "shape", "places", "numbers")))
+        y, held = np.array([r[name] for r in there], float), np.array([r["held"] for r in there], bool)
+        co_train(model.heads[name], x["text"], x["meta"], y, held, _confident(model, name, free))
+    return model
 
-    def make():
-        def work(texts, *rest):
-            texts = [t or "" for t in texts]
-            found = [tokens(t) for t in texts]
-            seen = [[sorted(k for k in map(h.vocabulary.get, f) if k is not None) for f in found] for h in plain]
-            return [[shape(t) for t in texts], *seen, meta(dict(zip(meta_cols + number_cols, rest, strict=False)), len(texts)).tolist(), *rest[-3:]]
 
-        return work
-
-    got = map_slices(sample.select("text", *meta_cols, *number_cols, "bad", "toxic", (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0).alias("held")), make, "shape array<double>, t0 array<int>, t1 array<int>, meta array<double>, bad int, toxic int, held boolean")
-    rows = got.toPandas()
-    heads = {}
-    shapes = np.array(rows["shape"].tolist(), float).reshape(len(rows), SHAPES)
-    metas = np.array(rows["meta"].tolist(), float).reshape(len(rows), meta.width)
-    for j, name in enumerate(HEADS):
-        head = Head(vocabulary[name], shapes.mean(0) if len(rows) else np.zeros(SHAPES), (shapes.std(0) + 1e-6) if len(rows) else np.ones(SHAPES))
-        x = np.zeros((len(rows), len(head.vocabulary) + SHAPES))
-        for i, own in enumerate(rows[f"t{j}"]):
-            x[i, list(own)] = 1
-        x[:, len(head.vocabulary) :] = np.clip((shapes - head.mean) / head.scale, -CLIP, CLIP)
-        label = rows[name].to_numpy(float)
-        there, free = ~np.isnan(label), (rows["bad"].isna() & rows["toxic"].isna()).to_numpy()
-        heads[name] = co_train(head, x[there], metas[there], label[there], rows["held"].to_numpy(bool)[there], x[free], metas[free])
-    return heads, meta
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols=("source", "lang"), number_cols=("n_chars",), most_bad: float | None = None, most_toxic: float | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols=("source", "lang"), number_cols=(), most_bad: float | None = None, most_toxic: float | None = None) -> DataFrame:
     """All columns of `docs` and p_good, p_toxic, accepted for each row. A row is accepted if
     its chances of being bad or toxic are under `most_bad` and `most_toxic`, or where these
     aren't given under cuts calibrated on held labelled documents.
 
     A null text is judged as an empty one; metadata columns that are missing are left
-    out, and null metadata count as such. Where the labels have one class only, or none,
+    out, and null metadata count as none. Where the labels have one class only, or none,
     each row gets the labels' mean (good and not toxic without labels). Repeated rows are
-    judged each. Columns of `docs` that bear one of the three new names are replaced.
+    judged each; of several texts of a labelled id the one with the least hash is learned
+    from, so results don't depend on the order of rows. Columns of `docs` that bear one of
+    the three new names are replaced; others may bear any name.
     """
     meta_cols, number_cols = [c for c in meta_cols if c in docs.columns], [c for c in number_cols if c in docs.columns]
-    docs = docs.drop("p_good", "p_toxic", "accepted")
-    heads, meta = fit(docs, labels, id_col=id_col, text_col=text_col, meta_cols=meta_cols, number_cols=number_cols)
-    kept = docs.columns
-    views = [F.col(c).cast("string").alias(f"_m{i}") for i, c in enumerate(meta_cols)] + [F.col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(number_cols)]
-    at = kept.index(text_col)
-    cuts = {name: heads[name].cut if given is None else given for name, given in zip(HEADS, (most_bad, most_toxic), strict=True)}
-
-    def make():
-        def work(*columns):
-            texts = [t or "" for t in columns[at]]
-            rest = dict(zip(meta_cols + number_cols, columns[len(kept) :], strict=True))
-            found, shapes, metas = [tokens(t) for t in texts], np.array([shape(t) for t in texts], float).reshape(len(texts), SHAPES), meta(rest, len(texts))
-            p = {}
-            for name, head in heads.items():
-                x = head.text_view(found, shapes)
-                x[:, len(head.vocabulary) :] = np.clip(x[:, len(head.vocabulary) :], -CLIP, CLIP)
-                p[name] = head.chance(x, metas)
-            ok = (p["bad"] < cuts["bad"]) & (p["toxic"] < cuts["toxic"])
-            return [*columns[: len(kept)], 1 - p["bad"], p["toxic"], ok]
-
-        return work
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_slices(docs.select(*kept, *views), make, f"{fields}, p_good double, p_toxic double, accepted boolean")
+    kept = [c for c in docs.columns if c not in ("p_good", "p_toxic", "accepted")]
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, meta_cols=meta_cols, number_cols=number_cols)
+    cuts = {name: model.heads[name].cut if given is None else given for name, given in zip(HEADS, (most_bad, most_toxic), strict=True)}
+    ms, ns = list(model.meta.known), model.meta.numeric
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for at in range(0, len(rows), SLICE_ROWS):
+            texts, *rest = ([None if v is None or v != v else v for v in rows[c].iloc[at : at + SLICE_ROWS]] for c in rows)
+            out.append(pd.DataFrame(model.chances([t or "" for t in texts], dict(zip(ms + ns, rest, strict=True)))))
+        p = pd.concat(out) if out else pd.DataFrame({"bad": [], "toxic": []}, dtype=float)
+        return pd.DataFrame({"p_good": 1 - p["bad"].to_numpy(), "p_toxic": p["toxic"].to_numpy(), "accepted": ((p["bad"] < cuts["bad"]) & (p["toxic"] < cuts["toxic"])).to_numpy()})
+
+    # only what is judged goes through Python, and only the scores come back; as it is marked not
+    # deterministic, no filter on them runs it twice
+    run = F.pandas_udf(judge, "p_good double, p_toxic double, accepted boolean").asNondeterministic()
+    views = [F.col(quoted(c)).cast("string").alias(n) for n, c in zip(ms, meta_cols, strict=True)] + [F.col(quoted(c)).cast("double").alias(n) for n, c in zip(ns, number_cols, strict=True)]
+    judged = unused("judged", docs.columns)
+    out = docs.select(*map(quoted, kept), run(F.struct(F.col(quoted(text_col)).cast("string").alias("text"), *views)).alias(judged))
+    return out.select(*map(quoted, kept), *(F.col(judged)[c].alias(c) for c in ("p_good", "p_toxic", "accepted")))
