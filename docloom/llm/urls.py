@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, ascii_lower
+from docloom.llm.common import Stored, ascii_lower, quoted
 
 #: (action, rule); a rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -52,9 +52,16 @@ def fitting(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, Co
 
 
 def _windows(urls: DataFrame) -> DataFrame:
-    """Each character of each URL behind its four predecessors."""
-    padded = F.concat(F.lit(START * ORDER), "url", F.lit(END))
-    return urls.withColumn("_padded", padded).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("url") + 1))).withColumn("w", F.expr(f"substring(_padded, _at, {ORDER + 1})")).drop("_padded", "_at")
+    """The columns of `urls` but url, and w, each character of each URL behind its four
+    predecessors. A URL is cut into its characters once, so the work grows with its length."""
+    chars = F.split(F.concat(F.lit(START * ORDER), "url", F.lit(END)), "")
+    each = F.transform(F.sequence(F.lit(1), F.size("_chars") - ORDER), lambda i: F.array_join(F.slice("_chars", i, ORDER + 1), ""))
+    return urls.withColumn("_chars", chars).withColumn("w", F.explode(each)).drop("_chars", "url")
+
+
+def key_of(url: Column) -> Column:
+    """What stands for a URL in joins and sums, however long it is."""
+    return F.md5(url.cast("binary"))
 
 
 def ratio_table(urls: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def ratio_table(urls: DataFrame) -> DataFrame:
     Orders build on each other: an n-gram meets its context and its shorter suffix,
     so that no join has a key with more rows than there are characters.
     """
-    seen = _windows(urls).groupBy("w").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    seen = _windows(urls.select("url", "n", "good", "bad")).groupBy("w").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     base = Stored(seen).df
     below = None
     for order in range(ORDER + 1):
@@ -85,17 +92,17 @@ def ratio_table(urls: DataFrame) -> DataFrame:
 
 
 def score(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """url, score of distinct `urls` (url): the mean of its windows' log ratios."""
-    rows = _windows(urls.select("url"))
+    """key, score of distinct `urls` (key, url): the mean of its windows' log ratios."""
+    rows = _windows(urls.select("key", "url"))
     if ratios.count() <= BROADCAST_ROWS:
-        met = rows.join(F.broadcast(ratios), "w").select("url", "llr")
+        met = rows.join(F.broadcast(ratios), "w").select("key", "llr")
     else:
         total = ratios.agg(F.sum("n")).first()[0]
         hot = ratios.where(F.col("n") * HOT >= total).select("w", F.col("llr").alias("hot_llr"))
         marked = rows.join(F.broadcast(hot), "w", "left")
-        rest = marked.where("hot_llr is null").join(ratios.where(F.col("n") * HOT < total), "w").select("url", "llr")
-        met = rest.unionByName(marked.where("hot_llr is not null").select("url", F.col("hot_llr").alias("llr")))
-    return met.groupBy("url").agg(F.avg("llr").alias("score"))
+        rest = marked.where("hot_llr is null").join(ratios.where(F.col("n") * HOT < total), "w").select("key", "llr")
+        met = rest.unionByName(marked.where("hot_llr is not null").select("key", F.col("hot_llr").alias("llr")))
+    return met.groupBy("key").agg(F.avg("llr").alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -123,17 +130,17 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     accepted or without rejected URLs to learn from, the threshold is 0. Other columns
     are not read.
     """
-    url = F.coalesce(F.col(url_col), F.lit(""))
+    url = F.coalesce(F.col(quoted(url_col)), F.lit(""))
     rule, action = fitting(host(url), path(url), rules)
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"), rule.alias("rule"), action.alias("action"))
-    kinds = rows.groupBy("url", "action").agg(F.count("*").alias("n"))
-    learns = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 4), 16, 10).cast("int") % 5 != 0
+    rows = pages.select(F.col(quoted(id_col)).alias("id"), url.alias("url"), key_of(url).alias("key"), host(url).alias("host"), path(url).alias("path"), rule.alias("rule"), action.alias("action"))
+    kinds = rows.groupBy("key").agg(F.first("url").alias("url"), F.first("action").alias("action"), F.count("*").alias("n"))
+    learns = F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % 5 != 0
     count = lambda act, where: F.when((F.col("action") == act) & where, F.col("n")).otherwise(0)
-    known = kinds.select("url", "n", count("allow", learns).alias("good"), count("block", learns).alias("bad"), count("allow", ~learns).alias("held_good"), count("block", ~learns).alias("held_bad"))
+    known = kinds.select("key", "url", "n", count("allow", learns).alias("good"), count("block", learns).alias("bad"), count("allow", ~learns).alias("held_good"), count("block", ~learns).alias("held_bad"))
     ratios = Stored(ratio_table(known)).df
     scored = Stored(score(known, ratios)).df
-    held = scored.join(known.where("held_good + held_bad > 0").select("url", F.col("held_good").alias("good"), F.col("held_bad").alias("bad")), "url")
+    held = scored.join(known.where("held_good + held_bad > 0").select("key", F.col("held_good").alias("good"), F.col("held_bad").alias("bad")), "key")
     cut = threshold(held)
-    out = rows.join(scored, "url", "left")
+    out = rows.join(scored, "key", "left")
     verdict = F.coalesce("action", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")

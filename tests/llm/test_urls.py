@@ -65,12 +65,12 @@ def test_ratio_is_the_smoothed_model(spark):
 
 
 def test_hot_windows_join_gives_the_same(spark, monkeypatch):
-    known = spark.createDataFrame([(u, 1, i % 2, 1 - i % 2) for i, u in enumerate({u for _, u in ROWS if u})], "url string, n long, good int, bad int")
+    known = spark.createDataFrame([(u, u, 1, i % 2, 1 - i % 2) for i, u in enumerate({u for _, u in ROWS if u})], "key string, url string, n long, good int, bad int")
     ratios = urls.ratio_table(known)
-    one = {r.url: round(r.score, 9) for r in urls.score(known, ratios).collect()}
+    one = {r.key: round(r.score, 9) for r in urls.score(known, ratios).collect()}
     monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(urls, "HOT", 16)
-    assert one == {r.url: round(r.score, 9) for r in urls.score(known, ratios).collect()}
+    assert one == {r.key: round(r.score, 9) for r in urls.score(known, ratios).collect()}
 
 
 def test_empty_table_and_plan(spark):
@@ -78,3 +78,16 @@ def test_empty_table_and_plan(spark):
     assert urls.judge(pages.limit(0)).count() == 0
     plan = urls.judge(pages)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_work_grows_with_a_url_s_length(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        pages = spark.createDataFrame([(1, "http://a.net/" + "ab" * (n // 2)), (2, "http://www.org/fr/" + "é/x" * (n // 3)), (3, "http://other.de/" + "ab" * 30), (4, None)], "page_id long, url string")
+        start = time.perf_counter()
+        got = {r.page_id: r for r in urls.judge(pages).collect()}
+        took.append(time.perf_counter() - start)
+        assert (got[1].verdict, got[2].verdict, got[2].rule) == ("block", "allow", "org/fr/") and len(got) == 4
+    assert took[1] < 20
