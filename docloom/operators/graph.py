@@ -6,19 +6,16 @@ workspace. Reachability takes one join a step over the documents reached last.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from dataclasses import dataclass
-from functools import cache, cached_property
+from functools import cached_property
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fx
 from docloom.operators import lines as ln
+from docloom.store import stored
 
 #: The ends of URIs at which reading starts.
 ENTRY_POINTS = ("index.adoc", "readme.adoc", "index.asciidoc", "readme.asciidoc", "readme.md", "index.md")
@@ -29,31 +26,6 @@ SMALL = 200_000
 FOLD = 32
 
 
-@cache
-def _local_dir() -> str:
-    path = tempfile.mkdtemp(prefix="docloom-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def _shared(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one for a local master alone."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return _local_dir()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docloom"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read back, so that plans stay short."""
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Workspace:
     """The relations of a set of documents (uri, load_ord, text). Each is found by a scan of
@@ -189,6 +161,8 @@ def reachable(starts: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def reachable_documents(ws: Workspace) -> DataFrame:
+    """uri, depth of what entry points lead to. The texts are scanned once, for an index."""
+    ws = ws.indexed()
     return reachable(ws.docs.where(is_entry_point(F.col("uri"))), edges(ws))
 
 
