@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +21,6 @@ ENTRY_POINTS = ("index.adoc", "readme.adoc", "index.asciidoc", "readme.asciidoc"
 
 #: Links that one task may hold (two URIs each) when it follows them all.
 SMALL = 200_000
-#: Steps of a chain whose results are held apart before they are stored together.
-FOLD = 32
 
 
 @dataclass
@@ -192,16 +189,18 @@ def search_symbols(syms: DataFrame, query: str) -> DataFrame:
 
 def resolve_chain(parents: DataFrame, key: str, parent: str) -> DataFrame:
     """key, ancestor, depth over a parent column, to each chain's end; a cycle ends at its
-    first repeat. What is found is stored together every FOLD steps, so plans don't grow."""
-    base = stored(parents.select(F.col(key).alias("k"), F.col(parent).alias("p")))
-    last = base.select("k", F.col("k").alias("ancestor"), F.lit(0).alias("depth"), F.array("k").alias("path"))
-    out = last.drop("path")
-    for depth in count(1):
-        up = base.select(F.col("k").alias("ancestor"), "p")
-        last = stored(last.join(up, "ancestor").where(F.col("p").isNotNull() & ~F.array_contains("path", F.col("p"))).join(base.select(F.col("k").alias("p")).distinct(), "p", "left_semi").select("k", F.col("p").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("p")).alias("path")))
-        if last.isEmpty():
+    first repeat, and parents that are no keys are no ancestors. Each step doubles the
+    distance that is known, so a chain takes as many steps as its length has bits."""
+    base = stored(parents.select(F.col(key).alias("k"), F.col(parent).alias("m")))
+    known = stored(base.select("k").where("k is not null").distinct().select("k", F.col("k").alias("ancestor"), F.lit(0).alias("depth")))
+    jump = stored(base.where("k <> m").join(known.select(F.col("k").alias("m")), "m", "left_semi").select("k", "m").distinct())
+    n, distance = known.count(), 1
+    while not jump.isEmpty():
+        more = jump.join(known.withColumnRenamed("k", "m"), "m").select("k", "ancestor", F.col("depth") + distance)
+        known = stored(known.union(more).groupBy("k", "ancestor").agg(F.min("depth").alias("depth")))
+        before, n = n, known.count()
+        if n == before:
             break
-        out = out.unionByName(last.drop("path"))
-        if depth % FOLD == 0:
-            out = stored(out)
-    return out.select(F.col("k").alias(key), "ancestor", "depth")
+        jump = stored(jump.join(jump.select(F.col("k").alias("m"), F.col("m").alias("then")), "m").select("k", F.col("then").alias("m")).distinct())
+        distance *= 2
+    return known.select(F.col("k").alias(key), "ancestor", "depth")
