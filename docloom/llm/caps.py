@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, components, map_slices
+from docloom.llm.common import Stored, components, map_slices, quoted, split_join
 
 #: Directions that a random vector is expected to exceed; more find more of the pairs.
 FILTERS = 12
@@ -101,7 +101,7 @@ def _compared(units: DataFrame, kind: str, cosine: float) -> DataFrame:
     def one(rows: list, out: list) -> None:
         if len(rows) < 2:
             return
-        f, i, j = rows[0][1], rows[0][2], rows[0][3]
+        i, j = rows[0][2], rows[0][3]
         x = _doubles([r[6] for r in rows])
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         linked = x @ x.T >= cosine
@@ -114,7 +114,7 @@ def _compared(units: DataFrame, kind: str, cosine: float) -> DataFrame:
             return
         linked = linked[np.ix_(at, at)]
         lists = [np.array(rows[k][8], np.int64) for k in at]
-        lower = [own[own < f] for own in lists]
+        lower = lists
         ids, where, n = np.unique(np.concatenate(lower), return_inverse=True, return_counts=True)
         new = linked
         if (n > 1).any():
@@ -170,9 +170,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     id has a null component and is kept. Repeated rows count as vectors of their own.
     Other columns are not read.
     """
-    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
-    valid = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(finite, F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"), valid.alias("valid"))
+    id_col_, vector_col_, label_col_ = (quoted(c) for c in (id_col, vector_col, label_col))
+    finite = F.forall(F.col(vector_col_), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(F.col(vector_col_), lambda x: x != 0)
+    valid = F.col(id_col_).isNotNull() & F.col(label_col_).isNotNull() & F.coalesce(finite, F.lit(False))
+    rows = vectors.select(F.col(id_col_).alias("id"), F.col(label_col_).cast("string").alias("label"), F.col(vector_col_).cast("array<double>").alias("v"), valid.alias("valid"))
     own = rows.where("valid")
     kind = rows.schema["id"].dataType.simpleString()
     single = kind in ("bigint", "string", "int") and own.groupBy("id").count().where("count > 1").isEmpty()
@@ -182,11 +183,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     coded = Stored(_decoded(classes, kind, classes.count())).df
 
     held = coded.select("cid", F.concat("dim", F.lit(":"), "label").alias("label"), F.explode("filters").alias("filter"))
-    sizes = held.groupBy("label", "filter").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = Stored(held.groupBy("label", "filter").agg(F.count("*").alias("size")).where("size > 1")).df
     parts = F.ceil(F.col("size") / PART).cast("int")
-    met = held.join(sizes, ["label", "filter"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    met = split_join(held, sizes, ["label", "filter"], sizes.withColumnRenamed("size", "n")).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     units = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cid", "label", "filter", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    units = units.join(coded.select("cid", "v", "weight", "filters"), "cid")
+    # a member brings the filters below this one, which tell what has been counted there
+    units = units.join(coded.select("cid", "v", "weight", "filters"), "cid").withColumn("filters", F.expr("filter(filters, x -> x < filter)"))
     found = Stored(_compared(units, kind, cosine)).df
 
     links = found.groupBy("cid").agg(F.sum("n").alias("n"))

@@ -1,20 +1,17 @@
-"""Shared pieces of the training-data operators: shared-folder tables, Arrow row maps,
-word hashing and connected components."""
+"""Shared pieces of the training-data operators: names, Arrow row maps, word hashing, joins
+with hot keys, sieves and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.store import Stored, result, scope, shared_dir, stored  # noqa: F401
+
 #: Rows that a Python worker turns into output at once; bounds its memory, not its results.
 SLICE_ROWS = 256
 
@@ -36,47 +33,6 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
-@cache
-def _local_dir() -> str:
-    path = tempfile.mkdtemp(prefix="docloom-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set.
-
-    Unset, a temporary folder serves a local master; any other master gets a folder
-    below the warehouse.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return _local_dir()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docloom"
-
-
-class Stored:
-    """A DataFrame written once to the shared folder and read back: lineage is cut and
-    a lost executor costs nothing but the reading."""
-
-    def __init__(self, df: DataFrame):
-        self._spark = df.sparkSession
-        self.path = f"{shared_dir(self._spark)}/docloom/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self._spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self._spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    return Stored(df).df
-
-
 def map_slices(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Runs `make()` once in each task; what it returns gets the columns of `df` as lists,
     at most `rows` rows at a time, and returns the output columns as lists or arrays."""
@@ -171,31 +127,53 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-#: Words of the bitmap that sieve() broadcasts: two longs each, whatever the data.
-SIEVE_WORDS = 1 << 18
-
-
-def sieve(df: DataFrame, key: Column, keys: DataFrame, keep: str = "left_semi") -> DataFrame:
-    """The rows of `df` whose key may be among `keys` (one column), by a broadcast bitmap
-    of 64 * SIEVE_WORDS bits: no row of a present key is lost, few others pass while
-    there are fewer keys than bits. "left_anti" gives the other rows."""
-    one = F.xxhash64(F.col(keys.columns[0]))
-    bits = keys.select(F.pmod(one, F.lit(SIEVE_WORDS)).alias("_word"), F.shiftrightunsigned(one, 58).cast("int").alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+#: Most words of the bitmap that sieve() broadcasts (64 bits each), and the least.
+SIEVE_WORDS, LEAST_WORDS = 1 << 20, 1 << 12
+#: Bits of the bitmap for each key, at least.
+SIEVE_BITS = 4
+
+
+def sieve(df: DataFrame, key: Column, keys: DataFrame, keep: str = "left_semi", most: int | None = None) -> DataFrame:
+    """The rows of `df` whose key may be among `keys` (one column), by a broadcast bitmap with
+    at least SIEVE_BITS bits a key: no row of a present key is lost, and at most a fourth or so
+    of the others pass. "left_anti" gives the other rows.
+
+    `most` says how many keys there may be, else they are counted. Where a bitmap of
+    SIEVE_WORDS words is too small for them the keys themselves are joined, by a shuffle, and
+    only rows of present keys pass."""
+    most = keys.count() if most is None else most
+    words = LEAST_WORDS
+    while words * 64 < most * SIEVE_BITS and words < SIEVE_WORDS:
+        words *= 2
+    one, name = F.xxhash64(F.col(keys.columns[0])), unused("_key", df.columns)
+    if words * 64 < most * SIEVE_BITS:
+        held = keys.select(F.col(keys.columns[0]).alias(name)).distinct()
+        return df.join(held, key == held[name], keep)
+    bits = keys.select(F.pmod(one, F.lit(words)).alias("_word"), F.shiftrightunsigned(one, 58).cast("int").alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
     own = F.xxhash64(key)
     held = F.broadcast(bits)
-    return df.join(held, (F.pmod(own, F.lit(SIEVE_WORDS)) == held["_word"]) & (F.bit_get(held["_bits"], F.shiftrightunsigned(own, 58).cast("int")) == 1), keep)
+    return df.join(held, (F.pmod(own, F.lit(words)) == held["_word"]) & (F.bit_get(held["_bits"], F.shiftrightunsigned(own, 58).cast("int")) == 1), keep)
 
 
 #: A key is hot if it holds a HOT-th of all rows; so there are at most HOT hot keys.
 HOT = 4096
+#: Rows of a table that may be broadcast for hot keys.
+HOT_ROWS = 200_000
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
-    """rows.join(table, key) where `table` has one row for each key: the rows of hot keys meet
-    the table's at most HOT rows of those by broadcast and stay where they are, the others by
-    a shuffle. `sizes` (key, n: rows of each key) is counted from the rows unless given."""
-    sizes = sizes if sizes is not None else rows.groupBy(key).agg(F.count("*").alias("n"))
+def split_join(rows: DataFrame, table: DataFrame, key: str | list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """rows.join(table, key), where a few keys may hold most of the rows: the rows of hot keys
+    meet the table's by broadcast and stay where they are, the others by a shuffle. `sizes`
+    (key, n: rows of each key) is counted from the rows unless given. Should the table have
+    over HOT_ROWS rows of hot keys, all are joined by a shuffle."""
+    on = [key] if isinstance(key, str) else key
+    sizes = sizes if sizes is not None else rows.groupBy(*on).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(sizes.where(F.col("n") * HOT >= max(total, HOT)).where(F.col("n") > 1).select(key))  # HOT rows at most
-    with_hot = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
-    return with_hot.unionByName(rows.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key))
+    hot = Stored(sizes.where((F.col("n") > 1) & (F.col("n") * HOT >= total)).select(*on)).df  # HOT rows at most
+    if hot.isEmpty():
+        return rows.join(table, on)
+    met = Stored(table.join(F.broadcast(hot), on, "left_semi")).df
+    if met.count() > HOT_ROWS:
+        return rows.join(table, on)
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(table.join(F.broadcast(hot), on, "left_anti"), on)
+    return rows.join(F.broadcast(met), on).unionByName(rest)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, ascii_lower
+from docloom.llm.common import Stored, ascii_lower, quoted, split_join
 
 #: Words of a window.
 WINDOW = 10
@@ -44,7 +44,7 @@ def _key(array: str, start: str, left: str) -> str:
 
 def windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """win (words), items (distinct ids as strings, sorted), len: the distinct windows of all items."""
-    own = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).where("size(ws) > 0")
+    own = items.select(F.col(quoted(id_col)).cast("string").alias("item"), words(F.col(quoted(text_col))).alias("ws")).where("size(ws) > 0")
     each = own.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - size + 1)))).select("item", F.slice("ws", F.col("at"), size).alias("win"))
     return each.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("win"))
 
@@ -70,10 +70,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     """
     wins = Stored(windows(items, id_col=item_id, text_col=item_text, size=size)).df
     grams = Stored(_shingles(wins)).df
-    small = (items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0) <= BROADCAST_BYTES
+    small = (items.agg(F.sum(F.octet_length(quoted(item_text)))).first()[0] or 0) <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda df: df)
 
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words(F.col(text_col)).alias("ws"))
+    base = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), words(F.col(quoted(text_col))).alias("ws"))
     lens = [k for k in range(1, SHINGLE) if small is False or wins.where(F.col("len") == k).take(1)] + [SHINGLE]
     key = lambda k: F.expr(f"CASE WHEN at >= 0 AND at + {k} <= size(ws) THEN xxhash64({k}, {_at('ws', 'at', k)}) END")
 
@@ -82,6 +82,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     rows = _positions(base.select("ws"))
     rows = rows.select(key(SHINGLE).alias("key")) if lens == [SHINGLE] else rows.select(F.explode(F.array(*map(key, lens))).alias("key"))
     counts = rows.where("key is not null").join(hint(keys), "key", "left_semi" if not small else "inner").groupBy("key").agg(F.count("*").alias("n"))
+    counts = Stored(counts).df  # a row for each of the benchmark's shingles
     rare = grams.join(counts, "key", "left").groupBy("win", "items", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "key")).alias("p"))
     prefix = Stored(rare.where("p.n > 0").select("p.key", "p.off", "win", "items", "len")).df
 
@@ -96,7 +97,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         met = met.select("id", "hash", F.when(F.col("at") < 0, F.size("ws")).alias("n_words"), (F.col("at") - F.col("off")).alias("start"), "len", "items")
     else:
         own = spots.where("key IS NOT NULL").select("id", "hash", "key", "at", F.size("ws").alias("n"))
-        cand = own.join(prefix, "key").where("at >= off AND at - off + len <= n")
+        cand = split_join(own, prefix, "key", counts).where("at >= off AND at - off + len <= n")
         texts = ident.groupBy("id", "hash").agg(F.first("ws").alias("ws"))
         true = cand.join(texts, cand["id"].eqNullSafe(texts["id"]) & (cand["hash"] == texts["hash"])).where(same).select(cand["id"], cand["hash"], F.lit(None).cast("int").alias("n_words"), (F.col("at") - F.col("off")).alias("start"), "len", "items")
         met = true.unionByName(ident.select("id", "hash", F.size("ws").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("array<string>").alias("items")))

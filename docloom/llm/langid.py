@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_slices, stored
+from docloom.llm.common import map_slices, quoted, stored
 
 #: N-grams of a profile, of a language as of a document.
 TOP = 400
@@ -80,7 +80,7 @@ def profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
                     yield from out()
         yield from out()
 
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = docs.select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     return counts.withColumn("rank", rank - 1).where(F.col("rank") < top).select("lang", "code", "rank")
@@ -96,7 +96,7 @@ def identify(docs: DataFrame, learned: DataFrame, *, id_col: str = "doc_id", tex
     learned = stored(learned)
     langs = [r[0] for r in learned.select("lang").distinct().orderBy("lang").toLocalIterator()]
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     for at in range(0, len(langs), block):
         own = langs[at : at + block]
         rows = _compare(rows, own, learned.where(F.col("lang").isin(own)).toPandas(), kind, top)

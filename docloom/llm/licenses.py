@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, map_slices, split_join
+from docloom.llm.common import Stored, map_slices, quoted, split_join
 
 #: Least cosine of a notice in a file, of a whole text with a notice that it consists of, and
 #: with a license's full text.
@@ -206,7 +206,7 @@ def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templat
     complete = full_texts() if texts is None else texts
     words = lambda held: {t for own in held.values() for text in own for t in terms(text)}
     kind = files.schema[id_col].dataType.simpleString()
-    base = files.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{path_col}`"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
+    base = files.select(F.monotonically_increasing_id().alias("row"), F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(path_col)), F.lit("")).alias("path"), F.col(quoted(text_col)).alias("text"))
     idf, weights, least_others, most = _weights(base.select("text"), words(templates), words(complete))
 
     def make():

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, components, map_slices, mix64
+from docloom.llm.common import Stored, components, map_slices, mix64, quoted, split_join
 from docloom.llm.shingles import ShingleSets
 
 BANDS, ROWS = 28, 5  # of the signature; candidates use as many bands as bands_for() says
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are judged each by its own text. A null id is linked with nothing: its component is
     null and it is kept. Other columns are not read.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     own = Stored(signatures(base, "id", "text", k)).df
     full = own.where("n > 0 and id is not null")
@@ -222,9 +222,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     width = 4 * ROWS
     bands = sigs.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands_for(percent) - 1)))).select(F.expr(f"xxhash64(band, substring(sig, band * {width} + 1, {width}))").alias("bucket"), "band", "rep")
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
-    members = Stored(bands.join(shared, "bucket").where("rep <> lead")).df  # a bucket's leader stands with each member
-    both = members.select("rep").unionByName(members.select(F.col("lead").alias("rep"))).distinct()
+    shared = Stored(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")).df
+    sizes = shared.select("bucket", F.col("size").alias("n"))
+    members = Stored(split_join(bands, shared, "bucket", sizes).where("rep <> lead")).df  # a bucket's leader stands with each member
+    both = members.select("rep").distinct().unionByName(members.select(F.col("lead").alias("rep")).distinct()).distinct()
     wanted = both.join(sigs.select("rep", "id", "hash"), "rep")
     texts = base.withColumn("hash", F.xxhash64("text")).join(wanted, ["id", "hash"]).select(F.col("rep").alias("id"), "text")
     if not own.where("id is not null").groupBy("id", "hash").count().where("count > 1").isEmpty():
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = members.select("bucket", "band", "rep").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = F.ceil(F.count("*") / PART).cast("int")
     unclear = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open"), parts.alias("parts")).where("open").select("bucket", "parts")
-    met = placed.join(unclear, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = split_join(placed, unclear, "bucket", sizes).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     units = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     rows = met.select("rep").distinct().join(sigs.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
     more = _within(units.join(Stored(rows).df, "rep"), kind, percent, k)

@@ -18,7 +18,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import map_slices
+from docloom.llm.common import map_slices, quoted
 
 MARK = "▁"
 
@@ -124,7 +124,7 @@ def tokenize(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_c
 
         return work
 
-    return map_slices(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_tokens long, ids string, decoded string", rows=64)
+    return map_slices(docs.select(quoted(id_col), quoted(text_col)), make, f"`{id_col}` {kind}, n_tokens long, ids string, decoded string", rows=64)
 
 
 def encode(docs: DataFrame, model_path: str, **kw) -> DataFrame:
@@ -144,4 +144,4 @@ def decode(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_c
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         return lambda keys, ids: [keys, sp.decode([x or [] for x in ids], num_threads=1)]
 
-    return map_slices(encoded.select(id_col, ids_col), make, f"`{id_col}` {kind}, text string", rows=64)
+    return map_slices(encoded.select(quoted(id_col), quoted(ids_col)), make, f"`{id_col}` {kind}, text string", rows=64)
