@@ -17,6 +17,7 @@ import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.llm.common import map_slices, quoted
 
@@ -124,13 +125,15 @@ def tokenize(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_c
 
         return work
 
-    return map_slices(docs.select(quoted(id_col), quoted(text_col)), make, f"`{id_col}` {kind}, n_tokens long, ids string, decoded string", rows=64)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    out = map_slices(rows, make, f"id {kind}, n_tokens long, ids string, decoded string", rows=64)
+    return out.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")
 
 
 def encode(docs: DataFrame, model_path: str, **kw) -> DataFrame:
     """The ids of each text as array<int>."""
     out = tokenize(docs, model_path, **kw)
-    return out.selectExpr(f"`{out.columns[0]}`", "n_tokens", "cast(split(ids, ' ') as array<int>) as ids")
+    return out.selectExpr(quoted(out.columns[0]), "n_tokens", "cast(split(ids, ' ') as array<int>) as ids")
 
 
 def decode(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -144,4 +147,5 @@ def decode(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_c
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         return lambda keys, ids: [keys, sp.decode([x or [] for x in ids], num_threads=1)]
 
-    return map_slices(encoded.select(quoted(id_col), quoted(ids_col)), make, f"`{id_col}` {kind}, text string", rows=64)
+    rows = encoded.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(ids_col)).alias("ids"))
+    return map_slices(rows, make, f"id {kind}, text string", rows=64).select(F.col("id").alias(id_col), "text")

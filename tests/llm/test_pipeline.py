@@ -1,9 +1,12 @@
 import random
 
 import pytest
+import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import catalogue
+from tests.llm import test_decontaminate, test_minhash, test_quality
 from tests.llm.test_minhash import shingles
 from tests.llm.test_substrings import brute as without_passages
 
@@ -33,6 +36,7 @@ def sf_dir(spark, tmp_path_factory):
     docs += [(500, docs[3][1], "en", "s", 0), (501, " ".join(copy), "en", "s", 0)]
     docs += [(510, " ".join(new(80) + passage), "en", "s", 0), (511, " ".join(passage + new(80)), "en", "s", 0)]
     docs += [(520, " ".join(new(30) + item + new(9)), "en", "s", 0), (530, None, None, None, None), (None, " ".join(new(50)), "en", "s", 1), (531, "", "en", "s", 0)]
+    docs += [docs[5], docs[5], (7, docs[7][1], "en", "s", 77)]  # repeated rows, and one that differs elsewhere
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{place}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
@@ -63,6 +67,64 @@ def test_run_is_the_stages(spark, sf_dir):
     assert 520 not in got and 3 in got and got[530] == 1
 
 
+def brute(spark, sf_dir):
+    """(doc_id, n_tokens, ids) by the brute-force forms of all five stages in a row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("*", F.xxhash64("text", "source", "lang").alias("hash"), F.xxhash64("doc_id", "text", "source", "lang").alias("tie"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("held")).collect()
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    judged = test_quality.brute([{"id": r.doc_id, "text": r.text, "source": r.source, "lang": r.lang, "hash": r.hash, "tie": r.tie, "held": r.held} for r in rows], labels, ["source", "lang"])
+    left = [(r.doc_id, r.text) for r, (_, _, ok) in zip(rows, judged, strict=True) if ok]
+    once = [x for i, x in enumerate(left) if x[0] is None or x not in left[:i]]
+    component = {i: c for i, _, c in test_minhash.brute(once, 80)}
+    left = [(i, t) for i, t in once if i is None or component[i] == i]
+    left = [(i, text if n else next(t for j, t in left if j == i)) for i, _, n, text in without_passages(left)]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    hit = {i for i, _, n, _ in test_decontaminate.brute(left, items) if n}
+    sp = sentencepiece.SentencePieceProcessor(model_file=catalogue.tokenizer_path())
+    return sorted(((i, len(ids), ids) for i, t in left if i not in hit for ids in [sp.encode(t or "") + [sp.eos_id()]]), key=str)
+
+
+def test_the_query_against_brute_force(spark, sf_dir):
+    got = sorted(((r.doc_id, r.n_tokens, list(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()), key=str)
+    assert got == brute(spark, sf_dir)
+
+
+ODD = {"_key": "k", "_gone": "g", "_m0": "m", "judged": "j", "a.b": "dot", "c`d": "tick", "uid": "u", "h": "h", "hash": "x", "key": "y", "id": "z", "spans": "s", "ws": "w", "_c0": "c"}
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_keep_columns_of_any_name(spark, sf_dir, at):
+    """Clashing and dotted names, nulls, empty and very long texts, repeated rows, no rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = spark.createDataFrame([(9000, " ".join(f"long{i}" for i in range(60_000)), "en", "s", 1), (9001, "x" * 500_000, None, None, None)], docs.schema)
+    docs = docs.unionByName(long)
+    stage = corpus_pipeline.STAGES[at][1]
+    odd = docs.select("*", *(F.concat(F.lit(v), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(k) for k, v in ODD.items()), F.array(F.lit(1)).alias("list"), F.create_map(F.lit("a"), F.lit(1)).alias("map"))
+    plain = sorted(map(str, (tuple(r) for r in stage(spark, docs, sf_dir).collect())))
+    out = stage(spark, odd, sf_dir)
+    got = out.collect()
+    if at < 4:
+        assert out.columns == odd.columns
+        assert all(r[k] == v + (str(r.doc_id) if r.doc_id is not None else "-") for r in got for k, v in ODD.items())
+        assert sorted(str(tuple(r)[: len(docs.columns)]) for r in got) == plain
+    else:
+        assert sorted(map(str, (tuple(r) for r in got))) == plain
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_a_small_sieve_gives_the_same_rows(spark, sf_dir, monkeypatch):
+    from docloom.llm import common
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lambda: [sorted(map(str, (tuple(r) for r in corpus_pipeline.STAGES[at][1](spark, docs, sf_dir).collect()))) for at in (2, 3)]
+    want = rows()
+    monkeypatch.setattr(common, "LEAST_WORDS", 1)
+    for most, bits in ((1, 0), (0, 4)):  # a full bitmap, then the keys themselves
+        monkeypatch.setattr(common, "SIEVE_WORDS", most)
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        assert rows() == want
+
+
 def test_near_duplicates_take_four_fifths(spark):
     a, b = (" ".join(f"w{i}" for i in range(50)), " ".join([*(f"w{i}" for i in range(48)), "x", "y"]))
     assert 0.85 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
