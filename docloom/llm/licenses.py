@@ -64,7 +64,8 @@ class Matcher:
     between `least_other` and `most`.
     """
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], idf: dict[str, float], least_other: float, most: float):
+    def __init__(self, templates: dict[str, tuple[str, ...]], idf: dict[str, float], least_other: float, most: float, long: Matcher | None = None):
+        self.long = long
         self.names = [name for name, texts in templates.items() for _ in texts]
         self.idf, self.least_other, self.most = idf, least_other, most
         self.postings: dict[str, list[tuple[int, float]]] = {}
@@ -100,13 +101,13 @@ class Matcher:
                     out += [tuple(part[i : i + size]) for i in at]
         return out
 
-    def block(self, words: list[str], least: float) -> tuple | None:
+    def block(self, words: list[str], least: float, n: Counter | None = None) -> tuple | None:
         """None where the words can't reach a cosine of `least`; else the bounds of their
         cosine, the product with the closest template (the first license by name among
         equals), their own square over its terms, the license, and the other words."""
         if self.postings.keys().isdisjoint(words):
             return None
-        n = Counter(words)
+        n = Counter(words) if n is None else n
         known = {w: k * self.idf[w] for w, k in n.items() if w in self.postings}
         own = sum(x * x for x in known.values())
         squares = sum(k * k for w, k in n.items() if w not in known)
@@ -123,25 +124,28 @@ class Matcher:
             return None
         return high, round(dot / (own + squares * self.most**2) ** 0.5, 8), dot, own, name, {w: k for w, k in n.items() if w not in known}
 
-    def scan(self, text: str, least: float) -> list[tuple]:
-        """The whole text (0) if it may reach `least`, and of the lines (from 1), the head and
-        the windows those that may come closest: at, dot, own, license, other words and their counts."""
+    def scan(self, text: str, least: float, full: float = 1.0) -> list[tuple]:
+        """The whole text (-1) if it may reach `full` with one of the `long` templates, and (0) if
+        it may reach `least`, and of the lines (from 1), the head and the windows those that may
+        come closest: at, dot, own, license, other words and their counts."""
         split = [terms(line) for line in text.split("\n")]
+        every = [w for own in split for w in own]
+        count = Counter(every)
+        long = self.long.block(every, full, count) if self.long else None
+        wide = [(-1, *long[2:5], list(long[5]), list(long[5].values()))] if long else []
+        if self.postings.keys().isdisjoint(count):
+            return wide
         head = next((i for i, own in enumerate(split) if not own), len(split))
-        blocks = [[w for own in split for w in own], *split] + [[w for own in split[:head] for w in own]] * (1 < head < len(split))
+        blocks = [every, *split] + [[w for own in split[:head] for w in own]] * (1 < head < len(split))
         first: dict[tuple, int] = {}
         for at, words in enumerate(blocks):
-            first.setdefault(tuple(words), at)
+            if at == 0 or not self.postings.keys().isdisjoint(words):
+                first.setdefault(tuple(words), at)
         for words in self.windows(blocks[0], least):
             first.setdefault(words, len(first) + len(blocks))
         found = [(at, b) for words, at in first.items() if (b := self.block(list(words), least))]
         low = max((b[1] for _, b in found), default=0.0)
-        return [(at, dot, own, name, list(rest), list(rest.values())) for at, (high, _, dot, own, name, rest) in found if at == 0 or high >= low]
-
-    def whole(self, text: str, least: float) -> list[tuple]:
-        """The whole text, as at -1, if it may reach `least` with a template."""
-        found = self.block(terms(text), least)
-        return [(-1, *found[2:5], list(found[5]), list(found[5].values()))] if found else []
+        return wide + [(at, dot, own, name, list(rest), list(rest.values())) for at, (high, _, dot, own, name, rest) in found if at == 0 or high >= low]
 
 
 def _weights(texts: DataFrame, *vocabularies: set[str]) -> tuple[DataFrame, dict[str, float], list[float], float]:
@@ -210,10 +214,10 @@ def scan(files: DataFrame, *, id_col: str, path_col: str, text_col: str, templat
     idf, weights, least_others, most = _weights(base.select("text"), words(templates), words(complete))
 
     def make():
-        matcher, long = Matcher(templates, weights, least_others[0], most), Matcher(complete, weights, least_others[1], most)
+        matcher = Matcher(templates, weights, least_others[0], most, Matcher(complete, weights, least_others[1], most) if complete else None)
 
         def work(rows, ids, paths, texts):
-            return [rows, ids, paths, [matcher.scan(t or "", min(notice, whole)) + long.whole(t or "", full) for t in texts]]
+            return [rows, ids, paths, [matcher.scan(t or "", min(notice, whole), full) for t in texts]]
 
         return work
 

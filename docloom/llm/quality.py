@@ -17,10 +17,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq, itemgetter
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ HEADS = ("bad", "toxic")
 #: Numbers of a text's shape; beyond so many deviations from the sample's mean they all count alike.
 SHAPES, CLIP = 11, 3.0
 
-WORD, TWICE = re.compile(r"\w+"), re.compile(r"([^\w\s])\1")
+WORD, SIGNS, TWICE = re.compile(r"\w+"), re.compile(r"[^\w\s]{2,}"), re.compile(r"([^\w\s])\1")
+FIRST = itemgetter(0)
 
 
 def tokens(text: str) -> set[str]:
@@ -48,16 +52,38 @@ def tokens(text: str) -> set[str]:
     return words | {f"{w[:4]}~" for w in words if len(w) > 4} | {f"{w[:5]}~" for w in words if len(w) > 5}
 
 
+class Finder:
+    """Finds the places of a vocabulary's tokens in texts, as `tokens` would have them, but
+    without making those that no vocabulary holds."""
+
+    def __init__(self, vocabularies: list[dict[str, int]]):
+        self.vocabularies = vocabularies
+        starts = {t[:-1] for v in vocabularies for t in v if t.endswith("~")}
+        self.words = {t for v in vocabularies for t in v if not t.endswith("~")}
+        self.four, self.five = ({t for t in starts if len(t) == n} for n in (4, 5))
+
+    def __call__(self, texts: list[str]) -> list[list[list[int]]]:
+        out: list[list[list[int]]] = [[] for _ in self.vocabularies]
+        for text in texts:
+            words = set(WORD.findall(text.lower()))
+            own = words & self.words
+            own |= {f"{t}~" for t in self.four.intersection([w[:4] for w in words if len(w) > 4])}
+            own |= {f"{t}~" for t in self.five.intersection([w[:5] for w in words if len(w) > 5])}
+            for v, held in zip(self.vocabularies, out, strict=True):
+                held.append(sorted(v[t] for t in own if t in v))
+        return out
+
+
 def shape(text: str) -> list[float]:
     words, lines = text.split(), text.split("\n")
     n = max(1, len(words))
-    same = sum(map(str.__eq__, words[1:], words))
+    same = sum(map(eq, islice(words, 1, None), words))
     return [
         np.log1p(len(words)),
         len(text) / n,
-        len(TWICE.findall(text)) / n,
+        sum(len(TWICE.findall(run)) for run in SIGNS.findall(text)) / n,
         sum(map(str.isupper, words)) / n,
-        sum(1 for w in words if not w[0].isalnum()) / n,
+        (len(words) - sum(map(str.isalnum, map(FIRST, words)))) / n,
         same / n,
         len(set(words)) / n,
         len(set(lines)) / len(lines),
@@ -101,15 +127,16 @@ class Head:
     prior: float = 0.0
     cut: float = 0.5
 
-    def chance(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    def chance(self, raw: dict[str, np.ndarray]) -> np.ndarray:
+        """The calibrated chance of rows with these scores of both views."""
         if self.mix is None:
-            return np.full(len(text), self.prior)
-        return _sigmoid(_views(self.text, text, self.meta, meta) @ self.mix[:-1] + self.mix[-1])
+            return np.full(len(raw["text"]), self.prior)
+        return _sigmoid(np.column_stack([raw["text"], raw["meta"]]) @ self.mix[:-1] + self.mix[-1])
 
-    def sure(self, view: str, x: np.ndarray) -> np.ndarray:
+    def sure(self, view: str, raw: np.ndarray) -> np.ndarray:
         """The class that a view is confident of for each row, or -1."""
         line = self.lines[view]
-        p = _sigmoid(_raw(getattr(self, view), x) * line[0] + line[1])
+        p = _sigmoid(raw * line[0] + line[1])
         return np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
 
 
@@ -133,36 +160,50 @@ def _raw(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -15, 15)
 
 
-def _views(wt: np.ndarray, text: np.ndarray, wm: np.ndarray, meta: np.ndarray) -> np.ndarray:
-    return np.column_stack([_raw(wt, text), _raw(wm, meta)])
-
-
-def co_train(head: Head, text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, confident) -> Head:
-    """Fits `head` on the rows of text and meta that aren't held, and calibrates on those that
-    are. `confident(view, turn)` gives text, meta and class of documents without a label
-    that a view is confident of (`head.sure`), as it is fitted in that turn."""
-    own = ~held
-    head.prior = float(y.mean()) if len(y) else 0.0
-    if len(set(y[own])) < 2 or len(set(y[held])) < 2:
-        return head
-    x = {"text": text, "meta": meta}
-    given: dict[str, list] = {"text": [], "meta": []}  # pseudo-labelled rows that a view has got
+class Training:
+    """One head's labelled rows (views `x`, classes `y`, and which are held) and the
+    pseudo-labelled rows that each view has got so far."""
+
+    def __init__(self, head: Head, x: dict[str, np.ndarray], y: np.ndarray, held: np.ndarray):
+        self.head, self.x, self.y, self.held = head, x, y, held
+        self.given: dict[str, list] = {name: [] for name in x}
+        head.prior = float(y.mean()) if len(y) else 0.0
+        self.able = len(set(y[~held])) == 2 and len(set(y[held])) == 2
+
+    def fit(self) -> None:
+        """Fits both views, and the line that calibrates each on the held rows."""
+        own, lines = ~self.held, {}
+        for name, x in self.x.items():
+            rows = np.concatenate([x[own], *(g[0] for g in self.given[name])])
+            weights = fit_logistic(rows, np.concatenate([self.y[own], *(g[1] for g in self.given[name])]))
+            setattr(self.head, name, weights)
+            lines[name] = fit_logistic(_raw(weights, x[self.held])[:, None], self.y[self.held])
+        self.head.lines = lines
+
+    def give(self, view: str, rows: np.ndarray, classes: np.ndarray) -> None:
+        if len(rows):
+            self.given[view].append((rows, classes))
+
+    def finish(self) -> None:
+        """Stacks the views on the held rows and finds the cut."""
+        raw = {name: _raw(getattr(self.head, name), x[self.held]) for name, x in self.x.items()}
+        self.head.mix = fit_logistic(np.column_stack([raw["text"], raw["meta"]]), self.y[self.held])
+        self.head.cut = _cut(self.head.chance(raw), self.y[self.held])
+
+
+def co_train(heads: list[Training], confident) -> None:
+    """Fits the heads' views in turns; in each, what one view is confident of among documents
+    without a label is handed to the other. `confident(turn, heads)` yields head, view and the
+    rows (views and `y`) that it is confident of."""
+    able = [h for h in heads if h.able]
     for turn in range(ROUNDS + 1):
-        for name in x:
-            rows = np.concatenate([x[name][own], *(g[0] for g in given[name])])
-            weights = fit_logistic(rows, np.concatenate([y[own], *(g[1] for g in given[name])]))
-            setattr(head, name, weights)
-        head.lines = {name: fit_logistic(_raw(getattr(head, name), x[name][held])[:, None], y[held]) for name in x}
-        if turn == ROUNDS:
-            break
-        found = {name: confident(name, turn) for name in x}
-        for name, other in (("text", "meta"), ("meta", "text")):
-            rows, classes = found[name][other], found[name]["y"]
-            if len(rows):
-                given[other].append((rows, classes))
-    head.mix = fit_logistic(_views(head.text, text[held], head.meta, meta[held]), y[held])
-    head.cut = _cut(head.chance(text[held], meta[held]), y[held])
-    return head
+        for h in able:
+            h.fit()
+        if turn < ROUNDS and able:
+            for h, view, found in list(confident(turn, able)):
+                h.give("meta" if view == "text" else "text", found["meta" if view == "text" else "text"], found["y"])
+    for h in able:
+        h.finish()
 
 
 def _cut(p: np.ndarray, y: np.ndarray) -> float:
@@ -254,10 +295,20 @@ def _share(key: Column, salt: int) -> Column:
 FEATURES = "shape array<double>, t0 array<int>, t1 array<int>, places array<int>, numbers array<double>"
 
 
-def _found(texts: list[str], vocabularies: list[dict[str, int]]) -> list[list[list[int]]]:
-    """For each vocabulary the places of the tokens that each text holds."""
-    seen = [tokens(t) for t in texts]
-    return [[sorted(k for k in map(v.get, own) if k is not None) for own in seen] for v in vocabularies]
+class Ragged:
+    """Lists of numbers end to end."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.rows = flat, np.repeat(np.arange(len(sizes)), sizes)
+        self.n = len(sizes)
+
+    @classmethod
+    def of(cls, lists: list) -> Ragged:
+        return cls(np.array([x for own in lists for x in own], np.int64), np.array([len(own) for own in lists], np.int64))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the weights at each list's places."""
+        return np.bincount(self.rows, weights[self.flat], self.n)
 
 
 class Model:
@@ -270,44 +321,79 @@ class Model:
         own = self.heads[name]
         return {"text": self.scale.text_view(len(own.vocabulary), found, np.array([list(x) for x in shapes], float).reshape(len(shapes), SHAPES)), "meta": self.meta.view(places, numbers)}
 
-    def chances(self, texts: list[str], columns: dict[str, list]) -> dict[str, np.ndarray]:
-        found = _found(texts, [h.vocabulary for h in self.heads.values()])
-        shapes, places, numbers = [shape(t) for t in texts], self.meta.places(columns, len(texts)), self.meta.numbers(columns, len(texts))
-        out = {}
-        for (name, head), own in zip(self.heads.items(), found, strict=True):
-            x = self.views(name, own, shapes, places, numbers)
-            out[name] = head.chance(x["text"], x["meta"])
-        return out
-
-
-def _confident(model: Model, name: str, free: DataFrame):
-    """Documents without a label that a view is confident of: all are judged and counted, and
-    about TAKEN of each class taken, by a hash."""
-    held = f"t{HEADS.index(name)}"
-
-    def judged(view: str) -> DataFrame:
-        def make():
-            def work(keys, found, *rest):
-                x = model.views(name, found, *rest)[view]
-                classes = model.heads[name].sure(view, x)
-                at = [i for i, y in enumerate(classes) if y >= 0]
-                return [[col[i] for i in at] for col in (keys, found, *rest)] + [[int(classes[i]) for i in at]]
-
-            return work
-
-        columns = free.select("tie", held, "shape", "places", "numbers")
-        return map_slices(columns, make, f"tie long, {held} array<int>, shape array<double>, places array<int>, numbers array<double>, y int", rows=4096)
-
-    def confident(view: str, turn: int) -> dict[str, np.ndarray]:
-        n = {r["y"]: r["n"] for r in judged(view).groupBy("y").agg(F.count("*").alias("n")).collect()}
-        rate = F.lit(0.0)
-        for y, k in n.items():
-            rate = F.when(F.col("y") == y, min(1.0, TAKEN / k)).otherwise(rate)
-        salt = 4 * turn + 2 * HEADS.index(name) + (view == "meta")
-        rows = judged(view).where(_share(F.col("tie"), salt + 7) < rate).collect() if n else []  # about 2 TAKEN
-        rows.sort(key=lambda r: r["tie"])
-        x = model.views(name, *([r[c] for r in rows] for c in (held, "shape", "places", "numbers")))
-        return x | {"y": np.array([r["y"] for r in rows], float)}
+    def raw(self, name: str, found: Ragged, shapes: np.ndarray, places: Ragged, numbers: np.ndarray) -> dict[str, np.ndarray]:
+        """The scores of both views of a head, as their products with `views` would be."""
+        head = self.heads[name]
+        if head.text is None:
+            return {"text": np.zeros(found.n), "meta": np.zeros(found.n)}
+        size, k = len(head.vocabulary), numbers.shape[1]
+        clipped = np.clip((shapes - self.scale.mean) / self.scale.deviation, -CLIP, CLIP)
+        text = found.sums(head.text[:size]) + clipped @ head.text[size:-1] + head.text[-1]
+        meta = places.sums(head.meta[: len(head.meta) - 1 - k]) + head.meta[-1]
+        if k:
+            meta = meta + numbers @ head.meta[-1 - k : -1]
+        return {"text": np.clip(text, -15, 15), "meta": np.clip(meta, -15, 15)}
+
+    def chances(self, texts: list[str], columns: dict[str, list], finder: Finder) -> dict[str, np.ndarray]:
+        n = len(texts)
+        shapes = np.array([shape(t) for t in texts], float).reshape(n, SHAPES)
+        places, numbers = Ragged.of(self.meta.places(columns, n)), np.array(self.meta.numbers(columns, n), float).reshape(n, -1)
+        return {name: self.heads[name].chance(self.raw(name, Ragged.of(own), shapes, places, numbers)) for name, own in zip(self.heads, finder(texts), strict=True)}
+
+
+VIEWS = ("text", "meta")
+
+
+def _confident(model: Model, free: DataFrame):
+    """Documents without a label that a view is confident of: all are judged and counted, in one
+    pass for all heads and views, and in another about TAKEN of each class taken, by a hash."""
+    lists = lambda c: Ragged(c.flatten().to_numpy(zero_copy_only=False), c.value_lengths().to_numpy(zero_copy_only=False))
+    matrix = lambda c, n: c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+    def judged(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+        """The classes (or -1) of each row by each head and view."""
+        n = batch.num_rows
+        shapes, places, numbers = matrix(batch["shape"], n), lists(batch["places"]), matrix(batch["numbers"], n)
+        out = []
+        for name in names:
+            raw = model.raw(name, lists(batch[f"t{HEADS.index(name)}"]), shapes, places, numbers)
+            out += [model.heads[name].sure(view, raw[view]) for view in VIEWS]
+        return np.stack(out, 1)
+
+    def confident(turn: int, heads: list[Training]):
+        names = [name for name in HEADS if any(h.head is model.heads[name] for h in heads)]
+        by = {name: next(h for h in heads if h.head is model.heads[name]) for name in names}
+        pairs = [(name, view) for name in names for view in VIEWS]
+
+        def count(batches):
+            n = np.zeros((len(pairs), 2), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    found = judged(batch, names)
+                    n += np.stack([(found == y).sum(0) for y in (0, 1)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in range(len(pairs)) for _ in (0, 1)], pa.int32()), pa.array([0, 1] * len(pairs), pa.int32()), pa.array(n.ravel())], ["pair", "y", "n"])
+
+        total = {(r["pair"], r["y"]): r["n"] for r in free.mapInArrow(count, "pair int, y int, n long").groupBy("pair", "y").agg(F.sum("n").alias("n")).collect()}
+        rates = np.array([[min(1.0, TAKEN / max(1, total.get((p, y), 0))) for y in (0, 1)] for p in range(len(pairs))])
+        salts = [4 * turn + 2 * HEADS.index(name) + VIEWS.index(view) + 7 for name, view in pairs]
+        shares = free.select("*", *(_share(F.col("tie"), salt).alias(f"u{p}") for p, salt in enumerate(salts)))
+        columns = ["tie", "shape", "t0", "t1", "places", "numbers"]
+
+        def pick(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    found = judged(batch, names)
+                    for p in range(len(pairs)):
+                        y = found[:, p]
+                        at = np.flatnonzero((y >= 0) & (batch[f"u{p}"].to_numpy(zero_copy_only=False) < rates[p][np.maximum(y, 0)]))
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(y[at].astype(np.int32)), *(batch[c].take(pa.array(at)) for c in columns)], ["pair", "y", *columns])
+
+        rows = shares.select(*columns, *(f"u{p}" for p in range(len(pairs)))).mapInArrow(pick, f"pair int, y int, tie long, {FEATURES}").collect()  # about 2 TAKEN for each pair
+        for p, (name, view) in enumerate(pairs):
+            own = sorted((r for r in rows if r["pair"] == p), key=lambda r: r["tie"])
+            x = model.views(name, *([r[c] for r in own] for c in (f"t{HEADS.index(name)}", "shape", "places", "numbers")))
+            yield by[name], view, x | {"y": np.array([r["y"] for r in own], float)}
 
     return confident
 
@@ -335,9 +421,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
 
     def features(rows: DataFrame, keep: list[str]) -> DataFrame:
         def make():
+            finder = Finder(list(vocabulary.values()))
+
             def work(*cols):
                 texts, own = [t or "" for t in cols[len(keep)]], dict(zip(ms + ns, cols[len(keep) + 1 :], strict=True))
-                return [*cols[: len(keep)], [shape(t) for t in texts], *_found(texts, list(vocabulary.values())), meta.places(own, len(texts)), meta.numbers(own, len(texts))]
+                return [*cols[: len(keep)], [shape(t) for t in texts], *finder(texts), meta.places(own, len(texts)), meta.numbers(own, len(texts))]
 
             return work
 
@@ -352,11 +440,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
     rows = features(sample.withColumn("held", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(4)) == 0), ["_id", "bad", "toxic", "held"]).collect()  # about LABELLED
     rows.sort(key=lambda r: str(r["_id"]))
     model = Model({name: Head(vocabulary[name]) for name in HEADS}, meta, scale)
+    heads = []
     for j, name in enumerate(HEADS):
         there = [r for r in rows if r[name] is not None]
         x = model.views(name, *([r[c] for r in there] for c in (f"t{j}", "shape", "places", "numbers")))
-        y, held = np.array([r[name] for r in there], float), np.array([r["held"] for r in there], bool)
-        co_train(model.heads[name], x["text"], x["meta"], y, held, _confident(model, name, free))
+        heads.append(Training(model.heads[name], x, np.array([r[name] for r in there], float), np.array([r["held"] for r in there], bool)))
+    co_train(heads, _confident(model, free))
     return model
 
 
@@ -379,10 +468,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     ms, ns = list(model.meta.known), model.meta.numeric
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, finder = [], Finder([h.vocabulary for h in model.heads.values()])
         for at in range(0, len(rows), SLICE_ROWS):
             texts, *rest = ([None if v is None or v != v else v for v in rows[c].iloc[at : at + SLICE_ROWS]] for c in rows)
-            out.append(pd.DataFrame(model.chances([t or "" for t in texts], dict(zip(ms + ns, rest, strict=True)))))
+            out.append(pd.DataFrame(model.chances([t or "" for t in texts], dict(zip(ms + ns, rest, strict=True)), finder)))
         p = pd.concat(out) if out else pd.DataFrame({"bad": [], "toxic": []}, dtype=float)
         return pd.DataFrame({"p_good": 1 - p["bad"].to_numpy(), "p_toxic": p["toxic"].to_numpy(), "accepted": ((p["bad"] < cuts["bad"]) & (p["toxic"] < cuts["toxic"])).to_numpy()})
 

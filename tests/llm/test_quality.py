@@ -84,20 +84,30 @@ def test_views_exchange_pseudo_labels():
     """A view that learns from too few labels gains from what the other one is sure of."""
     rng = np.random.default_rng(1)
     y = (np.arange(60) % 2).astype(float)
-    text, meta = y[:, None] * 2 + rng.standard_normal((60, 1)) * 0.1, y[:, None] * np.ones((60, 2)) + rng.standard_normal((60, 2)) * 0.2
+    x = {"text": y[:, None] * 2 + rng.standard_normal((60, 1)) * 0.1, "meta": y[:, None] * np.ones((60, 2)) + rng.standard_normal((60, 2)) * 0.2}
     free = (rng.random(300) < 0.5).astype(float)
     pool = {"text": free[:, None] * 2 + rng.standard_normal((300, 1)) * 0.1, "meta": free[:, None] * np.ones((300, 2)) + rng.standard_normal((300, 2)) * 0.2}
-    head, handed = quality.Head({}), []
+    own, handed = quality.Training(quality.Head({}), x, y, np.arange(60) % 3 == 0), []
+
+    def confident(turn, heads):
+        for view in quality.VIEWS:
+            classes = own.head.sure(view, quality._raw(getattr(own.head, view), pool[view]))
+            at = np.flatnonzero(classes >= 0)
+            handed.append((view, len(at)))
+            yield own, view, {name: z[at] for name, z in pool.items()} | {"y": classes[at].astype(float)}
+
+    quality.co_train([own], confident)
+    chance = own.head.chance({v: quality._raw(getattr(own.head, v), x[v]) for v in quality.VIEWS})
+    assert np.mean((chance > 0.5) == y) == 1
+    assert len(handed) == 2 * quality.ROUNDS and any(n for _, n in handed)
 
-    def confident(view, turn):
-        classes = head.sure(view, pool[view])
-        at = np.flatnonzero(classes >= 0)
-        handed.append((view, len(at)))
-        return {name: x[at] for name, x in pool.items()} | {"y": classes[at].astype(float)}
 
-    out = quality.co_train(head, text, meta, y, np.arange(60) % 3 == 0, confident)
-    assert np.mean((out.chance(text, meta) > 0.5) == y) == 1
-    assert len(handed) == 2 * quality.ROUNDS and any(n for _, n in handed)
+def test_tokens_are_found_as_they_are_made():
+    texts = [r[1] for r in corpus(40)] + ["", "Über straße ab abcd abcde abcdef ABCDEFG~ x~ --- a~~~", "_a b_ 12 1234567"]
+    every = sorted(set().union(*map(quality.tokens, texts)))
+    vocabularies = [{t: i for i, t in enumerate(every[::2])}, {t: i for i, t in enumerate(every[1::3])}]
+    want = [[sorted(v[t] for t in quality.tokens(x) if t in v) for x in texts] for v in vocabularies]
+    assert quality.Finder(vocabularies)(texts) == want
 
 
 def brute(docs, labels, meta_cols):
@@ -157,17 +167,21 @@ def brute(docs, labels, meta_cols):
 
         head = quality.Head(dict.fromkeys(vocabulary))
         free = sorted((d for d in docs if d["id"] not in known), key=lambda d: d["tie"])
+        views = {"text": text, "meta": meta}
+        raw = lambda view, rows: quality._raw(getattr(head, view), views[view](rows)) if head.text is not None else np.zeros(len(rows))
 
-        def confident(view, turn):
-            classes = head.sure(view, {"text": text, "meta": meta}[view](free))
-            taken = [(d, y) for d, y in zip(free, classes, strict=True) if y >= 0]
-            assert all(sum(y == k for _, y in taken) <= quality.TAKEN for k in (0, 1))
-            rows = [d for d, _ in taken]
-            return {"text": text(rows), "meta": meta(rows), "y": np.array([y for _, y in taken], float)}
+        def confident(turn, heads):
+            for view in quality.VIEWS:
+                classes = head.sure(view, raw(view, free))
+                taken = [(d, y) for d, y in zip(free, classes, strict=True) if y >= 0]
+                assert all(sum(y == k for _, y in taken) <= quality.TAKEN for k in (0, 1))
+                rows = [d for d, _ in taken]
+                yield heads[0], view, {"text": text(rows), "meta": meta(rows), "y": np.array([y for _, y in taken], float)}
 
         rows = [sample[i] for i in ids]
-        quality.co_train(head, text(rows), meta(rows), np.array([known[i][j] for i in ids], float), np.array([d["held"] for d in rows], bool), confident)
-        heads.append((head, head.chance(text(docs), meta(docs))))
+        own_rows = quality.Training(head, {"text": text(rows), "meta": meta(rows)}, np.array([known[i][j] for i in ids], float), np.array([d["held"] for d in rows], bool))
+        quality.co_train([own_rows], confident)
+        heads.append((head, head.chance({view: raw(view, docs) for view in quality.VIEWS})))
     (bad, p), (toxic, q) = heads
     return [(1 - a, b, bool(a < bad.cut and b < toxic.cut)) for a, b in zip(p, q, strict=True)]
 
