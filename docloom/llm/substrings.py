@@ -16,16 +16,18 @@ decided by exact counts of its windows instead, so that no task holds an unbound
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, WordHashes, map_slices, mix64, quoted, sieve, split_join
+from docloom.llm.common import Stored, WordHashes, map_slices, mix64, quoted, sieve
 from docloom.llm.shingles import PLACES
 
 #: Words of a passage, and of the k-grams that minimizers are chosen from.
 SIZE, GRAM = 35, 8
 #: Most differing contexts of a minimizer that make up one shard.
 SHARD = 256
+#: Least number of parts into which the occurrences of a context are dealt by document.
+SALTS = 64
 #: Most windows of a document whose minimizers are found at once.
 CHUNK = 1 << 19
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -259,14 +261,19 @@ def repeated_spans(docs: DataFrame, *, size: int = SIZE, k: int = GRAM) -> DataF
     kind = docs.schema["uid"].dataType.simpleString()
     all_runs = Stored(_runs_of(docs, kind, size, k)).df
     shared = all_runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    cand = Stored(sieve(all_runs, F.col("h"), shared, most=all_runs.count() // 2)).df  # and a few others, which total leaves out
+    # a context that occurs twice within a part is repeated, so a common one needs no join; there
+    # are as many parts as keep both a common context's part and what is left to join small
+    n_runs = all_runs.count()
+    salts = max(SALTS, int(n_runs**0.5))
+    here = F.count("*").over(Window.partitionBy("h", "c", F.pmod(F.xxhash64("uid"), F.lit(salts))))
+    cand = Stored(sieve(all_runs, F.col("h"), shared, most=n_runs // 2).withColumn("here", here)).df  # and a few others, which total leaves out
     contexts = Stored(cand.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "b")).alias("o")).select("h", "c", "n", "o.*")).df
     groups = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("g")).where("total > 1").select("h", "g", (F.col("g") > SHARD).alias("hot"))
     known = Stored(contexts.join(groups, "h")).df
     parts = Stored(_contexts(docs, known.where("g > 1"), kind, size)).df
 
-    again = known.where("n > 1").select("h", "c", "n")
-    whole = split_join(cand, again.select("h", "c"), ["h", "c"], again).select("uid", F.col("a").alias("s"), (F.col("b") + size).alias("e"))
+    alone = cand.where("here = 1").join(known.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    whole = cand.where("here > 1").select("uid", "a", "b").unionByName(alone.select("uid", "a", "b")).select("uid", F.col("a").alias("s"), (F.col("b") + size).alias("e"))
     windows = parts.where("hot").groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g")
     counted = parts.where("hot and n = 1").join(windows, ["h", "g"], "left_semi").select("uid", F.col("a").alias("s"), (F.col("a") + size).alias("e"))
     spans = whole.unionByName(counted).unionByName(_matched(parts, kind, size))
