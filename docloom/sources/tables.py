@@ -150,8 +150,13 @@ def _cells(content: bytes) -> list[tuple]:
 
 
 def read_workbooks(spark: SparkSession, path: str | list[str], lenient: bool = False) -> DataFrame:
-    """table_id (file and sheet), uri, sheet, sheet_no, r, c, v, type of each stored cell of the
-    workbooks at `path`; files are parsed one by one on the executors. A file that is no
+    """The cells of the workbooks at `path`."""
+    return workbook_cells(spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), "content"), lenient)
+
+
+def workbook_cells(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """table_id (file and sheet), uri, sheet, sheet_no, r, c, v, type of each stored cell of
+    workbooks (uri, content); files are parsed one by one on the executors. A file that is no
     workbook is an error, or where `lenient` a row of type `problem`."""
     schema = "uri string, sheet_no int, sheet string, r int, c int, v string, type string"
 
@@ -172,8 +177,7 @@ def read_workbooks(spark: SparkSession, path: str | list[str], lenient: bool = F
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["uri", "sheet_no", "sheet", "r", "c", "v", "type"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), "content")
-    return files.mapInArrow(run, schema).withColumn("table_id", F.concat("uri", F.lit("#"), "sheet"))
+    return files.select("uri", "content").mapInArrow(run, schema).withColumn("table_id", F.concat("uri", F.lit("#"), "sheet"))
 
 
 def list_sheets(cells: DataFrame) -> DataFrame:
