@@ -130,12 +130,12 @@ def _mark(edges: DataFrame) -> tuple:
 #: Most words of the bitmap that sieve() broadcasts (64 bits each), and the least.
 SIEVE_WORDS, LEAST_WORDS = 1 << 20, 1 << 12
 #: Bits of the bitmap for each key, at least.
-SIEVE_BITS = 4
+SIEVE_BITS = 2
 
 
 def sieve(df: DataFrame, key: Column, keys: DataFrame, keep: str = "left_semi", most: int | None = None) -> DataFrame:
     """The rows of `df` whose key may be among `keys` (one column), by a broadcast bitmap with
-    at least SIEVE_BITS bits a key: no row of a present key is lost, and at most a fourth or so
+    at least SIEVE_BITS bits a key: no row of a present key is lost, and at most two in five
     of the others pass. "left_anti" gives the other rows.
 
     `most` says how many keys there may be, else they are counted. Where a bitmap of
