@@ -24,6 +24,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression, by accelerated gradient steps."""
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([x, np.ones(len(x))]).astype(float)
     v = np.ones(x.shape[1])
     for _ in range(12):
         v = x.T @ (x @ v)
@@ -147,11 +148,10 @@ class Scale:
     mean: np.ndarray
     deviation: np.ndarray
 
-    def text_view(self, size: int, found: list, shapes: np.ndarray) -> np.ndarray:
+    def text_view(self, size: int, found: Ragged, shapes: np.ndarray) -> np.ndarray:
         """The text view of rows: which of `size` tokens they hold, and their shapes."""
-        x = np.zeros((len(found), size + SHAPES))
-        for i, own in enumerate(found):
-            x[i, own] = 1
+        x = np.zeros((found.n, size + SHAPES), np.float32)
+        x[found.rows, found.flat] = 1
         x[:, size:] = np.clip((shapes - self.mean) / self.deviation, -CLIP, CLIP)
         return x
 
@@ -244,12 +244,10 @@ class Metadata:
                 own += [float(np.log1p(abs(v)) / 10), 0.0] if v is not None and v == v and abs(v) < float("inf") else [0.0, 1.0]
         return out
 
-    def view(self, places: list, numbers: list) -> np.ndarray:
-        x = np.zeros((len(places), self.width))
-        for i, own in enumerate(places):
-            x[i, own] = 1
-        if self.numeric and len(places):
-            x[:, self.width - 2 * len(self.numeric) :] = np.array([list(own) for own in numbers])
+    def view(self, places: Ragged, numbers: np.ndarray) -> np.ndarray:
+        x = np.zeros((places.n, self.width), np.float32)
+        x[places.rows, places.flat] = 1
+        x[:, self.width - 2 * len(self.numeric) :] = numbers
         return x
 
 
@@ -311,15 +309,32 @@ class Ragged:
         return np.bincount(self.rows, weights[self.flat], self.n)
 
 
+def _ragged(column) -> Ragged:
+    """A column of lists of places."""
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return Ragged(own.flatten().to_numpy(zero_copy_only=False).astype(np.int64), own.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """A column of lists of `width` numbers."""
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), width)
+
+
 class Model:
     """What has been fitted: the heads, the metadata's places, the shapes' scale."""
 
     def __init__(self, heads: dict[str, Head], meta: Metadata, scale: Scale):
         self.heads, self.meta, self.scale = heads, meta, scale
 
-    def views(self, name: str, found: list, shapes: list, places: list, numbers: list) -> dict[str, np.ndarray]:
-        own = self.heads[name]
-        return {"text": self.scale.text_view(len(own.vocabulary), found, np.array([list(x) for x in shapes], float).reshape(len(shapes), SHAPES)), "meta": self.meta.view(places, numbers)}
+    def columns(self, rows: pa.Table | pa.RecordBatch) -> tuple:
+        """shapes, places, numbers of a table of features."""
+        return _matrix(rows["shape"], SHAPES), _ragged(rows["places"]), _matrix(rows["numbers"], 2 * len(self.meta.numeric))
+
+    def views(self, name: str, rows: pa.Table) -> dict[str, np.ndarray]:
+        """Both views of a table of features."""
+        shapes, places, numbers = self.columns(rows)
+        return {"text": self.scale.text_view(len(self.heads[name].vocabulary), _ragged(rows[f"t{HEADS.index(name)}"]), shapes), "meta": self.meta.view(places, numbers)}
 
     def raw(self, name: str, found: Ragged, shapes: np.ndarray, places: Ragged, numbers: np.ndarray) -> dict[str, np.ndarray]:
         """The scores of both views of a head, as their products with `views` would be."""
@@ -347,16 +362,11 @@ VIEWS = ("text", "meta")
 def _confident(model: Model, free: DataFrame):
     """Documents without a label that a view is confident of: all are judged and counted, in one
     pass for all heads and views, and in another about TAKEN of each class taken, by a hash."""
-    lists = lambda c: Ragged(c.flatten().to_numpy(zero_copy_only=False), c.value_lengths().to_numpy(zero_copy_only=False))
-    matrix = lambda c, n: c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-
     def judged(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
         """The classes (or -1) of each row by each head and view."""
-        n = batch.num_rows
-        shapes, places, numbers = matrix(batch["shape"], n), lists(batch["places"]), matrix(batch["numbers"], n)
-        out = []
+        rest, out = model.columns(batch), []
         for name in names:
-            raw = model.raw(name, lists(batch[f"t{HEADS.index(name)}"]), shapes, places, numbers)
+            raw = model.raw(name, _ragged(batch[f"t{HEADS.index(name)}"]), *rest)
             out += [model.heads[name].sure(view, raw[view]) for view in VIEWS]
         return np.stack(out, 1)
 
@@ -389,11 +399,11 @@ def _confident(model: Model, free: DataFrame):
                         if len(at):
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(y[at].astype(np.int32)), *(batch[c].take(pa.array(at)) for c in columns)], ["pair", "y", *columns])
 
-        rows = shares.select(*columns, *(f"u{p}" for p in range(len(pairs)))).mapInArrow(pick, f"pair int, y int, tie long, {FEATURES}").collect()  # about 2 TAKEN for each pair
+        rows = shares.select(*columns, *(f"u{p}" for p in range(len(pairs)))).mapInArrow(pick, f"pair int, y int, tie long, {FEATURES}").toArrow()  # about 2 TAKEN for each pair
+        rows = rows.sort_by([("pair", "ascending"), ("tie", "ascending")])
         for p, (name, view) in enumerate(pairs):
-            own = sorted((r for r in rows if r["pair"] == p), key=lambda r: r["tie"])
-            x = model.views(name, *([r[c] for r in own] for c in (f"t{HEADS.index(name)}", "shape", "places", "numbers")))
-            yield by[name], view, x | {"y": np.array([r["y"] for r in own], float)}
+            own = rows.filter(pa.compute.equal(rows["pair"], p))
+            yield by[name], view, model.views(name, own) | {"y": own["y"].to_numpy().astype(float)}
 
     return confident
 
@@ -437,14 +447,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, meta_
     number = lambda key, rest: np.array([rest if stats[f"{key}{i}"] is None else stats[f"{key}{i}"] for i in range(SHAPES)], float)
     scale = Scale(number("a", 0.0), number("d", 1.0) + 1e-6)
     free = Stored(every.join(known.select("_id"), "_id", "left_anti")).df
-    rows = features(sample.withColumn("held", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(4)) == 0), ["_id", "bad", "toxic", "held"]).collect()  # about LABELLED
-    rows.sort(key=lambda r: str(r["_id"]))
+    rows = features(sample.withColumn("held", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(4)) == 0), ["_id", "bad", "toxic", "held"]).toArrow()  # about LABELLED
+    names = [str(i) for i in rows["_id"].to_pylist()]
+    rows = rows.take(pa.array(sorted(range(len(names)), key=names.__getitem__), pa.int64()))
     model = Model({name: Head(vocabulary[name]) for name in HEADS}, meta, scale)
     heads = []
-    for j, name in enumerate(HEADS):
-        there = [r for r in rows if r[name] is not None]
-        x = model.views(name, *([r[c] for r in there] for c in (f"t{j}", "shape", "places", "numbers")))
-        heads.append(Training(model.heads[name], x, np.array([r[name] for r in there], float), np.array([r["held"] for r in there], bool)))
+    for name in HEADS:
+        there = rows.filter(rows[name].is_valid())
+        heads.append(Training(model.heads[name], model.views(name, there), there[name].to_numpy().astype(float), np.array(there["held"].to_pylist(), bool)))
+    del rows
     co_train(heads, _confident(model, free))
     return model
 
