@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import settings
@@ -16,7 +16,8 @@ from docloom.plans.catalogue import ADR, GEO, GEO_DEFS, GEO_DOCS, GEO_REFS, LINE
 from docloom.plans.corpus import read
 from docloom.sources import ooxml, tables
 
-K = F.col("p_partkey")
+def key() -> Column:
+    return F.col("p_partkey")
 
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, lower(e) AS extension, CASE p_partkey % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS media FROM (SELECT p_partkey, ['PNG', 'svg', 'xyz'][p_partkey % 3 + 1] AS e FROM part)")
 def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("a/b."), F.when(K % 3 == 0, "PNG").when(K % 3 == 1, "svg").otherwise("xyz"))
+    path = F.concat(F.lit("a/b."), F.when(key() % 3 == 0, "PNG").when(key() % 3 == 1, "svg").otherwise("xyz"))
     return part(spark, sf_dir).select("p_partkey", F.lower(fx.extension(path)).alias("extension"), codecs.file_media_type(path).alias("media"))
 
 
@@ -49,7 +50,7 @@ def offset_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, ['module', 'namespace', 'class', 'interface', 'enum', 'struct', 'module'][p_partkey % 7 + 1] AS kind FROM part")
 def symbol_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part(spark, sf_dir).select("p_partkey", outline.symbol_kind(K % 7 + 1).alias("kind"))
+    return part(spark, sf_dir).select("p_partkey", outline.symbol_kind(key() % 7 + 1).alias("kind"))
 
 
 @query("SELECT conv_id, turn, regexp_matches(lower(text), 'was |were |is being|are being|has been|have been|had been|will be |being |been ') AS passive, contains(lower(text), 'the') AS has_the FROM conversations")
@@ -74,7 +75,7 @@ def layout_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 6 END AS INT) AS place FROM part")
 def legend_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(K % 4 == 0, "class").when(K % 4 == 1, "keyword").when(K % 4 == 2, "variable").otherwise("unheard")
+    kind = F.when(key() % 4 == 0, "class").when(key() % 4 == 1, "keyword").when(key() % 4 == 2, "variable").otherwise("unheard")
     return part(spark, sf_dir).select("p_partkey", editor.legend_index(kind).alias("place"))
 
 
@@ -86,7 +87,7 @@ def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name AS back, true AS is_safe, CASE p_partkey % 3 WHEN 0 THEN 'native' WHEN 1 THEN 'remote' END AS renderer, CASE p_partkey % 3 WHEN 0 THEN 'mmd' WHEN 1 THEN 'puml' ELSE 'bob' END AS extension FROM part")
 def diagram_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(K % 3 == 0, "mermaid").when(K % 3 == 1, "plantuml").otherwise("svgbob")
+    kind = F.when(key() % 3 == 0, "mermaid").when(key() % 3 == 1, "plantuml").otherwise("svgbob")
     own = part(spark, sf_dir).select("p_partkey", kind.alias("type"), codecs.encode_source(F.col("p_name")).alias("code"))
     own = diagrams.rendered(own, [("native", ["mermaid"]), ("remote", ["mermaid", "plantuml"])]).join(F.broadcast(diagrams.types(spark)), "type")
     return own.select("p_partkey", codecs.decode_source(F.col("code")).alias("back"), F.col("code").rlike("^[A-Za-z0-9_-]+$").alias("is_safe"), "renderer", "extension")
@@ -94,13 +95,13 @@ def diagram_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'svg' END AS format FROM part")
 def image_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.when(K % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A00"))).when(K % 3 == 1, F.encode(F.lit("<svg/>"), "UTF-8")).otherwise(F.encode(F.col("p_name"), "UTF-8"))
+    data = F.when(key() % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A00"))).when(key() % 3 == 1, F.encode(F.lit("<svg/>"), "UTF-8")).otherwise(F.encode(F.col("p_name"), "UTF-8"))
     return part(spark, sf_dir).select("p_partkey", diagrams.image_format(data).alias("format"))
 
 
 @query("SELECT p_partkey, 'text bold text link text anchor' AS kinds, 'a ' || p_brand || ' see label ' AS plain, '#x-' || p_partkey AS url FROM part")
 def inline_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("a *"), "p_brand", F.lit("* see <<x-"), K, F.lit(",label>> [[id-"), K, F.lit("]]"))
+    text = F.concat(F.lit("a *"), "p_brand", F.lit("* see <<x-"), key(), F.lit(",label>> [[id-"), key(), F.lit("]]"))
     own = blocks.with_inlines(part(spark, sf_dir).select("p_partkey", text.alias("text")))
     return own.select("p_partkey", F.array_join(F.transform("inlines", lambda p: p["kind"]), " ").alias("kinds"), blocks.plain_text(F.col("inlines")).alias("plain"), F.filter("inlines", lambda p: p["url"].isNotNull())[0]["url"].alias("url"))
 
@@ -113,8 +114,8 @@ def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, 'image' AS kind, 'p-' || p_partkey || '.png' AS path, 'Alt ' || p_size AS alt FROM part")
 def image_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("= T\n\n== S\n:width: 3\nimage::p-"), K, F.lit(".png[Alt "), "p_size", F.lit(",width=3]\n"))
-    found = blocks.blocks(part(spark, sf_dir).select(K.cast("string").alias("uri"), text.alias("text")))
+    text = F.concat(F.lit("= T\n\n== S\n:width: 3\nimage::p-"), key(), F.lit(".png[Alt "), "p_size", F.lit(",width=3]\n"))
+    found = blocks.blocks(part(spark, sf_dir).select(key().cast("string").alias("uri"), text.alias("text")))
     return found.where("kind <> 'heading'").select(F.col("uri").cast("long").alias("p_partkey"), "kind", F.col("text").alias("path"), F.col("style_id").alias("alt"))
 
 
@@ -266,8 +267,8 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand AS uri, count(CASE WHEN p_partkey % 2 = 0 THEN 1 END) AS data, count(CASE WHEN p_partkey % 2 = 1 THEN 1 END) AS other FROM part GROUP BY 1")
 def include_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("include::"), K, F.when(K % 2 == 0, ".xlsx").otherwise(".adoc"), F.lit("[]"))
-    return views.include_counts(tables.includes(part(spark, sf_dir).select(F.col("p_brand").alias("uri"), K.alias("ln"), line.alias("line"))))
+    line = F.concat(F.lit("include::"), key(), F.when(key() % 2 == 0, ".xlsx").otherwise(".adoc"), F.lit("[]"))
+    return views.include_counts(tables.includes(part(spark, sf_dir).select(F.col("p_brand").alias("uri"), key().alias("ln"), line.alias("line"))))
 
 
 BROKEN = f"WITH d AS ({GEO_DEFS}), r AS ({GEO_REFS}), b AS (SELECT uri, id, CAST(CASE WHEN contains(uri, '/nation/') THEN 6 WHEN (CAST(replace(id, 'supplier-', '') AS INT) - 25) % 2 = 0 THEN 7 ELSE 16 + length('supplier-' || (CAST(replace(id, 'supplier-', '') AS INT) - 1)) END AS INT) AS col FROM r WHERE id NOT IN (SELECT id FROM d))"
@@ -297,8 +298,8 @@ def html_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, '#set document(title: \"Part ' || p_partkey || '\")' || chr(10) || '== ' || p_brand || chr(10) || chr(10) || '- ' || p_name || chr(10) AS text FROM part")
 def typst_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("= Part "), K, F.lit("\n\n== "), "p_brand", F.lit("\n\n* "), "p_name", F.lit("\n"))
-    docs = part(spark, sf_dir).select(K.cast("string").alias("uri"), text.alias("text"))
+    text = F.concat(F.lit("= Part "), key(), F.lit("\n\n== "), "p_brand", F.lit("\n\n* "), "p_name", F.lit("\n"))
+    docs = part(spark, sf_dir).select(key().cast("string").alias("uri"), text.alias("text"))
     return typst.transpile(blocks.blocks(docs), blocks.document_headers(docs)).select(F.col("uri").cast("long").alias("p_partkey"), "text")
 
 
@@ -326,5 +327,5 @@ def manifest_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_size BETWEEN 10 AND 19 AS inside, least(p_size, 10) AS a, greatest(p_size + 5, 20) AS b, lower(p_type) = 'notes' AS notes, p_partkey % 5 IN (0, 1) AS bad FROM part")
 def span_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = codecs.merged_span((F.lit(10), F.lit(20)), (F.col("p_size"), F.col("p_size") + 5))
-    severity = F.when(K % 5 == 0, "error").when(K % 5 == 1, "fatal").otherwise("warning")
+    severity = F.when(key() % 5 == 0, "error").when(key() % 5 == 1, "fatal").otherwise("warning")
     return part(spark, sf_dir).select("p_partkey", codecs.contains(F.lit(10), F.lit(20), F.col("p_size")).alias("inside"), a.alias("a"), b.alias("b"), views.is_notes(F.col("p_type")).alias("notes"), views.is_error(severity).alias("bad"))
