@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import caps, chat, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
+from docloom.llm import bytepairs, caps, chat, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
 from docloom.llm.common import table
 
 
@@ -194,6 +194,13 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bytepairs.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
