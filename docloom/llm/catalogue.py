@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bytepairs, caps, chat, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
+from docloom.llm import bytepairs, caps, chat, compaction, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
 from docloom.llm.common import table
 
 
@@ -201,6 +201,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compaction.compacted(table(spark, sf_dir, "clicks"))
+    return out.withColumnsRenamed({"min_id": "min_click_id", "max_id": "max_click_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
