@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bytepairs, caps, chat, compaction, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
+from docloom.llm import bytepairs, caps, chat, collocations, compaction, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
 from docloom.llm.common import table
 
 
@@ -201,6 +201,43 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM d),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (
+  SELECT lang, 1 AS k, ws[i] AS w1, '' AS w2, '' AS w3 FROM i
+  UNION ALL SELECT lang, 2, ws[i], ws[i + 1], '' FROM i WHERE i < len(ws)
+  UNION ALL SELECT lang, 3, ws[i], ws[i + 1], ws[i + 2] FROM i WHERE i < len(ws) - 1),
+f AS (SELECT lang, k, w1, w2, w3, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM i GROUP BY lang),
+s AS (
+  SELECT x.lang, x.w1, x.w2, x.w3, x.f AS a, l.f AS l, r.f AS r, 1 AS cut FROM f x
+  JOIN f l ON l.lang = x.lang AND l.k = 1 AND l.w1 = x.w1
+  JOIN f r ON r.lang = x.lang AND r.k = x.k - 1 AND r.w1 = x.w2 AND r.w2 = x.w3
+  WHERE x.k > 1
+  UNION ALL
+  SELECT x.lang, x.w1, x.w2, x.w3, x.f, l.f, r.f, 2 FROM f x
+  JOIN f l ON l.lang = x.lang AND l.k = 2 AND l.w1 = x.w1 AND l.w2 = x.w2
+  JOIN f r ON r.lang = x.lang AND r.k = 1 AND r.w1 = x.w3
+  WHERE x.k = 3),
+c AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM s),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, cut) = 1),
+t AS (SELECT lang, w1 AS u, w2 AS v, f FROM f WHERE k = 3 UNION ALL SELECT lang, w2, w3, f FROM f WHERE k = 3),
+o AS (SELECT lang, u, v, max(f) AS f FROM t GROUP BY ALL),
+kept AS (
+  SELECT b.lang, CASE WHEN w3 = '' THEN w1 || ' ' || w2 ELSE w1 || ' ' || w2 || ' ' || w3 END AS phrase, a, l, r, score
+  FROM b LEFT JOIN o ON b.w3 = '' AND o.lang = b.lang AND o.u = b.w1 AND o.v = b.w2 WHERE o.f IS NULL OR 100 * o.f < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compaction.compacted(table(spark, sf_dir, "clicks"))
     return out.withColumnsRenamed({"min_id": "min_click_id", "max_id": "max_click_id"})
@@ -211,4 +248,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_language_id": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op9_minhash": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_language_id": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op9_minhash": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op12_collocations": OP12_SQL}
