@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import Stored, quoted
 
-ROLES = ("system", "user", "assistant")
+#: The roles that lines are told apart by, and one for all speakers of other names.
+ROLES = ("system", "user", "assistant", "other")
+OTHER = ROLES.index("other")
 #: Speaker names and the roles they stand for (fixed values).
 ALIASES = {
     "system": ("system", "instruction", "instructions", "context"),
     "user": ("user", "human", "customer", "question", "q", "prompter", "me"),
     "assistant": ("assistant", "bot", "ai", "gpt", "chatgpt", "model", "answer", "agent"),
 }
-ROLE = {name: i for i, r in enumerate(ROLES) for name in ALIASES[r]}
+ROLE = {name: i for i, r in enumerate(ROLES) for name in ALIASES.get(r, ())}
 MARKER = re.compile(r"\s*(?:[\[<*#|]{1,4}\s*)?(" + "|".join(sorted(ROLE, key=len, reverse=True)) + r")(?:\s*[\]>*|]{1,4}\s*:?|\s*:)\s*", re.I)
 BREAK = re.compile("\r?\n")
 #: Lines of a block; a longer row is a block by itself.
@@ -50,9 +52,10 @@ OPENS, UNKNOWN, UNSEEN = -1, -2, -3
 
 
 def role_of(name: Column) -> Column:
-    """The index of the role that a speaker's name stands for, or null."""
-    out = F.lit(None).cast("int")
-    for i, r in enumerate(ROLES):
+    """The index of the role that a speaker's name stands for, OTHER for a name that stands for
+    none of them, null without a name (one without a letter is none)."""
+    out = F.when(name.rlike(r"\p{L}"), F.lit(OTHER))
+    for i, r in enumerate(ROLES[:OTHER]):
         out = F.when(F.lower(F.trim(name)).isin(*ALIASES[r]), F.lit(i)).otherwise(out)
     return out
 
@@ -100,10 +103,10 @@ def blocks(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
     OPENS, UNKNOWN, UNSEEN), ends (whether its conversation ends with it, as far as the
     partition shows), rows: a row for each block, of rows of one conversation in order."""
     kind, turn_kind = (rows.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
-    base = rows.select(F.col(quoted(conv_col)).alias("conv"), F.col(quoted(turn_col)).alias("turn"), role_of(F.col(quoted(role_col))).alias("given"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
-    each = base.withColumn("tie", F.xxhash64("given", "text")).withColumn("row", F.monotonically_increasing_id())
+    base = rows.select(F.col(quoted(conv_col)).alias("conv"), F.col(quoted(turn_col)).alias("turn"), role_of(F.col(quoted(role_col))).alias("given"), F.when(role_of(F.col(quoted(role_col))) == OTHER, F.col(quoted(role_col))).alias("name"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    each = base.withColumn("tie", F.xxhash64("given", "name", "text")).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("tie").asc(), F.col("row").asc()]
-    ranged = each.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "turn", "given", "text")
+    ranged = each.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "turn", "given", "name", "text")
 
     def place(found):
         from pyspark import TaskContext
@@ -111,18 +114,18 @@ def blocks(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
         part, block, prev = TaskContext.get().partitionId(), 0, UNSEEN
         for conv, group in groupby(found, key=lambda r: r[0]):
             held, n, first = [], 0, prev
-            for _, turn, given, text in group:
+            for _, turn, given, name, text in group:
                 _, cues, kinds = features(text)
                 if held and n + len(cues) > BLOCK:
                     yield conv, part, block, first, False, held
                     block, held, n, first = block + 1, [], 0, prev
-                held.append({"turn": turn, "given": given, "prev": prev, "text": text, "cues": cues, "kinds": kinds})
+                held.append({"turn": turn, "given": given, "name": name, "prev": prev, "text": text, "cues": cues, "kinds": kinds})
                 n += len(cues)
                 prev = UNKNOWN if given is None else given
             yield conv, part, block, first, True, held
             block, prev = block + 1, OPENS
 
-    row = f"struct<turn:{turn_kind},given:int,prev:int,text:string,cues:array<int>,kinds:array<int>>"
+    row = f"struct<turn:{turn_kind},given:int,name:string,prev:int,text:string,cues:array<int>,kinds:array<int>>"
     return _mapped(ranged, place, f"conv {kind}, part int, block int, prev int, ends boolean, rows array<{row}>")
 
 
@@ -188,6 +191,7 @@ def emissions(model: dict, rows: list[dict]) -> np.ndarray:
         else:
             sort = np.where(cues[:, None] < 0, 0, np.where(cues[:, None] == role, 1, 2))
             e = model["kind"][:, kinds].T + model["sign"][on, np.minimum(np.arange(n), 1)[:, None], sort]
+            e[:, role == OTHER] = -np.inf  # who has no name speaks in one of the roles
         out.append(e)
     return np.concatenate(out)
 
@@ -302,13 +306,15 @@ def turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
     of the row where it begins) for each recovered turn.
 
     Rows of a conversation follow each other by turn number, nulls last and rows of one
-    number by a hash of role and text. Each row begins a turn. A row whose role the alias table knows is a turn of that
-    role; a marker of its own role at its beginning is cut off, and what else its text holds
-    never opens a turn. Rows of other speakers, and of none, are read line by line: a marker
-    within them may begin a turn of its own, and is cut off where it does. `rendered` has the
-    text with its control tokens escaped. A null or empty text is one empty line. Null
-    conversation ids are one conversation. The model is learned from `learn_from` (rows like
-    these), or from the rows themselves. Other columns are not read.
+    number by a hash of role and text. Each row begins a turn. A row whose role the alias table
+    knows is a turn of that role; a marker of its own role at its beginning is cut off, and what
+    else its text holds never opens a turn. A row of another speaker (`tool`, `function` and the
+    like) is one turn of that speaker: role and text come back as they are. Rows without a
+    role, or one without a letter, are read line by line: a marker within them may begin a turn of its own,
+    and is cut off where it does. `rendered` has the text with its control tokens escaped, and
+    a speaker's name with `_` for white space and the signs of control tokens. A null or empty
+    text is one empty line. Null conversation ids are one conversation. The model is learned from
+    `learn_from` (rows like these), or from the rows themselves. Other columns are not read.
     """
     kind, turn_kind = (rows.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
     columns = (conv_col, turn_col, role_col, text_col)
@@ -339,7 +345,7 @@ def turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
                 lines, cues, _ = features(r["text"])
                 for line, cue, state in zip(lines, cues, states[at : at + len(lines)], strict=True):
                     if state % 2 == 0:
-                        made.append((state // 2, r["turn"], []))
+                        made.append((r["name"] if state // 2 == OTHER else ROLES[state // 2], r["turn"], []))
                         line = line[MARKER.match(line).end() :] if cue == state // 2 else line
                     made[-1][2].append(line)
                 at += len(lines)
@@ -347,7 +353,7 @@ def turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
                 yield conv, part, block, n, len(made), role, turn, "\n".join(text)
 
     columns = "conv, part, block, n, begins, role, source_turn, text"
-    types = (kind, "int", "int", "int", "int", "int", turn_kind, "string")
+    types = (kind, "int", "int", "int", "int", "string", turn_kind, "string")
     decoded = met.select("conv", "part", "block", "prev", "before", "end", "rows")
     pieces = Stored(_mapped(decoded, decode, ", ".join(f"{c} {t}" for c, t in zip(columns.split(", "), types, strict=True)), 64)).df
 
@@ -358,6 +364,6 @@ def turns(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
     parts = begun.groupBy("part", "conv").agg(F.sum("begins").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before("conv", "part")), F.lit(0)))
     offsets = local.join(parts, (local["part"] == parts["part"]) & local["conv"].eqNullSafe(parts["conv"])).select(local["part"], "block", (F.col("here") + F.col("ahead")).alias("offset"))
     out = pieces.join(offsets, ["part", "block"]).withColumn("turn", F.col("n") + F.col("offset"))
-    role, text = F.element_at(F.array(*map(F.lit, ROLES)), F.col("role") + 1), F.trim("text")
-    rendered = F.concat(F.lit("<|"), role, F.lit("|>\n"), escaped(text), F.lit("\n<|end|>\n"))
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), rendered.alias("rendered"), "source_turn")
+    role, text = F.col("role"), F.trim("text")
+    rendered = F.concat(F.lit("<|"), F.regexp_replace(role, r"[\s|<>\\]+", "_"), F.lit("|>\n"), escaped(text), F.lit("\n<|end|>\n"))
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").cast("long").alias("turn"), role, text.alias("text"), rendered.alias("rendered"), "source_turn")

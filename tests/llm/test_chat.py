@@ -32,7 +32,8 @@ def brute(rows):
     """(conv, turn, role, text, source turn) of each turn: counts and Viterbi in plain loops over
     whole conversations. Rows must not tie."""
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is None, r[1] or 0))
-    role = lambda name: chat.ROLE.get((name or "").strip().lower())
+    role = lambda name: chat.ROLE.get((name or "").strip().lower(), chat.OTHER if any(map(str.isalpha, name or "")) else None)
+    names = {(c, t): g for c, t, g, _ in rows}
     whole = {c: [(t, role(g), re.split("\r?\n", x or "")) for _, t, g, x in own] for c, own in groupby(rows, key=lambda r: r[0])}
     cue = lambda line: chat.ROLE[hit[1].lower()] if (hit := chat.MARKER.match(line)) else None
     kind = lambda line: 2 * min(chat.SIZES - 1, int(np.log2(len(line) + 1))) + line.rstrip().endswith("?")
@@ -70,7 +71,7 @@ def brute(rows):
                 for r, on in states:
                     if g is not None:
                         e[r, on] = 0.0 if (r, on) == (g, min(k, 1)) else -np.inf
-                    elif k == 0 and on:
+                    elif k == 0 and on or r == chat.OTHER:
                         e[r, on] = -np.inf
                     else:
                         e[r, on] = p_kind(r, on, kind(line)) + p_sign[on, min(k, 1), sort(line, r)]
@@ -94,7 +95,7 @@ def brute(rows):
                 made.append([r, t, []])
                 line = line[chat.MARKER.match(line).end() :] if cue(line) == r else line
             made[-1][2].append(line)
-        out += [(conv, i, chat.ROLES[r], "\n".join(x).strip(" "), t) for i, (r, t, x) in enumerate(made)]
+        out += [(conv, i, names[conv, t] if r == chat.OTHER else chat.ROLES[r], "\n".join(x).strip(" "), t) for i, (r, t, x) in enumerate(made)]
     return out
 
 
@@ -133,6 +134,15 @@ def test_roles_are_recovered_from_markers_and_order(spark, monkeypatch, block):
     assert [r for r, _ in got[902]] == ["user", "assistant", "user"]
 
 
+def test_other_speakers_come_back_as_they_are(spark):
+    rows = talk(40) + [(990, 0, "user", "what time is it?"), (990, 1, "tool", "User: 12\nBot: 13"), (990, 2, "Function", ""), (990, 3, None, "it is noon"), (990, 4, "developer", "x <|end|>"), (991, 0, "a |> b", "c")]
+    got = run(spark, [r for r in rows if r[0] != 991])
+    assert got[990] == [("user", "what time is it?"), ("tool", "User: 12\nBot: 13"), ("Function", ""), (got[990][3][0], "it is noon"), ("developer", "x <|end|>")]
+    assert got[990][3][0] in chat.ROLES[: chat.OTHER]
+    (odd,) = chat.turns(spark.createDataFrame(rows, SCHEMA)).where("conv_id = 991").collect()
+    assert odd.role == "a |> b" and odd.rendered == "<|a_b|>\nc\n<|end|>\n"
+
+
 @pytest.mark.parametrize("block, parts", [(512, 1), (7, 3), (2, 8)])
 def test_against_brute_force(spark, monkeypatch, block, parts):
     """Long stretches without a role over blocks and partitions, a conversation of null id, and
