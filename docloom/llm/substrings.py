@@ -28,6 +28,8 @@ SIZE, GRAM = 35, 8
 SHARD = 256
 #: Least number of parts into which the occurrences of a context are dealt by document.
 SALTS = 64
+#: Rows of which one in CROWD of all repeated rows is a copy get their spans by broadcast.
+CROWD = 256
 #: Most windows of a document whose minimizers are found at once.
 CHUNK = 1 << 19
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -84,21 +86,22 @@ def _runs_of(docs: DataFrame, kind: str, size: int, k: int) -> DataFrame:
     def make():
         hashes = WordHashes()
 
-        def work(uids, texts):
-            own, parts = [], [[], [], [], []]
-            for uid, text in zip(uids, texts, strict=True):
+        def work(uids, texts, copies):
+            own, times, parts = [], [], [[], [], [], []]
+            for uid, text, m in zip(uids, texts, copies, strict=True):
                 words = _words(text)
                 if len(words) >= size:
                     found = runs(hashes(words), size, k)
                     own += [uid] * len(found[0])
+                    times += [m] * len(found[0])
                     for p, f in zip(parts, found, strict=True):
                         p.append(f)
             h, c, a, b = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
-            return [own, h.view(np.int64), c.view(np.int64), a.astype(np.int32), b.astype(np.int32)]
+            return [own, times, h.view(np.int64), c.view(np.int64), a.astype(np.int32), b.astype(np.int32)]
 
         return work
 
-    return map_slices(docs, make, f"uid {kind}, h long, c long, a int, b int")
+    return map_slices(docs.select("uid", "text", "m"), make, f"uid {kind}, m long, h long, c long, a int, b int")
 
 
 class Automaton:
@@ -256,18 +259,19 @@ def _matched(contexts: DataFrame, kind: str, size: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, *, size: int = SIZE, k: int = GRAM) -> DataFrame:
-    """uid, spans for those rows of `docs` (uid, text) that have repeated windows; the
-    spans (s, e: words s to e - 1) may touch or overlap."""
+    """uid, spans for those rows of `docs` (uid, text, m: how often the row occurs) that have
+    repeated windows; the spans (s, e: words s to e - 1) may touch or overlap. No uid may be
+    there twice."""
     kind = docs.schema["uid"].dataType.simpleString()
     all_runs = Stored(_runs_of(docs, kind, size, k)).df
-    shared = all_runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = all_runs.groupBy("h").agg(F.sum("m").alias("n")).where("n > 1").select("h")
     # a context that occurs twice within a part is repeated, so a common one needs no join; there
     # are as many parts as keep both a common context's part and what is left to join small
     n_runs = all_runs.count()
     salts = max(SALTS, int(n_runs**0.5))
-    here = F.count("*").over(Window.partitionBy("h", "c", F.pmod(F.xxhash64("uid"), F.lit(salts))))
+    here = F.sum("m").over(Window.partitionBy("h", "c", F.pmod(F.xxhash64("uid"), F.lit(salts))))
     cand = Stored(sieve(all_runs, F.col("h"), shared, most=n_runs // 2).withColumn("here", here)).df  # and a few others, which total leaves out
-    contexts = Stored(cand.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "a", "b")).alias("o")).select("h", "c", "n", "o.*")).df
+    contexts = Stored(cand.groupBy("h", "c").agg(F.sum("m").alias("n"), F.min(F.struct("uid", "a", "b")).alias("o")).select("h", "c", "n", "o.*")).df
     groups = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("g")).where("total > 1").select("h", "g", (F.col("g") > SHARD).alias("hot"))
     known = Stored(contexts.join(groups, "h")).df
     parts = Stored(_contexts(docs, known.where("g > 1"), kind, size)).df
@@ -286,7 +290,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Every occurrence of a repeated passage is removed, the first too, and within one
     document as across documents. A null or blank text has no words. Repeated rows are
-    occurrences like others and are returned each. Null ids are values like others.
+    occurrences like others and are returned each; rows of one id and text are looked at once,
+    weighed by their number. Null ids are values like others.
     Other columns are not read.
     """
     base = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), *(F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry)))
@@ -294,9 +299,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = base.schema["id"].dataType.simpleString()
     single = kind in ("bigint", "string", "int") and base.groupBy("id").count().where("id is null or count > 1").isEmpty()
     keyed = base.withColumn("uid", F.col("id") if single else F.xxhash64("id", "text"))
-    found = Stored(repeated_spans(keyed.select("uid", "text"), size=size, k=k)).df
-    may = sieve(keyed, F.col("uid"), found.select("uid")).join(found, "uid", "left").select("id", "text", "spans", *more)
-    other = sieve(keyed, F.col("uid"), found.select("uid"), "left_anti").select("id", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"), *more)
+    named = lambda df, spans: df.select("id", "text", spans.alias("spans"), *more)
+    none, once, rest = F.lit(None).cast("array<struct<s:int,e:int>>"), F.lit(1).cast("long").alias("m"), keyed
+    classes, out = keyed.select("uid", "text", once), None
+    if not single:
+        copies = Stored(keyed.groupBy("uid").agg(F.count("*").alias("m")).where("m > 1")).df
+        each = sieve(keyed, F.col("uid"), copies.select("uid"), "left_anti").select("uid", "text", once)
+        classes = each.unionByName(sieve(keyed, F.col("uid"), copies.select("uid")).groupBy("uid").agg(F.any_value("text").alias("text"), F.count("*").alias("m")))
+    found = Stored(repeated_spans(classes, size=size, k=k)).df
+    if not single:  # rows of which there are a great many copies stay where they are
+        total = copies.agg(F.sum("m")).first()[0] or 0
+        crowd = Stored(copies.where(F.col("m") * CROWD >= total).select("uid").join(found, "uid", "left")).df  # CROWD rows at most
+        out = named(keyed.join(F.broadcast(crowd), "uid"), F.col("spans"))
+        rest = keyed.join(F.broadcast(crowd.select("uid")), "uid", "left_anti")
+    may = named(sieve(rest, F.col("uid"), found.select("uid")).join(found, "uid", "left"), F.col("spans"))
+    met = may.unionByName(named(sieve(rest, F.col("uid"), found.select("uid"), "left_anti"), none))
+    met = met.unionByName(out) if out is not None else met
 
     def make():
         def work(ids, texts, spans, *rest):
@@ -317,5 +335,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return work
 
     fields = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in more)
-    out = map_slices(may.unionByName(other), make, f"id {kind}, n_words long, n_removed long, kept string{fields}", rows=128)
+    out = map_slices(met, make, f"id {kind}, n_words long, n_removed long, kept string{fields}", rows=128)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(a).alias(c) for a, c in zip(more, carry, strict=True)))

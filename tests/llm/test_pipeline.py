@@ -136,3 +136,20 @@ def test_near_duplicates_take_four_fifths(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_queries_run(spark, name):
     assert catalogue.queries()[name](spark, DIR).count() > 0
+
+
+def test_stages_on_many_copies_of_a_row(spark, tmp_path):
+    """Every stage takes thousands of rows that repeat all their columns, without an id."""
+    import random
+
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    r = random.Random(1)
+    text = " ".join(f"v{r.randint(0, 10**7)}" for _ in range(500))
+    copies = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", f"'{text}' as text", "'en' as lang", "'web' as source", f"cast({len(text)} as bigint) as n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.unionByName(copies), folder)
+        n = out.where("doc_id is null").count()
+        assert n == 3000 or name == "quality" and n == 0, name  # a judgement holds for all copies

@@ -105,3 +105,13 @@ def test_equal_windows_have_equal_minimizers(monkeypatch):
     whole = substrings.runs(w, 35, 8)
     monkeypatch.setattr(substrings, "CHUNK", 64)
     assert all((x == y).all() for x, y in zip(whole, substrings.runs(w, 35, 8), strict=True))
+
+
+def test_many_copies_of_a_row(spark):
+    """Copies are looked at once: the work grows with their number, not with its square."""
+    r = random.Random(3)
+    own = [f"v{r.randint(0, 10**7)}" for _ in range(1000)]
+    rows = [(None, " ".join(own))] * 20_000 + [(5, " ".join(own[:30]))] * 300 + [(6, " ".join(own[100:160] + ["else"] * 3)), (7, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(x.doc_id, x.n_words, x.n_removed, x.kept): x["count"] for x in substrings.remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()}
+    assert got == {(None, 1000, 1000, ""): 20_000, (5, 30, 0, " ".join(own[:30])): 300, (6, 63, 60, "else else else"): 1, (7, 2, 0, "one two"): 1}
