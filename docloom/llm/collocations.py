@@ -29,7 +29,7 @@ from docloom.llm.common import Stored, quoted
 #: occurrences within a longer one that make it superfluous.
 LEAST, TOP, WITHIN = 10, 2000, 50
 #: Words of a block (and what its last text holds beyond), keys sorted at once, keys of a range.
-BLOCK, KEYS = 1 << 20, 1 << 22
+BLOCK, KEYS = 1 << 19, 1 << 21
 #: Blocks that keys are sampled from to cut ranges, and keys taken of each.
 SAMPLED, TAKEN = 32, 2048
 
@@ -79,7 +79,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
     """The order of keys (a column each, the highest word first), by 16 bits at a time."""
-    order = np.arange(keys.shape[1])
+    order = np.arange(keys.shape[1], dtype=np.uint32)
     for word in keys[::-1]:
         for shift in (0, 16):
             digit = (word >> np.uint32(shift)).astype(np.uint16)  # a stable sort of 16 bits is a radix sort
