@@ -50,7 +50,11 @@ def orphaned(ws: g.Workspace, severity: str = "warning") -> DataFrame:
 
 def broken_links(ws: g.Workspace, severity: str = "warning") -> DataFrame:
     """WS001: references to ids that nothing defines, each once."""
-    bad = g.broken_links(ws)
+    return link_diagnostics(g.broken_links(ws), severity)
+
+
+def link_diagnostics(bad: DataFrame, severity: str = "warning") -> DataFrame:
+    """WS001 of broken links (uri, id, ln, col)."""
     return diagnostics(bad, "WS001", severity, F.format_string("Broken reference: '%s' is not defined", "id"), F.col("ln"), F.col("col"), F.col("col") + F.length("id"), "id")
 
 

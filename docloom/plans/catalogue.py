@@ -6,6 +6,7 @@ from, never by reading the text again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from docloom.plans import corpus
 from docloom.plans.corpus import read
 from docloom.sources import ooxml, tables
 from docloom.sources.ranges import RangeSpec
+from docloom.store import shared_dir
 from docloom.streaming import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -509,6 +511,36 @@ def doc_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.latest(events).select("uri", "seq", "text")
 
 
+KEPT_SQL = """
+WITH e AS (SELECT DISTINCT client_id, seq, change_id, op FROM client_changes WHERE client_id IS NOT NULL AND seq IS NOT NULL AND change_id IS NOT NULL AND op IS NOT NULL),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, change_id DESC) = 1),
+d AS (SELECT 'file:///work/client-' || client_id || '.adoc' AS uri, 'client-' || client_id AS id, 'client-' || (client_id * 7 + seq) % 1000 AS refers FROM l WHERE op <> 'D'),
+b AS (SELECT uri, refers AS id FROM d WHERE refers NOT IN (SELECT id FROM d)),
+n AS (SELECT (SELECT count(*) FROM d) AS docs, (SELECT count(*) FROM b) AS broken)
+SELECT 'broken' AS kind, uri, id FROM b
+UNION ALL SELECT 'definition', uri, id FROM d
+UNION ALL SELECT 'score', CAST(docs AS VARCHAR) || ' documents, ' || broken || ' warnings', CAST(CAST(round(greatest(0.0, 100.0 * (docs - 3 * broken) / docs)) AS INT) AS VARCHAR) FROM n WHERE docs > 0
+"""
+
+
+@query(KEPT_SQL)
+def workspace_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of clients as events of documents that refer to each other, dealt out of order
+    over three runs of one streaming query; what it keeps of links, definitions and score."""
+    folder = f"{shared_dir(spark)}/workspace-{uuid.uuid4().hex}"
+    c, n = F.col("client_id").cast("string"), F.col("seq") * 1_000_000_000 + F.col("change_id")
+    text = F.concat(F.lit("[[client-"), c, F.lit("]]\n= Client\n\nSee <<client-"), ((F.col("client_id") * 7 + F.col("seq")) % 1000).cast("string"), F.lit(">>.\n"))
+    events = read(spark, sf_dir, "client_changes").select(F.concat(F.lit("file:///work/client-"), c, F.lit(".adoc")).alias("uri"), F.when(F.col("op") == "D", "delete").when(F.col("op").isNotNull(), "change").alias("op"), text.alias("text"), n.alias("seq"), F.pmod(F.xxhash64("change_id"), F.lit(3)).alias("run"))
+    for run in range(3):
+        events.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{folder}/events")
+        source = spark.readStream.schema(events.drop("run").schema).parquet(f"{folder}/events")
+        workspace.maintain(source, f"{folder}/kept", f"{folder}/state", once=True).awaitTermination()
+    kept = workspace.Kept(spark, f"{folder}/kept")
+    score = kept.score().where("documents > 0").select(F.lit("score").alias("kind"), F.concat(F.col("documents"), F.lit(" documents, "), F.col("warnings"), F.lit(" warnings")).alias("uri"), F.col("score").cast("string").alias("id"))
+    links = kept.broken_links().select(F.lit("broken").alias("kind"), "uri", "id")
+    return links.unionByName(kept.definitions().select(F.lit("definition").alias("kind"), "uri", "id")).unionByName(score)
+
+
 @query("SELECT 'file:///work/part/part-' || p_partkey || '.adoc' AS uri, CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE 2 END AS parent_gap FROM part")
 def symbol_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = ln.headers(ln.lines(corpus.sheets(spark, sf_dir))).select("uri", F.col("ln").alias("idx"), "level")
