@@ -76,28 +76,28 @@ def choose(docs: DataFrame) -> DataFrame:
     return standard().choose(docs)
 
 
-def _missing(docs: DataFrame, sections: tuple[str, ...], code: str, what: str) -> DataFrame:
+def _missing(docs: DataFrame, sections: tuple[str, ...], code: str, what: str, severity: str) -> DataFrame:
     absent = F.filter(F.array(*(F.when(~has_section(F.col("text"), s), s) for s in sections)), lambda x: x.isNotNull())
     last = F.greatest(F.lit(0), F.size(F.split("text", "\n")) - 1)
     each = docs.select("uri", last.alias("last"), F.explode(absent).alias("section"))
-    return diagnostics(each, code, "warning", F.format_string(f"Missing required {what} section: '%s'", "section"), F.col("last"), subject="section")
+    return diagnostics(each, code, severity, F.format_string(f"Missing required {what} section: '%s'", "section"), F.col("last"), subject="section")
 
 
-def _invalid(lns: DataFrame, name: str, known: tuple[str, ...], code: str, what: str) -> DataFrame:
+def _invalid(lns: DataFrame, name: str, known: tuple[str, ...], code: str, what: str, severity: str) -> DataFrame:
     value = F.regexp_extract(F.trim("line"), rf"^:{name}:\s*(\S+)", 1)
     own = lns.select("uri", "ln", "line", value.alias("value")).where((F.col("value") != "") & ~F.lower("value").isin([k.lower() for k in known]))
     at = F.instr("line", F.col("value")) - 1
-    return diagnostics(own, code, "warning", F.format_string(f"Invalid {what} '%s'. Expected one of: {', '.join(known)}", "value"), F.col("ln"), at, at + F.length("value"), "value")
+    return diagnostics(own, code, severity, F.format_string(f"Invalid {what} '%s'. Expected one of: {', '.join(known)}", "value"), F.col("ln"), at, at + F.length("value"), "value")
 
 
 def adr_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
     """ADR001 for each section that a decision record lacks, ADR002 for a status out of the list."""
-    return _missing(ws.docs.where(is_adr(F.col("text"))), ADR_SECTIONS, "ADR001", "ADR").unionByName(_invalid(ws.lines, "status", STATUSES, "ADR002", "status value"))
+    return _missing(ws.docs.where(is_adr(F.col("text"))), ADR_SECTIONS, "ADR001", "ADR", severity).unionByName(_invalid(ws.lines, "status", STATUSES, "ADR002", "status value", severity))
 
 
 def rfc_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
     """RFC001 for a missing abstract, RFC002 for a category out of the list."""
-    return _missing(ws.docs.where(is_rfc(F.col("text"))), RFC_SECTIONS, "RFC001", "RFC").unionByName(_invalid(ws.lines, "category", CATEGORIES, "RFC002", "category"))
+    return _missing(ws.docs.where(is_rfc(F.col("text"))), RFC_SECTIONS, "RFC001", "RFC", severity).unionByName(_invalid(ws.lines, "category", CATEGORIES, "RFC002", "category", severity))
 
 
 def described(section: Column) -> Column:

@@ -61,7 +61,7 @@ def rename_edits(ws: g.Workspace, old: str, new: str) -> DataFrame:
     """uri, ln, line, new_line of all lines that define or name an id; labels are kept."""
     q = "(?<![\\w-])" + "".join("\\" + c if not c.isalnum() and c not in "-_" else c for c in old) + "(?![\\w-])"
     hit = ws.lines.where(F.col("line").rlike(rf"(?U)(\[\[|<<){q}"))
-    done = F.regexp_replace("line", rf"(?U)(\[\[|<<){q}", f"$1{new}")
+    done = F.regexp_replace("line", rf"(?U)(\[\[|<<){q}", "$1" + new.replace("\\", "\\\\").replace("$", "\\$"))
     return hit.select("uri", "ln", "line", done.alias("new_line"))
 
 

@@ -6,7 +6,7 @@ import uuid
 from io import BytesIO
 from zipfile import ZipFile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import grids, views
@@ -84,8 +84,8 @@ def csv_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook for each region: nations (key, name, a date serial, whether even) and an empty
-    sheet but for one cell."""
+    """A workbook for each region: nations (key, name, a date serial, whether even), an empty
+    sheet, one of a single cell; for odd regions an empty sheet comes before them all."""
     rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
     books = read(spark, sf_dir, "nation").groupBy(F.concat(F.lit("book-"), "n_regionkey").alias("uri")).agg(rows.alias("rows"))
 
@@ -98,9 +98,9 @@ def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
             cells += f'<row r="{r}">' + "".join(f'<c r="{column_letters(c)}{r}"{kind}>{v}</c>' for c, (kind, v) in enumerate(zip(kinds, values, strict=True)) if c != 2 or k % 3) + "</row>"
         sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
         return {
-            "xl/workbook.xml": f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" {NS.split(" ", 1)[1]}><sheets><sheet name="Nations" r:id="r1"/><sheet name="More" r:id="r2"/></sheets></workbook>',
-            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
-            "xl/worksheets/sheet1.xml": sheet.format(cells), "xl/worksheets/sheet2.xml": sheet.format('<row r="3"><c r="B3"><v>1.5</v></c></row>'),
+            "xl/workbook.xml": f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" {NS.split(" ", 1)[1]}><sheets>{'<sheet name="Cover" r:id="r3"/>' if row["uri"][-1] in "13579" else ""}<sheet name="Nations" r:id="r1"/><sheet name="Blank &amp; bare" r:id="r3"/><sheet name="More" r:id="r2"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/><Relationship Id="r3" Target="worksheets/sheet3.xml"/></Relationships>',
+            "xl/worksheets/sheet1.xml": sheet.format(cells), "xl/worksheets/sheet2.xml": sheet.format('<row r="3"><c r="B3"><v>1.5</v></c></row>'), "xl/worksheets/sheet3.xml": sheet.format(""),
         }
 
     return _packages(books, make)
@@ -111,7 +111,7 @@ NATIONS = "n AS (SELECT *, 'book-' || n_regionkey AS uri, CAST(row_number() OVER
 
 @query(f"WITH {NATIONS} SELECT uri, r, CASE WHEN n_nationkey >= 1 THEN strftime(DATE '1899-12-31' + CAST(n_nationkey AS INT), '%Y-%m-%d') ELSE '0' END || '|' || n_name || '|' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE strftime(DATE '1899-12-30' + CAST(44927 + n_nationkey AS INT), '%Y-%m-%d') END || '|' || CASE WHEN n_nationkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS cells FROM n")
 def workbook_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tables.formatted(tables.sheet(tables.workbook_cells(_workbooks(spark, sf_dir))), dates=True)
+    cells = tables.formatted(tables.sheet(tables.workbook_cells(_workbooks(spark, sf_dir)), "Nations"), dates=True)
     rows = grids.assembled(tables.read_range(cells, "*", strict=False))
     return rows.select(F.substring_index("table_id", "#", 1).alias("uri"), "r", F.array_join("cells", "|").alias("cells"))
 
@@ -122,11 +122,19 @@ def workbook_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.substring_index("table_id", "#", 1).alias("uri"), "r", F.array_join("cells", "|").alias("cells"))
 
 
-@query("SELECT DISTINCT 'book-' || n_regionkey AS uri, unnest([0, 1]) AS sheet_no, unnest(['Nations', 'More']) AS sheet FROM nation")
+@query("""SELECT DISTINCT 'book-' || n_regionkey AS uri, CAST(i + n_regionkey % 2 AS INT) AS sheet_no, ['Nations', 'Blank & bare', 'More'][i + 1] AS sheet FROM nation, range(3) t(i)
+UNION ALL SELECT DISTINCT 'book-' || n_regionkey, 0, 'Cover' FROM nation WHERE n_regionkey % 2 = 1""")
 def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.list_sheets(tables.workbook_cells(_workbooks(spark, sf_dir)))
 
 
+@query("SELECT DISTINCT 'book-' || n_regionkey AS uri, CASE WHEN n_regionkey % 2 = 1 THEN 'Cover' ELSE 'Nations' END AS sheet, CASE WHEN n_regionkey % 2 = 1 THEN 0 ELSE count(*) OVER (PARTITION BY n_regionkey) END AS rows FROM nation")
+def workbook_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each workbook's first sheet, which may be empty, and its rows."""
+    first = tables.sheet(tables.workbook_cells(_workbooks(spark, sf_dir)))
+    return first.groupBy("uri", "sheet").agg(F.countDistinct("r").alias("rows"))
+
+
 # Word documents
 
 
@@ -224,6 +232,39 @@ def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("uri", "kind").agg(F.count("*").cast("int").alias("n"), some("bold").alias("bold"), some("mono").alias("mono"))
 
 
+BOX = '<mc:AlternateContent><mc:Choice Requires="wps"><w:drawing><wp:anchor><wps:wsp><wps:txbx><w:txbxContent>{}</w:txbxContent></wps:txbx></wps:wsp></wp:anchor></w:drawing></mc:Choice><mc:Fallback><w:pict><w:txbxContent>{}</w:txbxContent></w:pict></mc:Fallback></mc:AlternateContent>'
+MORE = 'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:wps="http://schemas.microsoft.com/office/word/2010/wordprocessingShape" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+@query("""SELECT 'doc-' || p_partkey AS uri, CAST(unnest(range(0, 8)) AS INT) AS idx, unnest(['paragraph', 'paragraph', 'paragraph', 'paragraph', 'paragraph', 'table', 'paragraph', 'paragraph']) AS kind,
+unnest([p_name, 'boxed ' || p_brand, 'kept ' || p_size || ' inserted', 'host', 'in a box of ' || p_partkey, 'cell' || chr(10) || 'inner ' || p_size || chr(10) || chr(10) || 'boxed in a cell|' || p_brand, 'drawn ' || p_type, 'last']) AS text,
+unnest([CASE WHEN p_partkey % 2 = 0 THEN 'H1' END, 'S', NULL, NULL, 'B', NULL, NULL, NULL]) AS style_id FROM part""")
+def word_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word documents whose text stands in content controls, insertions, text boxes, shapes and
+    nested tables, with deleted text and older properties between."""
+    own = read(spark, sf_dir, "part").select(F.concat(F.lit("doc-"), "p_partkey").alias("uri"), F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))
+
+    def make(row):
+        k, para = row["k"], lambda text, props="": f"<w:p>{props}{_run(text)}</w:p>"
+        style = lambda s: f'<w:pPr><w:pStyle w:val="{s}"/></w:pPr>'
+        was = '<w:pPr><w:pStyle w:val="H1"/><w:pPrChange><w:pPr><w:pStyle w:val="Old"/></w:pPr></w:pPrChange></w:pPr>' if k % 2 == 0 else '<w:pPr><w:pPrChange><w:pPr><w:pStyle w:val="Old"/></w:pPr></w:pPrChange></w:pPr>'
+        body = (
+            f"{para(row['name'], was)}"
+            f"<w:sdt><w:sdtPr/><w:sdtContent><w:p>{style('S')}<w:sdt><w:sdtContent>{_run('boxed ')}</w:sdtContent></w:sdt>{_run(row['brand'])}</w:p></w:sdtContent></w:sdt>"
+            f"<w:p>{_run('kept ')}<w:del><w:r><w:delText>gone</w:delText></w:r></w:del><w:moveFrom>{_run('moved away')}</w:moveFrom><w:ins>{_run(str(row['size']))}<w:smartTag>{_run(' inserted')}</w:smartTag></w:ins></w:p>"
+            f"<w:p><w:r>{BOX.format(para(f'in a box of {k}', style('B')), para('for old readers'))}</w:r>{_run('host')}</w:p>"
+            f"<w:tbl><w:tr><w:tc>{para('cell')}<w:tbl><w:tr><w:tc>{para('inner ' + str(row['size']))}</w:tc></w:tr></w:tbl><w:p><w:r>{BOX.format(para('boxed in a cell'), para('x'))}</w:r></w:p></w:tc><w:sdt><w:sdtContent><w:tc>{para(row['brand'])}</w:tc></w:sdtContent></w:sdt></w:tr></w:tbl>"
+            f"<w:p><w:r><w:drawing><wps:wsp><a:p><a:r><a:t>drawn {row['type']}</a:t></a:r></a:p></wps:wsp></w:drawing></w:r></w:p>{para('last')}"
+        )
+        return {"word/document.xml": f"<w:document {NS} {MORE}><w:body>{body}</w:body></w:document>"}
+
+    found = ooxml.word_blocks(_packages(own, make))
+    cells = F.array_join(F.transform(F.get("rows", F.lit(0)), lambda c: F.rtrim(c, F.lit("\n"))), "|")
+    said = found.withColumn("text", F.when(F.col("kind") == "table", cells).otherwise(ooxml.plain_text(F.col("runs")))).where("text <> ''")
+    order = Window.partitionBy("uri").orderBy("idx")
+    return said.select("uri", (F.row_number().over(order) - 1).alias("idx"), "kind", "text", "style_id")
+
+
 # presentations
 
 

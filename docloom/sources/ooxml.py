@@ -7,6 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from io import BytesIO
+from itertools import batched
 from zipfile import BadZipFile, ZipFile
 
 import pyarrow as pa
@@ -45,11 +46,10 @@ def per_archive(files: DataFrame, parse: Callable[[str, ZipFile], Iterator[tuple
                 uri, content = (c[0].as_py() for c in batch.slice(i, 1).columns)
                 try:
                     with ZipFile(BytesIO(content or b"")) as z:
-                        rows = list(parse(uri, z))
+                        for rows in batched(parse(uri, z), 1024):
+                            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
                 except BadZipFile:
-                    rows = []
-                cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                    pass
 
     return files.select("uri", "content").mapInArrow(run, struct)
 
@@ -73,61 +73,210 @@ def _xml(z: ZipFile, name: str) -> ET.Element | None:
     return ET.fromstring(z.read(name)) if name in z.namelist() else None
 
 
-def _on(props: ET.Element | None, tag: str) -> bool:
-    el = props.find(W + tag) if props is not None else None
-    return el is not None and el.get(W + "val", "1") not in ("0", "false", "none")
-
-
-def _run(el: ET.Element, rid: str | None = None, anchor: str | None = None) -> dict:
-    props = el.find(W + "rPr")
-    font = props.find(W + "rFonts") if props is not None else None
-    name = (font.get(W + "ascii") or font.get(W + "hAnsi") or "").lower() if font is not None else ""
-    text = "".join({"t": x.text or "", "tab": "\t", "br": "\n", "cr": "\n"}.get(x.tag.removeprefix(W), "") for x in el.iter() if x.tag.startswith(W))
-    return {"text": text, "bold": _on(props, "b"), "italic": _on(props, "i"), "mono": any(m in name for m in MONOSPACE), "rid": rid, "anchor": anchor}
-
-
-def _paragraph(el: ET.Element) -> dict:
-    props = el.find(W + "pPr")
-    get = lambda path, attr="val": (found.get(W + attr) if props is not None and (found := props.find(path)) is not None else None)
-    runs = []
-    for child in el:
-        if child.tag == W + "r":
-            runs.append(_run(child))
-        elif child.tag == W + "hyperlink":
-            runs += [_run(r, child.get(R + "id"), child.get(W + "anchor")) for r in child.iter(W + "r")]
-    images = []
-    for d in el.iter(W + "drawing"):
-        extent, prop, blip = d.find(f".//{WP}extent"), d.find(f".//{WP}docPr"), d.find(f".//{A}blip")
-        size = [int(extent.get(k)) if extent is not None and extent.get(k) else None for k in ("cx", "cy")]
-        images.append({"rid": blip.get(R + "embed") if blip is not None else None, "width_emu": size[0], "height_emu": size[1], "alt": prop.get("descr") if prop is not None else None})
-    number = lambda v: int(v) if v is not None and v.lstrip("-").isdigit() else None
-    return {
-        "style_id": get(W + "pStyle"), "num_id": number(get(f"{W}numPr/{W}numId")), "ilvl": number(get(f"{W}numPr/{W}ilvl")), "runs": runs, "images": images,
-        "bookmarks": [b.get(W + "name") for b in el.iter(W + "bookmarkStart")], "comment_ids": [c.get(W + "id") for c in el.iter(W + "commentRangeStart")],
-        "section": props is not None and props.find(W + "sectPr") is not None,
-    }
+#: Elements of the format whose content is not part of the text as it stands:
+#: what was deleted or moved away, and properties as they were before a change.
+GONE = {W + t for t in ("del", "moveFrom", "pPrChange", "rPrChange", "sectPrChange", "tblPrChange", "trPrChange", "tcPrChange", "numberingChange")}
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+SIGNS = {W + "tab": "\t", W + "br": "\n", W + "cr": "\n", A + "br": "\n"}
+
+
+class _Body:
+    """The blocks of a document's body from its parse events, whatever containers they stand in.
+
+    Containers (content controls, insertions, smart tags and the like) are looked through. A
+    text box's or shape's paragraphs are blocks behind the paragraph that holds it, or lines of the
+    table cell it stands in, as those of a table within a cell are. Of alternatives for several
+    readers the first is taken. Nothing is held but what is open."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.skip = 0  # depth below an element that is left out
+        self.paragraphs: list[dict] = []
+        self.runs: list[dict] = []
+        self.links: list[tuple] = []
+        self.tables: list[dict] = []
+        self.images: list[dict] = []
+        self.choices: list[bool] = []
+        self.boxes: list[list[tuple]] = []
+        self.depth: list[tuple[int, int]] = []  # paragraphs and tables that were open where a box began
+        self.marks: tuple[list, list] = ([], [])  # bookmarks and comments between blocks
+        self.out: list[tuple] = []  # kind and content of finished blocks
+
+    def start(self, tag: str, get) -> None:
+        parent = self.tags[-1] if self.tags else ""
+        self.tags.append(tag)
+        if self.skip:
+            self.skip += 1
+            return
+        if tag in GONE or tag == MC + "Fallback" and self.choices and self.choices[-1]:
+            self.skip = 1
+        elif tag == MC + "AlternateContent":
+            self.choices.append(False)
+        elif tag == MC + "Choice" and self.choices:
+            self.choices[-1] = True
+        elif tag == W + "p" or tag == A + "p":
+            if tag == W + "p" or W + "txbxContent" not in self.tags:
+                marks, self.marks = self.marks, ([], [])
+                self.paragraphs.append({"style_id": None, "num_id": None, "ilvl": None, "runs": [], "images": [], "bookmarks": marks[0], "comment_ids": marks[1], "section": False, "boxes": []})
+        elif tag in (W + "r", A + "r") and self.paragraphs:
+            self.runs.append({"text": [], "bold": False, "italic": False, "mono": False})
+        elif tag == W + "hyperlink":
+            self.links.append((get(R + "id"), get(W + "anchor")))
+        elif tag == W + "tbl":
+            self.tables.append({"rows": [], "inner": []})
+        elif tag == W + "tr" and self.tables:
+            self.tables[-1]["rows"].append([])
+        elif tag == W + "tc" and self.tables and self.tables[-1]["rows"]:
+            self.tables[-1]["rows"][-1].append([])
+        elif tag == W + "drawing" and self.paragraphs:
+            self.images.append({"rid": None, "width_emu": None, "height_emu": None, "alt": None})
+        elif tag == W + "txbxContent":
+            self._open_box()
+        elif tag.endswith(("}wsp", "}sp", "}cxnSp")):
+            self._open_box()
+        elif tag in SIGNS and self.runs and parent in (W + "r", A + "r", A + "p"):
+            self.runs[-1]["text"].append(SIGNS[tag])
+        else:
+            self._property(tag, parent, get)
+
+    def _property(self, tag: str, parent: str, get) -> None:
+        number = lambda v: int(v) if v is not None and v.lstrip("-").isdigit() else None
+        own = self.paragraphs[-1] if self.paragraphs else None
+        on = get(W + "val", "1") not in ("0", "false", "none")
+        if tag == W + "bookmarkStart":
+            (own["bookmarks"] if own else self.marks[0]).append(get(W + "name"))
+        elif tag == W + "commentRangeStart":
+            (own["comment_ids"] if own else self.marks[1]).append(get(W + "id"))
+        elif self.images and tag == WP + "extent":
+            self.images[-1] |= {k: number(get(c)) for k, c in (("width_emu", "cx"), ("height_emu", "cy"))}
+        elif self.images and tag == WP + "docPr":
+            self.images[-1]["alt"] = get("descr")
+        elif self.images and tag == A + "blip" and self.images[-1]["rid"] is None:
+            self.images[-1]["rid"] = get(R + "embed")
+        elif self.runs and parent == W + "rPr" and len(self.tags) > 2 and self.tags[-3] == W + "r":
+            if tag == W + "rFonts":
+                name = (get(W + "ascii") or get(W + "hAnsi") or "").lower()
+                self.runs[-1]["mono"] = any(m in name for m in MONOSPACE)
+            elif tag in (W + "b", W + "i"):
+                self.runs[-1]["bold" if tag == W + "b" else "italic"] = on
+        elif self.runs and tag == A + "rPr":
+            self.runs[-1] |= {"bold": get("b") in ("1", "true"), "italic": get("i") in ("1", "true")}
+        elif own and parent == W + "pPr" and tag == W + "pStyle":
+            own["style_id"] = get(W + "val")
+        elif own and parent == W + "pPr" and tag == W + "sectPr":
+            own["section"] = True
+        elif own and parent == W + "numPr" and tag in (W + "numId", W + "ilvl"):
+            own["num_id" if tag == W + "numId" else "ilvl"] = number(get(W + "val"))
+
+    def end(self, tag: str, text: str | None) -> None:
+        self.tags.pop()
+        if self.skip:
+            self.skip -= 1
+            return
+        if tag in (W + "t", A + "t") and self.runs:
+            self.runs[-1]["text"].append(text or "")
+        elif tag in (W + "r", A + "r") and self.runs:
+            run = self.runs.pop()
+            run["text"] = "".join(run["text"])
+            rid, anchor = self.links[-1] if self.links else (None, None)
+            if run["text"]:
+                self.paragraphs[-1]["runs"].append(run | {"rid": rid, "anchor": anchor})
+        elif tag == W + "hyperlink" and self.links:
+            self.links.pop()
+        elif tag == W + "drawing" and self.images:
+            image = self.images.pop()
+            if image["rid"] is not None:
+                self.paragraphs[-1]["images"].append(image)
+        elif tag == MC + "AlternateContent" and self.choices:
+            self.choices.pop()
+        elif tag == W + "txbxContent" or tag.endswith(("}wsp", "}sp", "}cxnSp")):
+            self._close_box()
+        elif tag == W + "p" or tag == A + "p" and W + "txbxContent" not in self.tags and self.paragraphs:
+            own = self.paragraphs.pop()
+            if tag == A + "p" and not own["runs"]:
+                return
+            self._emit("paragraph", own)
+        elif tag == W + "tbl" and self.tables:
+            self._emit("table", self.tables.pop())
+
+    def _open_box(self) -> None:
+        """A shape holds paragraphs of its own; what is open around it waits."""
+        self.boxes.append([])
+        self.depth.append((len(self.paragraphs), len(self.tables)))
+
+    def _close_box(self) -> None:
+        found = self.boxes.pop()
+        held = self.depth.pop()[0]
+        if held:
+            self.paragraphs[held - 1]["boxes"] += found
+        elif self.boxes:
+            self.boxes[-1] += found
+        else:
+            self.out += found
+
+    def _emit(self, kind: str, own: dict) -> None:
+        blocks = [(kind, own)]
+        if kind == "paragraph":
+            blocks += [("section_break", None)] * own["section"] + own.pop("boxes")
+        tables = self.depth[-1][1] if self.depth else 0
+        if len(self.tables) > tables:  # within a cell
+            table = self.tables[-1]
+            cell = table["rows"][-1][-1] if table["rows"] and table["rows"][-1] else None
+            for k, b in blocks:
+                if k == "paragraph":
+                    table["inner"].append(b)
+                    lines = ["".join(r["text"] for r in b["runs"])]
+                elif k == "table":
+                    table["inner"] += b["inner"]
+                    lines = ["\n".join(c) for row in b["rows"] for c in row]
+                else:
+                    lines = []
+                if cell is not None:
+                    cell += lines
+        elif self.boxes:
+            self.boxes[-1] += blocks
+        else:
+            self.out += blocks
+
+
+def _body_blocks(stream) -> Iterator[tuple[str, dict | None]]:
+    body, open_, inside = _Body(), [], 0
+    for event, el in ET.iterparse(stream, ("start", "end")):
+        if event == "start":
+            open_.append(el)
+            if inside:
+                body.start(el.tag, el.get)
+            inside += el.tag == W + "body"
+            continue
+        inside -= el.tag == W + "body"
+        if inside:
+            body.end(el.tag, el.text)
+        open_.pop()
+        if open_:
+            open_[-1].remove(el)  # nothing that was read is held
+        yield from body.out
+        body.out.clear()
 
 
 def word_blocks(files: DataFrame) -> DataFrame:
     """The blocks of a Word document's body, in order: paragraphs, tables, section breaks. The
-    index of a table counts once, for comments as for text."""
+    index of a table counts once, for comments as for text. Text of content controls, tracked
+    insertions, text boxes and shapes is text like other text, deleted text is none (see
+    `_Body`); a document is read as a stream."""
 
     def parse(uri: str, z: ZipFile) -> Iterator[tuple]:
-        root = _xml(z, "word/document.xml")
-        idx = 0
-        for el in root.find(W + "body") if root is not None else ():
-            if el.tag == W + "p":
-                p = _paragraph(el)
-                yield uri, idx, "paragraph", p["style_id"], p["num_id"], p["ilvl"], p["runs"], p["bookmarks"], p["comment_ids"], p["images"], None
-                idx += 1
-                if p["section"]:
-                    yield uri, idx, "section_break", None, None, None, [], [], [], [], None
-                    idx += 1
-            elif el.tag == W + "tbl":
-                rows = [["\n".join("".join(r["text"] for r in _paragraph(p)["runs"]) for p in cell.iter(W + "p")) for cell in row.iter(W + "tc")] for row in el.iter(W + "tr")]
-                inner = [_paragraph(p) for p in el.iter(W + "p")]
-                yield uri, idx, "table", None, None, None, [r for p in inner for r in p["runs"]], [b for p in inner for b in p["bookmarks"]], [c for p in inner for c in p["comment_ids"]], [], rows
-                idx += 1
+        if "word/document.xml" not in z.namelist():
+            return
+        with z.open("word/document.xml") as stream:
+            for idx, (kind, b) in enumerate(_body_blocks(stream)):
+                if kind == "paragraph":
+                    yield uri, idx, kind, b["style_id"], b["num_id"], b["ilvl"], b["runs"], b["bookmarks"], b["comment_ids"], b["images"], None
+                elif kind == "table":
+                    rows = [["\n".join(cell) for cell in row] for row in b["rows"]]
+                    inner = b["inner"]
+                    yield uri, idx, kind, None, None, None, [r for p in inner for r in p["runs"]], [m for p in inner for m in p["bookmarks"]], [c for p in inner for c in p["comment_ids"]], [], rows
+                else:
+                    yield uri, idx, kind, None, None, None, [], [], [], [], None
 
     return per_archive(files, parse, BLOCKS)
 

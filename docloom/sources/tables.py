@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from io import BytesIO
+from itertools import batched
 from zipfile import BadZipFile, ZipFile
 
 import pyarrow as pa
@@ -125,28 +126,69 @@ NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def _cells(content: bytes) -> list[tuple]:
-    """(sheet number, sheet name, r, c, v, type) of a workbook's stored cells."""
+def _events(z: ZipFile, name: str) -> Iterator[tuple[str, ET.Element]]:
+    """A part's parse events; what is behind an element's end is not held."""
+    with z.open(name) as stream:
+        open_: list[ET.Element] = []
+        for event, el in ET.iterparse(stream, ("start", "end")):
+            if event == "start":
+                open_.append(el)
+                yield event, el
+                continue
+            yield event, el
+            open_.pop()
+            if open_ and el.tag in (f"{NS}c", f"{NS}row", f"{NS}si"):
+                open_[-1].remove(el)
+
+
+def sheet_parts(z: ZipFile) -> list[tuple[str, str]]:
+    """Name and part of a workbook's sheets in order, empty ones too."""
+    targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    found = [(s.get("name"), targets[s.get(f"{REL}id")].lstrip("/")) for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet")]
+    return [(name, part if part.startswith("xl/") else f"xl/{part}") for name, part in found]
+
+
+def shared_strings(z: ZipFile) -> list[str]:
+    """The strings that a workbook's cells name by number; readings beside a text are left out."""
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    aside = f"{NS}rPh"
+    return ["".join(t.text or "" for part in el if part.tag != aside for t in part.iter(f"{NS}t")) for event, el in _events(z, "xl/sharedStrings.xml") if event == "end" and el.tag == f"{NS}si"]
+
+
+def sheet_cells(z: ZipFile, part: str, shared: list[str], last: int | None = None) -> Iterator[tuple]:
+    """(r, c, v, type) of a sheet's stored cells in order, as the part streams by; behind row
+    `last` it isn't read on. Cells and rows without an address follow the one before them."""
+    r = c = -1
+    for event, el in _events(z, part):
+        if event == "start":
+            if el.tag == f"{NS}row":
+                r, c = int(el.get("r")) - 1 if el.get("r") else r + 1, -1
+                if last is not None and r > last:
+                    return
+            continue
+        if el.tag != f"{NS}c":
+            continue
+        c += 1
+        if el.get("r"):
+            spec = ranges.parse(el.get("r"))
+            r, c = spec.r0, spec.c0
+        kind, value = el.get("t", "n"), el.find(f"{NS}v")
+        if kind == "inlineStr":
+            yield r, c, "".join(t.text or "" for t in el.iter(f"{NS}t")), kind
+        elif value is not None and value.text is not None:
+            yield r, c, shared[int(value.text)] if kind == "s" else value.text, kind
+
+
+def _cells(content: bytes) -> Iterator[tuple]:
+    """(sheet number, sheet name, r, c, v, type) of a workbook: for each sheet a row of type
+    `sheet` without a place, then its stored cells."""
     with ZipFile(BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for number, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet")):
-            target = targets[sheet.get(f"{REL}id")].lstrip("/")
-            for cell in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{NS}c"):
-                spec = ranges.parse(cell.get("r"))
-                kind, value = cell.get("t", "n"), cell.find(f"{NS}v")
-                if kind == "inlineStr":
-                    v = "".join(t.text or "" for t in cell.iter(f"{NS}t"))
-                elif value is None or value.text is None:
-                    continue
-                else:
-                    v = shared[int(value.text)] if kind == "s" else value.text
-                out.append((number, sheet.get("name"), spec.r0, spec.c0, v, kind))
-        return out
+        shared = shared_strings(z)
+        for number, (name, part) in enumerate(sheet_parts(z)):
+            yield number, name, None, None, None, "sheet"
+            for cell in sheet_cells(z, part, shared):
+                yield number, name, *cell
 
 
 def read_workbooks(spark: SparkSession, path: str | list[str], lenient: bool = False) -> DataFrame:
@@ -156,8 +198,10 @@ def read_workbooks(spark: SparkSession, path: str | list[str], lenient: bool = F
 
 def workbook_cells(files: DataFrame, lenient: bool = False) -> DataFrame:
     """table_id (file and sheet), uri, sheet, sheet_no, r, c, v, type of each stored cell of
-    workbooks (uri, content); files are parsed one by one on the executors. A file that is no
-    workbook is an error, or where `lenient` a row of type `problem`."""
+    workbooks (uri, content), and for each sheet, whether it has cells or not, a row of type
+    `sheet` with no r, c and v. Files stream by one after another on the executors, their cells in
+    batches. A file that is no workbook is an error, or where `lenient` a row of type `problem`
+    behind what was read of it."""
     schema = "uri string, sheet_no int, sheet string, r int, c int, v string, type string"
 
     def cells(uri: str, content: bytes) -> Iterator[tuple]:
@@ -173,16 +217,15 @@ def workbook_cells(files: DataFrame, lenient: bool = False) -> DataFrame:
         kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = list(cells(*(c[0].as_py() for c in batch.slice(i, 1).columns)))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["uri", "sheet_no", "sheet", "r", "c", "v", "type"])
+                for rows in batched(cells(*(c[0].as_py() for c in batch.slice(i, 1).columns)), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uri", "sheet_no", "sheet", "r", "c", "v", "type"])
 
     return files.select("uri", "content").mapInArrow(run, schema).withColumn("table_id", F.concat("uri", F.lit("#"), "sheet"))
 
 
 def list_sheets(cells: DataFrame) -> DataFrame:
-    """uri, sheet_no, sheet of the sheets that hold cells, in order of their numbers."""
-    return cells.select("uri", "sheet_no", "sheet").distinct()
+    """uri, sheet_no, sheet of all sheets, empty ones too; numbers are their order."""
+    return cells.where("type = 'sheet'").select("uri", "sheet_no", "sheet")
 
 
 def formatted(cells: DataFrame, dates: bool = False) -> DataFrame:
@@ -193,20 +236,17 @@ def formatted(cells: DataFrame, dates: bool = False) -> DataFrame:
     number = F.expr("try_cast(v as double)")
     plain = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("long").cast("string")).otherwise(number.cast("string"))
     own = F.when(F.col("type") == "b", F.when(F.col("v") == "1", "TRUE").otherwise("FALSE")).when((F.col("type") == "n") & number.isNotNull(), F.when(fx.like_serial_date(number), fx.serial_to_iso(number)).otherwise(plain) if dates else plain)
-    return cells.withColumn("v", F.coalesce(own, "v"))
+    return cells.where("type <> 'sheet'").withColumn("v", F.coalesce(own, "v"))
 
 
 def sheet(cells: DataFrame, name: str | None = None) -> DataFrame:
-    """The cells of a sheet, or of each workbook's first."""
-    if name is not None:
-        return cells.where(F.col("sheet") == name)
-    first = cells.groupBy("uri").agg(F.min("sheet_no").alias("sheet_no"))
-    return cells.join(first, ["uri", "sheet_no"], "left_semi")
+    """The cells of a sheet, or of each workbook's first, which may be empty."""
+    return cells.where("sheet_no = 0" if name is None else F.col("sheet") == name)
 
 
 def read_range(cells: DataFrame, text: str, strict: bool = True) -> DataFrame:
     """table_id, r, c, v of a range; strict ones must name cells."""
-    return grids.dense(cells.select("table_id", "r", "c", "v"), ranges.parse_strict(text) if strict else ranges.parse(text))
+    return grids.dense(cells.where("r is not null").select("table_id", "r", "c", "v"), ranges.parse_strict(text) if strict else ranges.parse(text))
 
 
 def read_table(spark: SparkSession, path: str, range_text: str = "*", sheet_name: str | None = None, options: CsvOptions | None = None) -> DataFrame:
@@ -303,8 +343,7 @@ def resolve_includes(spark: SparkSession, found: DataFrame, base_dir: str) -> Da
         if kind == "book":
             cells = read_workbooks(spark, own, lenient=True)
             bad = cells.where("type = 'problem'").select(plain("uri").alias("_file"), F.col("v").alias("_why"))
-            first = cells.where("type <> 'problem'").groupBy("uri").agg(F.min("sheet_no").alias("_first"))
-            stored = formatted(cells.where("type <> 'problem'")).join(first, "uri").select(plain("uri").alias("_file"), F.col("sheet").alias("_sheet"), (F.col("sheet_no") == F.col("_first")).alias("_is_first"), "r", "c", "v")
+            stored = formatted(cells.where("type not in ('problem', 'sheet')")).select(plain("uri").alias("_file"), F.col("sheet").alias("_sheet"), (F.col("sheet_no") == 0).alias("_is_first"), "r", "c", "v")
             met = mine.join(stored, "_file").where("coalesce(sheet = _sheet, _is_first) and r >= r0 and r <= coalesce(r1, r) and c >= c0 and c <= coalesce(c1, c)")
             table = F.to_json(F.struct(*keys))
             rows = grids.dense_rows(met.select(table.alias("table_id"), "r", "c", "v", "r0", "r1", "c0", "c1"))
