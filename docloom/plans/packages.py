@@ -46,10 +46,11 @@ def _packages(rows: DataFrame, make) -> DataFrame:
 # lines
 
 
-def _written(rows: DataFrame, line, order: str) -> str:
-    """The folder of a file of lines in order."""
+def _written(rows: DataFrame, line, order: str, files: int = 4) -> str:
+    """The folder of files of lines, one for each remainder of the key `order`, in its order."""
     path = f"{shared_dir(rows.sparkSession)}/csv-{uuid.uuid4().hex}"
-    rows.orderBy(order).coalesce(1).select(line.alias("value")).write.text(path)
+    own = rows.select(line.alias("value"), F.pmod(F.col(order), F.lit(files)).alias("part"), F.col(order).alias("_k"))
+    own.repartition(files, "part").sortWithinPartitions("part", "_k").drop("_k").write.partitionBy("part").text(path)
     return path
 
 
@@ -61,20 +62,20 @@ def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("k", "v", "w"))))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS r, p_name AS name, p_brand AS brand, CAST(2 AS INT) AS width FROM part")
+@query("SELECT CAST(row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1 AS BIGINT) AS r, p_name AS name, p_brand AS brand, CAST(2 AS INT) AS width FROM part")
 def csv_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = tables.CsvOptions(delimiter=";", quote="'", trim=True)
     rows = tables.read_csv(spark, _written(read(spark, sf_dir, "part"), F.concat(F.lit(" "), "p_name", F.lit(" ;'"), "p_brand", F.lit("'")), "p_partkey"), options)
     return rows.select("r", F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("brand"), F.size("cells").alias("width"))
 
 
-@query("SELECT count(*) AS rows, CAST(3 AS INT) AS columns FROM part")
+@query("SELECT count(*) AS rows, CAST(3 AS INT) AS columns FROM part GROUP BY p_partkey % 4")
 def csv_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read_csv(spark, _written(read(spark, sf_dir, "part"), F.concat_ws("\t", "p_partkey", "p_brand", "p_type"), "p_partkey"), tables.CsvOptions.tsv())
     return tables.counts(rows).select("rows", "columns")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS k, r FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) WHERE r BETWEEN 9 AND 59")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS k, r FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1 AS r FROM part) WHERE r BETWEEN 9 AND 59")
 def csv_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read_csv(spark, _written(read(spark, sf_dir, "part"), F.concat_ws(",", "p_partkey", "p_brand"), "p_partkey"))
     return tables.csv_range(rows, "10:60").select(F.get("cells", F.lit(0)).alias("k"), "r")

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import csv
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from io import BytesIO
-from itertools import batched
+from itertools import batched, chain
 from zipfile import BadZipFile, ZipFile
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import grids
 from docloom.operators.perdoc import in_order
 from docloom.sources import ranges
+from docloom.store import stored
 
 
 @dataclass(frozen=True)
@@ -43,55 +45,190 @@ class RaggedRows(ValueError):
     pass
 
 
-#: Files with records over several lines are told by a broadcast list of at most so many names.
-BROADCAST_FILES = 100_000
+#: What is known of splits is broadcast if it is of at most so many; each is megabytes of input.
+BROADCAST_SPLITS = 100_000
 
 
 def _escaped(sign: str) -> str:
     return sign if sign.isalnum() else f"\\{sign}"
 
 
-def _cells_of(options: CsvOptions) -> tuple[Column, Column]:
-    """The cells of `value` read as a whole record, and whether a quoted cell is open at its end."""
+def _open(line: Column, options: CsvOptions) -> Column:
+    """Whether a line that begins a record leaves a quoted cell open at its end."""
     q, d = _escaped(options.quote), _escaped(options.delimiter)
     whole = f"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}"
-    raw = F.regexp_extract_all(F.concat(F.lit(options.delimiter), F.col("value")), F.lit(f"{d}({whole}[^{d}]*+|[^{d}]*+)"), F.lit(1))
-    quoted = lambda c: c.startswith(options.quote)
-    closed = lambda c: c.rlike(f"^{whole}")
-    plain = lambda c: F.concat(F.replace(F.regexp_extract(c, f"^{q}([^{q}]*+(?:{q}{q}[^{q}]*+)*+){q}", 1), F.lit(options.quote * 2), F.lit(options.quote)), F.regexp_replace(c, f"^{whole}", ""))
-    trimmed = (lambda c: F.trim(c)) if options.trim else (lambda c: c)
-    cells = F.when(F.col("value").contains(options.quote), F.transform(raw, lambda c: trimmed(F.when(quoted(c), plain(c)).otherwise(c)))).otherwise(F.transform(F.split("value", d, -1), trimmed))
-    return cells, F.col("value").contains(options.quote) & F.exists(raw, lambda c: quoted(c) & ~closed(c))
+    raw = F.regexp_extract_all(F.concat(F.lit(options.delimiter), line), F.lit(f"{d}({whole}[^{d}]*+|[^{d}]*+)"), F.lit(1))
+    return F.exists(raw, lambda c: c.startswith(options.quote) & ~c.rlike(f"^{whole}"))
+
+
+def _states(before: bool, out: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Whether a quoted cell is open behind each line, given whether one is before the first, and
+    what each line makes of a closed and of an open one. A line keeps the state, turns it, or ends
+    in one whatever it was; so what counts is the last line of that kind and the turns since."""
+    n = len(out)
+    last = np.maximum.accumulate(np.where(out == inside, np.arange(n), -1))
+    turns = np.cumsum(out & ~inside)
+    since = np.where(last >= 0, out[last], before)
+    return since ^ ((turns - np.where(last >= 0, turns[last], 0)) % 2 == 1)
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """The rows of a task in pieces of one split (the first two columns), with whether a piece is
+    the first of its split."""
+    key = None
+    for batch in batches:
+        blocks = batch.column(1).to_numpy()
+        names = batch.column(0).dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (names[1:] != names[:-1])])).tolist() if len(blocks) else []
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            own = batch.column(0)[start].as_py(), int(blocks[start])
+            yield own, own != key, batch.slice(start, end - start)
+            key = own
+
+
+SUMMARY = "table_id string, block long, out boolean, inside boolean, out_rows long, inside_rows long"
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split what it makes of a closed and of an open cell before it, and how many records
+    begin in it in either case."""
+    held: list = []
+
+    def done():
+        cols = list(zip(*held, strict=True)) if held else [()] * 6
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], [f.split(" ")[0] for f in SUMMARY.split(", ")])
+
+    for key, first, part in _splits(batches):
+        if first:
+            held.append([*key, False, True, 0, 0])
+        full, out, inside = (part.column(c).to_numpy(zero_copy_only=False) for c in ("full", "out", "inside"))
+        for at, rows in ((2, 4), (3, 5)):
+            after = _states(held[-1][at], out, inside)
+            before = np.concatenate([[held[-1][at]], after[:-1]])
+            held[-1][rows] += int((full & ~before).sum())
+            held[-1][at] = bool(after[-1])
+    yield done()
+
+
+def _chained(pdf):
+    """The state and the number of records before each split of a file, and the state behind it."""
+    pdf = pdf.sort_values("block", ignore_index=True)
+    state, ahead, out = False, 0, []
+    for row in pdf.itertuples():
+        then = row.inside if state else row.out
+        out.append((row.table_id, row.block, state, ahead, then))
+        ahead += row.inside_rows if state else row.out_rows
+        state = then
+    return type(pdf)(out, columns=["table_id", "block", "open", "ahead", "left_open"])
+
+
+def _parsed(options: CsvOptions) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parses the records that lie within a split; of one that reaches over its edges the lines here
+    are a piece, with the record's number and the split's place."""
+
+    def run(batches):
+        csv.field_size_limit(2**31 - 1)
+        names: list = []
+        numbers: list = []
+        cells: list = []
+        blocks: list = []
+        pieces: list = []
+
+        def add(key, r, row, piece=None):
+            names.append(key[0])
+            numbers.append(r)
+            cells.append(row)
+            blocks.append(key[1])
+            pieces.append(piece)
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string())), pa.array(blocks, pa.int64()), pa.array(pieces, pa.string())], ["table_id", "r", "cells", "block", "piece"])
+            for held in (names, numbers, cells, blocks, pieces):
+                held.clear()
+            return out
+
+        now, head, state, r, pending = None, False, False, 0, []
+
+        def edge():
+            """What is left of a split: lines of a record that goes on."""
+            if pending:
+                add(now, r - 1 if head else r, None, "\n".join(pending))
+                pending.clear()
+
+        for key, first, part in _splits(batches):
+            if first:
+                edge()
+                now, state, r = key, part.column("open")[0].as_py(), part.column("ahead")[0].as_py()
+                head = state
+            values = part.column("value").to_pylist()
+            after = _states(state, *(part.column(c).to_numpy(zero_copy_only=False) for c in ("out", "inside")))
+            closed = np.flatnonzero(~after)
+            state = bool(after[-1])
+            if not len(closed):
+                pending += values
+                continue
+            start = 0
+            if head:
+                start = int(closed[0]) + 1
+                pending += values[:start]
+                edge()
+                head = False
+            end = int(closed[-1]) + 1
+            lines = (x + "\n" for x in chain(pending, values[start:end]))
+            for row in csv.reader(lines, delimiter=options.delimiter, quotechar=options.quote):
+                if row:
+                    add(key, r, [c.strip() for c in row] if options.trim else row)
+                    r += 1
+                    if len(names) >= 8192:
+                        yield batch()
+            pending[:] = values[end:]
+        edge()
+        yield batch()
+
+    return run
+
+
+PARSED = "table_id string, r long, cells array<string>, block long, piece string"
 
 
 def _records(spark: SparkSession, path: str | list[str], options: CsvOptions) -> DataFrame:
     """table_id, r, cells of all records, ragged ones too.
 
-    Lines that are whole records are parsed alone, in the JVM, wherever a file is split. Only
-    a file with a quoted cell that goes on over a line break is read as one stream, in order,
-    by one task that holds a record at a time. Such a break counts as one line feed.
+    A split is read twice. First it is summed up: a quoted cell may be open before it or not; for
+    either case, whether one is behind it and how many records begin in it. Chained along a
+    file's splits these tell each split its state and its first number. Then splits are parsed
+    apart from each other, and only the lines of records that reach over an edge are brought
+    together. No other row is moved, and a task holds a batch of lines and the record it is in.
+    A line break within a cell counts as one line feed.
     """
-    cells, open_ = _cells_of(options)
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("table_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"), "value")
-    spanning = lines.where(open_).select("table_id").distinct()
-    n_spanning = spanning.limit(BROADCAST_FILES + 1).count()
-    held = F.broadcast(spanning) if n_spanning <= BROADCAST_FILES else spanning
-    alone = (lines.join(held, "table_id", "left_anti") if n_spanning else lines).where("value <> ''").withColumn("cells", cells)
-    blocks = alone.groupBy("table_id", "_block").agg(F.count("*").alias("_rows"))  # a row for each block of a file
-    ahead = F.coalesce(F.sum("_rows").over(Window.partitionBy("table_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = F.row_number().over(Window.partitionBy("table_id", "_block").orderBy("_n")) - 1 + F.col("_ahead")
-    out = alone.join(blocks.withColumn("_ahead", ahead).drop("_rows"), ["table_id", "_block"]).select("table_id", r.cast("long").alias("r"), "cells")
-    if not n_spanning:
-        return out
+    value, quote = F.col("value"), F.lit(options.quote)
+    has = value.contains(options.quote)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("table_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_n"), "value")
+    flags = [(value != "").alias("full"), F.when(has, _open(value, options)).otherwise(False).alias("out"), F.when(has, _open(F.concat(quote, value), options)).otherwise(True).alias("inside")]
+    summary = lines.select("table_id", "block", *flags).mapInArrow(_summaries, SUMMARY)
+    starts = stored(summary.groupBy("table_id").applyInPandas(_chained, "table_id string, block long, open boolean, ahead long, left_open boolean"))
+    known, spans = starts.agg(F.count("*"), F.count_if("left_open")).first()
+
+    def parsed(told: DataFrame) -> DataFrame:
+        told = told.select("table_id", "block", "open", "ahead")
+        if known <= BROADCAST_SPLITS:
+            met = lines.join(F.broadcast(told), ["table_id", "block"])
+        else:
+            met = lines.join(told, ["table_id", "block"]).repartition("table_id", "block").sortWithinPartitions("table_id", "block", "_n")
+        return met.select("table_id", "block", "value", *flags[1:], "open", "ahead").mapInArrow(_parsed(options), PARSED)
+
+    whole = parsed(starts).where("piece is null").select("table_id", "r", "cells")
+    if not spans:
+        return whole
 
     def step(key, rows):
         csv.field_size_limit(2**31 - 1)
-        parsed = csv.reader((value + "\n" for _, _, value in rows), delimiter=options.delimiter, quotechar=options.quote)
-        for r, own in enumerate(own for own in parsed if own):
-            yield *key, r, [c.strip() for c in own] if options.trim else own
+        for row in csv.reader((x + "\n" for _, piece in rows for x in piece.split("\n")), delimiter=options.delimiter, quotechar=options.quote):
+            yield *key, [c.strip() for c in row] if options.trim else row
 
-    streamed = in_order(lines.join(held, "table_id", "left_semi"), ["table_id"], ["_block", "_n"], step, "table_id string, r long, cells array<string>")
-    return out.unionByName(streamed)
+    pieces = parsed(starts.where("open or left_open")).where("piece is not null")
+    return whole.unionByName(in_order(pieces.select("table_id", "r", "block", "piece"), ["table_id", "r"], ["block"], step, "table_id string, r long, cells array<string>"))
 
 
 def _uneven(rows: DataFrame) -> DataFrame:
