@@ -1,19 +1,22 @@
 """The workspace graph as relations: definitions, references, reachability, statistics.
 
 Definitions are joined by id and documents by URI, both shuffled: either grows with the
-workspace. Reachability takes one join a step over the documents reached last.
+workspace. Reachability follows links within ranges of URIs and exchanges what leaves them.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as fx
 from docloom.operators import lines as ln
+from docloom.operators.perdoc import in_order
 from docloom.store import stored
 
 #: The ends of URIs at which reading starts.
@@ -21,6 +24,8 @@ ENTRY_POINTS = ("index.adoc", "readme.adoc", "index.asciidoc", "readme.asciidoc"
 
 #: Links that one task may hold (two URIs each) when it follows them all.
 SMALL = 200_000
+#: Rounds after which the depths known so far are brought together.
+MERGE = 8
 
 
 @dataclass
@@ -98,6 +103,30 @@ def reverse_index(ws: Workspace) -> DataFrame:
     return ws.references.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("uri", "ln", "col"))).alias("places"))
 
 
+#: Most places of a page of the reverse index.
+PAGE = 10_000
+
+
+def reverse_pages(references: DataFrame, page: int | None = None) -> DataFrame:
+    """id, page, n, first, last, places (uri, ln, col in order) of references (id, uri, ln, col):
+    the reverse index in pages of at most `page` places. An id of more is dealt by a hash of the
+    place into as many pages as it takes, so no task or list holds all of a hot id."""
+    most = page or PAGE
+    many = references.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > most // 2).select("id", F.ceil(F.col("n") * 2 / most).alias("deals"))
+    dealt = references.join(many, "id", "left").withColumn("deals", F.coalesce("deals", F.lit(1)).cast("long"))
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("uri", "ln", "col"), F.col("deals")))
+    nth = F.row_number().over(Window.partitionBy("id", "deal").orderBy("uri", "ln", "col")) - 1
+    paged = dealt.withColumn("page", F.col("deal") + F.col("deals") * F.floor(nth / most))  # over `most` of one deal go on
+    place = F.struct("uri", "ln", "col")
+    return paged.groupBy("id", "page").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"), F.array_sort(F.collect_list(place)).alias("places"))
+
+
+def places(pages: DataFrame, name: str) -> DataFrame:
+    """uri, ln, col of an id's references in order, merged from its pages."""
+    own = pages.where(F.col("id") == name).select(F.explode("places").alias("p")).select("p.*")
+    return own.orderBy("uri", "ln", "col")
+
+
 def resolved_files(ws: Workspace) -> DataFrame:
     """uri, to_uri: file references that lead to a document of the workspace."""
     to = ws.file_references.select("uri", fx.normal_path(F.col("uri"), F.col("path")).alias("to_uri")).distinct()
@@ -133,28 +162,86 @@ def _reachable_at_once(starts: DataFrame, links: DataFrame) -> DataFrame:
             last = then
         yield pa.RecordBatch.from_arrays([pa.array(list(depth), pa.string()), pa.array(list(depth.values()), pa.int32())], ["uri", "depth"])
 
-    rows = links.where("uri is not null and to_uri is not null").unionByName(starts.select("uri", F.lit(None).cast("string").alias("to_uri")).distinct())
+    rows = links.unionByName(starts.select("uri", F.lit(None).cast("string").alias("to_uri")).distinct())
     return rows.repartition(1).mapInArrow(run, "uri string, depth int")
 
 
-def reachable(starts: DataFrame, links: DataFrame) -> DataFrame:
-    """uri, depth of all that can be reached from `starts` (uri) over `links` (uri, to_uri).
+def _reach_within(bounds: list[str]):
+    """Follows the links of a part (rows: kind, uri, to_uri, depth) from what has come in as far as
+    they lead to smaller depths. Rows of a part are its links (0), the depths known so far (1) and
+    those that have come in (2), in this order. Yields each document reached anew and, for links
+    that leave the part, where they lead."""
 
-    Each step joins the last documents found with the links and leaves out those already
-    seen; cycles end it. Steps are written to the shared folder, so plans don't grow. Of
-    at most SMALL links one task takes all steps.
-    """
+    def step(key, rows):
+        to: dict[str, list[str]] = {}
+        depth: dict[str, int] = {}
+        fresh: dict[int, list[str]] = {}
+        for kind, uri, target, d in rows:
+            if kind == 0:
+                to.setdefault(uri, []).append(target)
+            elif d < depth.get(uri, d + 1):
+                depth[uri] = d
+                if kind == 2:
+                    fresh.setdefault(d, []).append(uri)
+        out: dict[str, int] = {}
+        reached: set[str] = set()
+        d = min(fresh, default=0)
+        while fresh:
+            for uri in fresh.pop(d, ()):
+                if depth[uri] != d or uri in reached:
+                    continue
+                reached.add(uri)
+                for target in to.get(uri, ()):
+                    if bisect_right(bounds, target) != key[0]:
+                        out[target] = min(d + 1, out.get(target, d + 1))
+                    elif d + 1 < depth.get(target, d + 2):
+                        depth[target] = d + 1
+                        fresh.setdefault(d + 1, []).append(target)
+            d += 1
+        yield from ((*key, True, uri, depth[uri]) for uri in reached)
+        yield from ((bisect_right(bounds, uri), False, uri, d) for uri, d in out.items())
+
+    return step
+
+
+def reachable_in_parts(starts: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """uri, depth as `reachable` gives them, over links without nulls. Documents lie in parts,
+    ranges of URIs with about `most` links each, so that folders stay
+    together. A part follows its own links to their end at once; only what leads to other parts
+    is exchanged, and a part is looked at again only when something has come in."""
     links = stored(links)
-    if links.count() <= SMALL:
-        return _reachable_at_once(starts, links)
-    seen = last = stored(starts.select("uri").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
-    while not last.isEmpty():
-        depth += 1
-        then = last.join(links, "uri").select(F.col("to_uri").alias("uri")).distinct()
-        last = stored(then.join(seen.select("uri"), "uri", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(last)
-    return seen
+    parts = max(1, -(-links.count() // most))
+    ranged = links.select("uri").repartitionByRange(parts, "uri").groupBy(F.spark_partition_id().alias("p")).agg(F.min("uri").alias("low"))
+    bounds = sorted(r.low for r in ranged.collect())[1:]  # one for each part
+
+    @F.pandas_udf("int")
+    def part(uris: pd.Series) -> pd.Series:
+        return uris.map(lambda uri: bisect_right(bounds, uri))
+
+    placed = stored(links.withColumn("part", part("uri")).repartition("part").sortWithinPartitions("part"))
+    coming = stored(starts.where("uri is not null").select("uri").distinct().select(part("uri").alias("part"), "uri", F.lit(0).alias("depth")))
+    none = F.lit(None)
+    known: list[DataFrame] = []
+    while active := [r.part for r in coming.select("part").distinct().collect()]:  # numbers of parts
+        rows = placed.where(F.col("part").isin(active)).select("part", F.lit(0).alias("kind"), "uri", "to_uri", none.cast("int").alias("depth"))
+        for kind, seen in [*((1, x) for x in known), (2, coming)]:
+            rows = rows.unionByName(seen.where(F.col("part").isin(active)).select("part", F.lit(kind).alias("kind"), "uri", none.cast("string").alias("to_uri"), "depth"))
+        found = stored(in_order(rows, ["part"], ["kind"], _reach_within(bounds), "part int, own boolean, uri string, depth int"))
+        known.append(found.where("own").select("part", "uri", "depth"))
+        coming = stored(found.where("not own").groupBy("part", "uri").agg(F.min("depth").alias("depth")))
+        if len(known) == MERGE:
+            known = [stored(ln.union_all(known).groupBy("part", "uri").agg(F.min("depth").alias("depth")))]
+    return ln.union_all(known).groupBy("uri").agg(F.min("depth").alias("depth")) if known else coming.select("uri", "depth")
+
+
+def reachable(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """uri, depth (the least number of links) of all that can be reached from `starts` (uri) over
+    `links` (uri, to_uri); cycles end. Links with a null end lead nowhere.
+
+    Of at most SMALL links one task takes all steps. More are cut into parts of about so many;
+    the rounds then are as many as a shortest path changes parts, not as it has links."""
+    links = stored(links.where("uri is not null and to_uri is not null").select("uri", "to_uri"))
+    return _reachable_at_once(starts, links) if links.count() <= SMALL else reachable_in_parts(starts, links, max(SMALL, 1))
 
 
 def reachable_documents(ws: Workspace) -> DataFrame:

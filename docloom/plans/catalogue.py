@@ -277,6 +277,26 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.orphaned(_geography(spark, sf_dir)).select("uri", "code", "severity")
 
 
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT 'supplier-' || (l_suppkey % 500) AS uri, 'supplier-' || ((l_suppkey * 7 + l_partkey % 3) % 500) AS to_uri FROM lineitem),
+r(uri, depth) AS (SELECT 'supplier-1', 0 UNION SELECT l.to_uri, r.depth + 1 FROM r JOIN l ON l.uri = r.uri WHERE r.depth < 40)
+SELECT uri, min(depth) AS depth FROM r GROUP BY uri""")
+def reachable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths over links between suppliers, in parts of a few hundred links."""
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    name = lambda k: F.concat(F.lit("supplier-"), (k % 500).cast("string"))
+    links = read(spark, sf_dir, "lineitem").select(name(s).alias("uri"), name(s * 7 + p % 3).alias("to_uri")).distinct()
+    return g.reachable_in_parts(spark.createDataFrame([("supplier-1",)], "uri string"), links, 300)
+
+
+@query("SELECT CAST(client_id AS VARCHAR) AS id, count(*) AS n, min(click_id) AS first_ln, max(click_id) AS last_ln, true AS bounded FROM (SELECT DISTINCT client_id, click_id FROM clicks WHERE client_id IS NOT NULL AND click_id IS NOT NULL) GROUP BY client_id")
+def reverse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as references to clients, of whom a few have a great many: the directory of pages."""
+    refs = read(spark, sf_dir, "clicks").where("client_id is not null and click_id is not null").select(F.col("client_id").cast("string").alias("id"), F.lit("file:///clicks").alias("uri"), F.col("click_id").alias("ln"), F.lit(0).alias("col")).distinct()
+    pages = g.reverse_pages(refs, 50)
+    held = F.max(F.greatest("n", F.size("places"))) <= 50
+    return pages.groupBy("id").agg(F.sum("n").alias("n"), F.min("first.ln").alias("first_ln"), F.max("last.ln").alias("last_ln"), held.alias("bounded"))
+
+
 @query(f"WITH RECURSIVE {GEO}, o AS (SELECT count(*) AS w FROM {GEO_DOCS} WHERE uri NOT IN (SELECT uri FROM reach)), n AS (SELECT count(*) AS n FROM {GEO_DOCS}) SELECT n AS documents, 0 AS errors, w AS warnings, 0 AS infos, CAST(round(greatest(0.0, least(100.0, 100.0 * (n * 2 - 3 * w) / (n * 2)))) AS INT) AS score, CASE WHEN w > 0 THEN 'passing_with_warnings' ELSE 'passing' END AS status FROM o, n")
 def compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.bridge().result(_geography(spark, sf_dir))
