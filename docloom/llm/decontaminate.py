@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Stored, ascii_lower, quoted, split_join
+from docloom.llm.common import Stored, ascii_lower, quoted, sieve, split_join
 
 #: Words of a window.
 WINDOW = 10
@@ -81,7 +81,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     keys = grams.select("key").distinct()
     rows = _positions(base.select("ws"))
     rows = rows.select(key(SHINGLE).alias("key")) if lens == [SHINGLE] else rows.select(F.explode(F.array(*map(key, lens))).alias("key"))
-    counts = rows.where("key is not null").join(hint(keys), "key", "left_semi" if not small else "inner").groupBy("key").agg(F.count("*").alias("n"))
+    rows = rows.where("key is not null")
+    rows = rows if small else sieve(rows, F.col("key"), keys)  # most places hold no shingle of the benchmark and stay where they are
+    counts = rows.join(hint(keys), "key", "left_semi" if not small else "inner").groupBy("key").agg(F.count("*").alias("n"))
     counts = Stored(counts).df  # a row for each of the benchmark's shingles
     rare = grams.join(counts, "key", "left").groupBy("win", "items", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "key")).alias("p"))
     prefix = Stored(rare.where("p.n > 0").select("p.key", "p.off", "win", "items", "len")).df
@@ -97,6 +99,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         met = met.select("id", "hash", F.when(F.col("at") < 0, F.size("ws")).alias("n_words"), (F.col("at") - F.col("off")).alias("start"), "len", "items")
     else:
         own = spots.where("key IS NOT NULL").select("id", "hash", "key", "at", F.size("ws").alias("n"))
+        own = sieve(own, F.col("key"), prefix.select("key").distinct())
         cand = split_join(own, prefix, "key", counts).where("at >= off AND at - off + len <= n")
         texts = ident.groupBy("id", "hash").agg(F.first("ws").alias("ws"))
         true = cand.join(texts, cand["id"].eqNullSafe(texts["id"]) & (cand["hash"] == texts["hash"])).where(same).select(cand["id"], cand["hash"], F.lit(None).cast("int").alias("n_words"), (F.col("at") - F.col("off")).alias("start"), "len", "items")

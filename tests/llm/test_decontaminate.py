@@ -68,3 +68,15 @@ def test_no_python_in_the_plan(spark):
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     plan = decontaminate.contaminated(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_large_form_with_a_word_in_every_row(spark, monkeypatch):
+    """Beyond the bound only places that may hold a shingle of the benchmark are moved."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    docs = [(i, f"the number {i} the " + " ".join(f"v{i}x{k}" for k in range(40)) + (" one two three four five six" if i % 50 == 0 else "")) for i in range(400)]
+    items = [(1, "the"), (2, "one two three four five six"), (3, "never in it at all")]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found.collect())
+    assert got == sorted((i, 44 + 6 * (i % 50 == 0), 2 + 6 * (i % 50 == 0), "1,2" if i % 50 == 0 else "1") for i, _ in docs)
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Cartesian" not in plan
