@@ -328,6 +328,13 @@ def adr_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.adr_rules(_decisions(spark, sf_dir)).select("uri", "code", "message")
 
 
+@query(f"WITH {ADR} SELECT code, severity, count(*) AS n FROM (SELECT 'ADR001' AS code FROM u WHERE NOT note AND k % 7 = 0 UNION ALL SELECT 'ADR002' FROM u WHERE NOT note AND status = 'Maybe'), (SELECT unnest(['error', 'hint']) AS severity) GROUP BY ALL")
+def adr_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of decision records, once as errors and once as hints."""
+    ws = _decisions(spark, sf_dir)
+    return domains.adr_rules(ws, "error").unionByName(domains.adr_rules(ws, "hint")).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {ADR} SELECT status, count(*) AS n FROM u WHERE NOT note AND status IS NOT NULL GROUP BY ALL")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decisions(spark, sf_dir).attribute("status").groupBy("status").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.operators import grids, views
 from docloom.plans.catalogue import query
 from docloom.plans.corpus import read
-from docloom.sources import ooxml, tables
+from docloom.sources import connector, ooxml, tables
 from docloom.sources.ranges import column_letters
 from docloom.store import shared_dir
 
@@ -81,6 +81,47 @@ def csv_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.csv_range(rows, "10:60").select(F.get("cells", F.lit(0)).alias("k"), "r")
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) || '|' || p_brand AS cells, r FROM (SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1 AS INT) AS r FROM part) WHERE r BETWEEN 4 AND 19")
+def table_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 5 to 20 of each file of a folder, through the data source."""
+    connector.register(spark)
+    path = _written(read(spark, sf_dir, "part"), F.concat_ws(";", "p_partkey", "p_brand"), "p_partkey")
+    load = lambda i: spark.read.format(connector.TableSource.name()).options(path=f"{path}/part={i}", range="5:20", delimiter=";").load()
+    rows = load(0)
+    for i in range(1, 4):
+        rows = rows.unionByName(load(i))
+    return rows.select("r", F.array_join("cells", "|").alias("cells"))
+
+
+def _sheets_of_text(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of CSV files, one for each remainder of a supplier's key by 3, in its order."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat(F.lit('say "'), "s_nationkey", F.lit('",\nthen')).alias("said"), F.pmod("s_suppkey", F.lit(3)).alias("k"))
+    rows.repartition(3, "k").sortWithinPartitions("k", "s_suppkey").write.partitionBy("k").option("escape", '"').csv(path)
+    return path
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, 'say \"' || s_nationkey || '\",' || chr(10) || 'then' AS said FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS n FROM supplier) WHERE n BETWEEN 2 AND 3")
+def table_by_ending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2 and 3 of files that are known for CSV by their ending."""
+    rows = tables.read_table(spark, f"{_sheets_of_text(spark, sf_dir)}/*/*.csv", "2:3")
+    return rows.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("key", "name", "said"))))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_name, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS n, count(*) OVER (PARTITION BY s_suppkey % 3) AS m, s_suppkey % 3 AS k FROM supplier)
+SELECT 'doc-' || k AS uri, 2 AS ln, CAST(n - 2 AS INT) AS r, CAST(s_suppkey AS VARCHAR) || '|' || s_name AS cells, n = 2 AS is_header, NULL AS problem FROM s WHERE n BETWEEN 2 AND 4
+UNION ALL SELECT DISTINCT 'doc-' || k, 3, 0, '', false, 'FileNotFound: none.csv' FROM s UNION ALL SELECT DISTINCT 'doc-' || k, 4, 0, '', false, 'InvalidRange' FROM s""")
+def include_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that include lines 2 to 4 of a file, one that isn't there, and a wrong range."""
+    path = _sheets_of_text(spark, sf_dir)
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    k = F.regexp_extract("file", "/k=([0-9]+)/", 1)
+    lines = F.array(F.concat(F.lit("include::"), "file", F.lit("[range=2:4,header]")), F.lit("include::none.csv[]"), F.concat(F.lit("include::"), "file", F.lit("[range=0:1]")))
+    found = tables.includes(files.select(F.concat(F.lit("doc-"), k).alias("uri"), F.posexplode(lines).alias("ln", "line")).withColumn("ln", F.col("ln") + 2))
+    rows = tables.resolve_includes(spark, found, path)
+    return rows.select("uri", "ln", "r", F.array_join(F.slice("cells", 1, 2), "|").alias("cells"), "is_header", F.when(F.col("problem").startswith("InvalidRange"), "InvalidRange").otherwise(F.col("problem")).alias("problem"))
+
+
 # workbooks
 
 
@@ -129,6 +170,15 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.list_sheets(tables.workbook_cells(_workbooks(spark, sf_dir)))
 
 
+@query(f"""WITH {NATIONS} SELECT uri, 'columns' AS kind, r, n_name || '|' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE CAST(44927 + n_nationkey AS VARCHAR) END AS cells FROM n
+UNION ALL SELECT uri, 'rows', r, CAST(n_nationkey AS VARCHAR) || '|' || n_name || '|' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE CAST(44927 + n_nationkey AS VARCHAR) END || '|' || CASE WHEN n_nationkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END FROM n WHERE r BETWEEN 1 AND 2""")
+def workbook_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of whole columns and of whole rows."""
+    cells = tables.formatted(tables.sheet(tables.workbook_cells(_workbooks(spark, sf_dir)), "Nations"))
+    parts = [grids.assembled(tables.read_range(cells, text, strict=False)).withColumn("kind", F.lit(kind)) for kind, text in (("columns", "B:c"), ("rows", "2:3"))]
+    return parts[0].unionByName(parts[1]).select(F.substring_index("table_id", "#", 1).alias("uri"), "kind", "r", F.array_join("cells", "|").alias("cells"))
+
+
 @query("SELECT DISTINCT 'book-' || n_regionkey AS uri, CASE WHEN n_regionkey % 2 = 1 THEN 'Cover' ELSE 'Nations' END AS sheet, CASE WHEN n_regionkey % 2 = 1 THEN 0 ELSE count(*) OVER (PARTITION BY n_regionkey) END AS rows FROM nation")
 def workbook_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each workbook's first sheet, which may be empty, and its rows."""

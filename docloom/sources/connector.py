@@ -150,4 +150,6 @@ class TableSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session. Drivers and executors have to be able to import this
+    package, as for all that runs in Python."""
     spark.dataSource.register(TableSource)
