@@ -128,7 +128,7 @@ def old_adr_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
 def old_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:
     """What the older validator reports: ADR001 of decision records, and DOM001 for a status
     out of the list in any document."""
-    return old_adr_rules(ws, severity).unionByName(_invalid(ws.lines, "status", STATUSES, "DOM001", "status value"))
+    return old_adr_rules(ws, severity).unionByName(_invalid(ws.lines, "status", STATUSES, "DOM001", "status value", severity))
 
 
 @dataclass(frozen=True)
