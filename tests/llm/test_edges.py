@@ -1,10 +1,11 @@
 """Every operator on nulls, empty and very long texts, repeats, clashing and dotted names, and
 no rows: the same rows as on a plain table."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import caps, catalogue, chat, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
+from docloom.llm import bytepairs, caps, catalogue, chat, decontaminate, langid, licenses, minhash, pieces, quality, substrings, urls
 
 LONG = " ".join(f"w{i % 997}" for i in range(40_000))
 TEXTS = ["The small house by the road and the water of it " * 4, None, "", " \n ", "Une petite maison au bord de la route et de " * 4, LONG, "x" * 300_000, "The small house by the road and the water of it " * 4, "one"]
@@ -29,6 +30,7 @@ OPERATORS = {
     "minhash": lambda s, d: minhash.near_duplicates(d),
     "substrings": lambda s, d: substrings.remove_repeats(d),
     "pieces": lambda s, d: pieces.tokenize(d, catalogue.tokenizer_path()),
+    "bytepairs": lambda s, d: bytepairs.tokenize(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
     "quality": lambda s, d: quality.classify(d, labels(s)).select("doc_id", "p_good", "p_toxic", "accepted"),
     "licenses": lambda s, d: licenses.scan(d.withColumn("where", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))), id_col="doc_id", path_col="where", text_col="text"),
 }
