@@ -29,6 +29,7 @@ from docloom.llm.common import Stored, quoted
 #: occurrences within a longer one that make it superfluous.
 LEAST, TOP, WITHIN = 10, 2000, 50
 #: Words of a block (and what its last text holds beyond), keys sorted at once, keys of a range.
+#: Twice and twice as many took 3031 MB of an executor with two tasks, these take 2465 MB.
 BLOCK, KEYS = 1 << 19, 1 << 21
 #: Blocks that keys are sampled from to cut ranges, and keys taken of each.
 SAMPLED, TAKEN = 32, 2048
