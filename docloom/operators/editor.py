@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import blocks, diagrams, domains, fixes, outline, rules
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
+from docloom.operators.spans import covering
 from docloom.settings import Settings
 
 #: Token types in the order of the legend.
@@ -94,8 +95,9 @@ def selections(lns: DataFrame, folds: DataFrame, cursors: DataFrame) -> DataFram
     folds around it by size, the document; ranges equal to the one before are left out."""
     last = lns.groupBy("uri").agg(F.max("ln").alias("end_ln"))
     para = ln.paragraphs(lns).select("uri", F.col("first_ln").alias("start_ln"), F.col("last_ln").alias("end_ln"))
-    spans = para.unionByName(folds.select("uri", "start_ln", "end_ln")).unionByName(last.select("uri", F.lit(0).alias("start_ln"), "end_ln"))
-    met = cursors.join(spans, "uri").where("ln between start_ln and end_ln").unionByName(cursors.select("uri", "ln", F.col("ln").alias("start_ln"), F.col("ln").alias("end_ln")))
+    ranges = para.unionByName(folds.select("uri", "start_ln", "end_ln")).unionByName(last.select("uri", F.lit(0).alias("start_ln"), "end_ln"))
+    ranges = ranges.join(cursors.select("uri").distinct(), "uri", "left_semi")
+    met = covering(cursors.select("uri", "ln").distinct(), ranges, ["uri"], "ln", "start_ln", "end_ln").unionByName(cursors.select("uri", "ln", F.col("ln").alias("start_ln"), F.col("ln").alias("end_ln")))
     from pyspark.sql import Window
 
     step = F.row_number().over(Window.partitionBy("uri", "ln").orderBy(F.col("end_ln") - F.col("start_ln"), "start_ln")) - 1

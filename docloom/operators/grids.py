@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.sources.ranges import RangeSpec
+from docloom.store import stored
 
 
 def padded(rows: DataFrame, key: str = "table_id", cells: str = "cells") -> DataFrame:
@@ -66,11 +67,28 @@ def assembled(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_id", "r").agg(own.alias("cells"))
 
 
-def row_slice(rows: DataFrame, order: str, start: int, end: int) -> DataFrame:
-    """Rows start to end, both counted in, from 0 in order; none from beyond the last. Each
-    task hands on its first end + 1 rows at most, and only those are numbered."""
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.orderBy(order).limit(end + 1).withColumn("r", n).where(F.col("r").between(start, end))
+#: Rows that one task may number.
+TOP = 100_000
+
+
+def row_slice(rows: DataFrame, order: str, start: int, end: int, top: int = TOP) -> DataFrame:
+    """Rows start to end, both counted in, from 0 in order; none from beyond the last. Each task
+    hands on its first end + 1 rows at most. Up to `top` of these are numbered by one task;
+    more stay in sorted ranges, which are counted and numbered from where those before end."""
+    if end < top:
+        n = F.row_number().over(Window.orderBy(order)) - 1
+        return rows.orderBy(order).limit(end + 1).withColumn("r", n).where(F.col("r").between(start, end))
+    nth = F.col("_at").bitwiseAND((1 << 33) - 1)
+    # a range that is cut here has end + 1 rows, so those behind it begin beyond the end all the same
+    ranged = stored(rows.orderBy(order).withColumn("_at", F.monotonically_increasing_id()).where(nth <= end))
+    counts = ranged.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()  # a row a range
+    before, total = [], 0
+    for own in sorted(counts):
+        before.append((own.p, total))
+        total += own.n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame([x for x in before if x[1] <= end], "_p long, _before long"))
+    numbered = ranged.withColumn("_p", F.shiftright("_at", 33)).join(offsets, "_p")
+    return numbered.withColumn("r", (F.col("_before") + nth).cast("long")).drop("_at", "_p", "_before").where(F.col("r").between(start, end))
 
 
 def projected(rows: DataFrame, indices: list[int], cells: str = "cells") -> DataFrame:

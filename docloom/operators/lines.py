@@ -14,6 +14,8 @@ XREF = r"(?U)<<([\w-]+)(?:,[^>]*)?>?>"
 FILE_XREF = r"(?U)<<([^#,>\s]+\.adoc)(?:#[^,>]*)?(?:,[^>]*)?\s*>>"
 HEADER = r"(?U)^(=+)\s+(.+)$"
 ATTRIBUTE = r"(?U)^:([\w-]+):\s*(.*)$"
+#: Fixed value: the markup's delimiter lines.
+DELIMITER = r"^(-{4,}|\.{4,}|={4,}|\*{4,}|_{4,})$"
 
 
 def split_lines(text: Column) -> Column:
@@ -122,7 +124,7 @@ def line_class(line: Column) -> Column:
         F.when(bare == "", "other")
         .when(head > 0, F.concat(F.lit("header"), head.cast("string")))
         .when(bare.rlike(r"(?U)^:\w[\w-]*:{1,2}\s"), "attribute")
-        .when(bare.rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,}|_{4,})$"), "delimiter")
+        .when(bare.rlike(DELIMITER), "delimiter")
         .otherwise("other")
     )
 

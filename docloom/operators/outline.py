@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import lines as ln
-from docloom.operators.perdoc import in_order
+from docloom.operators.nesting import bits_of, nearest_smaller
 from docloom.operators.rules import diagnostics
 
 
@@ -24,40 +24,20 @@ def hierarchy(headings: DataFrame) -> DataFrame:
     return diagnostics(jumps, "DOC101", "warning", message, F.col("idx"))
 
 
-def _nested(headings: DataFrame, uri: str, order: str, level: str, step, name: str) -> DataFrame:
-    own = headings.select(F.col(uri).alias("uri"), F.col(order).alias("idx"), F.col(level).cast("int").alias("level"))
-    kind = {c: own.schema[c].dataType.simpleString() for c in ("uri", "idx")}
-    return in_order(own, ["uri"], ["idx"], step, f"uri {kind['uri']}, idx {kind['idx']}, level int, {name} {kind['idx']}")
+def _levels(headings: DataFrame, uri: str, order: str, level: str) -> DataFrame:
+    return headings.select(F.col(uri).alias("uri"), F.col(order).alias("idx"), F.col(level).cast("int").alias("level"))
 
 
-def heading_tree(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level") -> DataFrame:
+def heading_tree(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level", bits: int | None = None) -> DataFrame:
     """uri, idx, level, parent_idx: the parent is the nearest heading before of a smaller
-    level, whatever the levels. What is open is a stack, as deep as headings nest."""
+    level, whatever the levels (from 0; of at most `bits` bits). A heading without a level has no
+    parent and is none's."""
+    return nearest_smaller(_levels(headings, uri, order, level), ["uri"], "idx", "level", bits=bits).withColumnRenamed("near", "parent_idx")
 
-    def step(key, rows):
-        above: list[tuple] = []
-        for idx, deep in rows:
-            while above and above[-1][1] >= deep:
-                above.pop()
-            yield *key, idx, deep, above[-1][0] if above else None
-            above.append((idx, deep))
 
-    return _nested(headings, uri, order, level, step, "parent_idx")
-
-
-def section_ends(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level") -> DataFrame:
+def section_ends(headings: DataFrame, uri: str = "uri", order: str = "idx", level: str = "level", bits: int | None = None) -> DataFrame:
     """uri, idx, level, next_idx: the next heading of the same or a smaller level, or null."""
-
-    def step(key, rows):
-        above: list[tuple] = []
-        for idx, deep in rows:
-            while above and above[-1][1] >= deep:
-                yield *key, *above.pop(), idx
-            above.append((idx, deep))
-        for own in above:
-            yield *key, *own, None
-
-    return _nested(headings, uri, order, level, step, "next_idx")
+    return nearest_smaller(_levels(headings, uri, order, level), ["uri"], "idx", "level", ahead=True, equal=True, bits=bits).withColumnRenamed("near", "next_idx")
 
 
 def folds(lns: DataFrame) -> DataFrame:
@@ -68,26 +48,19 @@ def folds(lns: DataFrame) -> DataFrame:
     groups = ln.islands(seen, F.when(F.col("class") == "attribute", "attribute").otherwise("rest"), ["uri"], "ln").where("kind = 'attribute'")
     attrs = groups.groupBy("uri", "island").agg(F.min("ln").alias("start_ln"), F.max("ln").alias("end_ln")).where("end_ln > start_ln").select("uri", "start_ln", "end_ln", F.lit("imports").alias("kind"))
     heads = seen.where(F.col("class").startswith("header")).select("uri", F.col("ln").alias("idx"), F.substring("class", 7, 1).cast("int").alias("level"))
-    ends = section_ends(heads).join(size, "uri").select("uri", F.col("idx").alias("start_ln"), F.coalesce(F.col("next_idx") - 1, "last_ln").alias("end_ln"), F.lit("region").alias("kind")).where("end_ln > start_ln")
+    ends = section_ends(heads, bits=3).join(size, "uri").select("uri", F.col("idx").alias("start_ln"), F.coalesce(F.col("next_idx") - 1, "last_ln").alias("end_ln"), F.lit("region").alias("kind")).where("end_ln > start_ln")
     w = Window.partitionBy("uri").orderBy("ln")
     fences = seen.where("class = 'delimiter'").withColumn("k", F.row_number().over(w)).withColumn("end_ln", F.lead("ln").over(w)).where("k % 2 = 1 and end_ln is not null")
     return ln.union_all([attrs, ends, fences.select("uri", F.col("ln").alias("start_ln"), "end_ln", F.lit("region").alias("kind"))])
 
 
 def closing_delimiters(lns: DataFrame) -> DataFrame:
-    """uri, ln, end_ln: for each delimiter the next line of its sign that is at least as long.
-    Delimiters that wait for their end are a stack, the longest below."""
+    """uri, ln, end_ln: for each delimiter the next line of its sign that is at least as long."""
     bare = F.trim("line")
-    own = lns.where(bare.rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,}|_{4,})$")).select("uri", F.substring(bare, 1, 1).alias("sign"), "ln", F.length(bare).alias("size"))
-
-    def step(key, rows):
-        waiting: list[tuple] = []
-        for ln_, size in rows:
-            while waiting and waiting[-1][1] <= size:
-                yield key[0], waiting.pop()[0], ln_
-            waiting.append((ln_, size))
-
-    return in_order(own, ["uri", "sign"], ["ln"], step, f"uri {own.schema['uri'].dataType.simpleString()}, ln int, end_ln int")
+    own = lns.where(bare.rlike(ln.DELIMITER)).select("uri", F.substring(bare, 1, 1).alias("sign"), "ln", F.length(bare).alias("size"))
+    bits = bits_of(own, "size")
+    found = nearest_smaller(own.withColumn("short", F.lit((1 << bits) - 1) - F.col("size")), ["uri", "sign"], "ln", "short", ahead=True, equal=True, bits=bits)
+    return found.where("near is not null").select("uri", "ln", F.col("near").alias("end_ln"))
 
 
 def last_heading(rows: DataFrame, uri: str, order: str, heading: str) -> DataFrame:

@@ -19,8 +19,15 @@ def minimal_json(score: DataFrame) -> DataFrame:
 
 def diagnostic_json(found: DataFrame) -> DataFrame:
     """uri, json of each diagnostic, without its nulls."""
+    return found.select("uri", F.to_json(_placed(), _NO_NULLS).alias("json"))
+
+
+_NO_NULLS = {"ignoreNullFields": "true"}
+
+
+def _placed() -> Column:
     place = F.struct(F.struct(F.col("ln").alias("line"), F.col("col").alias("character")).alias("start"), F.struct(F.col("ln").alias("line"), F.col("end_col").alias("character")).alias("end"))
-    return found.select("uri", F.to_json(F.struct("code", "severity", "message", "uri", place.alias("range")), {"ignoreNullFields": "true"}).alias("json"))
+    return F.struct("code", "severity", "message", "uri", place.alias("range"))
 
 
 def diagnostic_text(found: DataFrame) -> DataFrame:
@@ -34,10 +41,11 @@ def _ordered(found: DataFrame, body: Column) -> Column:
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """uri, n, json: a document's diagnostics as one JSON array; the unit of a written report,
-    so that no report has to fit into one task."""
-    own = diagnostic_json(found).join(found.select("uri").distinct(), "uri")
-    return own.groupBy("uri").agg(F.count("*").alias("n"), F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("json")), ","), F.lit("]")).alias("json"))
+    """uri, n, json: a document's diagnostics as one JSON array in order of place; the unit of a
+    written report, so that no report has to fit into one task. One document's have to."""
+    own = found.select("uri", "ln", "col", F.to_json(_placed(), _NO_NULLS).alias("json"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ln", "col", "json"))), lambda x: x["json"])
+    return own.groupBy("uri").agg(F.count("*").alias("n"), F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("json"))
 
 
 def markdown(found: DataFrame, score: DataFrame, compact: bool = False) -> DataFrame:

@@ -41,7 +41,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from docloom.plans import packages, small  # noqa: F401  they register theirs
+    from docloom.plans import indexes, packages, small  # noqa: F401  they register theirs
 
     return dict(QUERIES)
 
@@ -192,12 +192,12 @@ def heading_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HEADINGS} SELECT page_id AS uri, idx, level, (SELECT max(p.idx) FROM h p WHERE p.page_id = h.page_id AND p.idx < h.idx AND p.level < h.level) AS parent_idx FROM h")
 def heading_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outline.heading_tree(_html_headings(spark, sf_dir))
+    return outline.heading_tree(_html_headings(spark, sf_dir), bits=3)
 
 
 @query(f"WITH {HEADINGS} SELECT page_id AS uri, idx, level, (SELECT min(p.idx) FROM h p WHERE p.page_id = h.page_id AND p.idx > h.idx AND p.level <= h.level) AS next_idx FROM h")
 def section_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outline.section_ends(_html_headings(spark, sf_dir))
+    return outline.section_ends(_html_headings(spark, sf_dir), bits=3)
 
 
 def _geography(spark: SparkSession, sf_dir: str) -> g.Workspace:
@@ -398,11 +398,6 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.agg(F.lit(1).alias("passes"), F.count("*").alias("n"), F.count_if(F.col("h") == F.col("h2")).alias("same"))
 
 
-@query("SELECT s AS selector, f AS format, s = 'both' OR (f IN ('slide', 'pptx') AND s IN ('slide', 'slide-only', 'if-slide')) OR (f IN ('document', 'docx') AND s IN ('document', 'document-only', 'if-document')) AS shown FROM (SELECT unnest(['both', 'slide', 'slide-only', 'if-slide', 'document', 'document-only', 'if-document']) AS s), (SELECT unnest(['slide', 'pptx', 'document', 'docx', 'html']) AS f)")
-def selector_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dual.selector_matrix(spark)
-
-
 @query("WITH o AS (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS items FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(items[1:CASE WHEN l_orderkey % 3 = 0 THEN 2 WHEN l_orderkey % 3 = 1 THEN 3 ELSE 5 END], ',') AS shown FROM o")
 def bullet_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("v")))), lambda x: x["v"])
@@ -430,10 +425,10 @@ def dup_semantic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.duplicates(own, "semantic_id", "bookmark").withColumn("members", F.array_join("members", ","))
 
 
-@query("SELECT DISTINCT p_type AS style_id FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 50 = 0)")
+@query("WITH s AS (SELECT p_partkey, p_type || ' ' || p_size AS style_id FROM part) SELECT DISTINCT style_id FROM s WHERE style_id NOT IN (SELECT style_id FROM s WHERE p_partkey % 50 = 0)")
 def style_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    return contract.uncovered(part.select(F.col("p_type").alias("style_id")).distinct(), "style_id", part.where("p_partkey % 50 = 0").select("p_type"))
+    styles = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit(" "), "p_size").alias("style_id"))
+    return contract.uncovered(styles.select("style_id").distinct(), "style_id", styles.where("p_partkey % 50 = 0").select("style_id"))
 
 
 @query("WITH a AS (SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_suppkey % 2 = 0), b AS (SELECT s_suppkey AS k, 'new ' || s_name AS v FROM supplier WHERE s_suppkey % 3 = 0) SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k")
