@@ -9,6 +9,7 @@ from docloom.operators import blocks, diagrams, domains, fixes, outline, rules
 from docloom.operators import graph as g
 from docloom.operators import lines as ln
 from docloom.operators.spans import covering
+from docloom.operators.symbols import SymbolIndex
 from docloom.settings import Settings
 
 #: Token types in the order of the legend.
@@ -188,14 +189,15 @@ def diagnostics(ws: g.Workspace, settings: Settings = Settings()) -> DataFrame:
 
 class Session:
     """The open documents of an editor and what it asks of them: each request is a query over
-    the documents that it names, planned anew, so nothing is kept that could grow stale."""
+    the documents that it names, planned anew, so nothing is kept that could grow stale. An
+    index of symbols may serve searches instead; these then know the documents it was built of."""
 
-    def __init__(self, docs: DataFrame, settings: Settings = Settings()):
-        self.docs, self.settings = docs, settings
+    def __init__(self, docs: DataFrame, settings: Settings = Settings(), index: SymbolIndex | None = None):
+        self.docs, self.settings, self.index = docs, settings, index
 
     def with_settings(self, settings: Settings) -> Session:
         """The session under other settings; diagnostics() then judges all documents again."""
-        return Session(self.docs, settings)
+        return Session(self.docs, settings, self.index)
 
     def workspace(self, *uris: str) -> g.Workspace:
         return g.Workspace(self.docs.where(F.col("uri").isin(*uris)) if uris else self.docs)
@@ -210,7 +212,7 @@ class Session:
         return self.workspace(uri).symbols
 
     def find_symbols(self, query: str) -> DataFrame:
-        return g.search_symbols(self.workspace().symbols, query)
+        return self.index.search(query) if self.index else g.search_symbols(self.workspace().symbols, query)
 
     def selection(self, cursors: DataFrame) -> DataFrame:
         lns = g.Workspace(self.docs.join(cursors.select("uri").distinct(), "uri", "left_semi")).lines

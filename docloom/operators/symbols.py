@@ -60,9 +60,12 @@ class SymbolIndex:
 
     def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
         self.spark, self.path, self.parts = spark, path, parts
+        self._tables: dict[str, DataFrame] = {}
 
     def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}")
+        if table not in self._tables:  # files are listed once
+            self._tables[table] = self.spark.read.parquet(f"{self.path}/{table}")
+        return self._tables[table]
 
     def symbols(self) -> DataFrame:
         return self._read("names").drop("part", "name_id")

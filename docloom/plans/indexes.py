@@ -27,7 +27,7 @@ NAMES = """SELECT 'region-' || r_regionkey AS name, 'anchor' AS kind FROM region
 def symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several searches by an index of the workspace's symbols: three characters and more, one
     character, and a name that is not there."""
-    index = symbols.build(g.Workspace(corpus.geography(spark, sf_dir)).symbols, f"{shared_dir(spark)}/symbols-{uuid.uuid4().hex}")
+    index = symbols.build(g.Workspace(corpus.geography(spark, sf_dir)).symbols, f"{shared_dir(spark)}/symbols-{uuid.uuid4().hex}", parts=16)
     return ln.union_all([index.search(q).select(F.lit(q).alias("q"), "name", "kind") for q in SEARCHES])
 
 
