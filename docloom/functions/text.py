@@ -244,7 +244,8 @@ def days_to_date(days: Column) -> Column:
 
 
 def utc_stamp(seconds: Column) -> Column:
-    """Seconds since 1970 as ISO 8601 text in UTC, whatever the session's time zone."""
+    """Seconds since 1970 as ISO 8601 text in UTC, whatever the session's time zone; years beyond
+    9999 carry no sign."""
     day, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400)).cast("int")
     clock = F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600).cast("int"), F.pmod(F.floor(rest / 60).cast("int"), F.lit(60)), F.pmod(rest, F.lit(60)))
-    return F.concat(F.date_format(days_to_date(day), "yyyy-MM-dd"), clock)
+    return F.concat(F.ltrim(F.date_format(days_to_date(day), "yyyy-MM-dd"), F.lit("+")), clock)

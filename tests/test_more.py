@@ -268,6 +268,10 @@ def test_stamps(spark):
     assert [one(spark, fx.utc_stamp(F.col("s")), s=s) for s in (0, 951_782_399, 951_782_400, 4_102_444_800)] == ["1970-01-01T00:00:00Z", "2000-02-28T23:59:59Z", "2000-02-29T00:00:00Z", "2100-01-01T00:00:00Z"]
 
 
+def test_stamps_beyond_9999(spark):
+    assert [one(spark, fx.utc_stamp(F.col("s")), s=s) for s in (253_402_300_799, 253_402_300_800, 2_332_800_000_000)] == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "75893-06-28T00:00:00Z"]
+
+
 def test_a_rule_may_have_many_results(spark):
     docs = spark.createDataFrame([("u", "= T")], "uri string, text string")
     assert plugins.run(docs, {"many": lambda doc: (str(i) for i in range(12_000))}).count() == 12_000
