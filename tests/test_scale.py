@@ -1,6 +1,9 @@
 """Queries on tables that are larger than the given ones, and plans that do not rest on the
 estimate of what a short row becomes."""
 
+from pyspark.sql import functions as F
+
+from docloom.operators import spans
 from docloom.plans import catalogue
 
 
@@ -13,3 +16,29 @@ def test_stamps_of_large_keys(spark, tmp_path):
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     expected = sorted(con.execute(catalogue.oracle_sql()["stamps"]).fetchall())
     assert sorted(map(tuple, catalogue.queries()["stamps"](spark, str(tmp_path)).collect())) == expected
+
+
+def joins(df) -> list[str]:
+    """The joins of a plan, as they are planned before anything has run."""
+    import re
+
+    return re.findall(r"(\w+Join)\b", df._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_places_cut_to_intervals_are_not_broadcast(spark):
+    places = spark.range(40).selectExpr("id % 2 as u", "id as at")
+    ranges = spark.range(40).selectExpr("id % 2 as u", "id as s", "id + 5 as e", "id as k")
+    met = spans.covering(places, ranges, ["u"], "at", "s", "e")
+    assert joins(met) == ["SortMergeJoin"]
+    expected = sorted((a, k) for a in range(40) for k in range(40) if a % 2 == k % 2 and k <= a <= k + 5)
+    assert sorted((r["at"], r["k"]) for r in met.collect()) == expected
+
+
+def test_places_meet_ranges_of_all_lengths(spark):
+    places = spark.createDataFrame([("a", 0), ("a", 7), ("a", 2**32 - 1)], "u string, at long")
+    ranges = spark.createDataFrame([("a", 0, 0, 1), ("a", 7, 7, 2), ("a", 0, 7, 3), ("a", 0, 2**32 - 1, 4), ("a", 8, 2**32 - 2, 5)], "u string, s long, e long, k int")
+    for own in ([1], [1, 2], [3], [1, 2, 3], [1, 2, 3, 4, 5]):
+        got = spans.covering(places, ranges.where(F.col("k").isin(own)), ["u"], "at", "s", "e").collect()
+        expected = [(a, k) for a in (0, 7, 2**32 - 1) for k, s, e in ((1, 0, 0), (2, 7, 7), (3, 0, 7), (4, 0, 2**32 - 1), (5, 8, 2**32 - 2)) if k in own and s <= a <= e]
+        assert sorted((r["at"], r["k"]) for r in got) == sorted(expected), own
+    assert spans.covering(places, ranges.where("false"), ["u"], "at", "s", "e").count() == 0
