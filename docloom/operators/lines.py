@@ -25,8 +25,10 @@ def split_lines(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """uri, load_ord, ln (from 0), line."""
-    return docs.select("uri", "load_ord", F.posexplode(split_lines(F.col("text"))).alias("ln", "line"))
+    """uri, load_ord, ln (from 0), line. Joins of them are merge joins (unless a side is broadcast
+    by a hint): Spark's estimate is of the rows that the documents come from, too small to
+    broadcast their lines by."""
+    return docs.select("uri", "load_ord", F.posexplode(split_lines(F.col("text"))).alias("ln", "line")).hint("merge")
 
 
 def _places(pattern: str, shift: int) -> Column:

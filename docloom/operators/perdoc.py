@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 
 
 def per_document(docs: DataFrame, parse: Callable[[str, str], Iterator[tuple]], schema: str, rows: int = 128) -> DataFrame:
-    """The rows that `parse(uri, text)` yields for each document; a null text counts as empty."""
+    """The rows that `parse(uri, text)` yields for each document; a null text counts as empty.
+    Joins of them are merge joins, as those of lines are."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = docs.sparkSession.createDataFrame([], schema).schema
@@ -25,7 +26,7 @@ def per_document(docs: DataFrame, parse: Callable[[str, str], Iterator[tuple]],
                 cols = list(zip(*found, strict=True)) if found else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return docs.select("uri", "text").mapInArrow(run, struct)
+    return docs.select("uri", "text").mapInArrow(run, struct).hint("merge")
 
 
 def in_order(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str, at_once: int = 4096) -> DataFrame:

@@ -34,7 +34,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def per_archive(files: DataFrame, parse: Callable[[str, ZipFile], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that `parse(uri, archive)` yields; what is no archive yields none."""
+    """The rows that `parse(uri, archive)` yields; what is no archive yields none. Joins of them
+    are merge joins, as those of lines are."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = files.sparkSession.createDataFrame([], schema).schema
@@ -51,7 +52,7 @@ def per_archive(files: DataFrame, parse: Callable[[str, ZipFile], Iterator[tuple
                 except BadZipFile:
                     pass
 
-    return files.select("uri", "content").mapInArrow(run, struct)
+    return files.select("uri", "content").mapInArrow(run, struct).hint("merge")
 
 
 def parts(files: DataFrame) -> DataFrame:
