@@ -13,6 +13,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task makes documents of.
+ROWS = 20_000
+
+
+def spread(rows: DataFrame, most: int = ROWS) -> DataFrame:
+    """The rows dealt over so many tasks that each has about `most`. A table of short rows is few
+    splits of its file, however much work the documents are that its rows become; their number
+    comes from the file's footers, and the rows are moved before they are made documents."""
+    parts = -(-rows.count() // most)
+    return rows.repartition(parts) if parts > 1 else rows
+
+
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """index -> regions by file; regions -> nations by file; each nation -> the supplier of
     its key; a supplier s of non-negative balance -> suppliers 2 s + 25 and 2 s + 26 by id,
@@ -52,7 +64,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     supersedes = F.when(k % 5 == 0, F.concat(F.lit(":supersedes: adr-"), k - 1, F.lit("\n"))).otherwise("")
     record = F.concat(F.lit("[[adr-"), k, F.lit("]]\n= ADR "), k, F.lit(": order\n"), status, supersedes, F.lit("\n== Context\n\nThe order was placed.\n\n== Decision\n\nShip it.\n"), F.when(k % 7 == 0, "").otherwise("\n== Consequences\n\nNone.\n"))
     note = F.concat(F.lit("[[adr-"), k, F.lit("]]\n= Note\n\nPlain text.\n"))
-    return read(spark, sf_dir, "orders").select(F.concat(F.lit(f"{ROOT}/adr/adr-"), k, F.lit(".adoc")).alias("uri"), k.alias("load_ord"), F.when(k % 17 == 0, note).otherwise(record).alias("text"))
+    own = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
+    return own.select(F.concat(F.lit(f"{ROOT}/adr/adr-"), k, F.lit(".adoc")).alias("uri"), k.alias("load_ord"), F.when(k % 17 == 0, note).otherwise(record).alias("text"))
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +81,5 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, "==== Deep\n\n").otherwise("=== Next\n\n"),
         F.lit("|===\n|size |"), F.col("p_size"), F.lit("\n|type |"), F.col("p_type"), F.lit("\n|===\n\n[source,sql]\n----\nselect "), k, F.lit("\n----\n\n[mermaid]\n----\n"), diagram, F.lit("\n----\n\n[plantuml]\n----\n"), uml, F.lit("\n----\n"),
     )
-    return read(spark, sf_dir, "part").select(F.concat(F.lit(f"{ROOT}/part/part-"), k, F.lit(".adoc")).alias("uri"), k.alias("load_ord"), text.alias("text"))
+    own = spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return own.select(F.concat(F.lit(f"{ROOT}/part/part-"), k, F.lit(".adoc")).alias("uri"), k.alias("load_ord"), text.alias("text"))

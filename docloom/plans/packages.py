@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import grids, views
 from docloom.plans.catalogue import query
-from docloom.plans.corpus import read
+from docloom.plans.corpus import read, spread
 from docloom.sources import connector, ooxml, tables
 from docloom.sources.ranges import column_letters
 from docloom.store import shared_dir
@@ -29,7 +29,7 @@ def _zipped(parts: dict[str, str]) -> bytes:
 
 
 def _packages(rows: DataFrame, make) -> DataFrame:
-    """uri, content of a package for each row (uri and others), made where the row is."""
+    """uri, content of a package for each row (uri and others), made where the row is dealt to."""
     import pyarrow as pa
 
     names = rows.columns
@@ -40,7 +40,7 @@ def _packages(rows: DataFrame, make) -> DataFrame:
                 own = [dict(zip(names, row, strict=True)) for row in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r["uri"] for r in own], pa.string()), pa.array([_zipped(make(r)) for r in own], pa.binary())], ["uri", "content"])
 
-    return rows.mapInArrow(run, "uri string, content binary")
+    return spread(rows, 2_000).mapInArrow(run, "uri string, content binary")
 
 
 # lines
