@@ -45,7 +45,7 @@ def folds(lns: DataFrame) -> DataFrame:
     content, and each odd delimiter with the even one after it."""
     seen = lns.select("uri", "ln", ln.line_class(F.col("line")).alias("class"))
     size = seen.groupBy("uri").agg(F.max("ln").alias("last_ln"))
-    groups = ln.islands(seen, F.when(F.col("class") == "attribute", "attribute").otherwise("rest"), ["uri"], "ln").where("kind = 'attribute'")
+    groups = ln.islands(seen.where("class = 'attribute'"), F.lit("attribute"), ["uri"], "ln")
     attrs = groups.groupBy("uri", "island").agg(F.min("ln").alias("start_ln"), F.max("ln").alias("end_ln")).where("end_ln > start_ln").select("uri", "start_ln", "end_ln", F.lit("imports").alias("kind"))
     heads = seen.where(F.col("class").startswith("header")).select("uri", F.col("ln").alias("idx"), F.substring("class", 7, 1).cast("int").alias("level"))
     ends = section_ends(heads, bits=3).join(size, "uri").select("uri", F.col("idx").alias("start_ln"), F.coalesce(F.col("next_idx") - 1, "last_ln").alias("end_ln"), F.lit("region").alias("kind")).where("end_ln > start_ln")
@@ -83,13 +83,15 @@ def anchor_sections(lns: DataFrame) -> DataFrame:
 def pending_attributes(lns: DataFrame) -> DataFrame:
     """uri, ln, attribute: each opening `----` fence with the first `[...]` line that stands
     between it and the fence or header before."""
-    stop = F.col("line").rlike(r"^-{4,}$") | F.col("line").rlike(r"^={2,} ")
+    line = F.col("line")
+    fence = line.rlike(r"^-{4,}$")
+    attr = F.when(line.rlike(r"^\[[^\[].*\]$"), F.expr("substring(line, 2, length(line) - 2)"))
+    marks = lns.select("uri", "ln", fence.alias("_fence"), line.rlike(r"^={2,} ").alias("_head"), attr.alias("_attr")).where("_fence or _head or _attr is not null")
+    # of these alone: a fence's attribute is the last that began a run, if a run ends before the fence
     w = Window.partitionBy("uri").orderBy("ln")
-    seen = lns.withColumn("_part", F.coalesce(F.sum(stop.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    fence = F.col("line").rlike(r"^-{4,}$")
-    attr = F.when(F.col("line").rlike(r"^\[[^\[].*\]$"), F.expr("substring(line, 2, length(line) - 2)"))
-    named = seen.withColumn("_fence", fence).withColumn("attribute", F.first(attr, ignorenulls=True).over(Window.partitionBy("uri", "_part").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)))
-    return named.where("_fence and attribute is not null").select("uri", "ln", "attribute")
+    seen = marks.withColumn("_follows", F.coalesce(F.lag(F.col("_attr").isNotNull()).over(w), F.lit(False)))
+    begun = F.last(F.when(~F.col("_follows"), F.col("_attr")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return seen.withColumn("attribute", begun).where("_fence and _follows").select("uri", "ln", "attribute")
 
 
 def token_deltas(tokens: DataFrame) -> DataFrame:
