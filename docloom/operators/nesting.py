@@ -3,8 +3,9 @@
 Rows of a group lie in blocks of neighbouring places, which tasks look at apart. A block is summed
 up by its open rows (those that no smaller value follows), and a row whose answer is not in its own
 block finds it among the open rows of the blocks before. Both steps are windows: a value is smaller
-than another where, at the highest bit in which they differ, it has 0 and the other 1; so for each
-bit one running maximum over the rows that agree above it is enough. No stacks, no Python workers.
+than another where it is smaller in the highest digit in which they differ; so for each digit (of
+DIGIT bits) one sort is enough, with a running maximum for each value of the digit over the rows
+that agree above it. No stacks, no Python workers.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Places of a block.
 BLOCK = 4096
+#: Bits of a digit: so many fewer sorts of the rows than one for each bit, and 2^DIGIT - 1 maxima in each.
+DIGIT = 4
 
 
 def bits_of(rows: DataFrame, value: str) -> int:
@@ -27,11 +30,14 @@ def _last_smaller(value: Column, at: Column, counts: Column, bits: int, part: li
     (or equal too)."""
     before = lambda *more: Window.partitionBy(*part, *more).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     found = [F.lit(None).cast("long")] * 2
-    for bit in range(bits):
-        low = value.bitwiseAND(F.lit(1 << bit)) == 0
-        found.append(F.when(~low, F.max(F.when(low & counts, at)).over(before(F.shiftright(value, bit + 1)))))
-    if equal:
-        found.append(F.max(F.when(counts, at)).over(before(value)))
+    for shift in range(0, bits, DIGIT):
+        wide = min(DIGIT, bits - shift)
+        digit = F.shiftright(value, shift).bitwiseAND(F.lit((1 << wide) - 1))
+        above = before(F.shiftright(value, shift + wide)) if shift + wide < bits else before()
+        last = equal and shift == 0
+        found += [F.when(digit >= d if last else digit > d, F.max(F.when((digit == d) & counts, at)).over(above)) for d in range((1 << wide) - (not last))]
+    if equal and not bits:
+        found.append(F.max(F.when(counts, at)).over(before()))
     return F.greatest(*found)
 
 
@@ -67,4 +73,4 @@ def nearest_smaller(rows: DataFrame, keys: list[str], order: str, value: str, *,
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     near = F.coalesce("_near", "_far")
-    return own.join(answers, same, "left").withColumn("near", (-near if ahead else near).cast(rows.schema[order].dataType)).select(*rows.columns, "near")
+    return own.join(answers.hint("merge"), same, "left").withColumn("near", (-near if ahead else near).cast(rows.schema[order].dataType)).select(*rows.columns, "near")
