@@ -13,6 +13,7 @@ from docloom.functions import text as fx
 from docloom.operators.lines import union_all
 from docloom.operators.perdoc import per_document
 from docloom.operators.rules import diagnostics
+from docloom.store import stored
 
 BLOCKS = "uri string, idx int, selector string, kind string, level int, text string, items array<string>, language string, path string, alt string, width string, slide_path string, slide_layout string, slide_bullets int, slide_style string, document_style string, source_line int"
 META = "uri string, title string, author string, date string, template string, slide_master string, slide_layout string, slide_bullets int, document_template string, document_style string, other map<string,string>"
@@ -129,18 +130,44 @@ def blocks(docs: DataFrame) -> DataFrame:
     return per_document(docs, parse, BLOCKS)
 
 
+def _meta(uri: str, title: str | None, attrs: dict) -> tuple:
+    routed = [attrs.get(r) for r in ROUTES]
+    routed[5] = _whole(routed[5]) if routed[5] is not None else None
+    return (uri, title, *routed, [(k, v) for k, v in attrs.items() if k not in ROUTES])
+
+
 def metadata(docs: DataFrame) -> DataFrame:
     """Title and routed attributes; slide bullets that are no number are null."""
 
     def parse(uri: str, text: str) -> Iterator[tuple]:
         title, attrs, _ = _read(text)
-        routed = [attrs.get(r) for r in ROUTES]
-        routed[5] = _whole(routed[5]) if routed[5] is not None else None
-        yield (uri, title, *routed, [(k, v) for k, v in attrs.items() if k not in ROUTES])
+        yield _meta(uri, title, attrs)
 
     return per_document(docs, parse, META)
 
 
+#: Columns of `blocks` and `metadata` that rules look at.
+LINTED = ("kind", "selector", "text", "items", "path", "width", "slide_path", "slide_bullets", "source_line")
+OF_META = ("title", "template", "slide_bullets")
+
+
+def parsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What rules look at of `blocks` and `metadata`, from one reading of each document, stored."""
+    kinds = dict(f.strip().split(" ", 1) for f in BLOCKS.split(", "))
+    order = [n for n in kinds if n in LINTED]
+    schema = "uri string, is_meta boolean, " + ", ".join(f"{n} {kinds[n]}" for n in order) + ", title string, template string"
+
+    def parse(uri: str, text: str) -> Iterator[tuple]:
+        title, attrs, found = _read(text)
+        own = _meta(uri, title, attrs)
+        yield (uri, True, *(own[7] if n == "slide_bullets" else None for n in order), title, own[4])
+        for block in found:
+            yield (uri, False, *(block.get(n) for n in order), None, None)
+
+    both = stored(per_document(docs, parse, schema)).hint("merge")
+    return both.where("not is_meta").select("uri", *order), both.where("is_meta").select("uri", *OF_META)
+
+
 def matches(selector_col: Column, fmt: str) -> Column:
     return selector_col.isin(list(SHOWN[fmt]))
 
@@ -169,7 +196,7 @@ def for_format(found: DataFrame, meta: DataFrame, fmt: str) -> DataFrame:
 def lint(docs: DataFrame) -> DataFrame:
     """DUAL001 to DUAL008 of each document. Source lines give no slide path, so 003 needs
     blocks that got one since."""
-    return lint_blocks(blocks(docs), metadata(docs))
+    return lint_blocks(*parsed(docs))
 
 
 def lint_blocks(found: DataFrame, meta: DataFrame) -> DataFrame:

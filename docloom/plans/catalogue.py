@@ -612,7 +612,7 @@ def _dual(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("= Order "), k, F.lit("\n"))), F.lit(":slide-bullets: "), k % 4 + 2, F.lit("\n\n"),
         F.when(k % 3 == 0, "[.slide-only]\n== Short\n\n").when(k % 3 == 1, "[.document-only]\n== Long\n\n").otherwise("== Both\n\n"), bullets, F.lit("\n\n[.document]\nSee <<annex>> and <<file.adoc>>.\n"),
     )
-    return read(spark, sf_dir, "orders").select(F.concat(F.lit("d"), k).alias("uri"), text.alias("text"))
+    return corpus.spread(read(spark, sf_dir, "orders").select("o_orderkey")).select(F.concat(F.lit("d"), k).alias("uri"), text.alias("text"))
 
 
 @query("""WITH o AS (SELECT 'd' || o_orderkey AS uri, o_orderkey AS k FROM orders)
