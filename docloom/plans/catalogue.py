@@ -84,7 +84,7 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(READABILITY + f"SELECT {GRADE} AS grade, count(*) AS n FROM r GROUP BY ALL")
 def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy(fx.grade(fx.readability(F.col("text"))).alias("grade")).agg(F.count("*").alias("n"))
+    return prose.summary(read(spark, sf_dir, "documents")).groupBy("grade").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PASSIVE} SELECT doc_id, verb, count(*) AS n FROM h GROUP BY ALL")
