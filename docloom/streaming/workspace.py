@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,6 +23,7 @@ from docloom.store import scope, stored
 
 WRITES = ("open", "change", "save", "upsert")
 CHANGE = "uri string, seq long, op string, text string, sign int"
+CHANGED = Row("uri", "seq", "op", "text", "sign")
 #: The class that keeps state; of Spark's own the one that has timers.
 PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,29 +45,30 @@ class _Document(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "seq long, op string, text string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get() if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.last.get()  # none where nothing is kept; each call of the state is a message
         seq, op, text = before or (None, None, None)
         at = 0
-        for pdf in rows:
-            at = max(at, int(pdf["ms"].max()))
-            row = pdf.loc[pdf["seq"].idxmax()]
-            if seq is None or row["seq"] > seq:
-                seq, op, text = int(row["seq"]), row["op"], row["text"]
+        for row in rows:
+            at = max(at, row.ms or 0)
+            if seq is None or row.seq > seq:
+                seq, op, text = row.seq, row.op, row.text
         if before and seq == before[0]:
             return
-        out = [(key[0], *before, -1)] if before and before[1] != "delete" else []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if before and before[1] != "delete":
+            yield CHANGED(key[0], *before, -1)
+        elif before:  # only a delete has a timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if op == "delete":
             text = None
             self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), at) + self.keep_ms)
         self.last.update((seq, op, text))
-        yield pd.DataFrame([*out, (key[0], seq, op, text, 1 if op != "delete" else 0)], columns=["uri", "seq", "op", "text", "sign"])
+        yield CHANGED(key[0], seq, op, text, 1 if op != "delete" else 0)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
-        yield pd.DataFrame(columns=["uri", "seq", "op", "text", "sign"])
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -84,7 +86,7 @@ def changes(events: DataFrame, *, at_col: str = "at", keep: str = "1 hour") -> D
     own = timed.where(F.col("op").isin(*WRITES, "delete") & F.col("uri").isNotNull() & F.col("seq").isNotNull()).withWatermark(at_col, keep)
     ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     arrived = F.unix_millis(F.col(at_col).cast("timestamp")).alias("ms")
-    return own.select("uri", "seq", "op", "text", arrived, at_col).groupBy("uri").transformWithStateInPandas(_Document(ms), CHANGE, "Update", "EventTime")
+    return own.select("uri", "seq", "op", "text", arrived, at_col).groupBy("uri").transformWithState(_Document(ms), CHANGE, "Update", "EventTime")
 
 
 @contextmanager
@@ -192,24 +194,29 @@ class Kept:
         return rules.score(rules.link_diagnostics(self.broken_links()), self.documents(), 1)
 
     def _write(self, rows: DataFrame, log: str, kind: str, number: int) -> None:
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy("part") if log == "facts" else writer).parquet(f"{self.path}/{log}/{kind}={number}")
+        parted = log == "facts"  # a part of a batch is one file
+        writer = (rows.repartition("part") if parted else rows).write.mode("overwrite")
+        (writer.partitionBy("part") if parted else writer).parquet(f"{self.path}/{log}/{kind}={number}")
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """Takes a batch of `changes`."""
+        """Takes a batch of `changes`; one without any (a stream ends with such) leaves no folders."""
         with scope():
             changed = stored(batch.where("sign <> 0").select("uri", F.col("seq").alias("load_ord"), "text", F.col("sign").cast("long").alias("sign")))
-            self._write(self._sum(changed.select("uri", "load_ord", "sign")), "documents", "batch", number)
-            one = lambda sign: ln.facts(ln.lines(changed.where(F.col("sign") == sign))).where("kind in ('anchor', 'reference')").withColumn("sign", F.lit(sign).cast("long"))
-            order = F.when(F.col("kind") == "anchor", F.col("load_ord")).alias("load_ord")  # of a reference it bears on nothing
-            part = F.pmod(F.xxhash64("name"), F.lit(self.PARTS)).cast("int").alias("part")
-            found = one(-1).unionByName(one(1)).select("kind", F.col("name").alias("id"), "uri", order, "ln", "col", part, "sign")
-            facts = stored(self._sum(found))
-            self._write(facts, "facts", "batch", number)
-            self._write(self._links(facts, number), "broken", "batch", number)
+            if not changed.isEmpty():
+                self._take(changed, number)
         if number % self.FOLD == self.FOLD - 1:
             self.fold(number)
 
+    def _take(self, changed: DataFrame, number: int) -> None:
+        self._write(self._sum(changed.select("uri", "load_ord", "sign")), "documents", "batch", number)
+        one = lambda sign: ln.facts(ln.lines(changed.where(F.col("sign") == sign))).where("kind in ('anchor', 'reference')").withColumn("sign", F.lit(sign).cast("long"))
+        order = F.when(F.col("kind") == "anchor", F.col("load_ord")).alias("load_ord")  # of a reference it bears on nothing
+        part = F.pmod(F.xxhash64("name"), F.lit(self.PARTS)).cast("int").alias("part")
+        found = one(-1).unionByName(one(1)).select("kind", F.col("name").alias("id"), "uri", order, "ln", "col", part, "sign")
+        facts = stored(self._sum(found))
+        self._write(facts, "facts", "batch", number)
+        self._write(self._links(facts, number), "broken", "batch", number)
+
     def _links(self, facts: DataFrame, number: int) -> DataFrame:
         """Links that a batch's facts break (sign 1) or mend (-1), of all documents."""
         touched = [r.part for r in facts.select("part").distinct().collect()]  # PARTS at most

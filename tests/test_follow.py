@@ -92,3 +92,21 @@ def test_views(spark):
     assert [(r.name, r.editor_kind) for r in views.workspace_symbols(ws.symbols, "adr").collect()] == [("ADR 1", "file")]
     row = spark.createDataFrame([(95250, 9524, "media/A.PNG")], "w long, h long, p string").select(views.image_facts(F.col("w"), F.col("h"), F.col("p")).alias("i")).first()["i"]
     assert tuple(row) == (10, 0, "A.PNG", "png")
+
+
+def test_a_batch_writes_a_file_for_each_part_and_none_for_nothing(spark, tmp_path):
+    import glob
+
+    kept = workspace.Kept(spark, str(tmp_path))
+    schema = "uri string, seq long, op string, text string, sign int"
+    rows = [(f"u{i}", 1, "change", f"[[a{i}]] <<a{i + 1}>>", 1) for i in range(400)]
+    kept.apply(spark.createDataFrame(rows, schema).repartition(4), 0)
+    kept.apply(spark.createDataFrame([("gone", 1, "delete", None, 0)], schema), 1)
+    files = glob.glob(f"{tmp_path}/facts/batch=0/part=*/*.parquet")
+    assert len(files) == len({f.split("/")[-2] for f in files}) > 1
+    assert {n for log in workspace.LOGS for n, _ in kept._folders(log)} == {0}
+    assert kept.documents().count() == 400 and [(r.uri, r.id) for r in kept.broken_links().collect()] == [("u399", "a400")]
+    kept.apply(spark.createDataFrame([(*rows[0][:4], -1), ("u0", 2, "change", "[[a400]]", 1)], schema), workspace.Kept.FOLD - 2)
+    kept.apply(spark.createDataFrame([], schema), workspace.Kept.FOLD - 1)
+    assert (workspace.Kept.FOLD - 1, "base") in kept._folders("facts")
+    assert kept.broken_links().count() == 0 and kept.definitions().count() == 400
