@@ -7,12 +7,12 @@ into rows. `strict` keeps the reading in which a blank line ends a literal block
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.perdoc import per_document
+from docloom.operators.perdoc import per_document, per_document_rows
 
 BLOCKS = "uri string, idx int, kind string, level int, text string, style_id string, language string, list_type string, ln int, rows array<array<string>>"
 #: Attribute lines that belong to blocks and are no content.
@@ -22,6 +22,7 @@ BLOCK_ATTRIBUTES = frozenset(
 )
 ATTR = re.compile(r"^:+([^:]+):(.*)$")
 HEAD = re.compile(r"^(={2,}) (.*)$")
+FENCE = re.compile("-{4,}")
 ITEM = re.compile(r"^(\*+|\.+) (.*)$")
 IMAGE = re.compile(r"^image::([^\[]+)\[(.*)\]$")
 SPANS = re.compile(r"(?P<bold>\*[^*]+\*)|(?P<italic>_[^_]+_)|(?P<mono>`[^`]+`)|(?P<xref><<[^,>]+,[^>]+>>|<<[^>]+>>)|(?P<anchor>\[\[[^\]]+\]\])")
@@ -87,19 +88,21 @@ class Reader:
         if self.in_header and line.startswith("= "):
             self.title = line[2:].strip()
             return
-        own = attribute_line(line)
-        if own and ": " in line:
-            if self.in_header:
-                self.attributes[own[0]] = own[1]
+        if line[:1] == ":":
+            own = attribute_line(line)
+            if own and ": " in line:
+                if self.in_header:
+                    self.attributes[own[0]] = own[1]
+                    return
+                if own[0].lower() in BLOCK_ATTRIBUTES:
+                    return
+            if line[-1] == ":":
                 return
-            if own[0].lower() in BLOCK_ATTRIBUTES:
-                return
-        if line.startswith(":") and line.endswith(":"):
-            return
-        blank, bare = not line.strip(), line.strip()
+        bare = line.strip()
+        blank = not bare
         self.in_header = False
         if self.open == "literal" and not (blank and self.strict):
-            if re.fullmatch("-{4,}", line):
+            if line[:4] == "----" and FENCE.fullmatch(line):
                 self.close()
             else:
                 self.held.append(line)
@@ -114,21 +117,21 @@ class Reader:
             self.content(ln, line, bare)
 
     def content(self, ln: int, line: str, bare: str) -> None:
-        if bare == "|===" or re.fullmatch("-{4,}", line):
+        if bare == "|===" or line[:4] == "----" and FENCE.fullmatch(line):
             self.close()
             self.open, self.at = ("table" if bare == "|===" else "literal"), ln
         elif line[0] == "[" and line[-1] == "]" and "[[" not in line:
             self.pending.append(line[1:-1])
-        elif hit := HEAD.match(line):
+        elif line[0] == "=" and (hit := HEAD.match(line)):
             self.close()
             self.pending = []
             self.emit("heading", ln, level=len(hit[1]) - 1, text=hit[2].strip())
-        elif hit := ITEM.match(line):
+        elif line[0] in "*." and (hit := ITEM.match(line)):
             if self.open == "list" and self.held[-1][1][0] != hit[1][0]:
                 self.close()
             self.begin("list", ln)
             self.held.append((ln, hit[1], hit[2]))
-        elif hit := IMAGE.match(bare):
+        elif bare[0] == "i" and (hit := IMAGE.match(bare)):
             self.close()
             alt = next((a.strip() for a in hit[2].split(",") if a.strip() and "=" not in a), None)
             self.emit("image", ln, text=hit[1], style=alt)
@@ -167,6 +170,23 @@ def document_headers(docs: DataFrame) -> DataFrame:
     return per_document(docs, parse, "uri string, title string, attributes map<string,string>")
 
 
+#: The fields of `BLOCKS` within a document.
+FIELDS = BLOCKS.split(", ", 1)[1]
+
+
+def documents(docs: DataFrame, strict: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """uri, title, attributes, blocks (an array in order, an index is a place in it) of each document,
+    from one reading of it, and columns of `docs` that are kept. What is asked of one document
+    alone needs no shuffle of blocks then."""
+
+    def parse(text: str) -> tuple:
+        own = read(text, strict)
+        return own.title, list(own.attributes.items()), own.out
+
+    types = ", ".join(f.replace(" ", ":", 1) for f in FIELDS.split(", "))
+    return per_document_rows(docs, parse, f"title string, attributes map<string,string>, blocks array<struct<{types}>>", ("uri", *keep))
+
+
 def inlines(text: str) -> list[dict]:
     """The formatted parts of a text in order; the leftmost pattern wins, none nests."""
     out, at = [], 0
@@ -202,24 +222,38 @@ def plain_text(parts: Column) -> Column:
     return F.array_join(F.transform(F.filter(parts, lambda p: p["kind"] != "anchor"), lambda p: p["text"]), "")
 
 
+def _body(of: Callable[[str], Column]) -> Column:
+    """A block as text, by its fields."""
+    sign = F.when(of("list_type") == "unordered", "*").otherwise(".")
+    fence = F.concat(F.when(of("language").isNotNull(), F.concat(F.lit("[source,"), of("language"), F.lit("]\n"))).when(of("style_id").isNotNull(), F.concat(F.lit("["), of("style_id"), F.lit("]\n"))).otherwise(""), F.lit("----\n"), of("text"), F.lit("\n----"))
+    table = F.concat(F.lit("|===\n"), F.array_join(F.transform(of("rows"), lambda r: F.concat(F.lit("|"), F.array_join(r, " |"))), "\n"), F.lit("\n|==="))
+    return (
+        F.when(of("kind") == "heading", F.concat(F.repeat(F.lit("="), of("level") + 1), F.lit(" "), of("text")))
+        .when(of("kind") == "list_item", F.concat(F.repeat(sign, of("level") + 1), F.lit(" "), of("text")))
+        .when(of("kind") == "literal", fence)
+        .when(of("kind") == "table", table)
+        .when(of("kind") == "image", F.concat(F.lit("image::"), of("text"), F.lit("["), F.coalesce(of("style_id"), F.lit("")), F.lit("]")))
+        .otherwise(of("text"))
+    )
+
+
 def generate(found: DataFrame) -> DataFrame:
     """uri, text: documents written again from their blocks, one blank line between blocks."""
-    sign = F.when(F.col("list_type") == "unordered", "*").otherwise(".")
-    fence = F.concat(F.when(F.col("language").isNotNull(), F.concat(F.lit("[source,"), "language", F.lit("]\n"))).when(F.col("style_id").isNotNull(), F.concat(F.lit("["), "style_id", F.lit("]\n"))).otherwise(""), F.lit("----\n"), "text", F.lit("\n----"))
-    table = F.concat(F.lit("|===\n"), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("|"), F.array_join(r, " |"))), "\n"), F.lit("\n|==="))
-    body = (
-        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("="), F.col("level") + 1), F.lit(" "), "text"))
-        .when(F.col("kind") == "list_item", F.concat(F.repeat(sign, F.col("level") + 1), F.lit(" "), "text"))
-        .when(F.col("kind") == "literal", fence)
-        .when(F.col("kind") == "table", table)
-        .when(F.col("kind") == "image", F.concat(F.lit("image::"), "text", F.lit("["), F.coalesce("style_id", F.lit("")), F.lit("]")))
-        .otherwise(F.col("text"))
-    )
+    body = _body(F.col)
     parts = F.array_sort(F.collect_list(F.struct("idx", body.alias("body"), (F.col("kind") == "list_item").alias("item"), "list_type")))
-    text = F.aggregate(
+    return found.groupBy("uri").agg(_joined(parts).alias("text"))
+
+
+def _joined(parts: Column) -> Column:
+    """Blocks as text (idx, body, item, list_type) with one blank line between them."""
+    return F.aggregate(
         parts,
         F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("list")),
         lambda a, p: F.struct(F.concat(a["text"], F.when(a["text"] == "", "").when(p["item"] & (a["list"] == p["list_type"]), "\n").otherwise("\n\n"), p["body"]).alias("text"), F.when(p["item"], p["list_type"]).alias("list")),
         lambda a: a["text"],
     )
-    return found.groupBy("uri").agg(text.alias("text"))
+
+
+def generated(found: Column) -> Column:
+    """The text of a document's blocks (an array, as of `documents`), as `generate` writes it."""
+    return _joined(F.transform(found, lambda b: F.struct(b["idx"].alias("idx"), _body(b.getField).alias("body"), (b["kind"] == "list_item").alias("item"), b["list_type"].alias("list_type"))))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import graph as g
-from docloom.operators.lines import union_all
 from docloom.operators.perdoc import per_document
 from docloom.operators.rules import diagnostics
 
@@ -51,26 +50,34 @@ def diagram_blocks(docs: DataFrame) -> DataFrame:
 
 def lint(ws: g.Workspace, severity: str = "warning") -> DataFrame:
     """DIAGRAM001 to DIAGRAM006: empty, of unknown type, unbalanced in a line, without its
-    start or end, with an odd number of quotes in a line."""
-    found = diagram_blocks(ws.docs).withColumn("bare", F.trim(F.regexp_replace("content", r"^\s+|\s+$", "")))
+    start or end, with an odd number of quotes in a line. All of a block are told at once."""
+    bare = F.regexp_replace("content", r"^\s+|\s+$", "")
+    found = diagram_blocks(ws.docs).withColumn("bare", F.trim(bare))
     name = F.when(F.col("type") == "mermaid", "Mermaid").otherwise("PlantUML")
-    empty = diagnostics(found.where("bare = ''"), "DIAGRAM001", severity, F.format_string("Empty %s diagram block", name), F.col("start_ln"), 0, 10)
-    full = found.where("bare <> ''")
-    mermaid, uml = full.where("type = 'mermaid'"), full.where("type = 'plantuml'")
+    full, start = F.col("bare") != "", F.col("start_ln")
+    mermaid, uml = full & (F.col("type") == "mermaid"), full & (F.col("type") == "plantuml")
     word = F.regexp_extract(F.lower("bare"), r"^(\S+)", 1)
     known = F.regexp_replace(word, "[-_]", "").rlike("^(" + "|".join(MERMAID) + ")")
-    unknown = diagnostics(mermaid.where(~known).withColumn("word", word), "DIAGRAM002", severity, F.format_string("Unknown Mermaid diagram type: '%s'. Expected one of: graph, flowchart, sequenceDiagram, classDiagram, etc.", "word"), F.col("start_ln") + 1, 0, F.length("word"))
-    each = lambda df: df.select("uri", "start_ln", F.posexplode(F.split("bare", "\n")).alias("off", "line"))
-    out = [empty, unknown]
-    count = lambda sign: F.length("line") - F.length(F.replace(F.col("line"), F.lit(sign), F.lit("")))
+    hit = lambda code, message, at, end: F.struct(F.lit(code).alias("code"), message.alias("message"), at.cast("int").alias("ln"), end.cast("int").alias("end_col"))
+    none = F.array().cast("array<struct<code:string,message:string,ln:int,end_col:int>>")
+    where = lambda condition, hits: F.when(condition, hits).otherwise(none)
+    count = lambda line, sign: F.length(line) - F.length(F.replace(line, F.lit(sign), F.lit("")))
+    each = F.transform(F.split("bare", "\n"), lambda line, off: F.struct(line.alias("line"), off.alias("off")))
+
+    def bad(condition, code: str, message: str) -> Column:
+        return F.transform(F.filter(each, lambda x: condition(x["line"])), lambda x: hit(code, F.lit(message), start + 1 + x["off"], F.length(x["line"])))
+
+    hits = [
+        where(~full, F.array(hit("DIAGRAM001", F.format_string("Empty %s diagram block", name), start, F.lit(10)))),
+        where(mermaid & ~known, F.array(hit("DIAGRAM002", F.format_string("Unknown Mermaid diagram type: '%s'. Expected one of: graph, flowchart, sequenceDiagram, classDiagram, etc.", word), start + 1, F.length(word)))),
+    ]
     for pair, what in (("()", "parentheses"), ("[]", "brackets"), ("{}", "braces")):
-        bad = each(mermaid).where(count(pair[0]) != count(pair[1]))
-        out.append(diagnostics(bad, "DIAGRAM003", severity, F.lit(f"Unbalanced {what} in Mermaid diagram"), F.col("start_ln") + 1 + F.col("off"), 0, F.length("line")))
-    out.append(diagnostics(uml.where(~F.lower("bare").contains("@startuml")), "DIAGRAM004", severity, F.lit("PlantUML diagram should start with @startuml"), F.col("start_ln") + 1, 0, 10))
-    out.append(diagnostics(uml.where(~F.lower("bare").contains("@enduml")), "DIAGRAM005", severity, F.lit("PlantUML diagram should end with @enduml"), F.greatest(F.lit(0), F.col("end_ln") - 1), 0, 10))
-    odd = each(uml).where(count('"') % 2 != 0)
-    out.append(diagnostics(odd, "DIAGRAM006", severity, F.lit("Unclosed quote in PlantUML diagram"), F.col("start_ln") + 1 + F.col("off"), 0, F.length("line")))
-    return union_all(out)
+        hits.append(where(mermaid, bad(lambda line, pair=pair: count(line, pair[0]) != count(line, pair[1]), "DIAGRAM003", f"Unbalanced {what} in Mermaid diagram")))
+    hits.append(where(uml & ~F.lower("bare").contains("@startuml"), F.array(hit("DIAGRAM004", F.lit("PlantUML diagram should start with @startuml"), start + 1, F.lit(10)))))
+    hits.append(where(uml & ~F.lower("bare").contains("@enduml"), F.array(hit("DIAGRAM005", F.lit("PlantUML diagram should end with @enduml"), F.greatest(F.lit(0), F.col("end_ln") - 1), F.lit(10)))))
+    hits.append(where(uml, bad(lambda line: count(line, '"') % 2 != 0, "DIAGRAM006", "Unclosed quote in PlantUML diagram")))
+    every = found.select("uri", F.explode_outer(F.concat(*hits)).alias("_d")).where("_d is not null").select("uri", "_d.*")
+    return diagnostics(every, F.col("code"), severity, F.col("message"), F.col("ln"), 0, F.col("end_col"))
 
 
 def types(spark) -> DataFrame:

@@ -178,9 +178,7 @@ def placed(found: DataFrame, ws: g.Workspace) -> DataFrame:
 def diagnostics(ws: g.Workspace, settings: Settings = Settings()) -> DataFrame:
     """All that an editor shows of a workspace's documents: structure, writing, diagrams. What
     settings turn off is not planned."""
-    heads = blocks.blocks(ws.docs).where("kind = 'heading'")
-    lined = heads.select("uri", "idx", "level", "ln")
-    structure = outline.hierarchy(lined).withColumn("idx", F.col("ln")).drop("ln").join(lined.select("uri", "idx", "ln"), ["uri", "idx"]).select(*rules.COLUMNS)
+    structure = outline.jump_diagnostics(outline.jumps_within(blocks.documents(ws.docs)))
     found = [structure, rules.quality(settings).run(ws)]
     if settings.plugins.diagrams:
         found.append(diagrams.lint(ws))

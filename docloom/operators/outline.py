@@ -19,7 +19,18 @@ def heading_jumps(headings: DataFrame, uri: str = "uri", order: str = "idx", lev
 
 def hierarchy(headings: DataFrame) -> DataFrame:
     """DOC101 for each heading jump."""
-    jumps = heading_jumps(headings)
+    return jump_diagnostics(heading_jumps(headings))
+
+
+def jumps_within(docs: DataFrame) -> DataFrame:
+    """What `heading_jumps` gives of documents with an array of blocks, by lines: no shuffle."""
+    heads = F.filter("blocks", lambda b: b["kind"] == "heading")
+    each = docs.select("uri", heads.alias("_h")).select("uri", "_h", F.posexplode("_h").alias("_i", "_b"))
+    before = F.when(F.col("_i") > 0, F.get("_h", F.col("_i") - 1)["level"]).otherwise(0)
+    return each.select("uri", F.col("_b.ln").alias("idx"), before.alias("before"), F.col("_b.level").alias("level")).where("level > before + 1")
+
+
+def jump_diagnostics(jumps: DataFrame) -> DataFrame:
     message = F.when(F.col("before") == 0, F.format_string("Document starts at heading level %d (expected level 1). Consider starting with a level 1 heading.", "level")).otherwise(F.format_string("Section level jump detected (Level %d -> Level %d). Missing Level %d?", "before", "level", F.col("before") + 1))
     return diagnostics(jumps, "DOC101", "warning", message, F.col("idx"))
 

@@ -29,6 +29,40 @@ def per_document(docs: DataFrame, parse: Callable[[str, str], Iterator[tuple]],
     return docs.select("uri", "text").mapInArrow(run, struct).hint("merge")
 
 
+def per_document_rows(docs: DataFrame, parse: Callable[[str], tuple], schema: str, keep: tuple[str, ...] = ("uri",), rows: int = 128) -> DataFrame:
+    """The row that `parse(text)` returns for each document, behind the columns that are kept; a
+    null text counts as empty. A value of an array of structs is a list of tuples."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = docs.select(*keep, "text")
+    struct = docs.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(struct)
+    kept = [own.schema[c] for c in keep]
+    whole = to_arrow_schema(type(struct)([*kept, *struct]))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                *same, texts = batch.slice(start, rows).columns
+                cols = zip(*(parse(text or "") for text in texts.to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(same, whole, strict=False)), *(_array(list(c), f.type) for c, f in zip(cols, arrow, strict=True))], schema=whole)
+
+    return own.mapInArrow(run, type(struct)([*kept, *struct]))
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """An array of lists of tuples is made of its columns."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(values, kind)
+    ends = [0]
+    for v in values:
+        ends.append(ends[-1] + len(v))
+    fields = list(kind.value_type)
+    cols = list(zip(*(row for v in values for row in v), strict=True)) or [()] * len(fields)
+    flat = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=kind)
+
+
 def in_order(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str, at_once: int = 4096) -> DataFrame:
     """The rows that `step(key, rows)` yields for each group of equal keys, whose rows stream by
     in order: no group has to fit into memory, and what `step` holds is its own affair."""

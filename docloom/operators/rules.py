@@ -75,15 +75,18 @@ class Registry:
 
     rules: dict[str, Callable[..., DataFrame]] = field(default_factory=dict)
     severities: dict[str, str | None] = field(default_factory=dict)
+    texts: set[str] = field(default_factory=set)
 
-    def add(self, name: str, rule: Callable[..., DataFrame], severity: str | None = "warning") -> Registry:
+    def add(self, name: str, rule: Callable[..., DataFrame], severity: str | None = "warning", *, texts: bool = False) -> Registry:
+        """`texts` tells of a rule that looks at lines or texts alone, not at what an index holds."""
         self.rules[name], self.severities[name] = rule, severity
+        self.texts = self.texts - {name} | ({name} if texts else set())
         return self
 
     def run(self, ws: g.Workspace) -> DataFrame:
         """The diagnostics of all rules that are on, repeated ones kept. The texts are scanned
         once for what several rules need."""
-        if len([s for s in self.severities.values() if s]) > 1:
+        if len([n for n, s in self.severities.items() if s and n not in self.texts]) > 1:
             ws = ws.indexed()
         on = [rule(ws, severity=self.severities[name]) for name, rule in self.rules.items() if self.severities[name]]
         return union_all(on) if on else ws.docs.sparkSession.createDataFrame([], SCHEMA)
@@ -103,7 +106,7 @@ def quality(settings: Settings = Settings()) -> Registry:
     """The rules of writing, with a settings' own words; none where it turns them off."""
     on = "info" if settings.plugins.writing_quality else None
     words = settings.plugins.custom_weasel_words
-    return Registry().add("passive_voice", passive_voice, on).add("weasel_words", lambda ws, severity="info": weasel_words(ws, severity, words), on if words else None)
+    return Registry().add("passive_voice", passive_voice, on, texts=True).add("weasel_words", lambda ws, severity="info": weasel_words(ws, severity, words), on if words else None, texts=True)
 
 
 def score(found: DataFrame, docs: DataFrame, n_rules: int) -> DataFrame:
