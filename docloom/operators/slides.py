@@ -37,6 +37,32 @@ def slides(blocks: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     return made.select("uri", number.alias("number"), "layout_hint", "title", "subtitle", "content")
 
 
+def slides_within(docs: DataFrame) -> DataFrame:
+    """What `slides` gives of documents with title, attributes and an array of blocks (of
+    `blocks.documents`), each from its own row: no shuffle."""
+    head = lambda b, level: (b["kind"] == "heading") & (b["level"] == level)
+    main = lambda b: (b["kind"] == "heading") & (b["level"] <= 2)
+    first = lambda rows: F.get(rows, F.lit(0))["idx"]
+    third = first(F.filter("blocks", lambda b: head(b, 3)))
+    alone = F.when(third < F.coalesce(first(F.filter("blocks", main)), F.size("blocks")), third)  # starts a slide
+    met = docs.withColumn("_alone", F.coalesce(alone, F.lit(-1)))
+    met = met.withColumn("_starts", F.filter("blocks", lambda b: main(b) | (b["idx"] == F.col("_alone"))))
+
+    def slide(s, i):
+        after = F.coalesce(F.get("_starts", i + 1)["idx"], F.size("blocks"))
+        own = F.slice("blocks", s["idx"] + 2, after - s["idx"] - 1)
+        content = F.transform(F.filter(own, lambda b: ~head(b, 3)), lambda b: F.struct(F.when(b["kind"] == "heading", "paragraph").otherwise(b["kind"]).alias("kind"), b["text"].alias("text")))
+        subtitle = F.try_element_at(F.filter(own, lambda b: head(b, 3)), F.lit(-1))["text"]
+        return F.struct(F.when(s["level"] == 2, "content").otherwise("section").alias("layout_hint"), s["text"].alias("title"), subtitle.alias("subtitle"), content.alias("content"))
+
+    named = lambda name: F.try_element_at("attributes", F.lit(name))
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+    top = F.array(F.struct(F.lit("title").alias("layout_hint"), F.col("title"), F.coalesce(named("description"), named("subtitle")).alias("subtitle"), none.alias("content")))
+    made = F.transform("_starts", slide)
+    every = F.when(F.col("title").isNotNull(), F.concat(top, made)).otherwise(made)
+    return met.select("uri", F.posexplode_outer(every).alias("_i", "_s")).where("_s is not null").select("uri", (F.col("_i") + 1).alias("number"), "_s.*")
+
+
 def notes_text(content: Column) -> Column:
     return F.array_join(F.transform(content, lambda c: c["text"]), "\n")
 

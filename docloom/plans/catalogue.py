@@ -382,20 +382,20 @@ def list_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {PART_URI} AS uri, count(*) * 0 + 2 AS n_sections, 'Part ' || p_partkey AS title, p_brand AS brand FROM part GROUP BY p_partkey, p_brand")
 def document_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.sheets(spark, sf_dir)
-    heads = blocks.blocks(docs).where("kind = 'heading'").groupBy("uri").agg(F.count("*").alias("n_sections"))
-    return blocks.document_headers(docs).join(heads, "uri").select("uri", "n_sections", "title", F.try_element_at("attributes", F.lit("brand")).alias("brand"))
+    heads = F.size(F.filter("blocks", lambda b: b["kind"] == "heading")).cast("long")
+    docs = blocks.documents(corpus.sheets(spark, sf_dir)).select("uri", heads.alias("n_sections"), "title", F.try_element_at("attributes", F.lit("brand")).alias("brand"))
+    return docs.where("n_sections > 0")
 
 
 @query("SELECT 1 AS passes, count(*) AS n, count(*) AS same FROM part")
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written from their blocks have the same blocks when they are read again."""
-    cols = ["uri", "idx", "kind", "level", "text", "style_id", "language", "list_type", "rows"]
-    first = blocks.blocks(corpus.sheets(spark, sf_dir), strict=False).select(*cols)
-    again = blocks.blocks(blocks.generate(first), strict=False).select(*cols)
-    digest = lambda df: df.groupBy("uri").agg(F.sum(F.xxhash64(*cols[1:-1], F.to_json("rows")).cast("decimal(38,0)")).alias("h"))
-    met = digest(first).join(digest(again).withColumnRenamed("h", "h2"), "uri", "left")
-    return met.agg(F.lit(1).alias("passes"), F.count("*").alias("n"), F.count_if(F.col("h") == F.col("h2")).alias("same"))
+    cols = ["idx", "kind", "level", "text", "style_id", "language", "list_type"]
+    digest = F.transform("blocks", lambda b: F.xxhash64(*(F.coalesce(b[c].cast("string"), F.lit("\0")) for c in cols), F.coalesce(F.to_json(b["rows"]), F.lit("\0"))))
+    first = blocks.documents(corpus.sheets(spark, sf_dir), strict=False).where(F.size("blocks") > 0)
+    written = first.select("uri", blocks.generated(F.col("blocks")).alias("text"), digest.alias("h"))
+    again = blocks.documents(written, strict=False, keep=("h",)).select("h", digest.alias("h2"))
+    return again.agg(F.lit(1).alias("passes"), F.count("*").alias("n"), F.count_if(F.col("h") == F.col("h2")).alias("same"))
 
 
 @query("WITH o AS (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS items FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(items[1:CASE WHEN l_orderkey % 3 = 0 THEN 2 WHEN l_orderkey % 3 = 1 THEN 3 ELSE 5 END], ',') AS shown FROM o")
@@ -598,8 +598,7 @@ def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {PART_URI} AS uri, 1 AS number, 'title' AS layout_hint, 'Part ' || p_partkey AS title, 0 AS n FROM part UNION ALL SELECT {PART_URI}, 2, 'section', 'List', len(string_split(p_name, ' ')) + CASE WHEN p_partkey % 4 = 0 THEN 4 ELSE 0 END FROM part UNION ALL SELECT {PART_URI}, 3, 'content', 'Next', 4 FROM part WHERE p_partkey % 4 <> 0")
 def deck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.sheets(spark, sf_dir)
-    made = slides.slides(blocks.blocks(docs, strict=False), blocks.document_headers(docs))
+    made = slides.slides_within(blocks.documents(corpus.sheets(spark, sf_dir), strict=False))
     return made.select("uri", "number", "layout_hint", "title", F.size("content").cast("long").alias("n"))
 
 
