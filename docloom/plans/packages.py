@@ -232,8 +232,7 @@ def word_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT uri, '_Toc' || s_suppkey AS bookmark, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS semantic_id, 'toc' AS anchor_type, s_name AS target_heading FROM ({S})")
 def word_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _word(spark, sf_dir)
-    return ooxml.anchors(ooxml.word_blocks(files), ooxml.styles(files)).drop("original_bookmark")
+    return ooxml.anchors_of(_word(spark, sf_dir)).drop("original_bookmark")
 
 
 @query(f"SELECT uri, 'link1' AS link_id, true AS is_external, 'http://s/' || s_suppkey AS url, NULL AS anchor_target FROM ({S}) UNION ALL SELECT uri, 'link2', false, NULL, '_Toc' || s_suppkey FROM ({S})")

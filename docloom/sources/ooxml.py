@@ -22,6 +22,8 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+#: Fixed value: ids of heading styles.
+HEADING = re.compile(r"[Hh]eading([0-9]+)")
 #: Parts of font names that stand for fixed pitch.
 MONOSPACE = ("mono", "courier", "consolas", "menlo", "source code")
 RUN = "struct<text:string,bold:boolean,italic:boolean,mono:boolean,rid:string,anchor:string>"
@@ -33,31 +35,34 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), "content")
 
 
-def per_archive(files: DataFrame, parse: Callable[[str, ZipFile], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that `parse(uri, archive)` yields; what is no archive yields none. Joins of them
-    are merge joins, as those of lines are."""
+def per_archive(files: DataFrame, parse: Callable[[str, ZipFile], Iterator[tuple]], schema: str, most: int = 1024) -> DataFrame:
+    """The rows that `parse(uri, archive)` yields, `most` at a time, whatever archives they are of;
+    what is no archive yields none. Joins of them are merge joins, as those of lines are."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = files.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(struct)
 
-    def run(batches):
+    def each(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                uri, content = (c[0].as_py() for c in batch.slice(i, 1).columns)
+                uri, content = (c[i].as_py() for c in batch.columns)
                 try:
                     with ZipFile(BytesIO(content or b"")) as z:
-                        for rows in batched(parse(uri, z), 1024):
-                            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                        yield from parse(uri, z)
                 except BadZipFile:
                     pass
 
+    def run(batches):
+        for rows in batched(each(batches), most):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
     return files.select("uri", "content").mapInArrow(run, struct).hint("merge")
 
 
 def parts(files: DataFrame) -> DataFrame:
     """uri, path, bytes of each part."""
-    return per_archive(files, lambda uri, z: ((uri, n, z.read(n)) for n in z.namelist()), "uri string, path string, bytes binary")
+    return per_archive(files, lambda uri, z: ((uri, n, z.read(n)) for n in z.namelist()), "uri string, path string, bytes binary", 16)
 
 
 def embedded(all_parts: DataFrame, prefix: str) -> DataFrame:
@@ -265,34 +270,36 @@ def word_blocks(files: DataFrame) -> DataFrame:
     insertions, text boxes and shapes is text like other text, deleted text is none (see
     `_Body`); a document is read as a stream."""
 
-    def parse(uri: str, z: ZipFile) -> Iterator[tuple]:
-        if "word/document.xml" not in z.namelist():
-            return
-        with z.open("word/document.xml") as stream:
-            for idx, (kind, b) in enumerate(_body_blocks(stream)):
-                if kind == "paragraph":
-                    yield uri, idx, kind, b["style_id"], b["num_id"], b["ilvl"], b["runs"], b["bookmarks"], b["comment_ids"], b["images"], None
-                elif kind == "table":
-                    rows = [["\n".join(cell) for cell in row] for row in b["rows"]]
-                    inner = b["inner"]
-                    yield uri, idx, kind, None, None, None, [r for p in inner for r in p["runs"]], [m for p in inner for m in p["bookmarks"]], [c for p in inner for c in p["comment_ids"]], [], rows
-                else:
-                    yield uri, idx, kind, None, None, None, [], [], [], [], None
+    return per_archive(files, _word_rows, BLOCKS)
 
-    return per_archive(files, parse, BLOCKS)
+
+def _word_rows(uri: str, z: ZipFile) -> Iterator[tuple]:
+    if "word/document.xml" not in z.namelist():
+        return
+    with z.open("word/document.xml") as stream:
+        for idx, (kind, b) in enumerate(_body_blocks(stream)):
+            if kind == "paragraph":
+                yield uri, idx, kind, b["style_id"], b["num_id"], b["ilvl"], b["runs"], b["bookmarks"], b["comment_ids"], b["images"], None
+            elif kind == "table":
+                rows = [["\n".join(cell) for cell in row] for row in b["rows"]]
+                inner = b["inner"]
+                yield uri, idx, kind, None, None, None, [r for p in inner for r in p["runs"]], [m for p in inner for m in p["bookmarks"]], [c for p in inner for c in p["comment_ids"]], [], rows
+            else:
+                yield uri, idx, kind, None, None, None, [], [], [], [], None
 
 
 def styles(files: DataFrame) -> DataFrame:
     """uri, style_id, name, type, based_on, next, priority, outline_level, is_default."""
 
-    def parse(uri: str, z: ZipFile) -> Iterator[tuple]:
-        root = _xml(z, "word/styles.xml")
-        for s in root.iter(W + "style") if root is not None else ():
-            get = lambda path: (found.get(W + "val") if (found := s.find(path)) is not None else None)  # noqa: B023, E731
-            number = [int(v) if v is not None and v.isdigit() else None for v in (get(W + "uiPriority"), get(f"{W}pPr/{W}outlineLvl"))]
-            yield uri, s.get(W + "styleId"), get(W + "name"), s.get(W + "type"), get(W + "basedOn"), get(W + "next"), *number, s.get(W + "default") in ("1", "true")
+    return per_archive(files, _style_rows, "uri string, style_id string, name string, type string, based_on string, next string, priority int, outline_level int, is_default boolean")
 
-    return per_archive(files, parse, "uri string, style_id string, name string, type string, based_on string, next string, priority int, outline_level int, is_default boolean")
+
+def _style_rows(uri: str, z: ZipFile) -> Iterator[tuple]:
+    root = _xml(z, "word/styles.xml")
+    for s in root.iter(W + "style") if root is not None else ():
+        get = lambda path: (found.get(W + "val") if (found := s.find(path)) is not None else None)  # noqa: B023, E731
+        number = [int(v) if v is not None and v.isdigit() else None for v in (get(W + "uiPriority"), get(f"{W}pPr/{W}outlineLvl"))]
+        yield uri, s.get(W + "styleId"), get(W + "name"), s.get(W + "type"), get(W + "basedOn"), get(W + "next"), *number, s.get(W + "default") in ("1", "true")
 
 
 def relationships(files: DataFrame, part: str = "word/_rels/document.xml.rels") -> DataFrame:
@@ -473,7 +480,26 @@ def anchors(blocks: DataFrame, sheet: DataFrame) -> DataFrame:
     met = blocks.join(heading_levels(sheet), ["uri", "style_id"], "left")
     heading = F.when(F.col("level").isNotNull(), plain_text(F.col("runs")))
     w = Window.partitionBy("uri").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    each = met.withColumn("heading", F.last(heading, ignorenulls=True).over(w)).select("uri", "idx", "heading", F.explode("bookmarks").alias("bookmark"))
+    return _anchors(met.withColumn("heading", F.last(heading, ignorenulls=True).over(w)).select("uri", "heading", F.explode("bookmarks").alias("bookmark")))
+
+
+def anchors_of(files: DataFrame) -> DataFrame:
+    """What `anchors` gives of Word documents, from one reading of each. A body streams by, with its
+    styles and the last heading at hand, so nothing is shuffled."""
+
+    def parse(uri: str, z: ZipFile) -> Iterator[tuple]:
+        levels = {s[1] for s in _style_rows(uri, z) if s[7] is not None or (n := HEADING.fullmatch(s[1] or "")) and int(n[1]) < 1 << 31}
+        heading = None
+        for block in _word_rows(uri, z):
+            if block[3] is not None and block[3] in levels:
+                heading = "".join(r["text"] for r in block[6])
+            yield from ((uri, heading, bookmark) for bookmark in block[7])
+
+    return _anchors(per_archive(files, parse, "uri string, heading string, bookmark string"))
+
+
+def _anchors(each: DataFrame) -> DataFrame:
+    """Anchors of bookmarks (uri, heading, bookmark)."""
     kind = fx.bookmark_class(F.col("bookmark"))
     own = each.withColumn("anchor_type", kind).where("anchor_type not in ('highlight', 'internal')")
     semantic = F.coalesce(F.nullif(fx.heading_slug(F.col("heading")), F.lit("")), fx.text_slug(F.col("bookmark")))
