@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import graph as g
-from docloom.operators.lines import union_all
+from docloom.operators.lines import split_lines, union_all
 from docloom.operators.rules import SCHEMA, diagnostics
 
 #: States of a decision record, categories of a request for comments, sections.
@@ -112,12 +112,21 @@ def old_missing(ws: g.Workspace) -> DataFrame:
     """uri, section, rank, ln: sections that a decision record lacks by the older rules: a header
     of any level counts, whose whole title is the section's name in any case. ln is the line
     behind the last one that is not blank."""
-    docs = ws.docs.where(is_adr_by_old_rule(F.col("text")))
-    asked = docs.select("uri", F.posexplode(F.array(*map(F.lit, ADR_SECTIONS))).alias("rank", "section"))
-    heads = ws.lines.select("uri", F.lower(F.regexp_extract(F.trim("line"), r"^=+\s+(.+)$", 1)).alias("_title")).where("_title <> ''").distinct()
-    behind = ws.lines.where(F.trim("line") != "").groupBy("uri").agg((F.max("ln") + 1).alias("ln"))
-    lacking = asked.join(heads, (asked["uri"] == heads["uri"]) & (F.lower("section") == heads["_title"]), "left_anti")
-    return lacking.join(behind, "uri", "left").select("uri", "section", "rank", F.coalesce("ln", F.lit(0)).alias("ln"))
+    each = old_lacking(ws).select("uri", F.explode_outer("lacking").alias("_l"), "ln")
+    return each.where("_l is not null").select("uri", "_l.section", "_l.rank", "ln")
+
+
+def old_lacking(ws: g.Workspace) -> DataFrame:
+    """uri, lacking (rank, section in order; empty where nothing is or the document is no
+    decision record), ln, as `old_missing` has them. Each document is judged by its own row and
+    none is filtered out here, as a filter would move to where the rows were not dealt out yet."""
+    lines = split_lines(F.col("text"))
+    own = ws.docs.select("uri", is_adr_by_old_rule(F.col("text")).alias("_adr"), F.transform(lines, lambda x: F.trim(x)).alias("_lines"))
+    titles = F.transform(F.filter("_lines", lambda x: x.startswith("=")), lambda x: F.lower(F.regexp_extract(x, r"^=+\s+(.+)$", 1)))
+    last = F.array_max(F.transform("_lines", lambda x, i: F.when(x != "", i + 1)))
+    asked = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(s).alias("section")) for i, s in enumerate(ADR_SECTIONS)))
+    met = own.select("uri", "_adr", titles.alias("_titles"), F.coalesce(last, F.lit(0)).alias("ln"))
+    return met.select("uri", F.filter(asked, lambda s: F.col("_adr") & ~F.array_contains("_titles", F.lower(s["section"]))).alias("lacking"), "ln")
 
 
 def old_adr_rules(ws: g.Workspace, severity: str = "warning") -> DataFrame:

@@ -44,12 +44,15 @@ def section_inserts(ws: g.Workspace) -> DataFrame:
     """For each section that a decision record lacks, by the older rules, the edit that inserts
     its template behind the last line that is not blank; where several are missing also one
     edit for all of them, which is preferred."""
-    lacking = domains.old_missing(ws)
-    text = F.concat(F.lit("\n== "), F.col("section"), F.lit("\n\n// TODO: "), domains.described(F.col("section")), F.lit("\n"))
-    each = lacking.select("uri", "ln", F.lit(0).alias("col"), F.lit(0).alias("end_col"), text.alias("new_text"), F.format_string("Insert '%s' section", "section").alias("title"), F.lit(False).alias("preferred"), "rank")
-    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "new_text"))), lambda x: x["new_text"]), "")
-    every = each.groupBy("uri", "ln").agg(order.alias("new_text"), F.count("*").alias("n")).where("n > 1")
-    return each.drop("rank").unionByName(every.select("uri", "ln", F.lit(0).alias("col"), F.lit(0).alias("end_col"), "new_text", F.lit("Insert all missing ADR sections").alias("title"), F.lit(True).alias("preferred")))
+    def text(section):
+        return F.concat(F.lit("\n== "), section, F.lit("\n\n// TODO: "), domains.described(section), F.lit("\n"))
+
+    edit = lambda new, title, preferred: F.struct(new.alias("new_text"), title.alias("title"), F.lit(preferred).alias("preferred"))
+    each = F.transform("lacking", lambda x: edit(text(x["section"]), F.concat(F.lit("Insert '"), x["section"], F.lit("' section")), False))
+    every = F.array(edit(F.array_join(F.transform("lacking", lambda x: text(x["section"])), ""), F.lit("Insert all missing ADR sections"), True))
+    edits = F.when(F.size("lacking") > 1, F.concat(each, every)).otherwise(each)
+    rows = domains.old_lacking(ws).select("uri", "ln", F.explode_outer(edits).alias("_e")).where("_e is not null")
+    return rows.select("uri", "ln", F.lit(0).alias("col"), F.lit(0).alias("end_col"), "_e.*")
 
 
 def fixes(found: DataFrame, ws: g.Workspace) -> DataFrame:
