@@ -4,15 +4,18 @@ task holds no more than a batch of documents."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, nullcontext
 from itertools import groupby
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def per_document(docs: DataFrame, parse: Callable[[str, str], Iterator[tuple]], schema: str, rows: int = 128) -> DataFrame:
+def per_document(docs: DataFrame, parse: Callable[[str, Any], Iterator[tuple]], schema: str, rows: int = 128, read: Callable[[str], Any] | None = None, around: Callable[[], AbstractContextManager] = nullcontext) -> DataFrame:
     """The rows that `parse(uri, text)` yields for each document; a null text counts as empty.
-    Joins of them are merge joins, as those of lines are."""
+    With `read` it gets what that makes of the text: first all of `rows` documents are read, then they
+    are parsed within one context `around`. Joins of the rows are merge joins, as those of lines are."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = docs.sparkSession.createDataFrame([], schema).schema
@@ -22,7 +25,9 @@ def per_document(docs: DataFrame, parse: Callable[[str, str], Iterator[tuple]],
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 uris, texts = (c.to_pylist() for c in batch.slice(start, rows).columns)
-                found = [row for uri, text in zip(uris, texts, strict=True) for row in parse(uri, text or "")]
+                texts = [read(text or "") if read else text or "" for text in texts]
+                with around():
+                    found = [row for uri, text in zip(uris, texts, strict=True) for row in parse(uri, text)]
                 cols = list(zip(*found, strict=True)) if found else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 

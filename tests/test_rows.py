@@ -90,3 +90,25 @@ def test_anchors_from_one_reading(spark):
     found = ooxml.anchors_of(files)
     assert rows(found) == rows(ooxml.anchors(ooxml.word_blocks(files), ooxml.styles(files))) and not moves(found)
     assert [r.target_heading for r in found.where("uri = 'a' and bookmark in ('mine', 'cell')").orderBy("bookmark").collect()] == ["Two", "1. One a"]
+
+
+def test_tracing_begins_once_for_many_documents(monkeypatch):
+    import sys
+
+    import pytest
+
+    def endless(doc):
+        while True:
+            pass
+
+    own, calls = sys.settrace, []
+    before = sys.gettrace()
+    limits = plugins.Limits(100, 5.0)
+    monkeypatch.setattr(sys, "settrace", lambda f: (calls.append(f), own(f)))
+    with limits.within():
+        found = [limits.results("r", lambda doc: [doc["n"]], {"n": n}) for n in range(5)]
+        assert len(calls) == 1
+        for _ in range(2):
+            with pytest.raises(plugins.RuleError, match="r: more than 100 steps"):
+                limits.results("r", endless, {})
+    assert found == [[n] for n in range(5)] and sys.gettrace() == before
