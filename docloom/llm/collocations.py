@@ -5,9 +5,10 @@ A phrase that counts holds only words that are as frequent themselves. So words
 in blocks of text, each with a dictionary of its own; the blocks' word counts add up to those
 of the corpus, and frequent words of a language get a number of 32 bits. Each block learns the
 numbers of its own words; other words break a piece as punctuation does. Every phrase is a key of
-12 bytes, three numbers of which the last may be 0. Keys are radix sorted, run-length counted and
-cut into ranges where they are made; each range is radix sorted and counted as a whole in
-one task. Ranges are quantiles of a sample; they bear on balance alone, not on results.
+12 bytes, three numbers of which the last may be 0. Keys are sorted where they are made, by the
+ranks of their numbers, which fit into 64 bits together; they are run-length counted and cut into
+ranges. Each range is a partition, radix sorted and counted as a whole in one task. Ranges are
+quantiles of a sample; they bear on balance alone, not on results.
 
 No dictionary is broadcast or held whole by a task, and no step depends on how large it is.
 """
@@ -28,9 +29,13 @@ from docloom.llm.common import Stored, quoted
 #: Least occurrences of a phrase, most phrases of a language, and the per cent of a phrase's
 #: occurrences within a longer one that make it superfluous.
 LEAST, TOP, WITHIN = 10, 2000, 50
-#: Words of a block (and what its last text holds beyond), keys sorted at once, keys of a range.
-#: Twice and twice as many took 3031 MB of an executor with two tasks, these take 2465 MB.
+#: Words of a block (and what its last text holds beyond), most keys sorted at once, also those
+#: of a range before they are counted.
 BLOCK, KEYS = 1 << 19, 1 << 21
+#: Words whose keys are made at once, and bits of a number's rank among those sorted together.
+STEP, BITS = 1 << 17, 21
+#: Bytes of keys that a task hands on at once.
+OUT = 1 << 22
 #: Blocks that keys are sampled from to cut ranges, and keys taken of each.
 SAMPLED, TAKEN = 32, 2048
 
@@ -92,10 +97,14 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
 def run_lengths(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order and how often each occurs, or the sum of their `n`."""
     order = radix_order(keys)
-    keys = np.take(keys, order, axis=1)
-    starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if keys.shape[1] else np.empty(0, np.int64)
-    sums = np.diff(np.append(starts, keys.shape[1])) if n is None else np.add.reduceat(n[order], starts) if len(starts) else n
-    return np.take(keys, starts, axis=1), sums
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for word in keys:  # one at a time: all sorted keys are never held
+        word = word[order]
+        new[1:] |= word[1:] != word[:-1]
+    starts = np.flatnonzero(new)
+    sums = np.diff(starts, append=len(order)) if n is None else np.add.reduceat(n[order], starts) if len(starts) else n
+    return np.take(keys, order[starts], axis=1), sums
 
 
 def phrases_of(ids: np.ndarray, begin: int | None = None) -> np.ndarray:
@@ -105,7 +114,7 @@ def phrases_of(ids: np.ndarray, begin: int | None = None) -> np.ndarray:
     two = ok[:-1] & ok[1:]
     three = np.flatnonzero((two[:-1] & two[1:])[:begin])
     two = np.flatnonzero(two[:begin])
-    pairs = np.stack([ids[two], ids[two + 1], np.zeros(len(two), np.uint32)])
+    pairs = np.stack([ids[two], ids[two + 1], np.zeros(len(two), ids.dtype)])
     return np.concatenate([pairs, np.stack([ids[three], ids[three + 1], ids[three + 2]])], axis=1)
 
 
@@ -119,33 +128,80 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[:3], both[3].astype(np.int64)
 
 
+def _sorted(held: list[tuple[np.ndarray, np.ndarray]], size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, of `size` in all, in order and their counts, of pieces given as their
+    distinct numbers and where each place has its number among them."""
+    ids = np.unique(np.concatenate([np.zeros(1, np.uint32), *(own for own, _ in held)]))
+    keys, end = np.empty(size, np.uint64), 0
+    for own, at in held:
+        a, b, c = phrases_of(np.searchsorted(ids, own).astype(np.uint64)[at], step)
+        keys[end : (end := end + len(a))] = a << np.uint64(2 * BITS) | b << np.uint64(BITS) | c
+    keys.sort()
+    new = np.ones(size, bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    n, keys = np.diff(starts, append=size), keys[starts]
+    del starts
+    mask = np.uint64((1 << BITS) - 1)
+    out = np.empty((3, len(keys)), np.uint32)
+    for word, shift in zip(out, (2 * BITS, BITS, 0), strict=True):
+        word[:] = ids[keys >> np.uint64(shift) & mask]
+    return out, n
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block at a time (tokens, own), of rows in order of blocks: the place and number of each of
+    its frequent words, then its tokens. Blocks without frequent words are left out."""
+    ats, ids = [], []
+    for batch in batches:
+        at, number, tokens = (batch.column(c) for c in ("at", "id", "tokens"))
+        start = 0
+        for end in np.flatnonzero(tokens.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            ats.append(at.slice(start, end - start))
+            ids.append(number.slice(start, end - start))
+            if sum(map(len, ats)):
+                own = pa.StructArray.from_arrays([pa.concat_arrays(ats), pa.concat_arrays(ids)], ["at", "id"])
+                yield pa.RecordBatch.from_arrays([tokens.slice(end, 1), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["tokens", "own"])
+            ats, ids, start = [], [], end + 1
+        if start < batch.num_rows:
+            ats.append(at.slice(start))
+            ids.append(number.slice(start))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted and counted phrases of blocks (tokens, own: place and number of its frequent words)."""
-    held, n = [], 0
+    step = min(STEP, KEYS // 2)
+    held, distinct, n = [], 1, 0
     for batch in batches:
         for i in range(batch.num_rows):
             tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.int32)
             own = batch.column("own")[i].values
             numbers = np.zeros(int(tokens.max()) + 1, np.uint32)
             numbers[own.field("at").to_numpy()] = own.field("id").to_numpy().astype(np.uint32)
-            for start in range(0, len(tokens), KEYS // 2):
-                keys = phrases_of(numbers[tokens[start : start + KEYS // 2 + 2]], KEYS // 2)
-                held.append(keys)
-                n += keys.shape[1]
-                if n >= KEYS:
-                    yield run_lengths(np.concatenate(held, axis=1))
-                    held, n = [], 0
+            for start in range(0, len(tokens), step):
+                ids, at = np.unique(numbers[tokens[start : start + step + 2]], return_inverse=True)
+                ok = ids[at] > 0
+                two = ok[:-1] & ok[1:]
+                more = int(np.count_nonzero(two[:step]) + np.count_nonzero((two[:-1] & two[1:])[:step]))
+                if not more:
+                    continue
+                if n and (n + more > KEYS or distinct + len(ids) > 1 << BITS):
+                    yield _sorted(held, n, step)
+                    held, distinct, n = [], 1, 0
+                held.append((ids, at.astype(np.int32)))
+                distinct, n = distinct + len(ids), n + more
     if n:
-        yield run_lengths(np.concatenate(held, axis=1))
+        yield _sorted(held, n, step)
 
 
 def _cut(keys: np.ndarray, borders: np.ndarray) -> list[int]:
     """Where in sorted keys each border's keys begin."""
-    high = keys[0].astype(np.uint64) << np.uint64(32) | keys[1]
     out = []
-    for a, b, c in borders.T.tolist():
-        low, up = np.searchsorted(high, [np.uint64(a << 32 | b)], "left")[0], np.searchsorted(high, [np.uint64(a << 32 | b)], "right")[0]
-        out.append(int(low + np.searchsorted(keys[2][low:up], np.uint32(c), "left")))
+    for border in borders.T:
+        low, up = 0, keys.shape[1]
+        for word, x in zip(keys, border, strict=True):
+            low, up = low + np.searchsorted(word[low:up], x, "left"), low + np.searchsorted(word[low:up], x, "right")
+        out.append(int(low))
     return out
 
 
@@ -166,12 +222,14 @@ def _grams(blocks: DataFrame, words: DataFrame, numbered: DataFrame, total: int,
     """a, b, c (0: none), n of the phrases that occur `least` times or more."""
     spark = blocks.sparkSession
 
-    def joined(only):
-        own = words.where(only).join(numbered, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("own"))
-        return blocks.where(only).select("block", "tokens").join(own, "block").select("tokens", "own")
+    def joined(only):  # rows as _whole() takes them: a batch has few blocks, whatever a task has
+        own = words.where(only).join(numbered, ["lang", "word"]).select("block", F.col("at").cast("long").alias("at"), "id", F.lit(None).cast("binary").alias("tokens"))
+        none = F.lit(None).cast("long")
+        rows = own.unionByName(blocks.where(only).select("block", none.alias("at"), none.alias("id"), "tokens"))
+        return rows.repartition("block").sortWithinPartitions("block", F.col("at").asc_nulls_last()).select("at", "id", "tokens")
 
     def sample(batches):
-        for keys, _ in _counted(batches):
+        for keys, _ in _counted(_whole(batches)):
             took = keys[:, :: max(1, keys.shape[1] // TAKEN)]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in took], ["a", "b", "c"])
 
@@ -182,31 +240,46 @@ def _grams(blocks: DataFrame, words: DataFrame, numbered: DataFrame, total: int,
     borders = seen[:, radix_order(seen)][:, [seen.shape[1] * i // ranges for i in range(1, ranges)]] if seen.shape[1] else np.empty((3, 0), np.uint32)
 
     def cut(batches):
-        for keys, n in _counted(batches):
+        def handed(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "data"])
+
+        for keys, n in _counted(_whole(batches)):
             ends = [0, *_cut(keys, borders), keys.shape[1]]
-            rows = [(i, _packed(keys[:, a:b], n[a:b])) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "data"])
+            rows, size = [], 0
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                if b > a:
+                    rows.append((i, _packed(keys[:, a:b], n[a:b])))
+                    size += len(rows[-1][1])
+                if size >= OUT:
+                    yield handed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield handed(rows)
+            del keys, n, rows  # before the next are sorted
 
     def add(batches):
         def whole(held):
-            keys, n = zip(*map(_unpacked, held), strict=True)
-            keys, n = run_lengths(np.concatenate(keys, axis=1), np.concatenate(n))
+            ends = np.cumsum([0, *(d.size // 16 for d in held)]).tolist()
+            keys, n = np.empty((3, ends[-1]), np.uint32), np.empty(ends[-1], np.int64)
+            for a, b, d in zip(ends, ends[1:], held, strict=False):
+                keys[:, a:b], n[a:b] = _unpacked(d)
+            keys, n = run_lengths(keys, n)
             often = n >= least
             return pa.RecordBatch.from_arrays([*(pa.array(k[often], pa.int64()) for k in keys), pa.array(n[often], pa.int64())], ["a", "b", "c", "n"])
 
         at, held = None, []
         for batch in batches:
-            for r, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for r, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if r != at and held:
                     yield whole(held)
                     held = []
                 at = r
-                held.append(data)
+                held.append(data.as_buffer())
         if held:
             yield whole(held)
 
     made = joined(F.lit(True)).mapInArrow(cut, "range int, data binary")
-    dealt = made.repartitionById(parts, F.expr(f"cast(cast(range as long) * {parts} div {ranges} as int)")).sortWithinPartitions("range")
+    dealt = made.repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
     return dealt.mapInArrow(add, "a long, b long, c long, n long")
 
 

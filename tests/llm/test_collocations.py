@@ -97,3 +97,46 @@ def test_scores_are_exact_beyond_64_bits(spark):
     (got,) = collocations.collocations(docs).collect()
     a, n = 4_000_000, 4_000_040
     assert tuple(got) == ("en", 1, "p q", a, n, n, 2 * n, 1_000_000 * a * a // (n * n))
+
+
+def test_counting_holds_few_keys(monkeypatch):
+    """An executor of two tasks passed 3000 MB, as up to twice KEYS keys were sorted at once, and
+    their sorted copies held beside them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "KEYS", 1 << 20)
+    r = np.random.default_rng(3)
+    own = [{"at": i, "id": i << 15} for i in range(1, 30001)]
+    tokens = r.integers(1, 30001, (3, 500_000)).astype(np.int32)
+    batch = pa.RecordBatch.from_pylist([{"tokens": t.tobytes(), "own": own} for t in tokens])
+    sums = []
+    tracemalloc.start()
+    for _, n in collocations._counted([batch]):
+        sums.append(int(n.sum()))
+        del _, n
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sums) == 3 * (499_999 + 499_998) and max(sums) <= 1 << 20
+    assert most < 64 << 20  # measured: 48 MiB, before 107
+
+
+def test_blocks_come_one_at_a_time():
+    import pyarrow as pa
+
+    rows = [(1, 7, None), (2, 9, None), (None, None, b"ab"), (None, None, b"none of its words is frequent"), (5, 1 << 32, None), (None, None, b"c")]
+    kind = pa.schema([("at", pa.int64()), ("id", pa.int64()), ("tokens", pa.binary())])
+    for size in range(1, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size], strict=True), kind, strict=True)], schema=kind) for i in range(0, 6, size)]
+        got = [b.to_pylist() for b in collocations._whole(batches)]
+        assert got == [[{"tokens": b"ab", "own": [{"at": 1, "id": 7}, {"at": 2, "id": 9}]}], [{"tokens": b"c", "own": [{"at": 5, "id": 1 << 32}]}]]
+
+
+def test_keys_are_handed_on_in_small_batches(spark, monkeypatch):
+    r = random.Random(5)
+    rows = rows_of(r, 150)
+    monkeypatch.setattr(collocations, "OUT", 1)
+    monkeypatch.setattr(collocations, "KEYS", 64)
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == expected(rows, 10, 2000, 50)
